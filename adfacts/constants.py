@@ -36,11 +36,10 @@ FREQUENCY_KEYWORDS = {
     "MONTHLY": ["per month", "p.m.", "monthly"],
 }
 
-REMOTE_PATTERNS = [
-    r"\bremote\b", r"\bwork from home\b", r"\bwfh\b", r"\btelecommut(e|ing)\b", r"\bvirtual\b",
-]
-ONSITE_PATTERNS = [r"\bin person\b", r"\bon[ -]?site\b", r"\bat our offices?\b", r"\bon campus\b"]
-HYBRID_PATTERNS = [r"\bhybrid\b", r"\bflexible\b", r"\bmixed[- ]mode\b"]
+# Patterns of whole words and phrases.
+REMOTE_PHRASES = ["remote", "work from home", "wfh", "telecommut(e|ing)", "virtual"]
+ONSITE_PHRASES = ["in person", "on[ -]?site", "at our offices?", "on campus"]
+HYBRID_PHRASES = ["hybrid", "flexible", "mixed[- ]mode"]
 
 # Pictographs, in the four blocks that titles are cleaned of.
 EMOJI_RANGES = r"\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F1E0}-\x{1F1FF}"

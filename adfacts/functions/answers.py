@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from adfacts import constants as K
 from adfacts.functions.text import strip, text_or_empty
+from adfacts.functions.values import once
 
 ANSWER_SALARY = r"(\d+-\d+-[A-Z]+-[A-Z]+|0-0-None-None)"
 REPORTED_SALARY = r"\d{3,6}-\d{3,6}-[A-Z]{3,4}-[A-Z]+"
@@ -27,33 +28,40 @@ def answer_text(raw: Column, mode: str = "direct") -> Column:
 
 
 def clean_salary(raw: Column, mode: str = "direct") -> Column:
-    found = F.regexp_extract(answer_text(raw, mode), ANSWER_SALARY, 1)
-    return F.when(found != "", found).otherwise(F.lit(K.NO_SALARY))
+    return _found(F.regexp_extract(answer_text(raw, mode), ANSWER_SALARY, 1))
+
+
+def _found(salary: Column) -> Column:
+    return F.coalesce(F.nullif(salary, F.lit("")), F.lit(K.NO_SALARY))
 
 
 def clean_seniority(raw: Column, mode: str = "direct") -> Column:
     """The longest known label in the answer (list order among equals), else a near miss."""
-    text = F.lower(answer_text(raw, mode))
     labels = K.SENIORITY_LABELS + (["unknown"] if mode == "chain" else [])
-    chain = F
-    for label in sorted(labels, key=len, reverse=True):
-        chain = chain.when(F.contains(text, F.lit(label)), F.lit(label))
-    level = F.contains(text, F.lit("level"))
     entry = "entry level" if mode == "direct" else "entry-level"
-    return (
-        chain.when(level & F.contains(text, F.lit("entry")), F.lit(entry))
-        .when(level & F.contains(text, F.lit("mid")), F.lit("mid-level"))
-        .otherwise(F.lit("Unknown"))
-    )
+
+    def label_in(text: Column) -> Column:
+        chain = F
+        for label in sorted(labels, key=len, reverse=True):
+            chain = chain.when(F.contains(text, F.lit(label)), F.lit(label))
+        level = F.contains(text, F.lit("level"))
+        return (
+            chain.when(level & F.contains(text, F.lit("entry")), F.lit(entry))
+            .when(level & F.contains(text, F.lit("mid")), F.lit("mid-level"))
+            .otherwise(F.lit("Unknown"))
+        )
+
+    return once(F.lower(answer_text(raw, mode)), label_in)
 
 
 def clean_arrangement(raw: Column, mode: str = "direct", onsite_label: str = "OnSite") -> Column:
-    word = F.lower(F.regexp_extract(answer_text(raw, mode), "(?i)(onsite|hybrid|remote)", 1))
-    return (
-        F.when(word == "onsite", F.lit(onsite_label))
+    found = F.regexp_extract(answer_text(raw, mode), "(?i)(onsite|hybrid|remote)", 1)
+    return once(
+        F.lower(found),
+        lambda word: F.when(word == "onsite", F.lit(onsite_label))
         .when(word == "hybrid", F.lit("Hybrid"))
         .when(word == "remote", F.lit("Remote"))
-        .otherwise(F.lit("Unknown"))
+        .otherwise(F.lit("Unknown")),
     )
 
 
@@ -68,21 +76,23 @@ def clean_answer(raw: Column, task: Column, mode: str = "direct") -> Column:
 
 
 def valid_salary(answer: Column) -> Column:
-    parts = F.split(strip(text_or_empty(answer)), "-")
-    low, high = (strip(F.get(parts, F.lit(i))) for i in (0, 1))
     whole = F.lit(r"^\+?\d+$")
-    # Amounts of any length compare by digits: the longer is larger, equal lengths as text.
-    a, b = (F.regexp_replace(n, r"^\+?0*", "") for n in (low, high))
-    ordered = (F.length(a) < F.length(b)) | ((F.length(a) == F.length(b)) & (a <= b))
-    good = (
-        (F.size(parts) == 4)
-        & F.rlike(low, whole)
-        & F.rlike(high, whole)
-        & ordered
-        & F.get(parts, F.lit(2)).isin(K.CURRENCIES)
-        & F.get(parts, F.lit(3)).isin(K.FREQUENCIES)
-    )
-    return F.coalesce(good, F.lit(False))
+
+    def good(parts: Column) -> Column:
+        low, high = (strip(F.get(parts, F.lit(i))) for i in (0, 1))
+        # Amounts of any length compare by digits: the longer is larger, equal lengths as text.
+        a, b = (F.regexp_replace(n, r"^\+?0*", "") for n in (low, high))
+        ordered = (F.length(a) < F.length(b)) | ((F.length(a) == F.length(b)) & (a <= b))
+        return (
+            (F.size(parts) == 4)
+            & F.get(parts, F.lit(2)).isin(K.CURRENCIES)
+            & F.get(parts, F.lit(3)).isin(K.FREQUENCIES)
+            & F.rlike(low, whole)
+            & F.rlike(high, whole)
+            & ordered
+        )
+
+    return F.coalesce(once(F.split(strip(text_or_empty(answer)), "-"), good), F.lit(False))
 
 
 def valid_seniority(answer: Column) -> Column:
@@ -109,20 +119,34 @@ def same(a: Column, b: Column) -> Column:
 
 def reported_salary(prediction: Column) -> Column:
     """The salary in a prediction as the report reads it: three to six digit amounts only."""
-    found = F.regexp_extract(text_or_empty(prediction), REPORTED_SALARY, 0)
-    return F.when(found != "", found).otherwise(F.lit(K.NO_SALARY))
+    return _found(F.regexp_extract(text_or_empty(prediction), REPORTED_SALARY, 0))
+
+
+PARTS = ("min", "max", "currency", "frequency")
 
 
 def salary_parts(text: Column) -> Column:
     """Struct (min, max, currency, frequency) of stripped parts; no dash gives nulls."""
-    parts = F.when(F.contains(text, F.lit("-")), F.split(text, "-"))
-    names = ("min", "max", "currency", "frequency")
-    return F.struct(*[strip(F.get(parts, F.lit(i))).alias(n) for i, n in enumerate(names)])
+
+    def named(parts: Column) -> Column:
+        several = F.size(parts) > 1
+        return F.struct(
+            *[
+                F.when(several, strip(F.get(parts, F.lit(i)))).alias(n)
+                for i, n in enumerate(PARTS)
+            ]
+        )
+
+    return once(F.split(text, "-"), named)
 
 
 def strict_salary_parts(text: Column) -> Column:
     """As ``salary_parts``, unstripped, for two to four parts; any other count gives nulls."""
-    parts = F.split(text, "-")
-    usable = F.when(F.size(parts).between(2, 4), parts)
-    names = ("min", "max", "currency", "frequency")
-    return F.struct(*[F.get(usable, F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+    def named(parts: Column) -> Column:
+        usable = F.size(parts).between(2, 4)
+        return F.struct(
+            *[F.when(usable, F.get(parts, F.lit(i))).alias(n) for i, n in enumerate(PARTS)]
+        )
+
+    return once(F.split(text, "-"), named)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from adfacts import constants as K
 from adfacts.functions.text import decode_entities, lowered, strip, text_or_empty
+from adfacts.functions.values import once
 
 _BLANK = r"(?:[\s\x{a0}]|&nbsp;)*"
 INTEGER = r"\d[\d,]*"
@@ -31,24 +32,32 @@ def integers(text: Column) -> Column:
 
 def compensation(html: Column, nation: Column) -> Column:
     """Struct (min1, max1) from the compensation paragraphs of an ad."""
-    html = text_or_empty(html)
-    text = paragraph_after(html, "Compensation")
-    single = integers(text)
-    band = F.array_sort(integers(paragraph_after(html, "Compensation Range")))
-    low = F.get(band, F.lit(0))
-    high = F.when(F.size(band) > 1, F.get(band, F.lit(1))).otherwise(low)
-    first = F.get(single, F.lit(0))
-    plain = F.when(F.rlike(text, F.lit(r"^[+-]?\d+$")), text.try_cast("bigint"))
     in_ph = F.coalesce(nation == "PH", F.lit(False))
 
-    def end(of_band: Column) -> Column:
-        return (
-            F.when(in_ph & (F.size(single) > 0), first)
-            .when(F.size(band) > 0, of_band)
-            .when(~in_ph, plain)
-        )
+    def ends(text: Column, single: Column, band: Column) -> Column:
+        low = F.get(band, F.lit(0))
+        high = F.when(F.size(band) > 1, F.get(band, F.lit(1))).otherwise(low)
+        first = F.get(single, F.lit(0))
+        plain = F.when(F.rlike(text, F.lit(r"^[+-]?\d+$")), text.try_cast("bigint"))
+
+        def end(of_band: Column) -> Column:
+            return (
+                F.when(in_ph & (F.size(single) > 0), first)
+                .when(F.size(band) > 0, of_band)
+                .when(~in_ph, plain)
+            )
 
-    return F.struct(end(low).alias("min1"), end(high).alias("max1"))
+        return F.struct(end(low).alias("min1"), end(high).alias("max1"))
+
+    html = text_or_empty(html)
+    texts = F.struct(
+        paragraph_after(html, "Compensation").alias("single"),
+        F.array_sort(integers(paragraph_after(html, "Compensation Range"))).alias("band"),
+    )
+    return once(
+        texts,
+        lambda t: once(integers(t["single"]), lambda n: ends(t["single"], n, t["band"])),
+    )
 
 
 def pay_frequency(text: Column) -> Column:
@@ -72,8 +81,10 @@ def salary_range(text: Column) -> Column:
             "bigint"
         ),
     )
-    amounts = F.filter(rounded, lambda n: n >= 10)
-    return F.struct(F.array_min(amounts).alias("min2"), F.array_max(amounts).alias("max2"))
+    return once(
+        F.filter(rounded, lambda n: n >= 10),
+        lambda n: F.struct(F.array_min(n).alias("min2"), F.array_max(n).alias("max2")),
+    )
 
 
 def resolve_frequency(
@@ -127,17 +138,19 @@ def format_salary(low: Column, high: Column, currency: Column, frequency: Column
     return F.when((low != 0) & (high != 0), text).otherwise(F.lit(K.NO_SALARY))
 
 
-def _any_of(patterns: list[str]):
-    return F.lit("|".join(patterns))
+def _any_of(phrases: list[str]) -> Column:
+    return F.lit(rf"\b(?:{'|'.join(phrases)})\b")
 
 
 def arrangement(text: Column, onsite_label: str = "Onsite") -> Column:
-    t = lowered(text)
-    remote = F.rlike(t, _any_of(K.REMOTE_PATTERNS))
-    onsite = F.rlike(t, _any_of(K.ONSITE_PATTERNS))
-    hybrid = F.rlike(t, _any_of(K.HYBRID_PATTERNS))
-    return (
-        F.when(hybrid | (remote & onsite), F.lit("Hybrid"))
-        .when(remote, F.lit("Remote"))
-        .otherwise(F.lit(onsite_label))
-    )
+    def label(t: Column) -> Column:
+        remote = F.rlike(t, _any_of(K.REMOTE_PHRASES))
+        onsite = F.rlike(t, _any_of(K.ONSITE_PHRASES))
+        mixed = F.when(onsite, F.lit("Hybrid")).otherwise(F.lit("Remote"))
+        return (
+            F.when(F.rlike(t, _any_of(K.HYBRID_PHRASES)), F.lit("Hybrid"))
+            .when(remote, mixed)
+            .otherwise(F.lit(onsite_label))
+        )
+
+    return once(lowered(text), label)

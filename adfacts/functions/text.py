@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from adfacts import constants as K
+from adfacts.functions.values import once
 
 # What str.strip takes off both ends: ASCII white space and separators, NEL, NBSP and
 # the wider Unicode spaces.
@@ -73,23 +74,24 @@ def _reference(piece: Column) -> Column:
     hexadecimal = F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]+)", 1)
     # Digits past any code point overflow to null, which reads as an unknown character.
     decimal_point = F.coalesce(decimal.try_cast("bigint"), F.lit(0))
-    hexadecimal_point = F.when(
-        F.length(F.ltrim(hexadecimal, F.lit("0"))) <= 6,
-        F.conv(hexadecimal, 16, 10).cast("bigint"),
-    ).otherwise(F.lit(0))
+    hexadecimal_point = once(
+        F.ltrim(hexadecimal, F.lit("0")),
+        lambda h: F.when(F.length(h) <= 6, F.conv(h, 16, 10).cast("bigint")).otherwise(F.lit(0)),
+    )
     return (
         F.when(~piece.startswith("&") | (piece == "&"), piece)
-        .when(decimal != "", _code_point(decimal_point))
-        .when(hexadecimal != "", _code_point(hexadecimal_point))
-        .otherwise(F.coalesce(F.try_element_at(named, name), F.concat(F.lit("&"), name)))
+        .when(F.rlike(piece, F.lit("^&#[0-9]")), once(decimal_point, _code_point))
+        .when(piece.startswith("&#"), once(hexadecimal_point, _code_point))
+        .otherwise(
+            once(name, lambda n: F.coalesce(F.try_element_at(named, n), F.concat(F.lit("&"), n)))
+        )
     )
 
 
 def decode_entities(c: Column) -> Column:
     """Character references decoded once; a reference with an unknown name stays as text."""
     pieces = F.regexp_extract_all(c, F.lit(ENTITY_OR_TEXT), F.lit(0))
-    decoded = F.array_join(F.transform(pieces, _reference), "")
-    return F.when(F.contains(c, F.lit("&")), decoded).otherwise(c)
+    return F.array_join(F.transform(pieces, _reference), "")
 
 
 def filled_lines(c: Column) -> Column:
@@ -103,9 +105,7 @@ def html_to_text(c: Column) -> Column:
 
     Works on tags as written and builds no tree, so inline tags end a line too.
     """
-    c = text_or_empty(c)
-    nodes = F.when(F.contains(c, F.lit("<")), F.regexp_replace(c, MARKUP, "\n")).otherwise(c)
-    return filled_lines(decode_entities(nodes))
+    return filled_lines(decode_entities(F.regexp_replace(text_or_empty(c), MARKUP, "\n")))
 
 
 def remove_emojis(c: Column) -> Column:
@@ -218,21 +218,28 @@ def split_header(prompt: Column) -> Column:
 
     Of several lines with the same name the last counts; other head lines are lost.
     """
-    lines = header_lines(prompt)
-    start = tail_start(lines)
-    size = F.size(lines)
-    head = F.when(start == 0, lines).otherwise(F.slice(lines, F.lit(1), start - 1))
-    tail = F.when(start == 0, F.array().cast("array<string>")).otherwise(
-        F.slice(lines, start, size)
-    )
-    fields = [_last_field(head, name).alias(_field_name(name)) for name in K.HEADER_FIELDS]
-    return F.struct(*fields, F.array_join(tail, "\n").alias("tail"))
+    return once(header_lines(prompt), lambda lines: once(tail_start(lines), _split_at(lines)))
+
+
+def _split_at(lines: Column):
+    def parts(start: Column) -> Column:
+        head = F.when(start == 0, lines).otherwise(F.slice(lines, F.lit(1), start - 1))
+        tail = F.when(start > 0, F.array_join(F.slice(lines, start, F.size(lines)), "\n"))
+        return once(
+            head,
+            lambda h: F.struct(
+                *[_last_field(h, name).alias(_field_name(name)) for name in K.HEADER_FIELDS],
+                F.coalesce(tail, F.lit("")).alias("tail"),
+            ),
+        )
+
+    return parts
 
 
 def _last_field(head: Column, name: str) -> Column:
     pattern = rf"(?i)^\s*{name}\s*:\s*(.*)$"
     hits = F.filter(head, lambda line: F.rlike(line, F.lit(pattern)))
-    return strip(F.regexp_extract(F.get(hits, F.size(hits) - 1), pattern, 1))
+    return once(hits, lambda h: strip(F.regexp_extract(F.get(h, F.size(h) - 1), pattern, 1)))
 
 
 def _field_name(name: str) -> str:
@@ -251,10 +258,13 @@ def build_header(parts: Column) -> Column:
 
 def message_preview(idx: Column, name: Column, content: Column, shown: int = 200) -> Column:
     """One line of a chat log; ``idx`` counts from 0, the log from 1."""
-    said = strip(text_or_empty(content))
-    return F.concat(
-        F.lit("["), (idx + 1).cast("string"), F.lit("] "),
-        F.coalesce(name, F.lit("Unknown")), F.lit(": "),
-        F.substring(said, 1, shown),
-        F.when(F.length(said) > shown, F.lit("...")).otherwise(F.lit("")),
-    )
+
+    def line(said: Column) -> Column:
+        return F.concat(
+            F.lit("["), (idx + 1).cast("string"), F.lit("] "),
+            F.coalesce(name, F.lit("Unknown")), F.lit(": "),
+            F.substring(said, 1, shown),
+            F.when(F.length(said) > shown, F.lit("...")).otherwise(F.lit("")),
+        )
+
+    return once(strip(text_or_empty(content)), line)

@@ -21,16 +21,6 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
-def hashed_ids(words: Column, buckets: int = 150_000) -> Column:
-    """An id per token without a vocabulary: its digest, folded into ``buckets``."""
-
-    def fold(word: Column) -> Column:
-        number = F.conv(F.substring(F.md5(word), 1, 7), 16, 10).cast("bigint")
-        return (F.pmod(number, F.lit(buckets)) + FIRST_ID).cast("int")
-
-    return F.transform(words, fold)
-
-
 def filled(value: Column, n: Column) -> Column:
     return F.array_repeat(value, F.greatest(n, F.lit(0)).cast("int"))
 

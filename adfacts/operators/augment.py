@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adfacts.functions import text as T
+from adfacts.functions.values import once
 
 VARIANTS = ["de", "fr"]
 
@@ -89,13 +90,19 @@ def one_synonym(text: Column, synonyms: dict[str, str]) -> Column:
     pieces = F.regexp_extract_all(
         T.text_or_empty(text), F.lit(r"[\p{L}]+|[^\p{L}]+"), F.lit(0)
     )
-    hits = F.transform(pieces, lambda p: F.map_contains_key(known, F.lower(p)))
-    first = F.array_position(hits, True)
-    swapped = F.transform(
-        pieces,
-        lambda p, i: F.when(i + 1 == first, F.try_element_at(known, F.lower(p))).otherwise(p),
+
+    def swapped(words: Column) -> Column:
+        hits = F.transform(words, lambda w: F.lower(w).isin(list(synonyms)))
+        return once(F.array_position(hits, True), lambda first: _replaced(words, first, known))
+
+    return F.array_join(once(pieces, swapped), "")
+
+
+def _replaced(words: Column, place: Column, known: Column) -> Column:
+    return F.transform(
+        words,
+        lambda w, i: F.when(i + 1 == place, F.try_element_at(known, F.lower(w))).otherwise(w),
     )
-    return F.array_join(swapped, "")
 
 
 def label_counts(df: DataFrame, label: str = "complete") -> DataFrame:

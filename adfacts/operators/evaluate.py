@@ -11,10 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adfacts.functions import answers as A
+from adfacts.functions.answers import PARTS
 from adfacts.functions.text import task_type
 
-PARTS = ("min", "max", "currency", "frequency")
-
 
 def marked(df: DataFrame) -> DataFrame:
     """Results with the task and whether the answer is the truth."""

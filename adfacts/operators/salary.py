@@ -15,7 +15,12 @@ def salary_facts(ads: DataFrame) -> DataFrame:
     ends = [F.col(c) for c in ("min1", "max1", "min2", "max2")]
     return (
         ads.withColumn("_one", R.compensation(F.col("job_ad_details"), nation))
-        .withColumn("_pay", lowered(F.col("salary_additional_text")))
+        .withColumns(
+            {
+                "_ad": lowered(F.col("job_ad_details")),
+                "_pay": lowered(F.col("salary_additional_text")),
+            }
+        )
         .withColumn("_two", R.salary_range(F.col("_pay")))
         .withColumns(
             {
@@ -23,7 +28,7 @@ def salary_facts(ads: DataFrame) -> DataFrame:
                 "max1": F.col("_one.max1"),
                 "min2": F.col("_two.min2"),
                 "max2": F.col("_two.max2"),
-                "freq1": R.pay_frequency(lowered(F.col("job_ad_details"))),
+                "freq1": R.pay_frequency(F.col("_ad")),
                 "freq2": R.pay_frequency(F.col("_pay")),
             }
         )
@@ -37,5 +42,5 @@ def salary_facts(ads: DataFrame) -> DataFrame:
             ),
         )
         .withColumns({"currency": F.col("_range.currency")})
-        .drop("_one", "_pay", "_two", "_range")
+        .drop("_one", "_ad", "_pay", "_two", "_range")
     )

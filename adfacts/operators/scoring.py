@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adfacts import constants as K
 from adfacts.operators.grouping import running_totals, spread_join
 
+# Python workers get these functions by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules["adfacts"])
+
 Answerer = Callable[[list[str]], list[str]]
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from adfacts import constants as K
 from adfacts.functions.text import joined_text, strip_tags
 from adfacts.functions.tokens import tokens
+from adfacts.functions.values import once
 from adfacts.operators.grouping import lookup_join
 from adfacts.session import pinned
 
@@ -89,13 +90,17 @@ def label_scores(
 def shares(scores: Column) -> Column:
     """Scores divided by their total; all 0 if the total is 0."""
     total = F.aggregate(scores, F.lit(0.0), lambda t, s: t + s)
-    return F.transform(scores, lambda s: F.when(total > 0, s / total).otherwise(F.lit(0.0)))
+    return once(
+        total,
+        lambda t: F.transform(scores, lambda s: F.when(t > 0, s / t).otherwise(F.lit(0.0))),
+    )
 
 
 def winner(scores: Column, labels: list[str]) -> Column:
     """The label with the top share; the first in list order among equals."""
     listed = F.array(*[F.lit(label) for label in labels])
-    return F.get(listed, (F.array_position(scores, F.array_max(scores)) - 1).cast("int"))
+    place = once(scores, lambda s: F.array_position(s, F.array_max(s)) - 1)
+    return F.get(listed, place.cast("int"))
 
 
 def by_label(df: DataFrame, key: str, values: str, labels: list[str], name: str) -> DataFrame:

@@ -83,8 +83,8 @@ def frequency(x: str) -> str:
     return f"CASE {' '.join(cases)} END"
 
 
-def any_of(x: str, patterns: list[str]) -> str:
-    return " OR ".join(f"regexp_matches({x}, {quoted(p)})" for p in patterns)
+def any_of(x: str, phrases: list[str]) -> str:
+    return " OR ".join(f"regexp_matches({x}, {quoted(f'\\b{p}\\b')})" for p in phrases)
 
 
 TOKEN = r"[\p{L}\p{N}]+|[^\x09-\x0d\x20\p{L}\p{N}]"
@@ -94,10 +94,10 @@ def tokens(x: str) -> str:
     return f"regexp_extract_all({x}, {quoted(TOKEN)})"
 
 
-def hashed_ids(x: str, buckets: int = 150_000) -> str:
+def spelled_ids(x: str) -> str:
     return (
-        f"list_transform({x}, lambda t: "
-        f"(('0x' || substr(md5(t), 1, 7))::BIGINT % {buckets} + 2)::INTEGER)"
+        f"list_transform({x}, lambda t: ((length(t) * 7919 + unicode(t) * 104729 "
+        "+ unicode(t[-1]) * 1299709) % 150000 + 2)::INTEGER)"
     )
 
 

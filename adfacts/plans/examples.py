@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +16,21 @@ from adfacts.plans.registry import register
 
 
 def _ids(column: str) -> Column:
-    return X.hashed_ids(X.tokens(F.col(column)))
+    """Stand-in for a model's tokenizer: an id from the spelling of each token."""
 
+    def spelled(t: Column) -> Column:
+        last = F.ascii(F.right(t, F.lit(1)))
+        number = F.length(t) * 7919 + F.ascii(t).cast("bigint") * 104729 + last * 1299709
+        return (number % 150_000 + X.FIRST_ID).cast("int")
 
-def _as_text(df: DataFrame, *keys: str, arrays: list[str], others: list[str] = []) -> DataFrame:
-    return df.select(
-        *keys, *others, *[F.array_join(F.transform(a, lambda x: x.cast("string")), " ").alias(a) for a in arrays]
-    )
+    return F.transform(X.tokens(F.col(column)), spelled)
+
+
+def _as_text(
+    df: DataFrame, *keys: str, arrays: list[str], others: Sequence[str] = ()
+) -> DataFrame:
+    texts = [F.array_join(F.col(a).cast("array<string>"), " ").alias(a) for a in arrays]
+    return df.select(*keys, *others, *texts)
 
 
 # --- vocabulary ------------------------------------------------------------------------
@@ -56,8 +66,8 @@ def ex1_encoded(documents: DataFrame) -> DataFrame:
 
 # --- supervised pairs --------------------------------------------------------------------
 
-ENCODED_PAIRS = f"""e AS (SELECT pair_id, conv_id, {C.hashed_ids(C.tokens("prompt"))} AS p,
-    {C.hashed_ids(C.tokens("complete"))} AS c FROM pairs),
+ENCODED_PAIRS = f"""e AS (SELECT pair_id, conv_id, {C.spelled_ids(C.tokens("prompt"))} AS p,
+    {C.spelled_ids(C.tokens("complete"))} AS c FROM pairs),
 cut AS (SELECT *, list_concat(list_concat(p, c), [1])[1:512] AS ids FROM e),
 full_ids AS (SELECT *, {C.padded("ids", "512")} AS input_ids FROM cut)"""
 
@@ -100,8 +110,8 @@ def ex4_high_cap(pairs: DataFrame) -> DataFrame:
 
 # --- long documents ------------------------------------------------------------------------
 
-WINDOW = f"""d AS (SELECT doc_id, complete, task_type, {C.hashed_ids(C.tokens("prompt"))} AS p,
-    {C.hashed_ids(C.tokens("complete"))} AS c FROM corpus)"""
+WINDOW = f"""d AS (SELECT doc_id, complete, task_type, {C.spelled_ids(C.tokens("prompt"))} AS p,
+    {C.spelled_ids(C.tokens("complete"))} AS c FROM corpus)"""
 KEPT = "CASE WHEN len({x}) > 1024 THEN list_concat({x}[1:896], {x}[-128:]) ELSE {x} END"
 
 
@@ -200,7 +210,7 @@ def pf9(corpus: DataFrame) -> DataFrame:
     "pf8_longer_than_one", "documents",
     f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
     generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
-SELECT doc_id, line_no::INTEGER AS line_no, array_to_string({C.hashed_ids(C.tokens("line"))}, ' ') AS input_ids
+SELECT doc_id, line_no::INTEGER AS line_no, array_to_string({C.spelled_ids(C.tokens("line"))}, ' ') AS input_ids
 FROM l WHERE len({C.tokens("line")}) > 1""",
 )
 def pf8(documents: DataFrame) -> DataFrame:
@@ -316,7 +326,7 @@ def ex12(pairs: DataFrame) -> DataFrame:
 
 @register(
     "ex13_align_left", "pairs",
-    f"""WITH e AS (SELECT pair_id, {C.hashed_ids(C.tokens("prompt"))} AS p, {C.hashed_ids(C.tokens("complete"))} AS c FROM pairs)
+    f"""WITH e AS (SELECT pair_id, {C.spelled_ids(C.tokens("prompt"))} AS p, {C.spelled_ids(C.tokens("complete"))} AS c FROM pairs)
 SELECT pair_id, {C.joined(f"CASE WHEN len(p) <= len(c) THEN list_concat({C.repeated('0', 'len(c) - len(p)')}, p) ELSE p[len(p) - len(c) + 1:] END")} AS aligned FROM e""",
 )
 def ex13(pairs: DataFrame) -> DataFrame:

@@ -138,10 +138,10 @@ def rx7_accuracy(ads: DataFrame) -> DataFrame:
 
 
 ARRANGEMENT = f"""arranged AS (SELECT *,
-  CASE WHEN ({C.any_of("lower(job_ad_details)", K.REMOTE_PATTERNS)})
-      AND ({C.any_of("lower(job_ad_details)", K.ONSITE_PATTERNS)}) THEN 'Hybrid'
-    WHEN {C.any_of("lower(job_ad_details)", K.HYBRID_PATTERNS)} THEN 'Hybrid'
-    WHEN {C.any_of("lower(job_ad_details)", K.REMOTE_PATTERNS)} THEN 'Remote'
+  CASE WHEN ({C.any_of("lower(job_ad_details)", K.REMOTE_PHRASES)})
+      AND ({C.any_of("lower(job_ad_details)", K.ONSITE_PHRASES)}) THEN 'Hybrid'
+    WHEN {C.any_of("lower(job_ad_details)", K.HYBRID_PHRASES)} THEN 'Hybrid'
+    WHEN {C.any_of("lower(job_ad_details)", K.REMOTE_PHRASES)} THEN 'Remote'
     ELSE 'Onsite' END AS arrangement FROM ads)"""
 
 
