@@ -52,7 +52,7 @@ def compensation(html: Column, nation: Column) -> Column:
     html = text_or_empty(html)
     texts = F.struct(
         paragraph_after(html, "Compensation").alias("single"),
-        F.array_sort(integers(paragraph_after(html, "Compensation Range"))).alias("band"),
+        F.sort_array(integers(paragraph_after(html, "Compensation Range"))).alias("band"),
     )
     return once(
         texts,

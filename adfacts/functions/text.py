@@ -32,6 +32,8 @@ MARKUP = (
     r"|![^>]*>"
     r"|\?[^>]*>)"
 )
+# Names of characters as one literal, which folds into one map.
+ENTITIES = "\x01".join(f"{name}\x02{chr(n)}" for name, n in name2codepoint.items())
 ENTITY_OR_TEXT = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?|[^&]+|&"
 
 WHITE_SPACE_RUN = (
@@ -66,9 +68,7 @@ def _code_point(n: Column) -> Column:
 
 def _reference(piece: Column) -> Column:
     """One piece of text: a character reference decoded, anything else as it is."""
-    named = F.create_map(
-        *[F.lit(x) for name, n in name2codepoint.items() for x in (name, chr(n))]
-    )
+    named = F.str_to_map(F.lit(ENTITIES), F.lit("\x01"), F.lit("\x02"))
     name = F.regexp_extract(piece, r"^&([A-Za-z0-9]+)", 1)
     decimal = F.regexp_extract(piece, r"^&#([0-9]+)", 1)
     hexadecimal = F.regexp_extract(piece, r"^&#[xX]([0-9a-fA-F]+)", 1)

@@ -12,7 +12,7 @@ from adfacts.operators.grouping import running_totals, spread_join
 # Tokens frequent enough to overload one join task; past this rank no token can hold more
 # than one in HOT_TOKENS of all occurrences.
 HOT_TOKENS = 10_000
-HOT_TOKEN_LENGTH = 64
+HOT_TOKEN_LENGTH = 1_000
 
 
 def vocabulary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -35,12 +35,17 @@ def encoded(df: DataFrame, vocab: DataFrame, key: str, tokens: str = "tokens") -
     vocab = vocab.select("token", "id")
     frequent = F.broadcast(vocab.filter(hot))
     places = df.select(key, F.posexplode_outer(tokens).alias("place", "token"))
-    rare = places.join(frequent, "token", "left_anti").join(vocab.filter(~hot), "token", "left")
-    found = places.join(frequent, "token").unionByName(rare)
+    # A row without tokens has one null token; it stays with the frequent ones, so that all
+    # such rows do not meet in one join task.
+    token, found = F.col("token"), F.col("id").isNotNull()
+    with_hot = places.join(frequent, "token", "left").filter(found | token.isNull())
+    rare = places.filter(token.isNotNull()).join(frequent, "token", "left_anti")
+    with_rare = rare.join(vocab.filter(~hot), "token")
     slot = F.when(F.col("id").isNotNull(), F.struct("place", "id"))
     return (
-        found.groupBy(key)
-        .agg(F.array_sort(F.collect_list(slot)).alias("_slots"))
+        with_hot.unionByName(with_rare)
+        .groupBy(key)
+        .agg(F.sort_array(F.collect_list(slot)).alias("_slots"))
         .select(key, F.col("_slots.id").alias("input_ids"))
     )
 
@@ -227,7 +232,7 @@ def tagged_prompts(
     prompts = (
         annotations.select(key, F.struct("pos", piece.alias("piece")).alias("_piece"))
         .groupBy(key)
-        .agg(F.array_sort(F.collect_list("_piece")).alias("_pieces"))
+        .agg(F.sort_array(F.collect_list("_piece")).alias("_pieces"))
         .select(key, F.col("_pieces.piece").alias("_pieces"))
     )
     empty = F.array().cast("array<string>")
@@ -255,7 +260,7 @@ def tag_arrays(
     tags = (
         kept.select(key, F.struct("pos", F.col("pos_tag"), entity.alias("ent")).alias("_tag"))
         .groupBy(key)
-        .agg(F.array_sort(F.collect_list("_tag")).alias("_tags"))
+        .agg(F.sort_array(F.collect_list("_tag")).alias("_tags"))
     )
     empty = F.array().cast("array<string>")
 

@@ -9,6 +9,7 @@ from adfacts.session import pinned
 
 SALTS = 16
 BROADCAST_ROWS = 100_000
+BROADCAST_KEY_LETTERS = 4_000_000
 
 
 def running_totals(
@@ -58,7 +59,9 @@ def spread_join(
 def lookup_join(
     df: DataFrame, values: DataFrame, keys: list[str], spread_by: list[str], how: str = "inner"
 ) -> DataFrame:
-    """Join one row of values per key, by broadcast if the (pinned) values are few."""
-    if values.count() <= BROADCAST_ROWS:
+    """Join one row of values per key, by broadcast if the (pinned) values are small."""
+    letters = F.sum(F.length(F.concat_ws("", *keys)))
+    rows, size = values.agg(F.count(F.lit(1)), letters).first()
+    if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_KEY_LETTERS:
         return df.join(F.broadcast(values), keys, how)
     return spread_join(df, values, keys, spread_by, how)

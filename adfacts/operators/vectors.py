@@ -30,7 +30,7 @@ def label_vectors(word_vectors: DataFrame, labels: list[str] = K.VOTE_LABELS) ->
         places.groupBy("label_order", "label", "place")
         .agg(F.avg(F.col("x").cast("double")).alias("x"))
         .groupBy("label_order", "label")
-        .agg(F.array_sort(F.collect_list(F.struct("place", "x"))).alias("places"))
+        .agg(F.sort_array(F.collect_list(F.struct("place", "x"))).alias("places"))
         .select("label_order", "label", F.col("places.x").alias("vector"))
     )
 
@@ -54,7 +54,7 @@ def word_votes(
     """
     listed = labels.select(
         F.struct("label_order", "vector", _norm(F.col("vector")).alias("norm")).alias("l")
-    ).agg(F.array_sort(F.collect_list("l")))
+    ).agg(F.sort_array(F.collect_list("l")))
 
     def vote(label: Column) -> Column:
         cosine = _dot(F.col("vector"), label["vector"]) / (F.col("_norm") * label["norm"])

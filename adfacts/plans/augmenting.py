@@ -31,6 +31,7 @@ renamed AS (SELECT ad_id, variant, job_title, abstract, highlights, tail,
   FROM parted CROSS JOIN variants)
 SELECT ad_id, prompt, complete, 'original' AS variant FROM header_ads
 UNION ALL SELECT r.ad_id, {REBUILT}, h.complete, variant FROM renamed r JOIN header_ads h ON h.ad_id = r.ad_id""",
+    heavy=True,
 )
 def au1(ads: DataFrame) -> DataFrame:
     return A.header_variants(ads, EMPLOYERS, TOWNS)
@@ -60,6 +61,7 @@ _KNOWN = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in SYNONYMS.items()) + "}"
 p AS (SELECT *, list_position(list_transform(words, lambda x: list_contains({C.listed(list(SYNONYMS))}, lower(x))), true) AS hit FROM w)
 SELECT ad_id, CASE WHEN hit > 0 THEN array_to_string(words[1:hit - 1], '') || ({_KNOWN})[lower(words[hit])]
   || array_to_string(words[hit + 1:], '') ELSE array_to_string(words, '') END AS prompt FROM p""",
+    heavy=True,
 )
 def au3(ads: DataFrame) -> DataFrame:
     return ads.select("ad_id", A.one_synonym(F.col("prompt"), SYNONYMS).alias("prompt"))

@@ -16,6 +16,7 @@ from adfacts.plans.registry import register
     "pf1_labelled_pairs", "ads",
     f"""SELECT ad_id, {C.html_to_text(C.strip("job_ad_details"))} AS prompt,
   {C.strip("y_true")} AS complete FROM ads""",
+    heavy=True,
 )
 def pf1(ads: DataFrame) -> DataFrame:
     return P.labelled(ads, "ad_id", prompt=T.arrangement_prompt(F.col("job_ad_details")))
@@ -109,7 +110,7 @@ def pf10(predictions: DataFrame) -> DataFrame:
     return predictions.select("row_id", same(F.col("complete"), F.col("y_pred")).alias("val"))
 
 
-@register("tx1_html_to_text", "pages", f"SELECT page_id, {C.html_to_text('html')} AS text FROM pages")
+@register("tx1_html_to_text", "pages", f"SELECT page_id, {C.html_to_text('html')} AS text FROM pages", heavy=True)
 def tx1(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
@@ -124,7 +125,7 @@ CLEANED = f"""cleaned AS (SELECT *,
   {C.html_to_text(C.strip("coalesce(job_ad_details, '')"))} AS ad FROM ads)"""
 
 
-@register("tx3_clean_title_and_ad", "ads", f"WITH {CLEANED} SELECT ad_id, title, ad FROM cleaned")
+@register("tx3_clean_title_and_ad", "ads", f"WITH {CLEANED} SELECT ad_id, title, ad FROM cleaned", heavy=True)
 def tx3(ads: DataFrame) -> DataFrame:
     return ads.select(
         "ad_id",
@@ -141,6 +142,7 @@ _SALARY = f"title || ' ' || ad || ' ' || {C.strip('nation_short_desc')} || ' ' |
     "tx4_salary_prompt", "ads",
     f"""WITH {CLEANED}, whole AS (SELECT ad_id, {_SALARY} AS w FROM cleaned)
 SELECT ad_id, {C.html_to_text("w")} AS prompt FROM whole""",
+    heavy=True,
 )
 def tx4(ads: DataFrame) -> DataFrame:
     prompt = T.salary_prompt(
@@ -160,6 +162,7 @@ _SENIORITY = (
     "tx5_seniority_prompt", "ads",
     f"""WITH {CLEANED}, whole AS (SELECT ad_id, {_SENIORITY} AS w FROM cleaned)
 SELECT ad_id, {C.html_to_text("w")} AS prompt FROM whole""",
+    heavy=True,
 )
 def tx5(ads: DataFrame) -> DataFrame:
     prompt = T.seniority_prompt(
@@ -172,6 +175,7 @@ def tx5(ads: DataFrame) -> DataFrame:
 @register(
     "tx6_arrangement_prompt", "pages",
     f"SELECT page_id, {C.html_to_text(C.strip('html'))} AS prompt FROM pages",
+    heavy=True,
 )
 def tx6(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", T.arrangement_prompt(F.col("html")).alias("prompt"))
@@ -281,6 +285,7 @@ parted AS (SELECT ad_id, tail, {", ".join(
 @register(
     "tx13_split_header", "header_ads",
     f"WITH {PARTED} SELECT ad_id, job_title, abstract, employer, location, highlights, tail FROM parted",
+    heavy=True,
 )
 def tx13(ads: DataFrame) -> DataFrame:
     return ads.select("ad_id", T.split_header(F.col("prompt")).alias("h")).select("ad_id", "h.*")
@@ -291,7 +296,7 @@ REBUILT = """concat_ws(chr(10), 'Job Title: ' || job_title, 'Abstract: ' || abst
   || CASE WHEN tail = '' THEN '' ELSE chr(10) || ltrim(tail, chr(10)) END"""
 
 
-@register("tx14_build_header", "header_ads", f"WITH {PARTED} SELECT ad_id, {REBUILT} AS prompt FROM parted")
+@register("tx14_build_header", "header_ads", f"WITH {PARTED} SELECT ad_id, {REBUILT} AS prompt FROM parted", heavy=True)
 def tx14(ads: DataFrame) -> DataFrame:
     return ads.select("ad_id", T.build_header(T.split_header(F.col("prompt"))).alias("prompt"))
 

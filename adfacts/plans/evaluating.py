@@ -123,6 +123,7 @@ STRICT = """CASE WHEN len(string_split(y_pred, '-')) BETWEEN 2 AND 4 THEN string
     f"""WITH a AS (SELECT {_part_hits(f"string_split({FOUND}, '-')")} FROM predictions
   WHERE {C.task_type("prompt")} = 'Salary')
 SELECT {_ROUNDED_PARTS}, round({_MEAN}, 6) AS mean_accuracy FROM a""",
+    heavy=True,
 )
 def ev7(predictions: DataFrame) -> DataFrame:
     return _rounded(E.salary_part_scores(predictions), *PART_COLUMNS)
@@ -170,6 +171,6 @@ def rounded_report(results: DataFrame) -> DataFrame:
     return _rounded(E.report(results), "accuracy", *PART_COLUMNS, "macro_recall", "macro_f1")
 
 
-@register("ev10_report", "predictions", REPORT_SQL)
+@register("ev10_report", "predictions", REPORT_SQL, heavy=True)
 def ev10(predictions: DataFrame) -> DataFrame:
     return rounded_report(predictions)

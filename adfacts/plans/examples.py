@@ -47,6 +47,7 @@ def _documents(documents: DataFrame) -> DataFrame:
 @register(
     "ex1_vocabulary", "documents",
     f"WITH {VOCABULARY} SELECT token, occurrences, id FROM vocab",
+    heavy=True,
 )
 def ex1_vocabulary(documents: DataFrame) -> DataFrame:
     return E.vocabulary(_documents(documents))
@@ -58,6 +59,7 @@ def ex1_vocabulary(documents: DataFrame) -> DataFrame:
 places AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS place
   FROM (SELECT doc_id, {C.tokens("text")} AS t FROM documents))
 SELECT doc_id, string_agg(id, ' ' ORDER BY place) AS input_ids FROM places JOIN vocab USING (token) GROUP BY 1""",
+    heavy=True,
 )
 def ex1_encoded(documents: DataFrame) -> DataFrame:
     docs = _documents(documents)
@@ -79,6 +81,7 @@ def _supervised(pairs: DataFrame, **more) -> DataFrame:
 @register(
     "ex2_supervised_ids", "pairs",
     f"WITH {ENCODED_PAIRS} SELECT pair_id, {C.joined('input_ids')} AS input_ids FROM full_ids",
+    heavy=True,
 )
 def ex2(pairs: DataFrame) -> DataFrame:
     return _as_text(_supervised(pairs), "pair_id", arrays=["input_ids"])
@@ -88,6 +91,7 @@ def ex2(pairs: DataFrame) -> DataFrame:
     "ex3_attention_mask", "pairs",
     f"""WITH {ENCODED_PAIRS} SELECT pair_id, array_to_string(list_transform(range(1, 513),
   lambda i: CASE WHEN i <= len(ids) THEN 1 ELSE 0 END), ' ') AS attention_mask FROM full_ids""",
+    heavy=True,
 )
 def ex3(pairs: DataFrame) -> DataFrame:
     return _as_text(_supervised(pairs), "pair_id", arrays=["attention_mask"])
@@ -98,12 +102,12 @@ def _masked(cap: int) -> str:
   lambda x, i: CASE WHEN i <= least(len(p), {cap}) THEN -100 ELSE x END), ' ') AS labels FROM full_ids"""
 
 
-@register("ex4_label_mask", "pairs", _masked(511))
+@register("ex4_label_mask", "pairs", _masked(511), heavy=True)
 def ex4(pairs: DataFrame) -> DataFrame:
     return _as_text(_supervised(pairs), "pair_id", arrays=["labels"])
 
 
-@register("ex4_label_mask_high_cap", "pairs", _masked(2047))
+@register("ex4_label_mask_high_cap", "pairs", _masked(2047), heavy=True)
 def ex4_high_cap(pairs: DataFrame) -> DataFrame:
     return _as_text(_supervised(pairs, cap=2047), "pair_id", arrays=["labels"])
 
@@ -118,6 +122,7 @@ KEPT = "CASE WHEN len({x}) > 1024 THEN list_concat({x}[1:896], {x}[-128:]) ELSE
 @register(
     "ex5_keep_ends", "corpus",
     f"""WITH {WINDOW} SELECT doc_id, len(p)::INTEGER AS n, {C.joined(KEPT.format(x="p"))} AS input_ids FROM d""",
+    heavy=True,
 )
 def ex5(corpus: DataFrame) -> DataFrame:
     df = corpus.select("doc_id", _ids("prompt").alias("p"))
@@ -142,7 +147,8 @@ SHOWN = f"""doc_id, start, cls_labels, task_type_id, {C.joined("input_ids")} AS
 
 
 def _example_text(df: DataFrame) -> DataFrame:
-    filled = F.aggregate("attention_mask", F.lit(0), lambda t, x: t + x)
+    first_pad = F.array_position("attention_mask", 0)
+    filled = F.when(first_pad > 0, first_pad - 1).otherwise(F.size("attention_mask")).cast("int")
     return _as_text(
         df.withColumn("filled", filled),
         "doc_id", "start",
@@ -168,6 +174,7 @@ def _routed(corpus: DataFrame) -> DataFrame:
 @register(
     "ex6_classification", "corpus",
     f"WITH {WINDOW}, {CLASSES} SELECT {SHOWN} FROM classed WHERE task_type = 'work_arrangement'",
+    heavy=True,
 )
 def ex6(corpus: DataFrame) -> DataFrame:
     rows = corpus.filter("task_type = 'work_arrangement'")
@@ -179,6 +186,7 @@ def ex6(corpus: DataFrame) -> DataFrame:
 @register(
     "ex7_generation_chunks", "corpus",
     f"WITH {WINDOW}, {CHUNKS} SELECT {SHOWN} FROM chunked",
+    heavy=True,
 )
 def ex7(corpus: DataFrame) -> DataFrame:
     ids = corpus.withColumns({"_p": _ids("prompt"), "_c": _ids("complete")})
@@ -190,6 +198,7 @@ def ex7(corpus: DataFrame) -> DataFrame:
     "ex8_routed_examples", "corpus",
     f"""WITH {WINDOW}, {CLASSES}, {CHUNKS} SELECT {SHOWN} FROM classed WHERE task_type = 'work_arrangement'
 UNION ALL SELECT {SHOWN} FROM chunked WHERE task_type <> 'work_arrangement'""",
+    heavy=True,
 )
 def ex8(corpus: DataFrame) -> DataFrame:
     return _example_text(_routed(corpus))
@@ -199,6 +208,7 @@ def ex8(corpus: DataFrame) -> DataFrame:
     "pf9_class_examples", "corpus",
     f"""WITH {WINDOW}, {CLASSES} SELECT doc_id, cls_labels, {C.joined("input_ids")} AS input_ids
 FROM classed WHERE task_type = 'work_arrangement'""",
+    heavy=True,
 )
 def pf9(corpus: DataFrame) -> DataFrame:
     return _as_text(
@@ -212,6 +222,7 @@ def pf9(corpus: DataFrame) -> DataFrame:
     generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
 SELECT doc_id, line_no::INTEGER AS line_no, array_to_string({C.spelled_ids(C.tokens("line"))}, ' ') AS input_ids
 FROM l WHERE len({C.tokens("line")}) > 1""",
+    heavy=True,
 )
 def pf8(documents: DataFrame) -> DataFrame:
     lines = documents.select(

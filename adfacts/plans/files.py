@@ -31,7 +31,7 @@ def io2(pairs: DataFrame) -> DataFrame:
     return S.read_records(pairs.sparkSession, path, S.PAIRS)
 
 
-@register("io3_write_rule_results", "ads", f"WITH {FACTS} SELECT y_true, y_pred FROM facts")
+@register("io3_write_rule_results", "ads", f"WITH {FACTS} SELECT y_true, y_pred FROM facts", heavy=True)
 def io3(ads: DataFrame) -> DataFrame:
     path = new_folder(ads.sparkSession, "rule-results-csv")
     S.write_csv(salary_facts(ads), path, *S.RULE_RESULTS.names)

@@ -11,6 +11,7 @@ import string
 from pyspark.sql import DataFrame, SparkSession
 
 from adfacts.constants import VOTE_LABELS
+from adfacts.session import spread_out
 
 VOTE_WORDS = sorted({word for label in VOTE_LABELS for word in label.split()})
 
@@ -165,20 +166,21 @@ SPARK_WORDS = {"one_to_six": "explode(sequence(1L, 6L))", "first": "0"}
 DUCK_WORDS = {"one_to_six": "unnest(generate_series(1, 6))", "first": "1"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_out(df) if spread else df
 
 
 def _used(text: str) -> set[str]:
     return {field for _, field, _, _ in string.Formatter().parse(text) if field}
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def view(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """A derived view, or a given table, as a DataFrame."""
     if name in TABLES:
-        return table(spark, sf_dir, name)
+        return table(spark, sf_dir, name, spread)
     text = VIEWS[name]
-    tables = {t: table(spark, sf_dir, t) for t in _used(text) if t in TABLES}
+    tables = {t: table(spark, sf_dir, t, spread) for t in _used(text) if t in TABLES}
     words = {k: v for k, v in SPARK_WORDS.items() if k in _used(text)}
     for word, value in words.items():
         text = text.replace("{" + word + "}", value)

@@ -14,15 +14,18 @@ QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 
 
-def register(name: str, views: str, sql: str | None = None):
-    """Add a query. It is called with the DataFrames of ``views``, in that order."""
+def register(name: str, views: str, sql: str | None = None, heavy: bool = False):
+    """Add a query. It is called with the DataFrames of ``views``, in that order.
+
+    ``heavy`` marks much work per row: a source with few splits is spread over all cores.
+    """
 
     def add(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         if name in QUERIES:
             raise ValueError(f"query {name} is registered twice")
 
         def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return build(*[view(spark, sf_dir, v) for v in views.split()])
+            return build(*[view(spark, sf_dir, v, heavy) for v in views.split()])
 
         QUERIES[name] = query
         if sql is not None:

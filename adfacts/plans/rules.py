@@ -65,7 +65,7 @@ facts AS (SELECT *, CASE WHEN min3 <> 0 AND max3 <> 0
 FACTS = f"{COMPENSATION}, {PAY}, {RESOLVED}"
 
 
-@register("rx1_compensation", "ads", f"WITH {COMPENSATION} SELECT ad_id, min1, max1 FROM one")
+@register("rx1_compensation", "ads", f"WITH {COMPENSATION} SELECT ad_id, min1, max1 FROM one", heavy=True)
 def rx1(ads: DataFrame) -> DataFrame:
     ends = R.compensation(F.col("job_ad_details"), F.col("nation_short_desc"))
     return ads.select("ad_id", ends.alias("e")).select("ad_id", "e.*")
@@ -75,6 +75,7 @@ def rx1(ads: DataFrame) -> DataFrame:
     "rx2_pay_frequency", "ads",
     f"""SELECT ad_id, {C.frequency("lower(job_ad_details)")} AS freq1,
   {C.frequency("lower(coalesce(salary_additional_text, ''))")} AS freq2 FROM ads""",
+    heavy=True,
 )
 def rx2(ads: DataFrame) -> DataFrame:
     return ads.select(
@@ -84,13 +85,13 @@ def rx2(ads: DataFrame) -> DataFrame:
     )
 
 
-@register("rx3_salary_range", "ads", f"WITH {COMPENSATION}, {PAY} SELECT ad_id, min2, max2 FROM two")
+@register("rx3_salary_range", "ads", f"WITH {COMPENSATION}, {PAY} SELECT ad_id, min2, max2 FROM two", heavy=True)
 def rx3(ads: DataFrame) -> DataFrame:
     ends = R.salary_range(lowered(F.col("salary_additional_text")))
     return ads.select("ad_id", ends.alias("e")).select("ad_id", "e.*")
 
 
-@register("rx4_resolve_frequency", "ads", f"WITH {FACTS} SELECT ad_id, frequency FROM facts")
+@register("rx4_resolve_frequency", "ads", f"WITH {FACTS} SELECT ad_id, frequency FROM facts", heavy=True)
 def rx4(ads: DataFrame) -> DataFrame:
     return salary_facts(ads).select("ad_id", "frequency")
 
@@ -98,6 +99,7 @@ def rx4(ads: DataFrame) -> DataFrame:
 @register(
     "rx5_resolve_range", "ads",
     f"WITH {FACTS} SELECT ad_id, min3 AS min, max3 AS max, currency FROM facts",
+    heavy=True,
 )
 def rx5(ads: DataFrame) -> DataFrame:
     ends = [F.col(c) for c in ("min1", "max1", "min2", "max2")]
@@ -123,6 +125,7 @@ def rx6(ads: DataFrame) -> DataFrame:
 @register(
     "rx7_salary_facts", "ads",
     f"WITH {FACTS} SELECT ad_id, {C.strip('y_true')} AS y_true, y_pred FROM facts",
+    heavy=True,
 )
 def rx7(ads: DataFrame) -> DataFrame:
     return salary_facts(ads).select("ad_id", strip(F.col("y_true")).alias("y_true"), "y_pred")
@@ -131,6 +134,7 @@ def rx7(ads: DataFrame) -> DataFrame:
 @register(
     "rx7_salary_accuracy", "ads",
     f"WITH {FACTS} SELECT round(avg(({C.strip('y_true')} = y_pred)::INTEGER), 6) AS accuracy FROM facts",
+    heavy=True,
 )
 def rx7_accuracy(ads: DataFrame) -> DataFrame:
     facts = salary_facts(ads).withColumn("y_true", strip(F.col("y_true")))
@@ -145,7 +149,7 @@ ARRANGEMENT = f"""arranged AS (SELECT *,
     ELSE 'Onsite' END AS arrangement FROM ads)"""
 
 
-@register("rx8_arrangement", "ads", f"WITH {ARRANGEMENT} SELECT ad_id, arrangement FROM arranged")
+@register("rx8_arrangement", "ads", f"WITH {ARRANGEMENT} SELECT ad_id, arrangement FROM arranged", heavy=True)
 def rx8(ads: DataFrame) -> DataFrame:
     return ads.select("ad_id", R.arrangement(F.col("job_ad_details")).alias("arrangement"))
 
@@ -154,6 +158,7 @@ def rx8(ads: DataFrame) -> DataFrame:
     "rx8_arrangement_counts", "ads",
     f"""WITH {ARRANGEMENT} SELECT arrangement, count(*) AS ads,
   round(avg((arrangement = arrangement_true)::INTEGER), 6) AS accuracy FROM arranged GROUP BY 1""",
+    heavy=True,
 )
 def rx8_counts(ads: DataFrame) -> DataFrame:
     found = ads.withColumn("arrangement", R.arrangement(F.col("job_ad_details")))

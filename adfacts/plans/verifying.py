@@ -87,6 +87,7 @@ def vf1(attempts: DataFrame) -> DataFrame:
 @register(
     "vf2_clean_salary", "attempts",
     f"SELECT prompt_id, attempt, {_salary(TEXT['direct'])} AS direct, {_salary(TEXT['chain'])} AS chain FROM attempts",
+    heavy=True,
 )
 def vf2(attempts: DataFrame) -> DataFrame:
     return _both_modes(attempts, A.clean_salary, "prompt_id", "attempt")
@@ -96,6 +97,7 @@ def vf2(attempts: DataFrame) -> DataFrame:
     "vf3_clean_seniority", "attempts",
     f"""SELECT prompt_id, attempt, {_seniority(TEXT['direct'], 'direct')} AS direct,
   {_seniority(TEXT['chain'], 'chain')} AS chain FROM attempts""",
+    heavy=True,
 )
 def vf3(attempts: DataFrame) -> DataFrame:
     return _both_modes(attempts, A.clean_seniority, "prompt_id", "attempt")
@@ -105,6 +107,7 @@ def vf3(attempts: DataFrame) -> DataFrame:
     "vf3_clean_seniority_predictions", "predictions",
     f"""SELECT row_id, {_seniority(TEXT['direct'], 'direct')} AS direct,
   {_seniority(TEXT['chain'], 'chain')} AS chain FROM (SELECT row_id, y_pred AS raw FROM predictions)""",
+    heavy=True,
 )
 def vf3_predictions(predictions: DataFrame) -> DataFrame:
     return _both_modes(
@@ -116,6 +119,7 @@ def vf3_predictions(predictions: DataFrame) -> DataFrame:
     "vf4_clean_arrangement", "attempts",
     f"""SELECT prompt_id, attempt, {_arrangement(TEXT['direct'])} AS direct,
   {_arrangement(TEXT['chain'])} AS chain FROM attempts""",
+    heavy=True,
 )
 def vf4(attempts: DataFrame) -> DataFrame:
     return _both_modes(attempts, A.clean_arrangement, "prompt_id", "attempt")
@@ -125,6 +129,7 @@ def vf4(attempts: DataFrame) -> DataFrame:
     "vf5_valid_salary", "attempts",
     f"SELECT prompt_id, attempt, {_valid_salary('raw')} AS raw_valid, {_valid_salary('cleaned')} AS valid "
     f"FROM (SELECT *, {_salary(TEXT['direct'])} AS cleaned FROM attempts)",
+    heavy=True,
 )
 def vf5(attempts: DataFrame) -> DataFrame:
     return attempts.select(
@@ -138,6 +143,7 @@ def vf5(attempts: DataFrame) -> DataFrame:
     "vf6_valid_seniority", "attempts",
     f"SELECT prompt_id, attempt, {_valid_seniority('cleaned')} AS valid "
     f"FROM (SELECT *, {_seniority(TEXT['direct'], 'direct')} AS cleaned FROM attempts)",
+    heavy=True,
 )
 def vf6(attempts: DataFrame) -> DataFrame:
     valid = A.valid_seniority(A.clean_seniority(F.col("raw")))
@@ -161,6 +167,7 @@ def vf7(predictions: DataFrame) -> DataFrame:
 @register(
     "vf8_checked_attempts", "attempts",
     f"WITH {CHECKED} SELECT prompt_id, attempt, cleaned, valid FROM checked",
+    heavy=True,
 )
 def vf8_checked(attempts: DataFrame) -> DataFrame:
     return V.checked(attempts).select("prompt_id", "attempt", "cleaned", "valid")
@@ -169,6 +176,7 @@ def vf8_checked(attempts: DataFrame) -> DataFrame:
 @register(
     "vf8_first_valid", "attempts",
     f"WITH {CHOSEN} SELECT prompt_id, answer, accepted, re_attempts FROM chosen",
+    heavy=True,
 )
 def vf8(attempts: DataFrame) -> DataFrame:
     return V.first_valid(V.checked(attempts))
@@ -177,6 +185,7 @@ def vf8(attempts: DataFrame) -> DataFrame:
 @register(
     "vf9_re_attempts", "attempts",
     f"WITH {CHOSEN} SELECT sum(re_attempts)::BIGINT AS re_attempts FROM chosen",
+    heavy=True,
 )
 def vf9(attempts: DataFrame) -> DataFrame:
     return V.total_re_attempts(V.first_valid(V.checked(attempts)))

@@ -14,16 +14,15 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local session may go without ``spark.checkpoint.dir``; it gets a new
     temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return context.getCheckpointDir()
-    if not context.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="adfacts-"))
-    return context.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        root = tempfile.mkdtemp(prefix="adfacts-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(root)
+    return root or context.getCheckpointDir()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -39,3 +38,13 @@ def pinned(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread_out(df: DataFrame) -> DataFrame:
+    """A source over all cores, for much work per row on fewer splits than cores.
+
+    An array of records or a CSV whose fields span lines is read by one task per file. A
+    source with enough splits, as any large one has, is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -40,9 +40,15 @@ CSV = {
 }
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A CSV with a header; columns are taken by place, an empty field is null."""
-    return spark.read.schema(schema).options(**CSV).csv(path, multiLine=True)
+def read_csv(
+    spark: SparkSession, path: str, schema: StructType, spans_lines: bool = True
+) -> DataFrame:
+    """A CSV with a header; columns are taken by place, an empty field is null.
+
+    Fields that span lines keep a file from being split; say ``spans_lines=False`` where no
+    field does.
+    """
+    return spark.read.schema(schema).options(**CSV).csv(path, multiLine=spans_lines)
 
 
 def write_csv(df: DataFrame, path: str, *columns: str) -> None:

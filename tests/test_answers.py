@@ -1,0 +1,88 @@
+import random
+
+from adfacts import constants as K
+from adfacts.functions import answers as A
+
+
+def test_answer_text(values):
+    rows = [("x",), (" ab ",), ("a Output: b Output: c",), (None,)]
+    assert values(A.answer_text, rows, "r string") == [None, "ab", "a Output: b Output: c", None]
+    chain = values(lambda c: A.answer_text(c, "chain"), rows, "r string")
+    assert chain == [None, None, "b", None]
+
+
+def test_clean_salary(values):
+    rows = [("pay 10-20-AUD-HOURLY now",), ("10-20-AUD-None",), ("0-0-None-None",), ("1",), (None,)]
+    assert values(A.clean_salary, rows, "r string") == [
+        # The pattern takes the capital of a mixed-case part; the check then refuses it.
+        "10-20-AUD-HOURLY", "10-20-AUD-N", K.NO_SALARY, K.NO_SALARY, K.NO_SALARY,
+    ]
+
+
+def test_clean_seniority(values):
+    rows = [
+        ("Senior Associate role",), ("ENTRY LEVEL",), ("entry or other level",), ("mid to top level",),
+        ("graduate/junior",), ("experienced assistant",), ("unknown",), ("x",), (None,), ("head lead",),
+    ]
+    assert values(A.clean_seniority, rows, "r string") == [
+        "senior associate", "entry level", "entry level", "mid-level", "graduate/junior",
+        "experienced assistant", "Unknown", "Unknown", "Unknown", "lead",
+    ]
+    chain = values(
+        lambda c: A.clean_seniority(c, "chain"),
+        [("Output: unknown",), ("Output: entry of level",), ("senior",)], "r string",
+    )
+    assert chain == ["unknown", "entry-level", "Unknown"]
+
+
+def test_longest_label_wins(values):
+    random.seed(1)
+    labels = [" ".join(random.sample(K.SENIORITY_LABELS, 3)) for _ in range(50)]
+    out = values(A.clean_seniority, [(t,) for t in labels], "r string")
+    for text, got in zip(labels, out):
+        held = [x for x in K.SENIORITY_LABELS if x in text]
+        assert got == next(x for x in held if len(x) == max(map(len, held)))
+
+
+def test_arrangement_answers(values):
+    rows = [("OnSite",), ("it is ONSITE",), ("remote or hybrid",), ("On-site",), (None,)]
+    assert values(A.clean_arrangement, rows, "r string") == [
+        "OnSite", "OnSite", "Remote", "Unknown", "Unknown",
+    ]
+    rows = [("OnSite",), ("Onsite",), (" Hybrid ",), ("Unknown",), (None,)]
+    assert values(A.valid_arrangement, rows, "r string") == [True, False, True, False, False]
+    assert values(lambda c: A.valid_arrangement(c, "Onsite"), rows[:2], "r string") == [False, True]
+
+
+def test_valid_salary(values):
+    big = "9" * 40
+    rows = [
+        ("10-20-AUD-HOURLY",), ("20-10-AUD-HOURLY",), ("0-0-None-None",), ("10-20-EUR-HOURLY",),
+        ("10-20-AUD-hourly",), ("10-20-AUD",), ("-1-2-AUD-HOURLY",), ("a-2-AUD-HOURLY",),
+        (f"{big}-1{big}-AUD-DAILY",), (f"1{big}-{big}-AUD-DAILY",), ("007-8-AUD-DAILY",), (None,),
+    ]
+    assert values(A.valid_salary, rows, "r string") == [
+        True, False, True, False, False, False, False, False, True, False, True, False,
+    ]
+
+
+def test_valid_seniority(values):
+    rows = [("senior",), ("Senior",), (" lead ",), ("Unknown",), (None,)]
+    assert values(A.valid_seniority, rows, "r string") == [True, False, True, False, False]
+
+
+def test_salary_parts(values):
+    rows = [("1 - 2-AUD",), ("none",), (None,), ("1-2-3-4-5",)]
+    out = [tuple(r) if r else None for r in values(A.salary_parts, rows, "r string")]
+    assert out == [
+        ("1", "2", "AUD", None), (None,) * 4, (None,) * 4, ("1", "2", "3", "4"),
+    ]
+    out = [tuple(r) for r in values(A.strict_salary_parts, rows, "r string")]
+    assert out == [("1 ", " 2", "AUD", None), (None,) * 4, (None,) * 4, (None,) * 4]
+
+
+def test_reported_salary(values):
+    rows = [("32-45-AUD-HOURLY",), ("is 3200-4500-AUD-MONTHLY.",), (None,)]
+    assert values(A.reported_salary, rows, "r string") == [
+        K.NO_SALARY, "3200-4500-AUD-MONTHLY", K.NO_SALARY,
+    ]
