@@ -31,22 +31,22 @@ def vocabulary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
 
 def encoded(df: DataFrame, vocab: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
     """``input_ids`` per key, in token order; unknown tokens are left out."""
-    hot = (F.col("id") < X.FIRST_ID + HOT_TOKENS) & (F.length("token") <= HOT_TOKEN_LENGTH)
-    vocab = vocab.select("token", "id")
+    hot = (F.col("_id") < X.FIRST_ID + HOT_TOKENS) & (F.length("_token") <= HOT_TOKEN_LENGTH)
+    vocab = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
     frequent = F.broadcast(vocab.filter(hot))
-    places = df.select(key, F.posexplode_outer(tokens).alias("place", "token"))
+    places = df.select(key, F.posexplode_outer(tokens).alias("_place", "_token"))
     # A row without tokens has one null token; it stays with the frequent ones, so that all
     # such rows do not meet in one join task.
-    token, found = F.col("token"), F.col("id").isNotNull()
-    with_hot = places.join(frequent, "token", "left").filter(found | token.isNull())
-    rare = places.filter(token.isNotNull()).join(frequent, "token", "left_anti")
-    with_rare = rare.join(vocab.filter(~hot), "token")
-    slot = F.when(F.col("id").isNotNull(), F.struct("place", "id"))
+    token, found = F.col("_token"), F.col("_id").isNotNull()
+    with_hot = places.join(frequent, "_token", "left").filter(found | token.isNull())
+    rare = places.filter(token.isNotNull()).join(frequent, "_token", "left_anti")
+    with_rare = rare.join(vocab.filter(~hot), "_token")
+    slot = F.when(found, F.struct("_place", "_id"))
     return (
         with_hot.unionByName(with_rare)
         .groupBy(key)
         .agg(F.sort_array(F.collect_list(slot)).alias("_slots"))
-        .select(key, F.col("_slots.id").alias("input_ids"))
+        .select(key, F.col("_slots._id").alias("input_ids"))
     )
 
 
