@@ -32,7 +32,9 @@ def clean_salary(raw: Column, mode: str = "direct") -> Column:
 
 
 def _found(salary: Column) -> Column:
-    return F.coalesce(F.nullif(salary, F.lit("")), F.lit(K.NO_SALARY))
+    return once(
+        salary, lambda s: F.when(F.coalesce(s, F.lit("")) == "", F.lit(K.NO_SALARY)).otherwise(s)
+    )
 
 
 def clean_seniority(raw: Column, mode: str = "direct") -> Column:

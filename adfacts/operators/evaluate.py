@@ -83,13 +83,17 @@ def macro_scores(
     )
 
 
-def _part_hits(strict: bool) -> dict[str, Column]:
+def _with_parts(df: DataFrame, strict: bool) -> DataFrame:
     if strict:
         predicted, true = (A.strict_salary_parts(F.col(c)) for c in ("y_pred", "complete"))
     else:
         predicted = A.salary_parts(A.reported_salary(F.col("y_pred")))
         true = A.salary_parts(F.col("complete"))
-    return {part: A.same(predicted[part], true[part]).cast("int") for part in PARTS}
+    return df.withColumns({"_predicted": predicted, "_true": true})
+
+
+def _part_hit(part: str) -> Column:
+    return A.same(F.col(f"_predicted.{part}"), F.col(f"_true.{part}")).cast("int")
 
 
 def salary_part_scores(
@@ -99,10 +103,11 @@ def salary_part_scores(
 
     ``strict`` splits the raw answer instead of finding a salary in it.
     """
-    shares = [F.avg(hit).alias(f"{part}_accuracy") for part, hit in _part_hits(strict).items()]
+    shares = [F.avg(_part_hit(part)).alias(f"{part}_accuracy") for part in PARTS]
     mean = sum((F.col(f"{part}_accuracy") for part in PARTS), F.lit(0.0)) / len(PARTS)
+    salaries = results.filter(task_type(F.col("prompt")) == "Salary")
     return (
-        results.filter(task_type(F.col("prompt")) == "Salary")
+        _with_parts(salaries, strict)
         .groupBy(*keys)
         .agg(*shares)
         .withColumn("mean_accuracy", mean)
@@ -111,7 +116,7 @@ def salary_part_scores(
 
 def report(results: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     """All of the above in one row per model: two passes over the results."""
-    rows = marked(results)
+    rows = _with_parts(marked(results), strict=False)
     task, val = F.col("task_type"), F.col("val")
     aggs = [F.count(F.lit(1)).alias("rows"), F.avg(val.cast("int")).alias("accuracy")]
     for name in ("Salary", "Seniority", "Work Arrangement"):
@@ -121,8 +126,8 @@ def report(results: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
             F.count_if(task == name).alias(f"{column}_total"),
         ]
     aggs += [
-        F.avg(F.when(task == "Salary", hit)).alias(f"{part}_accuracy")
-        for part, hit in _part_hits(False).items()
+        F.avg(F.when(task == "Salary", _part_hit(part))).alias(f"{part}_accuracy")
+        for part in PARTS
     ]
     mean = sum((F.col(f"{part}_accuracy") for part in PARTS), F.lit(0.0)) / len(PARTS)
     counted = rows.groupBy(*keys).agg(*aggs).withColumn("mean_accuracy", mean)

@@ -50,10 +50,19 @@ def running_totals(
 def spread_join(
     df: DataFrame, values: DataFrame, keys: list[str], spread_by: list[str], how: str = "inner"
 ) -> DataFrame:
-    """Join one row of values per key; the rows of a hot key go to several tasks."""
+    """Join one row of values per key; the rows of a hot key go to several tasks.
+
+    A null key finds the values of the null key, as in a grouping.
+    """
     salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
-    copies = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return df.withColumn("_salt", salt).join(copies, [*keys, "_salt"], how).drop("_salt")
+    copies = values.withColumnsRenamed({k: f"_of_{k}" for k in keys}).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    )
+    same = F.col("_salt") == F.col("_copy")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    joined = df.withColumn("_salt", salt).join(copies, same, how)
+    return joined.drop("_salt", "_copy", *[f"_of_{k}" for k in keys])
 
 
 def lookup_join(

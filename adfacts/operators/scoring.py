@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from adfacts import constants as K
 from adfacts.operators.grouping import running_totals, spread_join
+from adfacts.session import pinned
 
 # Python workers get these functions by value, so the package need not be installed there.
 cloudpickle.register_pickle_by_value(sys.modules["adfacts"])
@@ -93,11 +94,14 @@ def sentinel_rate(df: DataFrame, key: str, sentinel: str = "API_ERROR") -> DataF
     )
 
 
-def latency_summary(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+def latency_summary(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """Count, mean, deviation, extremes, quartiles (linear) and total per group.
 
     The quartiles are exact: equal values are counted first, then ranked across the table.
     """
+    if not keys:
+        return latency_summary(df.withColumn("_all", F.lit(0)), value, ["_all"]).drop("_all")
+    keys = list(keys)
     known = df.filter(F.col(value).isNotNull())
     v = F.col(value)
     base = known.groupBy(*keys).agg(
@@ -164,7 +168,7 @@ def nucleus(df: DataFrame, group: str, item: str, p: float = 0.9) -> DataFrame:
     """The best of each group until their share first exceeds ``p``, renormalised."""
     order = [F.col("prob").desc(), F.col(item)]
     summed = running_totals(df, [group], order, {"_before": F.col("prob")})
-    kept = summed.filter(F.round(F.coalesce("_before", F.lit(0.0)), 9) <= p).drop("_before")
+    kept = pinned(summed.filter(F.round(F.coalesce("_before", F.lit(0.0)), 9) <= p).drop("_before"))
     total = kept.groupBy(group).agg(F.sum("prob").alias("_total"))
     return (
         spread_join(kept, total, [group], [item])

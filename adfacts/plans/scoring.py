@@ -65,17 +65,26 @@ _QUARTILES = ", ".join(
 )
 
 
-@register(
-    "bs4_latency_summary", "events",
-    f"""SELECT event_type, count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
-  min(value) AS min, {_QUARTILES}, max(value) AS max, round(sum(value), 6) AS total FROM events GROUP BY 1""",
-)
-def bs4(events: DataFrame) -> DataFrame:
-    summary = S.latency_summary(events, "value", ["event_type"])
+_SUMMARY = f"""count(value) AS count, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
+  min(value) AS min, {_QUARTILES}, max(value) AS max, round(sum(value), 6) AS total FROM events"""
+
+
+def _summary(events: DataFrame, *keys: str) -> DataFrame:
     rounded = ("mean", "std", "p25", "p50", "p75", "total")
+    summary = S.latency_summary(events, "value", keys)
     return summary.withColumns({c: F.round(c, 6) for c in rounded})
 
 
+@register("bs4_latency_summary", "events", f"SELECT {_SUMMARY}")
+def bs4(events: DataFrame) -> DataFrame:
+    return _summary(events)
+
+
+@register("bs4_latency_by_kind", "events", f"SELECT event_type, {_SUMMARY} GROUP BY 1")
+def bs4_by_kind(events: DataFrame) -> DataFrame:
+    return _summary(events, "event_type")
+
+
 BANNED = [3, 14, 15]
 SHARES = f"""s AS (SELECT label, vec_id, score / 0.8 AS s FROM candidates WHERE vec_id NOT IN (3, 14, 15)),
 t AS (SELECT *, exp(s - max(s) OVER (PARTITION BY label)) AS e FROM s),

@@ -55,6 +55,7 @@ def rx9(vectors: DataFrame) -> DataFrame:
 @register(
     "rx10_label_scores", "word_vectors doc_words",
     f"WITH {SCORES} SELECT doc_id, label, round(score, 6) AS score FROM dense WHERE score > 0",
+    heavy=True,
 )
 def rx10(vectors: DataFrame, words: DataFrame) -> DataFrame:
     scores = V.by_label(_scores(vectors, words), "doc_id", "scores", VOTE_LABELS, "score")
@@ -64,6 +65,7 @@ def rx10(vectors: DataFrame, words: DataFrame) -> DataFrame:
 @register(
     "rx11_label_shares", "word_vectors doc_words",
     f"WITH {SCORES} SELECT doc_id, label, round(share, 6) AS share FROM shared",
+    heavy=True,
 )
 def rx11(vectors: DataFrame, words: DataFrame) -> DataFrame:
     shared = _scores(vectors, words).withColumn("shares", V.shares(F.col("scores")))
@@ -77,6 +79,7 @@ def rx11(vectors: DataFrame, words: DataFrame) -> DataFrame:
     f"""WITH {SCORES}, placed AS (SELECT doc_id, label, row_number() OVER
     (PARTITION BY doc_id ORDER BY round(share, 12) DESC, label_order) AS place FROM shared)
 SELECT doc_id, label AS seniority FROM placed WHERE place = 1""",
+    heavy=True,
 )
 def rx12(vectors: DataFrame, words: DataFrame) -> DataFrame:
     # Rounded, so that sums of the same votes in another order stay equal.
