@@ -9,7 +9,8 @@ from adfacts import constants as K
 from adfacts.functions.text import decode_entities, lowered, strip, text_or_empty
 from adfacts.functions.values import once
 
-_BLANK = r"(?:[\s\x{a0}]|&nbsp;)*"
+# Possessive, so that long runs of blanks take no stack.
+_BLANK = r"[\s\x{a0}]*+(?:&nbsp;[\s\x{a0}]*+)*+"
 INTEGER = r"\d[\d,]*"
 AMOUNT = r"\$?(\d{1,7}(?:,\d{3})*(?:\.\d+)?%?)"
 

@@ -1,7 +1,5 @@
 import itertools
 
-import pytest
-
 from adfacts.functions import rules as R
 
 
@@ -9,28 +7,29 @@ def heading(name, body):
     return f"<div><h3> {name}\n</h3><span>-</span><p class='x'>{body}</p></div>"
 
 
-@pytest.mark.parametrize(
-    "html, nation, ends",
-    [
-        (None, "AUS", (None, None)),
-        ("<p>Compensation: 5</p>", "AUS", (None, None)),
-        (heading("Compensation", "700"), "AUS", (700, 700)),
-        (heading("Compensation", "5,000"), "AUS", (None, None)),
-        (heading("Compensation", "5,000 to 7,000"), "PH", (5000, 5000)),
-        (heading("Compensation Range", "90,500 to 10,250 or 99"), "AUS", (99, 10250)),
-        (heading("Compensation Range", "<b>8</b>00"), "AUS", (800, 800)),
-        (heading("Compensation Range", "20 - 10"), "PH", (10, 20)),
-        (heading("Compensation Range", "negotiable"), "AUS", (None, None)),
-        (heading("Compensation", "1") + heading("Compensation Range", "3 2"), "SG", (2, 3)),
-        (heading("Compensation", "1") + heading("Compensation Range", "3 2"), "PH", (1, 1)),
-        (heading("Compensation", "700"), None, (700, 700)),
-        ("<h3>Compensation</h3> no paragraph follows", "AUS", (None, None)),
-        ("<h3>Compensation</h3><p>12", "AUS", (12, 12)),
-    ],
-)
-def test_compensation(values, html, nation, ends):
-    (out,) = values(R.compensation, [(html, nation)], "h string, n string")
-    assert tuple(out) == ends
+COMPENSATIONS = [
+    (None, "AUS", (None, None)),
+    ("<p>Compensation: 5</p>", "AUS", (None, None)),
+    (heading("Compensation", "700"), "AUS", (700, 700)),
+    (heading("Compensation", "5,000"), "AUS", (None, None)),
+    (heading("Compensation", "5,000 to 7,000"), "PH", (5000, 5000)),
+    (heading("Compensation Range", "90,500 to 10,250 or 99"), "AUS", (99, 10250)),
+    (heading("Compensation Range", "<b>8</b>00"), "AUS", (800, 800)),
+    (heading("Compensation Range", "20 - 10"), "PH", (10, 20)),
+    (heading("Compensation Range", "negotiable"), "AUS", (None, None)),
+    (heading("Compensation", "1") + heading("Compensation Range", "3 2"), "SG", (2, 3)),
+    (heading("Compensation", "1") + heading("Compensation Range", "3 2"), "PH", (1, 1)),
+    (heading("Compensation", "700"), None, (700, 700)),
+    ("<h3>Compensation</h3> no paragraph follows", "AUS", (None, None)),
+    ("<h3>Compensation</h3><p>12", "AUS", (12, 12)),
+]
+
+
+def test_compensation(values):
+    rows = [(html, nation) for html, nation, _ in COMPENSATIONS]
+    out = values(R.compensation, rows, "h string, n string")
+    for (html, nation, ends), got in zip(COMPENSATIONS, out):
+        assert tuple(got) == ends, (html, nation)
 
 
 def test_pay_frequency_order_and_substrings(values):

@@ -1,37 +1,49 @@
 import pytest
 from pyspark.sql import functions as F
 
+from adfacts.functions import rules as R
 from adfacts.functions import text as T
 
 
-@pytest.mark.parametrize(
-    "html, text",
-    [
-        (None, ""),
-        ("", ""),
-        ("plain", "plain"),
-        ("<p>one</p><p> two <b>three</b> four</p>", "one\ntwo\nthree\nfour"),
-        ("a<br>b<br/>c", "a\nb\nc"),
-        ("  \n a \n\n b \n", "a\nb"),
-        ("x<!-- <p>hidden</p> -->y", "x\ny"),
-        ('<script>var t="</p><b>";</script>after', "after"),
-        ("<STYLE type='x'>p{}</STYLE>after", "after"),
-        ("before<script>never closed <p>x</p>", "before"),
-        ("<template><p>no</p></template><ruby>kan<rp>(</rp><rt>ji</rt></ruby>", "kan"),
-        ("<!DOCTYPE html><?xml version='1'?><html>t</html>", "t"),
-        ('<a title="x > y" href=z>link</a>', "link"),
-        ('<a title="never closed>link</a> tail', "link\ntail"),
-        ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"),
-        ("Tom &amp; Jerry &lt;b&gt;", "Tom & Jerry <b>"),
-        ("&amp;lt;", "&lt;"),
-        ("&euro;5 &eacute;t&eacute &unknown; R&D &", "€5 été &unknown R&D &"),
-        ("&#8364; &#x20AC; &#128640; &#150; &#0; &#99999999999999999999;", "€ € 🚀 – � �"),
-        ("\xa0 <p>\xa0a\xa0b\xa0</p>", "a\xa0b"),
-        ("<p>&nbsp;x&nbsp;y&nbsp;</p>", "x\xa0y"),
-    ],
-)
-def test_html_to_text(values, html, text):
-    assert values(T.html_to_text, [(html,)], "h string") == [text]
+HTML_CASES = [
+    (None, ""),
+    ("", ""),
+    ("plain", "plain"),
+    ("<p>one</p><p> two <b>three</b> four</p>", "one\ntwo\nthree\nfour"),
+    ("a<br>b<br/>c", "a\nb\nc"),
+    ("  \n a \n\n b \n", "a\nb"),
+    ("x<!-- <p>hidden</p> -->y", "x\ny"),
+    ('<script>var t="</p><b>";</script>after', "after"),
+    ("<STYLE type='x'>p{}</STYLE>after", "after"),
+    ("before<script>never closed <p>x</p>", "before"),
+    ("<template><p>no</p></template><ruby>kan<rp>(</rp><rt>ji</rt></ruby>", "kan"),
+    ("<!DOCTYPE html><?xml version='1'?><html>t</html>", "t"),
+    ('<a title="x > y" href=z>link</a>', "link"),
+    ('<a title="never closed>link</a> tail', "link\ntail"),
+    ("1 < 2 and 3 > 2", "1 < 2 and 3 > 2"),
+    ("Tom &amp; Jerry &lt;b&gt;", "Tom & Jerry <b>"),
+    ("&amp;lt;", "&lt;"),
+    ("&euro;5 &eacute;t&eacute &unknown; R&D &", "€5 été &unknown R&D &"),
+    ("&#8364; &#x20AC; &#128640; &#150; &#0; &#99999999999999999999;", "€ € 🚀 – � �"),
+    ("\xa0 <p>\xa0a\xa0b\xa0</p>", "a\xa0b"),
+    ("<p>&nbsp;x&nbsp;y&nbsp;</p>", "x\xa0y"),
+]
+
+
+def test_html_to_text(values):
+    out = values(T.html_to_text, [(html,) for html, _ in HTML_CASES], "h string")
+    for (html, text), got in zip(HTML_CASES, out):
+        assert got == text, html
+
+
+def test_long_runs_take_no_stack(values):
+    blanks = " " * 200_000
+    many = "<a " + 'x="1" ' * 50_000 + "y='>'>t</a>"
+    amounts = "1" + ",234" * 50_000
+    assert values(T.html_to_text, [(many,), (f"<p>{blanks}x{blanks}</p>",)], "h string") == ["t", "x"]
+    html = f"<h3>{blanks}Compensation{blanks}&nbsp;</h3>{blanks}<p>{blanks}12</p>"
+    assert tuple(values(R.compensation, [(html, "SG")], "h string, n string")[0]) == (12, 12)
+    assert tuple(values(R.salary_range, [(f"{amounts}% or 50",)], "t string")[0]) == (50, 50)
 
 
 def test_text_is_read_whole(values):
