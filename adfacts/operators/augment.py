@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from adfacts.functions import text as T
 from adfacts.functions.values import once
+from adfacts.operators.grouping import lookup_join
+from adfacts.session import pinned
 
 VARIANTS = ["de", "fr"]
 
@@ -63,22 +65,20 @@ def top_up(
 ) -> DataFrame:
     """Copies for every class with fewer than ``n`` rows, so that each has ``n``.
 
-    Members are taken in turn, by key or by a seeded hash of it. Only up to ``n`` rows of a
-    class leave their partition: a class that fills ``n`` needs no copies.
+    Members are taken in turn, by key or by a seeded hash of it. Classes are counted on the
+    label alone; only the rows of rare ones, fewer than ``n`` each, are then numbered.
     """
     turn = [F.col(key)] if seed is None else [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
-    of_class = Window.partitionBy(label)
-    members = (
-        df.withColumn("_turn", F.row_number().over(of_class.orderBy(*turn)))
-        .filter(F.col("_turn") <= n)
-        .withColumn("_size", F.count(F.lit(1)).over(of_class))
-        .filter(F.col("_size") < n)
+    sizes = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
+    rare = sizes.filter(F.col("_size") < n)
+    members = lookup_join(df, pinned(rare), [label], [key]).withColumn(
+        "_turn", F.row_number().over(Window.partitionBy(label).orderBy(*turn))
     )
     copy_numbers = F.filter(
         F.sequence(F.lit(1), F.lit(n) - F.col("_size").cast("int")),
         lambda k: F.pmod(k - 1, F.col("_size")) + 1 == F.col("_turn"),
     )
-    copies = members.withColumn("copy", F.explode(copy_numbers)).drop("_turn", "_size")
+    copies = members.select(*df.columns, F.explode(copy_numbers).alias("copy"))
     if change is not None:
         copies = copies.withColumn("prompt", change(F.col("prompt")))
     return df.withColumn("copy", F.lit(0)).unionByName(copies)

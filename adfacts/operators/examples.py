@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -198,19 +200,19 @@ def hash_split(df: DataFrame, key: str, fraction: float = 0.1, seed: int = 55) -
 
 
 def exact_split(df: DataFrame, key: str, fraction: float = 0.1, seed: int = 55) -> DataFrame:
-    """As ``hash_split`` with exactly the rounded-up share of rows in validation."""
-    drawn = df.select(key).withColumn("_drawn", _drawn(F.col(key), seed))
+    """As ``hash_split`` with exactly the rounded-up share of rows in validation.
+
+    The last held-out row is found on the keys alone; the table itself is only projected.
+    """
+    place = F.struct(_drawn(F.col(key), seed).alias("_drawn"), F.col(key).alias("_key"))
+    drawn = df.select(place.alias("_place")).select("_place.*")
     ranked = running_totals(
-        drawn, [], [F.col("_drawn"), F.col(key)], {"_earlier": F.lit(1).cast("bigint")}
-    )
-    size = drawn.agg(F.ceil(F.count(F.lit(1)) * fraction)).scalar()
-    named = ranked.select(
-        key,
-        F.when(F.coalesce("_earlier", F.lit(0)) < size, "validation")
-        .otherwise("train")
-        .alias("split"),
+        drawn, [], [F.col("_drawn"), F.col("_key")], {"_earlier": F.lit(1).cast("bigint")}
     )
-    return df.join(named, key)
+    held_out = math.ceil(drawn.count() * fraction)
+    last = ranked.filter(F.coalesce("_earlier", F.lit(0)) == held_out - 1)
+    bound = last.select(F.struct("_drawn", "_key")).scalar()
+    return df.withColumn("split", F.when(place <= bound, "validation").otherwise("train"))
 
 
 # --- annotated tokens ----------------------------------------------------------------

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from adfacts import constants as K
 from adfacts.functions import text as T
+from adfacts.operators.grouping import BROADCAST_ROWS
 
 ALIASES = {"y_true": "complete", "y_predicted": "y_pred"}
 
@@ -51,13 +52,22 @@ def rows_between(df: DataFrame, first: int, last: int) -> DataFrame:
 
 
 def preview(df: DataFrame, n: int) -> DataFrame:
-    """The first ``n`` rows of each task."""
+    """The first ``n`` rows of each task.
+
+    Their numbers are found on the narrow columns; a few per task, they are then broadcast.
+    """
+    typed = df.withColumn("task_type", T.task_type(F.col("prompt")))
     order = Window.partitionBy("task_type").orderBy("row_id")
-    return (
-        df.withColumn("task_type", T.task_type(F.col("prompt")))
+    first = (
+        typed.select("task_type", "row_id")
         .withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= n)
+        .select("row_id", "place")
     )
+    tasks = len(K.TASK_MARKERS) + 1
+    if n * tasks > BROADCAST_ROWS:
+        return typed.join(first, "row_id")
+    return typed.join(F.broadcast(first), "row_id")
 
 
 def first_rows(df: DataFrame, markers: dict[str, str] | None = None) -> DataFrame:

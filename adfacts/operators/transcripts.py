@@ -20,7 +20,7 @@ PLANS = [("SALARY", "Salary"), ("SENIORITY", "Seniority"), ("ARRANGEMENT", "Arra
 AGENTS = ["Salary", "Seniority", "Arrangement"]
 
 
-def _first_held(content: Column, tests: list[tuple[str, str]], otherwise: str | None) -> Column:
+def _first_held(content: Column, tests: list[tuple[str, str]], otherwise: str) -> Column:
     chain = F
     for held, outcome in tests:
         chain = chain.when(F.contains(content, F.lit(held)), F.lit(outcome))
@@ -77,10 +77,18 @@ def final_answers(messages: DataFrame) -> DataFrame:
     idx = F.col("idx")
     content = text_or_empty(F.col("content"))
     closing = (F.col("name") == "Critic") & F.contains(content, F.lit("TERMINATE"))
-    task = _first_held(content, AGENT_MARKERS, None)
-    chats = messages.groupBy("conv_id").agg(
-        F.max(F.when(closing, idx)).alias("_closed"),
-        F.max(F.when(idx == 0, task)).alias("_agent"),
+    # Numbers in the aggregate, so that it hashes instead of sorting.
+    task = F
+    for number, (marker, _) in enumerate(AGENT_MARKERS):
+        task = task.when(F.contains(content, F.lit(marker)), F.lit(number))
+    agents = F.array(*[F.lit(agent) for _, agent in AGENT_MARKERS])
+    chats = (
+        messages.groupBy("conv_id")
+        .agg(
+            F.max(F.when(closing, idx)).alias("_closed"),
+            F.max(F.when(idx == 0, task)).alias("_task"),
+        )
+        .withColumn("_agent", F.get(agents, F.col("_task")))
     )
     said = messages.filter(F.col("name").isin(AGENTS)).withColumnRenamed("name", "_agent")
     before = spread_join(

@@ -262,7 +262,7 @@ def ex10(documents: DataFrame) -> DataFrame:
 @register(
     "ex10_exact_split", "documents",
     f"""WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {_DRAWN}, doc_id) AS place,
-    ceil(count(*) OVER () * 0.1) AS held FROM documents)
+    ceil(count(*) OVER () * 0.1::DOUBLE) AS held FROM documents)
 SELECT doc_id, CASE WHEN place <= held THEN 'validation' ELSE 'train' END AS split FROM r""",
 )
 def ex10_exact(documents: DataFrame) -> DataFrame:

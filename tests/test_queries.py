@@ -55,12 +55,17 @@ def plan_of(spark, name):
     return QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["pf6_preview", "au2_top_up", "sc2_top_k"])
+@pytest.mark.parametrize("name", ["pf6_preview", "sc2_top_k"])
 def test_top_rows_are_cut_before_the_shuffle(spark, name):
     plan = plan_of(spark, name)
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
+@pytest.mark.parametrize("name", ["ex10_exact_split", "ex10_hash_split"])
+def test_splits_only_project_the_table(spark, name):
+    assert "Join" not in plan_of(spark, name)
+
+
 @pytest.mark.parametrize("name", ["rx8_arrangement", "tx4_salary_prompt", "rx7_salary_facts", "ev6_salary_parts"])
 def test_projections_do_not_shuffle_by_key(spark, name):
     assert "hashpartitioning" not in plan_of(spark, name)
