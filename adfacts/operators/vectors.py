@@ -58,13 +58,17 @@ def word_votes(
 
     def vote(label: Column) -> Column:
         cosine = _dot(F.col("vector"), label["vector"]) / (F.col("_norm") * label["norm"])
-        return F.when(cosine > threshold, cosine).otherwise(F.lit(0.0))
+        return once(cosine, lambda c: F.when(c > threshold, c).otherwise(F.lit(0.0)))
 
+    # Filtered inside the generator: a filter on the finished column would be pushed below it
+    # and compute every cosine again.
+    voting = F.filter(
+        F.array(F.transform("_labels", vote)), lambda votes: F.exists(votes, lambda v: v > 0)
+    )
     return (
         word_vectors.withColumns({"_norm": _norm(F.col("vector")), "_labels": listed.scalar()})
         .filter(F.col("_norm") > 0)
-        .select("word", F.transform("_labels", vote).alias("votes"))
-        .filter(F.exists("votes", lambda v: v > 0))
+        .select("word", F.explode(voting).alias("votes"))
     )
 
 
