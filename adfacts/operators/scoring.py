@@ -129,8 +129,16 @@ def latency_summary(df: DataFrame, value: str, keys: Sequence[str] = ()) -> Data
         low, high = F.col(f"_low{q}"), F.col(f"_high{q}")
         return (low + (high - low) * (at - F.floor(at))).alias(f"p{q}")
 
-    return base.join(ends, keys).select(
-        *keys, "count", "mean", "std", "min", *[quartile(q) for q in (25, 50, 75)], "max", "total"
+    # Both hold one row per group; under each other they need no join, and a group may be null.
+    both = base.unionByName(ends, allowMissingColumns=True)
+    known_values = [F.max(c).alias(c) for c in both.columns if c not in keys]
+    return (
+        both.groupBy(*keys)
+        .agg(*known_values)
+        .select(
+            *keys, "count", "mean", "std", "min", *[quartile(q) for q in (25, 50, 75)],
+            "max", "total",
+        )
     )
 
 
