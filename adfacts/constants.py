@@ -16,8 +16,6 @@ VOTE_LABELS = [
     "entry level", "junior", "qualified",
 ]
 
-ARRANGEMENTS = ["OnSite", "Remote", "Hybrid"]
-
 CURRENCIES = ["AUD", "SGD", "HKD", "IDR", "THB", "NZD", "MYR", "PHP", "USD", "None"]
 FREQUENCIES = ["HOURLY", "DAILY", "WEEKLY", "MONTHLY", "ANNUAL", "None"]
 NO_SALARY = "0-0-None-None"
@@ -144,7 +142,6 @@ LEADING_TAG_PADS = 20
 # Sizes of encoded examples.
 IGNORED = -100
 EXAMPLE_LENGTH = 512
-TAGGED_LENGTH = 1280
 TAG_IDS_LENGTH = 1024
 WINDOW_LENGTH = 1024
 TAIL_LENGTH = 128

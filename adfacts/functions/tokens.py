@@ -35,12 +35,6 @@ def attention_mask(ids: Column, length: Column | int) -> Column:
     return F.concat(filled(F.lit(1), F.size(ids)), filled(F.lit(0), length - F.size(ids)))
 
 
-def supervised_ids(prompt: Column, answer: Column, end: Column, pad: Column, length: int) -> Column:
-    """Prompt, answer and end mark, cut and padded on the right to ``length``."""
-    whole = F.concat(prompt, answer, F.array(end))
-    return pad_right(F.slice(whole, 1, length), length, pad)
-
-
 def masked_prompt(ids: Column, prompt_size: Column, ignored: Column, cap: int) -> Column:
     """Labels: ``ids`` with at most ``cap`` leading places of the prompt ignored."""
     hidden = F.least(prompt_size, F.lit(cap), F.size(ids))

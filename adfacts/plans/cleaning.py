@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from adfacts import constants as K
 from adfacts.functions import text as T
+from adfacts.functions.answers import same
 from adfacts.operators import pairs as P
 from adfacts.plans import checksql as C
 from adfacts.plans.registry import register
@@ -105,8 +106,6 @@ def pf7(predictions: DataFrame) -> DataFrame:
     "SELECT row_id, coalesce(complete = y_pred, false) AS val FROM predictions",
 )
 def pf10(predictions: DataFrame) -> DataFrame:
-    from adfacts.functions.answers import same
-
     return predictions.select("row_id", same(F.col("complete"), F.col("y_pred")).alias("val"))
 
 
@@ -212,7 +211,7 @@ def tx9(ads: DataFrame) -> DataFrame:
     )
 
 
-def _by_task(name: str, body) -> str:
+def _by_task(body) -> str:
     return ", ".join(f"{body(task)} AS {task}" for task in K.TAGGED_PREFIX)
 
 
@@ -220,7 +219,6 @@ def _by_task(name: str, body) -> str:
     "tx10_tagged_prompt", "ads",
     "SELECT ad_id, "
     + _by_task(
-        "tagged",
         lambda t: f"{C.quoted(K.TAGGED_PREFIX[t])} || 'job ad: ' || chr(10) || "
         "job_ad_details || chr(10) || chr(10)",
     )
@@ -235,7 +233,6 @@ def tx10(ads: DataFrame) -> DataFrame:
     "tx11_zero_shot_prompt", "ads",
     "SELECT ad_id, "
     + _by_task(
-        "zero_shot",
         lambda t: f"{C.quoted(K.ZERO_SHOT_PREFIX[t])} || 'Job Advertisement:' || chr(10) || "
         f"{C.strip('job_ad_details')} || chr(10)",
     )

@@ -15,7 +15,6 @@ TEXT = {
     "direct": f"CASE WHEN length(raw) > 1 THEN {C.strip('raw')} END",
     "chain": f"CASE WHEN contains(raw, 'Output:') THEN {C.strip('''string_split(raw, 'Output:')[2]''')} END",
 }
-LONGEST_FIRST = sorted(K.SENIORITY_LABELS, key=lambda s: -len(s))
 
 
 def _salary(text: str) -> str:

@@ -20,6 +20,19 @@ def test_csv_round_trip_keeps_every_character(spark, tmp_path):
     assert sorted(map(tuple, back.collect()), key=str) == sorted(ADS, key=str)
 
 
+def test_all_ad_tables_read_by_their_schema(spark, tmp_path):
+    for name, schema in (("seniority", S.SENIORITY_ADS), ("arrangement", S.ARRANGEMENT_ADS)):
+        rows = [tuple(f"{c}\n{i}" for c in schema.names) for i in range(3)]
+        lines = [",".join(schema.names)] + [",".join(f'"{v}"' for v in r) for r in rows]
+        (tmp_path / f"{name}.csv").write_text("\n".join(lines) + "\n")
+        back = S.read_csv(spark, str(tmp_path / f"{name}.csv"), schema)
+        assert sorted(map(tuple, back.collect())) == rows
+    record = {"prompt": "p", "complete": "Remote", "task_type": "work_arrangement", "other": 1}
+    (tmp_path / "multi.json").write_text(json.dumps([record]))
+    tasks = S.read_records(spark, str(tmp_path / "multi.json"), S.TASK_PAIRS, one_array=True)
+    assert [tuple(r) for r in tasks.collect()] == [("p", "Remote", "work_arrangement")]
+
+
 def test_json_array_and_lines(spark, tmp_path):
     records = [{"prompt": "é 1", "complete": "None"}, {"prompt": None, "complete": "2"}]
     (tmp_path / "a.json").write_text(json.dumps(records, indent=2, ensure_ascii=False))
