@@ -1,8 +1,17 @@
 """Operators of a training-data pipeline, their queries and the SQL that checks them."""
 
-from adfacts.llm import contamination, html_text, languages, licenses, mixing, quality, secret_scan
+from adfacts.llm import (
+    contamination,
+    html_text,
+    imatch,
+    languages,
+    licenses,
+    mixing,
+    quality,
+    secret_scan,
+)
 
-MODULES = [contamination, mixing, quality, secret_scan, languages, licenses, html_text]
+MODULES = [contamination, mixing, imatch, quality, secret_scan, languages, licenses, html_text]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 CHECKS = {name: sql for module in MODULES for name, sql in module.CHECKS.items()}
 
