@@ -2,6 +2,7 @@
 
 from adfacts.llm import (
     contamination,
+    ctw,
     html_text,
     imatch,
     languages,
@@ -11,7 +12,9 @@ from adfacts.llm import (
     secret_scan,
 )
 
-MODULES = [contamination, mixing, imatch, quality, secret_scan, languages, licenses, html_text]
+MODULES = [
+    contamination, mixing, imatch, quality, secret_scan, ctw, languages, licenses, html_text,
+]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 CHECKS = {name: sql for module in MODULES for name, sql in module.CHECKS.items()}
 
