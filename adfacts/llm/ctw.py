@@ -40,8 +40,9 @@ from pyspark.sql import functions as F
 
 from adfacts.llm.common import fold, table, written
 
-DEPTH = 4
-CONTEXTS = 40_000
+DEPTH = 5
+# States are 16-bit numbers, so at most 65,535.
+CONTEXTS = 50_000
 HEAD = 2e-6
 # Bytes counted at once, and steps that lanes of a batch take together.
 PIECE = 1 << 22
@@ -130,12 +131,12 @@ class ContextTree:
 
     def _follows(self) -> np.ndarray:
         """The longest kept context after each state and byte."""
-        follows = np.zeros((len(self.parent), 256), np.int32)
+        follows = np.zeros((len(self.parent), 256), np.uint16)
         deepest = len(self.contexts) - 1
         bytes_ = np.arange(256)
         for depth, contexts in enumerate(self.contexts):
             own = np.arange(self.first[depth], self.first[depth + 1])
-            found = follows[self.parent[own]].copy() if depth else np.zeros((len(own), 256), np.int32)
+            found = follows[self.parent[own]].copy() if depth else np.zeros((len(own), 256), np.uint16)
             # One byte more than the parent's state knows: a context of one byte more, if kept.
             longer = min(depth + 1, deepest)
             mask = (1 << (8 * longer)) - 1
@@ -144,7 +145,7 @@ class ContextTree:
             if len(known) and longer:
                 at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
                 hit = known[at] == wanted
-                found[hit] = (self.first[longer] + at[hit]).astype(np.int32)
+                found[hit] = (self.first[longer] + at[hit]).astype(np.uint16)
             follows[own] = found
         return follows
 
@@ -240,6 +241,8 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 def trained(texts: DataFrame, contexts: int = CONTEXTS) -> ContextTree:
     """The model of all ``texts``; counts are summed by Spark, the bounded tree mixed here."""
+    if contexts > 65_535:
+        raise ValueError("at most 65,535 contexts")
     counts = written(string_counts(texts), "strings")
     byte = F.col("string").bitwiseAND(255)
 
