@@ -8,12 +8,14 @@ from adfacts.llm import (
     languages,
     licenses,
     mixing,
+    near_copies,
     quality,
     secret_scan,
 )
 
 MODULES = [
-    contamination, mixing, imatch, quality, secret_scan, ctw, languages, licenses, html_text,
+    contamination, mixing, near_copies, imatch, quality, secret_scan, ctw, languages, licenses,
+    html_text,
 ]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 CHECKS = {name: sql for module in MODULES for name, sql in module.CHECKS.items()}
