@@ -26,9 +26,10 @@ def paragraph_after(html: Column, heading: str) -> Column:
 
 
 def integers(text: Column) -> Column:
-    """All integers in the text, thousands commas dropped."""
+    """All integers in the text, thousands commas dropped; one past 64 bits is left out."""
     found = F.regexp_extract_all(text, F.lit(INTEGER), F.lit(0))
-    return F.transform(found, lambda n: F.replace(n, F.lit(","), F.lit("")).try_cast("bigint"))
+    numbers = F.transform(found, lambda n: F.replace(n, F.lit(","), F.lit("")).try_cast("bigint"))
+    return F.array_compact(numbers)
 
 
 def compensation(html: Column, nation: Column) -> Column:

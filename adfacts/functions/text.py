@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -32,8 +32,10 @@ MARKUP = (
     r"|![^>]*>"
     r"|\?[^>]*>)"
 )
-# Names of characters as one literal, which folds into one map.
-ENTITIES = "\x01".join(f"{name}\x02{chr(n)}" for name, n in name2codepoint.items())
+# All names of characters as one literal, which folds into one map. A map is searched from its
+# start, so the old short names, which pages use most, come first.
+NAMES = {name.rstrip(";"): text for name, text in sorted(html5.items(), key=lambda n: (len(n[0]), n[0]))}
+ENTITIES = "\x01".join(f"{name}\x02{text}" for name, text in NAMES.items())
 ENTITY_OR_TEXT = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?|[^&]+|&"
 
 WHITE_SPACE_RUN = (

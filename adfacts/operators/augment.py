@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from adfacts.functions import text as T
 from adfacts.functions.values import once
-from adfacts.operators.grouping import lookup_join
-from adfacts.session import pinned
+from adfacts.operators.grouping import group_join
 
 VARIANTS = ["de", "fr"]
 
@@ -71,7 +70,7 @@ def top_up(
     turn = [F.col(key)] if seed is None else [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
     sizes = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
     rare = sizes.filter(F.col("_size") < n)
-    members = lookup_join(df, pinned(rare), [label], [key]).withColumn(
+    members = group_join(df, rare, [label]).withColumn(
         "_turn", F.row_number().over(Window.partitionBy(label).orderBy(*turn))
     )
     copy_numbers = F.filter(

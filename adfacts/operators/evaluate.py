@@ -115,7 +115,11 @@ def salary_part_scores(
 
 
 def report(results: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
-    """All of the above in one row per model: two passes over the results."""
+    """All of the above in one row per model: two passes over the results.
+
+    A null model is a model; one without any label has null recall and F1. Without keys, one
+    row for all results.
+    """
     rows = _with_parts(marked(results), strict=False)
     task, val = F.col("task_type"), F.col("val")
     aggs = [F.count(F.lit(1)).alias("rows"), F.avg(val.cast("int")).alias("accuracy")]
@@ -131,4 +135,6 @@ def report(results: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     ]
     mean = sum((F.col(f"{part}_accuracy") for part in PARTS), F.lit(0.0)) / len(PARTS)
     counted = rows.groupBy(*keys).agg(*aggs).withColumn("mean_accuracy", mean)
-    return counted.join(macro_scores(results, keys), list(keys))
+    # Both hold one row per group; under each other they need no join, and a group may be null.
+    both = counted.unionByName(macro_scores(results, keys), allowMissingColumns=True)
+    return both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in both.columns if c not in keys])

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adfacts import constants as K
 from adfacts.functions import tokens as X
-from adfacts.operators.grouping import running_totals, spread_join
+from adfacts.operators.grouping import running_totals
+from adfacts.session import pinned
 
 # Tokens frequent enough to overload one join task; past this rank no token can hold more
 # than one in HOT_TOKENS of all occurrences.
 HOT_TOKENS = 10_000
-HOT_TOKEN_LENGTH = 1_000
+# Frequent tokens of more letters in all are joined by a shuffle, where Spark splits hot keys.
+HOT_LETTERS = 10_000_000
+# Rows with the same leading digits that are put in order at once.
+ORDERED_ROWS = 100_000
 
 
 def vocabulary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -32,20 +36,28 @@ def vocabulary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
 
 
 def encoded(df: DataFrame, vocab: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
-    """``input_ids`` per key, in token order; unknown tokens are left out."""
-    hot = (F.col("_id") < X.FIRST_ID + HOT_TOKENS) & (F.length("_token") <= HOT_TOKEN_LENGTH)
+    """``input_ids`` per key, in token order; unknown tokens are left out.
+
+    ``vocab`` is read several times, so it had better be a written table. The most frequent
+    tokens, whatever their length, are looked up in place; only the others are shuffled.
+    """
     vocab = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
-    frequent = F.broadcast(vocab.filter(hot))
-    places = df.select(key, F.posexplode_outer(tokens).alias("_place", "_token"))
-    # A row without tokens has one null token; it stays with the frequent ones, so that all
-    # such rows do not meet in one join task.
-    token, found = F.col("_token"), F.col("_id").isNotNull()
-    with_hot = places.join(frequent, "_token", "left").filter(found | token.isNull())
-    rare = places.filter(token.isNotNull()).join(frequent, "_token", "left_anti")
-    with_rare = rare.join(vocab.filter(~hot), "_token")
-    slot = F.when(found, F.struct("_place", "_id"))
+    frequent = vocab.filter(F.col("_id") < X.FIRST_ID + HOT_TOKENS)
+    if (frequent.agg(F.sum(F.length("_token"))).first()[0] or 0) <= HOT_LETTERS:
+        frequent = F.broadcast(frequent)
+    # A row without tokens has one null token; it stays with the found ones, so that all such
+    # rows do not meet in one join task.
+    looked_up = pinned(
+        df.select(key, F.posexplode_outer(tokens).alias("_place", "_token"))
+        .join(frequent, "_token", "left")
+        .select(key, "_place", "_id", F.when(F.col("_id").isNull(), F.col("_token")).alias("_token"))
+    )
+    here = looked_up.filter(F.col("_token").isNull()).select(key, "_place", "_id")
+    rare = vocab.filter(F.col("_id") >= X.FIRST_ID + HOT_TOKENS)
+    there = looked_up.filter(F.col("_token").isNotNull()).drop("_id").join(rare, "_token")
+    slot = F.when(F.col("_id").isNotNull(), F.struct("_place", "_id"))
     return (
-        with_hot.unionByName(with_rare)
+        here.unionByName(there.select(key, "_place", "_id"))
         .groupBy(key)
         .agg(F.sort_array(F.collect_list(slot)).alias("_slots"))
         .select(key, F.col("_slots._id").alias("input_ids"))
@@ -165,11 +177,14 @@ def routed(
 
 
 def padded_batches(
-    df: DataFrame, batch: str, key: str, pad: int = X.PAD, ids: str = "input_ids"
+    df: DataFrame, batch: str, pad: int = X.PAD, ids: str = "input_ids"
 ) -> DataFrame:
-    """Every sequence of a batch padded to its longest; a missing scalar becomes ignored."""
-    longest = df.groupBy(batch).agg(F.max(F.size(ids)).alias("_longest"))
-    joined = spread_join(df, longest, [batch], [key])
+    """Every sequence of a batch padded to its longest; a missing scalar becomes ignored.
+
+    A batch is what a model takes at once, so it is small.
+    """
+    longest = F.max(F.size(ids)).over(Window.partitionBy(batch))
+    joined = df.withColumn("_longest", longest)
     values = {ids: pad, "attention_mask": pad, "labels": K.IGNORED}
     out = {
         name: X.pad_right(
@@ -202,16 +217,29 @@ def hash_split(df: DataFrame, key: str, fraction: float = 0.1, seed: int = 55) -
 def exact_split(df: DataFrame, key: str, fraction: float = 0.1, seed: int = 55) -> DataFrame:
     """As ``hash_split`` with exactly the rounded-up share of rows in validation.
 
-    The last held-out row is found on the keys alone; the table itself is only projected.
+    The last held-out row is found on the keys alone: counts per leading digits of the drawn
+    number say which digits it has, and only their rows are put in order. The table itself is
+    only projected.
     """
     place = F.struct(_drawn(F.col(key), seed).alias("_drawn"), F.col(key).alias("_key"))
-    drawn = df.select(place.alias("_place")).select("_place.*")
-    ranked = running_totals(
-        drawn, [], [F.col("_drawn"), F.col("_key")], {"_earlier": F.lit(1).cast("bigint")}
-    )
-    held_out = math.ceil(drawn.count() * fraction)
-    last = ranked.filter(F.coalesce("_earlier", F.lit(0)) == held_out - 1)
-    bound = last.select(F.struct("_drawn", "_key")).scalar()
+    rows = df.select(place.alias("_place")).select("_place.*")
+    left = math.ceil(rows.count() * fraction)
+    for digits in (4, 8, 12, 15):
+        lead = F.floor(F.col("_drawn") / F.lit(16 ** (15 - digits))).cast("bigint")
+        counts = rows.groupBy(lead.alias("_lead")).agg(F.count(F.lit(1)).alias("_rows"))
+        upto = F.sum("_rows").over(Window.orderBy("_lead"))
+        cut = (
+            counts.withColumn("_upto", upto).filter(F.col("_upto") >= left)
+            .orderBy("_lead").limit(1).first()
+        )
+        if cut is None:
+            break
+        left -= cut["_upto"] - cut["_rows"]
+        rows = rows.filter(lead == cut["_lead"])
+        if cut["_rows"] <= ORDERED_ROWS:
+            break
+    last = rows.orderBy("_drawn", "_key").limit(left)
+    bound = last.agg(F.max(F.struct("_drawn", "_key"))).scalar()
     return df.withColumn("split", F.when(place <= bound, "validation").otherwise("train"))
 
 

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from adfacts.session import pinned
 
-SALTS = 16
-BROADCAST_ROWS = 100_000
-BROADCAST_KEY_LETTERS = 4_000_000
+# A key with more than one in so many rows is hot.
+SHARES = 1000
 
 
 def running_totals(
@@ -47,30 +46,63 @@ def running_totals(
     )
 
 
+def _same(df: DataFrame, values: DataFrame, keys: list[str]) -> Column:
+    """Equal in all keys, the second table's under ``_of_`` names; a null equals a null."""
+    match = F.lit(True)
+    for k in keys:
+        match = match & df[k].eqNullSafe(values[f"_of_{k}"])
+    return match
+
+
+def _renamed(values: DataFrame, keys: list[str]) -> DataFrame:
+    return values.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+
+
+def group_join(
+    df: DataFrame, values: DataFrame, keys: list[str], how: str = "inner"
+) -> DataFrame:
+    """Join one row of values per key; a null key finds the values of the null key.
+
+    Spark picks the plan by the sizes it meets: a broadcast, or a shuffle in which it splits
+    the rows of a hot key. An aggregate over the same keys behind it forbids that split; see
+    ``spread_join``.
+    """
+    values = _renamed(values, keys)
+    return df.join(values, _same(df, values, keys), how).drop(*[f"_of_{k}" for k in keys])
+
+
 def spread_join(
     df: DataFrame, values: DataFrame, keys: list[str], spread_by: list[str], how: str = "inner"
 ) -> DataFrame:
-    """Join one row of values per key; the rows of a hot key go to several tasks.
+    """``group_join`` for what is grouped by the same keys next.
 
-    A null key finds the values of the null key, as in a grouping.
+    Keys with more than one in ``SHARES`` of all rows are hot; there can be no more than
+    ``SHARES`` of them, so their list is broadcast. Their rows go to as many parts as they
+    hold such shares, and only their values are copied. ``df`` is read twice.
     """
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
-    copies = values.withColumnsRenamed({k: f"_of_{k}" for k in keys}).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    total = counts.agg(F.sum("_rows")).scalar()
+    shares = F.ceil(F.col("_rows") * SHARES / total).cast("int")
+    hot = F.broadcast(
+        _renamed(counts.filter(F.col("_rows") * SHARES > total), keys).select(
+            *[f"_of_{k}" for k in keys], shares.alias("_parts")
+        )
     )
-    same = F.col("_salt") == F.col("_copy")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
-    joined = df.withColumn("_salt", salt).join(copies, same, how)
-    return joined.drop("_salt", "_copy", *[f"_of_{k}" for k in keys])
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = group_parts(df, hot, keys).withColumn(
+        "_salt", F.pmod(F.xxhash64(*spread_by), parts).cast("int")
+    )
+    copies = _renamed(
+        group_parts(values, hot, keys)
+        .withColumn("_copy", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .drop("_parts"),
+        keys,
+    )
+    match = _same(dealt, copies, keys) & (F.col("_salt") == F.col("_copy"))
+    dropped = ["_salt", "_copy", "_parts", *[f"_of_{k}" for k in keys]]
+    return dealt.join(copies, match, how).drop(*dropped)
 
 
-def lookup_join(
-    df: DataFrame, values: DataFrame, keys: list[str], spread_by: list[str], how: str = "inner"
-) -> DataFrame:
-    """Join one row of values per key, by broadcast if the (pinned) values are small."""
-    letters = F.sum(F.length(F.concat_ws("", *keys)))
-    rows, size = values.agg(F.count(F.lit(1)), letters).first()
-    if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_KEY_LETTERS:
-        return df.join(F.broadcast(values), keys, how)
-    return spread_join(df, values, keys, spread_by, how)
+def group_parts(df: DataFrame, hot: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with ``_parts`` of their key, null unless it is hot."""
+    return df.join(hot, _same(df, hot, keys), "left").drop(*[f"_of_{k}" for k in keys])

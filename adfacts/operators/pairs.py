@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from adfacts import constants as K
 from adfacts.functions import text as T
-from adfacts.operators.grouping import BROADCAST_ROWS
 
+# Row numbers of a preview that are broadcast at most.
+PREVIEW_ROWS = 100_000
 ALIASES = {"y_true": "complete", "y_predicted": "y_pred"}
 
 
@@ -65,7 +66,7 @@ def preview(df: DataFrame, n: int) -> DataFrame:
         .select("row_id", "place")
     )
     tasks = len(K.TASK_MARKERS) + 1
-    if n * tasks > BROADCAST_ROWS:
+    if n * tasks > PREVIEW_ROWS:
         return typed.join(first, "row_id")
     return typed.join(F.broadcast(first), "row_id")
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adfacts import constants as K
-from adfacts.operators.grouping import running_totals, spread_join
+from adfacts.operators.grouping import group_join, running_totals, spread_join
 from adfacts.session import pinned
 
 # Python workers get these functions by value, so the package need not be installed there.
@@ -26,22 +26,36 @@ def score(
     make_answerer: Callable[[], Answerer],
     prompt: str = "prompt",
     batch_size: int = K.BATCH_SIZE,
+    null_on_error: bool = False,
 ) -> DataFrame:
     """Add ``y_pred`` and ``inference_time`` (seconds of the batch per row).
 
-    ``make_answerer`` runs once per task and may load a model.
+    ``make_answerer`` runs once per task and may load a model. It has to return an answer per
+    prompt. ``null_on_error`` gives a batch whose call raised null answers instead of ending
+    the job.
     """
 
+    def asked(answer: Answerer, batch: list[str]) -> list[str | None]:
+        try:
+            found = answer(batch)
+        except Exception:
+            if null_on_error:
+                return [None] * len(batch)
+            raise
+        if len(found) != len(batch):
+            raise ValueError(f"{len(found)} answers to {len(batch)} prompts")
+        return found
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         answer = make_answerer()
         for frame in frames:
             prompts = frame[prompt].tolist()
-            answers: list[str] = []
+            answers: list[str | None] = []
             seconds: list[float] = []
             for at in range(0, len(prompts), batch_size):
                 batch = prompts[at : at + batch_size]
                 started = time.perf_counter()
-                answers += answer(batch)
+                answers += asked(answer, batch)
                 seconds += [(time.perf_counter() - started) / len(batch)] * len(batch)
             yield frame.assign(y_pred=answers, inference_time=seconds)
 
@@ -99,8 +113,6 @@ def latency_summary(df: DataFrame, value: str, keys: Sequence[str] = ()) -> Data
 
     The quartiles are exact: equal values are counted first, then ranked across the table.
     """
-    if not keys:
-        return latency_summary(df.withColumn("_all", F.lit(0)), value, ["_all"]).drop("_all")
     keys = list(keys)
     known = df.filter(F.col(value).isNotNull())
     v = F.col(value)
@@ -114,7 +126,10 @@ def latency_summary(df: DataFrame, value: str, keys: Sequence[str] = ()) -> Data
     )
     counted = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_totals(counted, keys, [v], {"_before": F.col("_n")})
-    placed = spread_join(ranked, base.select(*keys, "count"), keys, [value])
+    if keys:
+        placed = spread_join(ranked, base.select(*keys, "count"), keys, [value])
+    else:
+        placed = ranked.withColumn("count", base.select("count").scalar())
     before = F.coalesce("_before", F.lit(0))
     picks = []
     for q in (25, 50, 75):
@@ -149,15 +164,20 @@ def softmax(
     """Candidates without the banned items, with their share ``prob`` in the group."""
     kept = df.filter(~F.col(item).isin(banned)) if banned else df
     kept = kept.withColumn("_s", F.col(score_col).cast("double") / temperature)
-    top = kept.groupBy(group).agg(F.max("_s").alias("_top"))
-    raised = spread_join(kept, top, [group], [item]).withColumn(
-        "_e", F.exp(F.col("_s") - F.col("_top"))
+    # Sums per unit of the score, each from its own floor, and then per group from the top one:
+    # one pass gives both what to raise from and the total.
+    unit = F.floor("_s")
+    units = kept.groupBy(group, unit.alias("_unit")).agg(F.sum(F.exp(F.col("_s") - unit)).alias("_e"))
+    top = F.max("_unit").over(Window.partitionBy(group))
+    totals = (
+        units.withColumn("_top", top)
+        .groupBy(group, "_top")
+        .agg(F.sum(F.col("_e") * F.exp(F.col("_unit") - F.col("_top"))).alias("_total"))
     )
-    total = raised.groupBy(group).agg(F.sum("_e").alias("_total"))
     return (
-        spread_join(raised, total, [group], [item])
-        .withColumn("prob", F.col("_e") / F.col("_total"))
-        .drop("_s", "_top", "_e", "_total")
+        group_join(kept, totals, [group])
+        .withColumn("prob", F.exp(F.col("_s") - F.col("_top")) / F.col("_total"))
+        .drop("_s", "_top", "_total")
     )
 
 
@@ -179,7 +199,7 @@ def nucleus(df: DataFrame, group: str, item: str, p: float = 0.9) -> DataFrame:
     kept = pinned(summed.filter(F.round(F.coalesce("_before", F.lit(0.0)), 9) <= p).drop("_before"))
     total = kept.groupBy(group).agg(F.sum("prob").alias("_total"))
     return (
-        spread_join(kept, total, [group], [item])
+        group_join(kept, total, [group])
         .withColumn("prob", F.col("prob") / F.col("_total"))
         .drop("_total")
     )

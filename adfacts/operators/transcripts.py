@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from adfacts.functions.text import strip, text_or_empty
-from adfacts.operators.grouping import spread_join
 
 END = "END"
 # Order of the tests, marker in the first message, agent.
@@ -51,8 +50,8 @@ def next_speaker_planned(idx: Column, name: Column, content: Column) -> Column:
 def speaker_audit(messages: DataFrame, planned: bool = False) -> DataFrame:
     """Each message with the next speaker by the rule and the one who spoke.
 
-    Places are consecutive, so the next message is found by its place: an equi-join whose
-    key spreads a long chat over all tasks.
+    The next message is the one with the next higher place, whatever the gap. Chats end after a
+    few rounds by rule, so one is never large.
     """
     content = text_or_empty(F.col("content"))
     rule = (
@@ -60,54 +59,51 @@ def speaker_audit(messages: DataFrame, planned: bool = False) -> DataFrame:
         if planned
         else next_speaker(F.col("name"), content)
     )
-    following = messages.select(
-        "conv_id", (F.col("idx") - 1).alias("idx"), F.col("name").alias("_next")
-    )
+    following = F.lead("name", 1, END).over(Window.partitionBy("conv_id").orderBy("idx"))
     return (
         messages.select("conv_id", "idx", "name", rule.alias("expected_next"))
-        .join(following, ["conv_id", "idx"], "left")
-        .withColumn("actual_next", F.coalesce("_next", F.lit(END)))
+        .withColumn("actual_next", following)
         .withColumn("as_expected", F.col("expected_next") == F.col("actual_next"))
-        .drop("_next")
     )
 
 
-def final_answers(messages: DataFrame) -> DataFrame:
-    """Per chat the agent's last message before the critic's last TERMINATE, else Unknown."""
+def _chats(messages: DataFrame) -> DataFrame:
+    """Per chat its rounds, the place of the closing message and the final answer, in one pass."""
     idx = F.col("idx")
     content = text_or_empty(F.col("content"))
     closing = (F.col("name") == "Critic") & F.contains(content, F.lit("TERMINATE"))
-    # Numbers in the aggregate, so that it hashes instead of sorting.
     task = F
     for number, (marker, _) in enumerate(AGENT_MARKERS):
         task = task.when(F.contains(content, F.lit(marker)), F.lit(number))
     agents = F.array(*[F.lit(agent) for _, agent in AGENT_MARKERS])
+    said = F.when(F.col("name").isin(AGENTS), F.struct("idx", "name", "content"))
     chats = (
         messages.groupBy("conv_id")
         .agg(
+            (F.max(idx) + 1).alias("rounds"),
             F.max(F.when(closing, idx)).alias("_closed"),
             F.max(F.when(idx == 0, task)).alias("_task"),
+            F.collect_list(said).alias("_said"),
         )
         .withColumn("_agent", F.get(agents, F.col("_task")))
     )
-    said = messages.filter(F.col("name").isin(AGENTS)).withColumnRenamed("name", "_agent")
-    before = spread_join(
-        said, chats.filter("_closed is not null"), ["conv_id", "_agent"], ["idx"]
-    ).filter(idx < F.col("_closed"))
-    answers = before.groupBy("conv_id").agg(F.max_by("content", "idx").alias("_answer"))
-    return chats.join(answers, "conv_id", "left").select(
+    before = F.filter(
+        "_said", lambda m: (m["name"] == F.col("_agent")) & (m["idx"] < F.col("_closed"))
+    )
+    return chats.select(
         "conv_id",
-        F.coalesce(strip(F.col("_answer")), F.lit("Unknown")).alias("answer"),
+        "rounds",
+        F.coalesce(strip(F.array_max(before)["content"]), F.lit("Unknown")).alias("answer"),
         F.col("_closed").isNotNull().alias("closed"),
     )
 
 
+def final_answers(messages: DataFrame) -> DataFrame:
+    """Per chat the agent's last message before the critic's last TERMINATE, else Unknown."""
+    return _chats(messages).drop("rounds")
+
+
 def rounds_used(messages: DataFrame, max_round: int) -> DataFrame:
     """Messages per chat and whether it ran into the cap without an answer."""
-    answers = final_answers(messages).select("conv_id", "answer")
-    rounds = messages.groupBy("conv_id").agg((F.max("idx") + 1).alias("rounds"))
-    return rounds.join(answers, "conv_id").select(
-        "conv_id",
-        "rounds",
-        ((F.col("rounds") >= max_round) & (F.col("answer") == "Unknown")).alias("hit_cap"),
-    )
+    hit_cap = (F.col("rounds") >= max_round) & (F.col("answer") == "Unknown")
+    return _chats(messages).select("conv_id", "rounds", hit_cap.alias("hit_cap"))

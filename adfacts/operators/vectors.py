@@ -9,8 +9,7 @@ from adfacts import constants as K
 from adfacts.functions.text import joined_text, strip_tags
 from adfacts.functions.tokens import tokens
 from adfacts.functions.values import once
-from adfacts.operators.grouping import lookup_join
-from adfacts.session import pinned
+from adfacts.operators.grouping import group_join
 
 
 def label_vectors(word_vectors: DataFrame, labels: list[str] = K.VOTE_LABELS) -> DataFrame:
@@ -44,17 +43,26 @@ def _norm(a: Column) -> Column:
     return F.sqrt(_dot(a, a))
 
 
+def _known(labels: DataFrame) -> Column:
+    """Places of the labels that have a vector, as one array."""
+    return labels.agg(F.collect_set("label_order")).scalar()
+
+
 def word_votes(
-    word_vectors: DataFrame, labels: DataFrame, threshold: float = 0.5
+    word_vectors: DataFrame, labels: DataFrame, n_labels: int, threshold: float = 0.5
 ) -> DataFrame:
     """Per word its cosine to every label, 0 unless above the threshold.
 
-    Words close to no label are left out. The label vectors are a short list by nature and
-    come in as one array, so this is a projection of the vocabulary.
+    ``votes`` has a place for each of the ``n_labels`` labels in list order, 0 for one without
+    a vector. Words close to no label are left out. The label vectors are a short list by nature
+    and come in as one array, so this is a projection of the vocabulary.
     """
-    listed = labels.select(
-        F.struct("label_order", "vector", _norm(F.col("vector")).alias("norm")).alias("l")
-    ).agg(F.sort_array(F.collect_list("l")))
+    places = word_vectors.sparkSession.range(n_labels).select(F.col("id").cast("int").alias("label_order"))
+    listed = (
+        places.join(labels, "label_order", "left")
+        .select(F.struct("label_order", "vector", _norm(F.col("vector")).alias("norm")).alias("l"))
+        .agg(F.sort_array(F.collect_list("l")))
+    )
 
     def vote(label: Column) -> Column:
         cosine = _dot(F.col("vector"), label["vector"]) / (F.col("_norm") * label["norm"])
@@ -79,36 +87,48 @@ def ad_words(ads: DataFrame, key: str, *parts: str) -> DataFrame:
 
 
 def label_scores(
-    words: DataFrame, key: str, votes: DataFrame, n_labels: int
+    words: DataFrame, key: str, votes: DataFrame, labels: DataFrame, n_labels: int
 ) -> DataFrame:
-    """Per ad the sum of its words' votes, one place of ``scores`` per label in list order."""
-    voted = lookup_join(words, pinned(votes), ["word"], [key, "word"], "left")
-    sums = [
-        F.coalesce(F.sum(F.get("votes", F.lit(i))), F.lit(0.0)).alias(f"_{i}")
-        for i in range(n_labels)
-    ]
-    scores = F.array(*[F.col(f"_{i}") for i in range(n_labels)])
+    """Per ad the sum of its words' votes, one place of ``scores`` per label in list order.
+
+    The place of a label without a vector is null.
+    """
+    voted = group_join(words, votes, ["word"], "left")
+    known = _known(labels)
+    sums = [F.sum(F.get("votes", F.lit(i))).alias(f"_{i}") for i in range(n_labels)]
+    scores = F.array(
+        *[
+            F.when(F.array_contains(known, F.lit(i)), F.coalesce(F.col(f"_{i}"), F.lit(0.0)))
+            for i in range(n_labels)
+        ]
+    )
     return voted.groupBy(key).agg(*sums).select(key, scores.alias("scores"))
 
 
 def shares(scores: Column) -> Column:
-    """Scores divided by their total; all 0 if the total is 0."""
-    total = F.aggregate(scores, F.lit(0.0), lambda t, s: t + s)
+    """Scores divided by their total; all 0 if the total is 0; a null stays null."""
+    total = F.aggregate(scores, F.lit(0.0), lambda t, s: t + F.coalesce(s, F.lit(0.0)))
     return once(
         total,
-        lambda t: F.transform(scores, lambda s: F.when(t > 0, s / t).otherwise(F.lit(0.0))),
+        lambda t: F.transform(
+            scores, lambda s: F.when(t > 0, s / t).when(s.isNotNull(), F.lit(0.0))
+        ),
     )
 
 
 def winner(scores: Column, labels: list[str]) -> Column:
-    """The label with the top share; the first in list order among equals."""
+    """The label with the top share; the first in list order among equals.
+
+    A label without a vector (a null) never wins; null if no label has one.
+    """
     listed = F.array(*[F.lit(label) for label in labels])
     place = once(scores, lambda s: F.array_position(s, F.array_max(s)) - 1)
     return F.get(listed, place.cast("int"))
 
 
 def by_label(df: DataFrame, key: str, values: str, labels: list[str], name: str) -> DataFrame:
-    """One row per ad and label from an array with a place per label."""
+    """One row per ad and label that has a vector, from an array with a place per label."""
     listed = F.array(*[F.lit(label) for label in labels])
     zipped = F.arrays_zip(listed.alias("label"), F.col(values).alias(name))
-    return df.select(key, F.inline(zipped)).toDF(key, "label", name)
+    rows = df.select(key, F.inline(zipped)).toDF(key, "label", name)
+    return rows.filter(F.col(name).isNotNull())

@@ -15,10 +15,14 @@ from adfacts.session import new_folder
 
 
 def checked(attempts: DataFrame, mode: str = "direct", onsite_label: str = "OnSite") -> DataFrame:
-    """Attempts with the cleaned answer and whether it may be accepted."""
+    """Attempts with the cleaned answer and whether it may be accepted.
+
+    A null ``raw`` is an attempt that raised; it is never valid.
+    """
+    valid = A.valid_answer(F.col("cleaned"), F.col("task_type"), onsite_label)
     return attempts.withColumn(
         "cleaned", A.clean_answer(F.col("raw"), F.col("task_type"), mode)
-    ).withColumn("valid", A.valid_answer(F.col("cleaned"), F.col("task_type"), onsite_label))
+    ).withColumn("valid", F.col("raw").isNotNull() & valid)
 
 
 def first_valid(checked_attempts: DataFrame, max_tries: int = K.MAX_TRIES) -> DataFrame:
@@ -63,7 +67,7 @@ def attempt_until_valid(
 ) -> DataFrame:
     """Ask in rounds, each round only the prompts the last one left without a valid answer.
 
-    Every round is written before the next one reads it: a model may answer differently
+    An attempt whose call raised counts as failed. Every round is written before the next one reads it: a model may answer differently
     when a lost task is run again. Returns all attempts, checked.
     """
     spark = prompts.sparkSession
@@ -71,7 +75,8 @@ def attempt_until_valid(
     pending = prompts.withColumn("task_type", task_type(F.col("prompt"), "default"))
     rounds = []
     for attempt in range(1, max_tries + 2):
-        asked = score(pending, answerer_for(attempt)).withColumnRenamed("y_pred", "raw")
+        asked = score(pending, answerer_for(attempt), null_on_error=True)
+        asked = asked.withColumnRenamed("y_pred", "raw")
         path = f"{folder}/round-{attempt}"
         checked(asked.withColumn("attempt", F.lit(attempt)), mode).write.parquet(path)
         done = spark.read.parquet(path)

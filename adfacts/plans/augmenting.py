@@ -67,6 +67,26 @@ def au3(ads: DataFrame) -> DataFrame:
     return ads.select("ad_id", A.one_synonym(F.col("prompt"), SYNONYMS).alias("prompt"))
 
 
+_CHANGED = """CASE WHEN hit > 0 THEN array_to_string(words[1:hit - 1], '') || ({known})[lower(words[hit])]
+  || array_to_string(words[hit + 1:], '') ELSE array_to_string(words, '') END"""
+
+
+@register(
+    "au2_top_up_synonym", "rare_rows",
+    f"""WITH counts AS (SELECT complete, count(*) AS c FROM rare_rows GROUP BY 1 HAVING count(*) < 5),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY complete ORDER BY row_id) AS t,
+  list_position(list_transform(words, lambda x: list_contains({C.listed(list(SYNONYMS))}, lower(x))), true) AS hit
+  FROM (SELECT *, {_WORDS} AS words FROM rare_rows)),
+copies AS (SELECT n.*, k AS copy
+  FROM (SELECT complete, c, unnest(generate_series(1, 5 - c)) AS k FROM counts) x
+  JOIN numbered n ON n.complete = x.complete AND n.t = (k - 1) % c + 1)
+SELECT row_id, prompt, complete, 0 AS copy FROM rare_rows
+UNION ALL SELECT row_id, {_CHANGED.format(known=_KNOWN)}, complete, copy::INTEGER FROM copies""",
+)
+def au2_synonym(rows: DataFrame) -> DataFrame:
+    return A.top_up(rows, change=lambda text: A.one_synonym(text, SYNONYMS))
+
+
 def _tagged(task: str, column: str) -> str:
     return (
         f"{C.quoted(K.TAGGED_PREFIX[task])} || 'job ad: ' || chr(10) || coalesce({column}, '') "

@@ -48,6 +48,19 @@ def ch2(messages: DataFrame) -> DataFrame:
     return T.speaker_audit(messages)
 
 
+@register(
+    "ch2_speaker_audit_gappy", "gappy_transcripts",
+    _AUDIT.format(
+        view="gappy_transcripts",
+        rule=f"""WHEN name = 'User' THEN CASE {_AGENT} ELSE 'END' END
+      WHEN name IN ('Salary', 'Seniority', 'Arrangement') THEN 'Critic' """
+        + _CRITIC.format(otherwise="END"),
+    ),
+)
+def ch2_gappy(messages: DataFrame) -> DataFrame:
+    return T.speaker_audit(messages)
+
+
 FINAL = f"""agents AS (SELECT conv_id, CASE {_AGENT} END AS agent FROM transcripts WHERE idx = 0),
 closings AS (SELECT conv_id, max(idx) AS closed FROM transcripts
   WHERE name = 'Critic' AND contains(content, 'TERMINATE') GROUP BY 1),

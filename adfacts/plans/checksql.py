@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5
 
 from adfacts import constants as K
 from adfacts.functions.text import LATIN_1_GAP, STRIPPED
@@ -37,7 +37,7 @@ def _character(n: str) -> str:
 
 
 def decoded(x: str) -> str:
-    names = ", ".join(f"{quoted(k)}: {quoted(chr(v))}" for k, v in name2codepoint.items())
+    names = ", ".join(f"{quoted(k)}: {quoted(v)}" for k, v in {k.rstrip(";"): v for k, v in html5.items()}.items())
     decimal = "coalesce(try_cast(regexp_extract(p, '^&#([0-9]+)', 1) AS BIGINT), 0)"
     hexadecimal = (
         "(CASE WHEN length(ltrim(regexp_extract(p, '^&#[xX]([0-9a-fA-F]+)', 1), '0')) <= 6 "
@@ -94,6 +94,11 @@ def tokens(x: str) -> str:
     return f"regexp_extract_all({x}, {quoted(TOKEN)})"
 
 
+def strip_tags_lowered(*parts: str) -> str:
+    text = " || ' ' || ".join(f"coalesce({p}, '')" for p in parts)
+    return f"lower(trim(regexp_replace(regexp_replace({text}, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')))"
+
+
 def spelled_ids(x: str) -> str:
     return (
         f"list_transform({x}, lambda t: ((length(t) * 7919 + unicode(t) * 104729 "

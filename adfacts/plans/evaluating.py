@@ -43,7 +43,8 @@ true_counts AS (SELECT {by}complete AS label, count(*) AS s, count(*) FILTER (co
   FROM {table} GROUP BY ALL),
 pred_counts AS (SELECT {by}y_pred AS label, count(*) AS p FROM {table} GROUP BY ALL),
 per_label AS (SELECT {by}label, coalesce(h, 0) AS h, coalesce(s, 0) AS s, coalesce(p, 0) AS p
-  FROM names LEFT JOIN true_counts USING ({by}label) LEFT JOIN pred_counts USING ({by}label)),
+  FROM names LEFT JOIN true_counts USING ({by}label) LEFT JOIN pred_counts USING ({by}label)
+  WHERE label IS NOT NULL),
 macro AS (SELECT {by}avg(CASE WHEN s > 0 THEN h / s ELSE 0 END) AS macro_recall,
   avg(2 * h / (s + p)) AS macro_f1 FROM per_label {"GROUP BY " + keys if keys else ""})"""
 
@@ -156,15 +157,21 @@ _TASK_SQL = ", ".join(
     f"count(*) FILTER (task_type = '{t}') AS {n}_total"
     for t, n in ((t, t.lower().replace(" ", "_")) for t in _TASKS)
 )
-REPORT = f"""typed AS (SELECT *, {C.task_type("prompt")} AS task_type FROM predictions),
-counted AS (SELECT model, count(*) AS rows, round(avg((complete = y_pred)::INTEGER), 6) AS accuracy,
+def report_sql(table: str) -> str:
+    """The report per model; '?' stands for a null model until the end, as joins need a value."""
+    return f"""WITH typed AS (SELECT * REPLACE (coalesce(model, '?') AS model), {C.task_type("prompt")} AS task_type
+  FROM {table}),
+counted AS (SELECT model, count(*) AS rows, round(avg(coalesce(complete = y_pred, false)::INTEGER), 6) AS accuracy,
   {_TASK_SQL} FROM typed GROUP BY 1),
 part_hits AS (SELECT model, {_part_hits(f"string_split({FOUND}, '-')")} FROM typed
   WHERE task_type = 'Salary' GROUP BY 1),
-{macro_sql("typed", "model")}"""
-REPORT_SQL = f"""WITH {REPORT} SELECT counted.*, {_ROUNDED_PARTS}, round({_MEAN}, 6) AS mean_accuracy,
-  round(macro_recall, 6) AS macro_recall, round(macro_f1, 6) AS macro_f1
-FROM counted JOIN part_hits USING (model) JOIN macro USING (model)"""
+{macro_sql("typed", "model")}
+SELECT counted.* REPLACE (nullif(counted.model, '?') AS model), {_ROUNDED_PARTS},
+  round({_MEAN}, 6) AS mean_accuracy, round(macro_recall, 6) AS macro_recall, round(macro_f1, 6) AS macro_f1
+FROM counted LEFT JOIN part_hits USING (model) LEFT JOIN macro USING (model)"""
+
+
+REPORT_SQL = report_sql("predictions")
 
 
 def rounded_report(results: DataFrame) -> DataFrame:
@@ -174,3 +181,8 @@ def rounded_report(results: DataFrame) -> DataFrame:
 @register("ev10_report", "predictions", REPORT_SQL, heavy=True)
 def ev10(predictions: DataFrame) -> DataFrame:
     return rounded_report(predictions)
+
+
+@register("ev10_report_gappy", "gappy_predictions", report_sql("gappy_predictions"), heavy=True)
+def ev10_gappy(predictions: DataFrame) -> DataFrame:
+    return rounded_report(predictions)

@@ -13,9 +13,10 @@ from adfacts.operators import examples as E
 from adfacts.operators import pairs as P
 from adfacts.plans import checksql as C
 from adfacts.plans.registry import register
+from adfacts.session import pinned
 
 
-def _ids(column: str) -> Column:
+def _ids(text: str | Column) -> Column:
     """Stand-in for a model's tokenizer: an id from the spelling of each token."""
 
     def spelled(t: Column) -> Column:
@@ -23,7 +24,7 @@ def _ids(column: str) -> Column:
         number = F.length(t) * 7919 + F.ascii(t).cast("bigint") * 104729 + last * 1299709
         return (number % 150_000 + X.FIRST_ID).cast("int")
 
-    return F.transform(X.tokens(F.col(column)), spelled)
+    return F.transform(X.tokens(F.col(text) if isinstance(text, str) else text), spelled)
 
 
 def _as_text(
@@ -63,7 +64,8 @@ SELECT doc_id, string_agg(id, ' ' ORDER BY place) AS input_ids FROM places JOIN
 )
 def ex1_encoded(documents: DataFrame) -> DataFrame:
     docs = _documents(documents)
-    return _as_text(E.encoded(docs, E.vocabulary(docs), "doc_id"), "doc_id", arrays=["input_ids"])
+    vocab = pinned(E.vocabulary(docs))
+    return _as_text(E.encoded(docs, vocab, "doc_id"), "doc_id", arrays=["input_ids"])
 
 
 # --- supervised pairs --------------------------------------------------------------------
@@ -115,7 +117,8 @@ def ex4_high_cap(pairs: DataFrame) -> DataFrame:
 # --- long documents ------------------------------------------------------------------------
 
 WINDOW = f"""d AS (SELECT doc_id, complete, task_type, {C.spelled_ids(C.tokens("prompt"))} AS p,
-    {C.spelled_ids(C.tokens("complete"))} AS c FROM corpus)"""
+    {C.spelled_ids(C.tokens("complete"))} AS c,
+    {C.spelled_ids(C.tokens("upper(complete[1]) || lower(complete[2:])"))} AS capital FROM corpus)"""
 KEPT = "CASE WHEN len({x}) > 1024 THEN list_concat({x}[1:896], {x}[-128:]) ELSE {x} END"
 
 
@@ -130,7 +133,7 @@ def ex5(corpus: DataFrame) -> DataFrame:
     return _as_text(df, "doc_id", arrays=["input_ids"], others=["n"])
 
 
-CLASSES = f"""text_ids AS (SELECT *, list_concat(p, [1]) AS t, list_concat(c, [1]) AS l FROM d),
+CLASSES = f"""text_ids AS (SELECT *, list_concat(p, [1]) AS t, list_concat(capital, [1]) AS l FROM d),
 ends AS (SELECT *, {KEPT.format(x="list_concat(t, l)")} AS ids FROM text_ids),
 classed AS (SELECT doc_id, 0 AS start, ids, {C.padded("ids", "1024")} AS input_ids, least(len(t), 896) AS cut,
   CASE lower(complete) WHEN 'onsite' THEN 0 WHEN 'remote' THEN 1 WHEN 'hybrid' THEN 2 END AS cls_labels,
@@ -161,12 +164,16 @@ def _with_end(ids: Column) -> Column:
     return F.concat(ids, F.array(F.lit(X.END)))
 
 
+def _label_ids() -> Column:
+    return _with_end(_ids(X.capitalised(F.col("complete"))))
+
+
 def _routed(corpus: DataFrame) -> DataFrame:
     ids = corpus.withColumns({"_p": _ids("prompt"), "_c": _ids("complete")})
     p, c = F.col("_p"), F.col("_c")
     return E.routed(
         ids, "task_type",
-        text_ids=_with_end(p), label_ids=_with_end(c), label=F.col("complete"),
+        text_ids=_with_end(p), label_ids=_label_ids(), label=F.col("complete"),
         prompt_ids=p, full_ids=_with_end(F.concat(p, c)),
     ).drop("_p", "_c")
 
@@ -178,8 +185,8 @@ def _routed(corpus: DataFrame) -> DataFrame:
 )
 def ex6(corpus: DataFrame) -> DataFrame:
     rows = corpus.filter("task_type = 'work_arrangement'")
-    text, label = _with_end(_ids("prompt")), _with_end(_ids("complete"))
-    examples = E.classification(rows, text, label, F.col("complete"))
+    text = _with_end(_ids("prompt"))
+    examples = E.classification(rows, text, _label_ids(), F.col("complete"))
     return _example_text(examples.withColumn("start", F.lit(0)))
 
 
@@ -243,7 +250,7 @@ def ex9(pairs: DataFrame) -> DataFrame:
         _ids("prompt").alias("input_ids"), _ids("prompt").alias("labels"),
         F.lit(None).cast("int").alias("cls_labels"),
     )
-    padded = E.padded_batches(ids, "conv_id", "pair_id")
+    padded = E.padded_batches(ids, "conv_id")
     return _as_text(padded, "pair_id", arrays=["input_ids", "labels"], others=["cls_labels"])
 
 
@@ -321,8 +328,8 @@ TAGS = f"""{ANNOTATED}, g AS (SELECT pair_id, {_tag_text("pos_tag", K.POS_TAGS)}
 
 
 def _padded_tags(x: str) -> str:
-    front = f"list_concat({C.repeated('0', '20')}, coalesce({x}, []))[1:64]"
-    return C.joined(C.padded(front, "64"))
+    front = f"list_concat({C.repeated('0', '20')}, coalesce({x}, []))[1:1024]"
+    return C.joined(C.padded(front, "1024"))
 
 
 @register(
@@ -331,7 +338,7 @@ def _padded_tags(x: str) -> str:
 FROM pairs LEFT JOIN g USING (pair_id)""",
 )
 def ex12(pairs: DataFrame) -> DataFrame:
-    arrays = E.tag_arrays(pairs, _annotations(pairs), "pair_id", length=64)
+    arrays = E.tag_arrays(pairs, _annotations(pairs), "pair_id")
     return _as_text(arrays, "pair_id", arrays=["pos_ids", "ner_ids"])
 
 

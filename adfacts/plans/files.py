@@ -19,8 +19,9 @@ from adfacts.sources import tables as S
     "SELECT job_title, job_ad_details, nation_short_desc, salary_additional_text, y_true FROM ads",
 )
 def io1(ads: DataFrame) -> DataFrame:
+    # As in real files: other columns as well, in another order.
     path = new_folder(ads.sparkSession, "ads-csv")
-    S.write_csv(ads, path, *S.SALARY_ADS.names)
+    S.write_csv(ads, path, "ad_id", *reversed(S.SALARY_ADS.names), "job_summary")
     return S.read_csv(ads.sparkSession, path, S.SALARY_ADS)
 
 

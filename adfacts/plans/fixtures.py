@@ -13,6 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from adfacts.constants import VOTE_LABELS
 from adfacts.session import spread_out
 
+# A label of one word that no other label has; the sparse vectors lack it.
+ABSENT_LABEL = next(
+    label for label in VOTE_LABELS if sum(label in other.split() for other in VOTE_LABELS) == 1
+)
 VOTE_WORDS = sorted({word for label in VOTE_LABELS for word in label.split()})
 
 
@@ -80,11 +84,42 @@ SELECT
       ELSE concat(cast(o_custkey % 90 + 10 AS string), '00-', cast(o_custkey % 90 + 20 AS string), '00-AUD-MONTHLY') END
     END AS y_pred
 FROM {orders}
+""",
+    "gappy_predictions": """
+SELECT row_id,
+  CASE WHEN row_id % 5 = 0 THEN NULL WHEN row_id % 5 = 1 THEN 'model_n' ELSE model END AS model,
+  prompt,
+  CASE WHEN row_id % 5 = 1 THEN NULL ELSE complete END AS complete,
+  CASE WHEN row_id % 5 = 1 THEN NULL ELSE y_pred END AS y_pred
+FROM {predictions}
+""",
+    "seniority_ads": """
+SELECT o_orderkey AS ad_id,
+  CASE o_orderkey % 6 WHEN 0 THEN '<b>Senior</b> Clerk' WHEN 1 THEN 'Graduate Analyst' WHEN 2 THEN 'Team Lead'
+    WHEN 3 THEN 'Junior Cook' WHEN 4 THEN NULL ELSE 'Clerk' END AS job_title,
+  CASE o_orderkey % 4 WHEN 0 THEN concat('<p>Word', cast(o_custkey % 500 AS string), '</p>') WHEN 1 THEN NULL
+    ELSE concat('word', cast(o_custkey % 900 AS string), ' as director') END AS job_summary,
+  CASE o_orderkey % 3 WHEN 0 THEN 'senior' WHEN 1 THEN 'graduate' ELSE 'director' END AS y_true
+FROM {orders}
+""",
+    "gappy_transcripts": """
+SELECT conv_id, cast(turn * 2 + turn % 3 AS int) AS idx,
+  CASE WHEN turn = 0 THEN 'User' WHEN turn % 2 = 0 THEN 'Critic'
+    ELSE CASE conv_id % 3 WHEN 0 THEN 'Salary' WHEN 1 THEN 'Seniority' ELSE 'Arrangement' END END AS name,
+  CASE WHEN turn = 0 THEN '[TASK: Salary] ad'
+    WHEN turn % 2 = 0 THEN CASE (conv_id + turn) % 3 WHEN 0 THEN '@Salary' WHEN 1 THEN 'unclear' ELSE 'TERMINATE' END
+    ELSE text END AS content
+FROM {conversations}
+""",
+    "rare_rows": """
+SELECT p_partkey AS row_id, p_name AS prompt,
+  concat(p_type, ' ', p_brand, ' ', cast(p_size AS string)) AS complete FROM {part}
 """,
     "attempts": """
 SELECT o.o_orderkey AS prompt_id, o.attempt,
   CASE o.o_orderkey % 3 WHEN 0 THEN 'Salary' WHEN 1 THEN 'Seniority' ELSE 'Work Arrangement' END AS task_type,
-  CASE WHEN o.attempt < 1 + o.o_orderkey % 8 THEN
+  CASE WHEN (o.o_orderkey * 5 + o.attempt) % 13 = 0 THEN NULL
+    WHEN o.attempt < 1 + o.o_orderkey % 8 THEN
       CASE (o.o_orderkey + o.attempt) % 4 WHEN 0 THEN 'I think so' WHEN 1 THEN 'x'
         WHEN 2 THEN '900-100-AUD-MONTHLY' ELSE '100-900-EUR-MONTHLY' END
     ELSE CASE o.o_orderkey % 3 WHEN 0 THEN 'Output: 100-900-AUD-MONTHLY done'
@@ -145,6 +180,10 @@ FROM {documents}
 """,
     "word_vectors": f"""
 SELECT {_word("vec_id")} AS word, embedding AS vector FROM {{embeddings}}
+""",
+    "sparse_word_vectors": f"""
+SELECT {_word("vec_id")} AS word, embedding AS vector FROM {{embeddings}}
+WHERE vec_id <> {VOTE_WORDS.index(ABSENT_LABEL)}
 """,
     "doc_words": f"""
 SELECT l_orderkey AS doc_id, {_word("l_partkey")} AS word FROM {{lineitem}}
@@ -180,7 +219,9 @@ def view(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> D
     if name in TABLES:
         return table(spark, sf_dir, name, spread)
     text = VIEWS[name]
-    tables = {t: table(spark, sf_dir, t, spread) for t in _used(text) if t in TABLES}
+    tables = {
+        t: view(spark, sf_dir, t, spread) for t in _used(text) if t in TABLES or t in VIEWS
+    }
     words = {k: v for k, v in SPARK_WORDS.items() if k in _used(text)}
     for word, value in words.items():
         text = text.replace("{" + word + "}", value)
@@ -189,15 +230,21 @@ def view(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> D
 
 def with_views(names: str, body: str) -> str:
     """``body`` behind the derived views it reads, as SQL for the checking engine."""
-    ctes = []
+    ctes: dict[str, str] = {}
+
+    def add(name: str) -> None:
+        text = VIEWS[name]
+        values = {t: t for t in (*TABLES, *VIEWS)} | DUCK_WORDS
+        for word in _used(text):
+            if word in VIEWS:
+                add(word)
+            text = text.replace("{" + word + "}", values[word])
+        ctes[name] = f"{name} AS ({text.strip()})"
+
     for name in names.split():
         if name in VIEWS:
-            text = VIEWS[name]
-            values = {t: t for t in TABLES} | DUCK_WORDS
-            for word in _used(text):
-                text = text.replace("{" + word + "}", values[word])
-            ctes.append(f"{name} AS ({text.strip()})")
-    ctes_text = ",\n".join(ctes)
+            add(name)
+    ctes_text = ",\n".join(ctes.values())
     if not ctes:
         return body
     if body.lstrip().upper().startswith("WITH "):

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adfacts.operators import scoring as S
 from adfacts.plans.registry import register
+from adfacts.session import pinned
 
 
 def _count_words():
@@ -22,10 +26,34 @@ def bs1(pairs: DataFrame) -> DataFrame:
     return S.score(pairs.select("pair_id", "prompt"), _count_words).select("pair_id", "y_pred")
 
 
+def _slow_batches():
+    """Stand-in that answers with the batch's own name, its size and the seconds it took."""
+
+    def answer(prompts: list[str]) -> list[str]:
+        started = time.perf_counter()
+        time.sleep(0.0005)
+        name = uuid.uuid4().hex
+        return [f"{name} {len(prompts)} {time.perf_counter() - started}"] * len(prompts)
+
+    return answer
+
+
 @register("bs2_row_time", "pairs", "SELECT pair_id, true AS timed FROM pairs")
 def bs2(pairs: DataFrame) -> DataFrame:
-    scored = S.score(pairs.select("pair_id", "prompt"), _count_words)
-    return scored.select("pair_id", (F.col("inference_time") >= 0).alias("timed"))
+    """Rows of a batch have one time; together no less than the model took, nor much more."""
+    scored = pinned(S.score(pairs.select("pair_id", "prompt"), _slow_batches))
+    spent = F.col("inference_time")
+    batch = F.split("y_pred", " ")
+    per_batch = scored.groupBy("y_pred").agg(
+        F.count_distinct(spent).alias("times"), F.count(spent).alias("rows"), F.sum(spent).alias("total"),
+    )
+    timed = (
+        (F.col("times") == 1)
+        & (F.col("rows") == batch[1].cast("int"))
+        & (F.col("total") >= batch[2].cast("double") - 1e-9)
+        & (F.col("total") <= batch[2].cast("double") + 1)
+    )
+    return scored.join(per_batch, "y_pred").select("pair_id", timed.alias("timed"))
 
 
 def _moody_caller():

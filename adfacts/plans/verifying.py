@@ -59,9 +59,10 @@ def _valid_arrangement(x: str) -> str:
 
 
 CHECKED = f"""cleaned AS (SELECT *, {_cleaned("direct")} AS cleaned FROM attempts),
-checked AS (SELECT *, CASE task_type WHEN 'Salary' THEN {_valid_salary("cleaned")}
+checked AS (SELECT *, CASE WHEN raw IS NULL THEN false ELSE CASE task_type
+  WHEN 'Salary' THEN {_valid_salary("cleaned")}
   WHEN 'Seniority' THEN {_valid_seniority("cleaned")}
-  WHEN 'Work Arrangement' THEN {_valid_arrangement("cleaned")} ELSE false END AS valid FROM cleaned)"""
+  WHEN 'Work Arrangement' THEN {_valid_arrangement("cleaned")} ELSE false END END AS valid FROM cleaned)"""
 CHOSEN = f"""{CHECKED},
 firsts AS (SELECT prompt_id, min(attempt) FILTER (valid AND attempt <= 5) AS f FROM checked GROUP BY 1),
 chosen AS (SELECT prompt_id,

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from adfacts.constants import VOTE_LABELS
 from adfacts.operators import vectors as V
+from adfacts.operators.evaluate import accuracy
 from adfacts.plans import checksql as C
 from adfacts.plans.registry import register
+from adfacts.session import pinned
 
 _LABEL_WORDS = ", ".join(
     f"({i}, {C.quoted(label)}, {C.quoted(word)})"
@@ -29,15 +31,31 @@ scores AS (SELECT d.doc_id, v.label_order, sum(v.cosine) AS score
   FROM doc_words d JOIN votes v USING (word) GROUP BY 1, 2),
 docs AS (SELECT DISTINCT doc_id FROM doc_words),
 dense AS (SELECT doc_id, label_order, label, coalesce(score, 0) AS score
-  FROM docs CROSS JOIN (SELECT DISTINCT label_order, label FROM label_words)
+  FROM docs CROSS JOIN (SELECT label_order, label FROM label_vectors)
   LEFT JOIN scores USING (doc_id, label_order)),
 shared AS (SELECT *, CASE WHEN sum(score) OVER w > 0 THEN score / sum(score) OVER w ELSE 0 END AS share
   FROM dense WINDOW w AS (PARTITION BY doc_id))"""
 
 
+PLACED = """placed AS (SELECT doc_id, label, row_number() OVER
+    (PARTITION BY doc_id ORDER BY round(share, 12) DESC, label_order) AS place FROM shared)"""
+# The words of an ad as the documents of the vote.
+AD_WORDS = f"""doc_words AS (SELECT ad_id AS doc_id, unnest(CASE WHEN len(t) > 0 THEN t ELSE [NULL] END) AS word
+  FROM (SELECT ad_id, {C.tokens(C.strip_tags_lowered("job_title", "job_summary"))} AS t FROM seniority_ads))"""
+
+
 def _scores(vectors: DataFrame, words: DataFrame) -> DataFrame:
-    votes = V.word_votes(vectors, V.label_vectors(vectors))
-    return V.label_scores(words, "doc_id", votes, len(VOTE_LABELS))
+    labels = pinned(V.label_vectors(vectors))
+    votes = V.word_votes(vectors, labels, len(VOTE_LABELS))
+    return V.label_scores(words, "doc_id", votes, labels, len(VOTE_LABELS))
+
+
+def _winners(vectors: DataFrame, words: DataFrame) -> DataFrame:
+    # Rounded, so that sums of the same votes in another order stay equal.
+    shares = F.transform(V.shares(F.col("scores")), lambda s: F.round(s, 12))
+    return _scores(vectors, words).select(
+        "doc_id", V.winner(shares, VOTE_LABELS).alias("seniority")
+    )
 
 
 @register(
@@ -76,14 +94,67 @@ def rx11(vectors: DataFrame, words: DataFrame) -> DataFrame:
 
 @register(
     "rx12_seniority_vote", "word_vectors doc_words",
-    f"""WITH {SCORES}, placed AS (SELECT doc_id, label, row_number() OVER
-    (PARTITION BY doc_id ORDER BY round(share, 12) DESC, label_order) AS place FROM shared)
-SELECT doc_id, label AS seniority FROM placed WHERE place = 1""",
+    f"WITH {SCORES}, {PLACED} SELECT doc_id, label AS seniority FROM placed WHERE place = 1",
     heavy=True,
 )
 def rx12(vectors: DataFrame, words: DataFrame) -> DataFrame:
-    # Rounded, so that sums of the same votes in another order stay equal.
-    shares = F.transform(V.shares(F.col("scores")), lambda s: F.round(s, 12))
-    return _scores(vectors, words).select(
-        "doc_id", V.winner(shares, VOTE_LABELS).alias("seniority")
-    )
+    return _winners(vectors, words)
+
+
+# The same with a label none of whose words has a vector.
+SPARSE = SCORES.replace("word_vectors", "sparse_word_vectors")
+
+
+@register(
+    "rx10_label_scores_sparse", "sparse_word_vectors doc_words",
+    f"WITH {SPARSE} SELECT doc_id, label, round(score, 6) AS score FROM dense WHERE score > 0",
+    heavy=True,
+)
+def rx10_sparse(vectors: DataFrame, words: DataFrame) -> DataFrame:
+    return rx10(vectors, words)
+
+
+@register(
+    "rx11_label_shares_sparse", "sparse_word_vectors doc_words",
+    f"WITH {SPARSE} SELECT doc_id, label, round(share, 6) AS share FROM shared",
+    heavy=True,
+)
+def rx11_sparse(vectors: DataFrame, words: DataFrame) -> DataFrame:
+    return rx11(vectors, words)
+
+
+@register(
+    "rx12_seniority_vote_sparse", "sparse_word_vectors doc_words",
+    f"WITH {SPARSE}, {PLACED} SELECT doc_id, label AS seniority FROM placed WHERE place = 1",
+    heavy=True,
+)
+def rx12_sparse(vectors: DataFrame, words: DataFrame) -> DataFrame:
+    return _winners(vectors, words)
+
+
+# --- the vote over whole ads -------------------------------------------------------------
+
+def _ad_words(ads: DataFrame) -> DataFrame:
+    return V.ad_words(ads, "ad_id", "job_title", "job_summary").withColumnRenamed("ad_id", "doc_id")
+
+
+@register(
+    "rx12_ad_vote", "word_vectors seniority_ads",
+    f"WITH {AD_WORDS}, {SCORES}, {PLACED} SELECT doc_id AS ad_id, label AS seniority FROM placed WHERE place = 1",
+    heavy=True,
+)
+def rx12_ads(vectors: DataFrame, ads: DataFrame) -> DataFrame:
+    return _winners(vectors, _ad_words(ads)).withColumnRenamed("doc_id", "ad_id")
+
+
+@register(
+    "rx12_ad_vote_accuracy", "word_vectors seniority_ads",
+    f"""WITH {AD_WORDS}, {SCORES}, {PLACED}
+SELECT round(avg((a.y_true = p.label)::INTEGER), 6) AS accuracy
+FROM placed p JOIN seniority_ads a ON a.ad_id = p.doc_id WHERE place = 1""",
+    heavy=True,
+)
+def rx12_accuracy(vectors: DataFrame, ads: DataFrame) -> DataFrame:
+    voted = rx12_ads(vectors, ads).join(ads.select("ad_id", "y_true"), "ad_id")
+    scored = accuracy(voted, truth="y_true", pred="seniority")
+    return scored.withColumn("accuracy", F.round("accuracy", 6))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
 
-    Only a local session may go without ``spark.checkpoint.dir``; it gets a new
-    temporary folder.
+    Only a local session may go without ``spark.checkpoint.dir``; it gets a new temporary
+    folder, which is deleted with the process.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -20,14 +22,25 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="adfacts-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
     if not context.getCheckpointDir():
         context.setCheckpointDir(root)
     return root or context.getCheckpointDir()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that no other run uses."""
-    return f"{shared_folder(spark).rstrip('/')}/adfacts/{name}-{uuid.uuid4().hex}"
+    """A path under the shared folder that no other run uses.
+
+    All of an application's are in one folder, which is deleted when the application ends.
+    """
+    context = spark.sparkContext
+    own = f"{shared_folder(spark).rstrip('/')}/adfacts/{context.applicationId}"
+    path = context._jvm.org.apache.hadoop.fs.Path(own)
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def pinned(df: DataFrame) -> DataFrame:

@@ -43,12 +43,19 @@ CSV = {
 def read_csv(
     spark: SparkSession, path: str, schema: StructType, spans_lines: bool = True
 ) -> DataFrame:
-    """A CSV with a header; columns are taken by place, an empty field is null.
+    """The columns of ``schema`` from a CSV with a header; an empty field is null.
 
-    Fields that span lines keep a file from being split; say ``spans_lines=False`` where no
-    field does.
+    Columns are taken by their name in the header; others are left out, an absent one is an
+    error, and so is a file of a folder whose header differs. Fields that span lines keep a file
+    from being split; say ``spans_lines=False`` where no field does.
     """
-    return spark.read.schema(schema).options(**CSV).csv(path, multiLine=spans_lines)
+    reader = spark.read.options(**CSV, multiLine=spans_lines)
+    header = reader.csv(path).schema
+    absent = [name for name in schema.names if name not in header.names]
+    if absent:
+        raise ValueError(f"{path} has no column {', '.join(absent)}")
+    rows = reader.schema(header).option("enforceSchema", False).csv(path)
+    return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
 
 
 def write_csv(df: DataFrame, path: str, *columns: str) -> None:

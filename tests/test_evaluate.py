@@ -87,6 +87,19 @@ def test_report_agrees_with_its_parts(results):
     assert sum(r["rows"] for r in report.values()) == results.count()
 
 
+def test_report_keeps_every_model(spark):
+    data = [
+        (None, "[TASK: Seniority]", "a", "a"), ("m", "[TASK: Seniority]", "a", "b"),
+        ("n", "[TASK: Salary]", None, None),
+    ]
+    df = spark.createDataFrame(data, "model string, prompt string, complete string, y_pred string")
+    report = {r["model"]: r for r in E.report(df).collect()}
+    assert set(report) == {None, "m", "n"}
+    assert report[None]["macro_f1"] == 1 and report["n"]["macro_f1"] is None
+    (whole,) = E.report(df, keys=()).collect()
+    assert whole["rows"] == 3 and whole["accuracy"] == pytest.approx(1 / 3)
+
+
 def test_position_sections(spark):
     from adfacts.operators import pairs as P
 

@@ -104,7 +104,7 @@ def test_encoding_past_the_frequent_tokens(spark, monkeypatch):
 def test_padded_batches(spark):
     rows = [(1, 1, [5, 6], [1, 1], [5, 6], None), (2, 1, [7], [1], None, 3), (3, 2, [8], [1], [8], 4)]
     schema = "id int, b int, input_ids array<int>, attention_mask array<int>, labels array<int>, cls_labels int"
-    out = {r["id"]: r for r in E.padded_batches(spark.createDataFrame(rows, schema), "b", "id").collect()}
+    out = {r["id"]: r for r in E.padded_batches(spark.createDataFrame(rows, schema), "b").collect()}
     assert out[2]["input_ids"] == [7, 0] and out[2]["attention_mask"] == [1, 0]
     assert out[2]["labels"] == [-100, -100] and out[1]["cls_labels"] == -100
     assert out[3]["input_ids"] == [8]

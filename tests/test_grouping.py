@@ -62,14 +62,24 @@ def test_spread_join_keeps_rows_and_spreads_a_hot_key(spark):
     assert "n" in left.columns and "_salt" not in left.columns
 
 
-def test_lookup_join_has_a_way_past_the_broadcast(spark, monkeypatch):
+def test_group_join_treats_nulls_alike_by_broadcast_and_by_shuffle(spark):
     df = spark.createDataFrame(hot_rows(), "g string, id long, x long")
-    sizes = df.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("g is not null").cache()
-    small = G.lookup_join(df, sizes, ["g"], ["id"], "left")
-    assert "BroadcastHashJoin" in small._jdf.queryExecution().toString()
-    monkeypatch.setattr(G, "BROADCAST_ROWS", 2)
-    large = G.lookup_join(df, sizes, ["g"], ["id"], "left")
-    columns = ["g", "id", "x", "n"]
-    assert sorted(map(str, small.select(columns).collect())) == sorted(
-        map(str, large.select(columns).collect())
-    )
+    sizes = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    small = G.group_join(df, F.broadcast(sizes), ["g"], "left")
+    large = G.group_join(df, sizes.hint("merge"), ["g"], "left")
+    spread = G.spread_join(df, sizes, ["g"], ["id"], "left")
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in large._jdf.queryExecution().executedPlan().toString()
+    assert small.columns == large.columns == spread.columns == ["g", "id", "x", "n"]
+    rows = sorted(map(str, small.collect()))
+    assert rows == sorted(map(str, large.collect())) == sorted(map(str, spread.collect()))
+    assert small.filter("g is null").select("n").distinct().collect()[0]["n"] == 2
+
+
+def test_only_hot_keys_are_copied(spark, monkeypatch):
+    monkeypatch.setattr(G, "SHARES", 10)
+    df = spark.createDataFrame(hot_rows(), "g string, id long, x long")
+    sizes = df.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    out = G.spread_join(df, sizes, ["g"], ["id"])
+    assert out.count() == df.count()
+    assert out.filter("g = 'hot'").select("n").distinct().collect()[0]["n"] == 2000

@@ -65,24 +65,30 @@ def test_seniority_vote_matches_a_plain_loop(spark):
     ads += [(20, "unheard of", "", ""), (21, None, None, None)]
     vectors = spark.createDataFrame(list(table.items()), "word string, vector array<double>")
     df = spark.createDataFrame(ads, "id int, job_title string, job_summary string, job_ad_details string")
-    labels = [x for x in VOTE_LABELS if any(w in table for w in x.split())]
+    del table["apprentice"], table["senior"]
+    vectors = spark.createDataFrame(list(table.items()), "word string, vector array<double>")
     means = {}
-    for label in labels:
+    for label in VOTE_LABELS:
         found = [table[w] for w in label.split() if w in table]
-        means[label] = [sum(x) / len(found) for x in zip(*found)]
+        if found:
+            means[label] = [sum(x) / len(found) for x in zip(*found)]
+    assert 3 < len(means) < len(VOTE_LABELS)
 
     def cosine(a, b):
         return sum(x * y for x, y in zip(a, b)) / (math.hypot(*a) * math.hypot(*b))
 
-    votes = V.word_votes(vectors, V.label_vectors(vectors, labels))
+    labels = V.label_vectors(vectors)
+    votes = V.word_votes(vectors, labels, len(VOTE_LABELS))
     words = V.ad_words(df, "id", "job_title", "job_summary", "job_ad_details")
-    scored = V.label_scores(words, "id", votes, len(labels)).select(
-        "id", V.shares(F.col("scores")).alias("shares"), V.winner(F.col("scores"), labels).alias("label")
+    scored = V.label_scores(words, "id", votes, labels, len(VOTE_LABELS)).select(
+        "id", V.shares(F.col("scores")).alias("shares"), V.winner(F.col("scores"), VOTE_LABELS).alias("label")
     )
+    rows = V.by_label(scored, "id", "shares", VOTE_LABELS, "share")
+    assert {r["label"] for r in rows.collect()} == set(means)
     out = {r["id"]: r for r in scored.collect()}
     assert set(out) == set(range(22))
     for i, title, *_ in ads:
-        scores = dict.fromkeys(labels, 0.0)
+        scores = dict.fromkeys(means, 0.0)
         for word in (title or "").split():
             if word in table and any(table[word]):
                 for label, mean in means.items():
@@ -91,9 +97,9 @@ def test_seniority_vote_matches_a_plain_loop(spark):
                         scores[label] += similarity
         total = sum(scores.values())
         shares = [s / total if total else 0.0 for s in scores.values()]
-        assert out[i]["shares"] == pytest.approx(shares)
+        assert [s for s in out[i]["shares"] if s is not None] == pytest.approx(shares)
         assert out[i]["label"] == max(scores, key=scores.get)
-    assert out[21]["label"] == labels[0] and sum(out[21]["shares"]) == 0
+    assert out[21]["label"] == "experienced" and set(out[21]["shares"]) == {0.0, None}
 
 
 # --- scoring -----------------------------------------------------------------------------
@@ -184,12 +190,12 @@ def test_first_valid(spark):
     rows += [(2, k, "Salary", good if k == 6 else bad) for k in range(1, 7)]
     rows += [(3, k, "Salary", None if k == 1 else good) for k in range(1, 7)]
     rows += [(4, k, "default", f"raw {k}") for k in range(1, 7)]
-    rows += [(5, 1, "Seniority", "a Lead role")]
+    rows += [(5, 1, "Seniority", "a Lead role"), (6, 1, "Salary", "")]
     df = spark.createDataFrame(rows, "prompt_id int, attempt int, task_type string, raw string")
     out = {r["prompt_id"]: tuple(r)[1:] for r in Y.first_valid(Y.checked(df)).collect()}
-    # No answer cleans to "no salary", which is a valid answer.
+    # An attempt that raised is a failure; an empty answer cleans to "no salary", which is valid.
     assert out == {
-        1: (good, True, 2), 2: (good, False, 5), 3: ("0-0-None-None", True, 0),
+        1: (good, True, 2), 2: (good, False, 5), 3: (good, True, 1), 6: ("0-0-None-None", True, 0),
         4: ("raw 6", False, 5), 5: ("lead", True, 0),
     }
 
@@ -213,6 +219,29 @@ def test_attempt_until_valid_asks_only_what_is_open(spark):
     assert Y.total_re_attempts(Y.first_valid(attempts)).collect()[0][0] == 6
 
 
+def test_a_call_that_raises_is_a_failed_attempt(spark):
+    def answerer_for(attempt):
+        def make():
+            def answer(prompts):
+                if attempt < 3:
+                    raise ConnectionError
+                return ["remote"] * len(prompts)
+
+            return answer
+
+        return make
+
+    df = spark.createDataFrame([(1, "[TASK: Work Arrangement] 1")], "prompt_id int, prompt string")
+    attempts = Y.attempt_until_valid(df, answerer_for)
+    assert [tuple(r)[1:] for r in Y.first_valid(attempts).collect()] == [("Remote", True, 2)]
+
+
+def test_a_batch_needs_an_answer_per_prompt(spark):
+    df = spark.range(4).select("id", F.lit("p").alias("prompt")).coalesce(1)
+    with pytest.raises(Exception, match="3 answers to 4 prompts"):
+        S.score(df, lambda: lambda prompts: ["x"] * 3, batch_size=4).collect()
+
+
 # --- transcripts ----------------------------------------------------------------------------
 
 
@@ -238,10 +267,12 @@ def test_final_answers_and_rounds(spark):
 def test_speaker_audit(spark):
     rows = chat(1, ("User", "[TASK: Seniority]"), ("Seniority", "x"), ("Critic", "unclear"), ("Salary", None))
     rows += chat(2, ("User", "hello"))
+    rows += [(3, 0, "User", "[TASK: Salary]"), (3, 2, "Salary", "x"), (3, 7, "Critic", "TERMINATE")]
     df = spark.createDataFrame(rows, "conv_id int, idx int, name string, content string")
     out = {(r["conv_id"], r["idx"]): (r["expected_next"], r["actual_next"]) for r in T.speaker_audit(df).collect()}
     assert out == {(1, 0): ("Seniority", "Seniority"), (1, 1): ("Critic", "Critic"), (1, 2): ("END", "Salary"),
-                   (1, 3): ("Critic", "END"), (2, 0): ("END", "END")}
+                   (1, 3): ("Critic", "END"), (2, 0): ("END", "END"),
+                   (3, 0): ("Salary", "Salary"), (3, 2): ("Critic", "Critic"), (3, 7): ("END", "END")}
     rows = chat(1, ("Planner", "[TASK: Salary]"), ("Planner", "no idea"), ("Critic", "unclear"),
                 ("Planner", "SENIORITY and ARRANGEMENT"), ("Seniority", "x"), ("Critic", "TERMINATE @Salary"))
     df = spark.createDataFrame(rows, "conv_id int, idx int, name string, content string")

@@ -22,6 +22,8 @@ COMPENSATIONS = [
     (heading("Compensation", "700"), None, (700, 700)),
     ("<h3>Compensation</h3> no paragraph follows", "AUS", (None, None)),
     ("<h3>Compensation</h3><p>12", "AUS", (12, 12)),
+    (heading("Compensation Range", "12345678901234567890123 to 5,000"), "AUS", (5000, 5000)),
+    (heading("Compensation", "12345678901234567890123 or 7"), "PH", (7, 7)),
 ]
 
 

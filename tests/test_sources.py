@@ -20,6 +20,16 @@ def test_csv_round_trip_keeps_every_character(spark, tmp_path):
     assert sorted(map(tuple, back.collect()), key=str) == sorted(ADS, key=str)
 
 
+def test_csv_columns_are_taken_by_name(spark, tmp_path):
+    df = spark.createDataFrame([(7, *row) for row in ADS], "job_id int, " + ", ".join(f"{n} string" for n in S.SALARY_ADS.names))
+    S.write_csv(df, str(tmp_path / "more"), "job_id", *reversed(S.SALARY_ADS.names))
+    back = S.read_csv(spark, str(tmp_path / "more"), S.SALARY_ADS)
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(ADS, key=str)
+    S.write_csv(df, str(tmp_path / "less"), "job_id", "job_title")
+    with pytest.raises(ValueError, match="no column job_ad_details"):
+        S.read_csv(spark, str(tmp_path / "less"), S.SALARY_ADS)
+
+
 def test_all_ad_tables_read_by_their_schema(spark, tmp_path):
     for name, schema in (("seniority", S.SENIORITY_ADS), ("arrangement", S.ARRANGEMENT_ADS)):
         rows = [tuple(f"{c}\n{i}" for c in schema.names) for i in range(3)]

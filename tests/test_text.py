@@ -24,6 +24,7 @@ HTML_CASES = [
     ("Tom &amp; Jerry &lt;b&gt;", "Tom & Jerry <b>"),
     ("&amp;lt;", "&lt;"),
     ("&euro;5 &eacute;t&eacute &unknown; R&D &", "€5 été &unknown R&D &"),
+    ("it&apos;s &lbrace;x&rbrace; &hellip; &NotEqualTilde; &AMP;", "it's {x} … ≂̸ &"),
     ("&#8364; &#x20AC; &#128640; &#150; &#0; &#99999999999999999999;", "€ € 🚀 – � �"),
     ("\xa0 <p>\xa0a\xa0b\xa0</p>", "a\xa0b"),
     ("<p>&nbsp;x&nbsp;y&nbsp;</p>", "x\xa0y"),
