@@ -16,6 +16,8 @@ WORD_BYTES = bytes(
     for b in range(256)
 )
 WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Begins the names of columns that are added to documents for a while.
+OWN = "_llm_"
 # The largest table that is broadcast, in rows of a key and a few numbers.
 BROADCAST_ROWS = 100_000
 
@@ -44,22 +46,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
-    """Equal in all keys, where a null equals a null."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def with_group_values(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     """Each row with the values of its group; null keys are a group of their own.
 
     ``groups`` has a row per key. Up to ``BROADCAST_ROWS`` groups are broadcast, after they
     have been counted; more are joined by key, where Spark splits the rows of a hot key.
     """
-    groups = written(groups, "groups").withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    names = {k: f"{OWN}of_{k}" for k in keys}
+    groups = written(groups, "groups").withColumnsRenamed(names)
     if groups.count() <= BROADCAST_ROWS:
         groups = F.broadcast(groups)
-    match = reduce(lambda a, b: a & b, [df[k].eqNullSafe(groups[f"_of_{k}"]) for k in keys])
-    return df.join(groups, match, "left").drop(*[f"_of_{k}" for k in keys])
+    match = reduce(lambda a, b: a & b, [df[k].eqNullSafe(groups[names[k]]) for k in keys])
+    return df.join(groups, match, "left").drop(*names.values())
 
 
 def text_key() -> Column:
@@ -67,6 +65,16 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull())
 
 
+def decided(docs: DataFrame, keys: DataFrame, how: str, key: Column) -> DataFrame:
+    """Documents that are (``left_semi``) or are not (``left_anti``) among ``keys``.
+
+    ``keys`` has doc_id and, second, the value of ``key`` for a document; null ids are equal.
+    """
+    keys = keys.toDF(f"{OWN}id", f"{OWN}of").distinct()
+    match = docs["doc_id"].eqNullSafe(F.col(f"{OWN}id")) & (F.col(f"{OWN}key") == F.col(f"{OWN}of"))
+    return docs.withColumn(f"{OWN}key", key).join(keys, match, how).drop(f"{OWN}key")
+
+
 def fold(doc_id: str, parts: int) -> Column:
     """crc32 of an id as text, modulo ``parts``; -1 for a null id."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % parts, F.lit(-1))

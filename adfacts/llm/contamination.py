@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adfacts.llm.common import WORD_PATTERN, table, text_key, words, written
+from adfacts.llm.common import WORD_PATTERN, decided, table, text_key, words, written
 
 WINDOW = 10
 SLACK = 2
@@ -266,10 +266,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Documents that hold no passage of an item."""
-    found = contaminated(docs, items).select(F.col("doc_id").alias("_id"), F.col("_key").alias("_of"))
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of"))
-    kept = docs.withColumn("_key", text_key()).join(found.distinct(), match, "left_anti")
-    return kept.drop("_key")
+    found = contaminated(docs, items).select("doc_id", "_key")
+    return decided(docs, found, "left_anti", text_key())
 
 
 def op1_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adfacts.llm.common import table, with_group_values, written
+from adfacts.llm.common import OWN, table, with_group_values, written
 
 # Larger means are the sum of several draws with a mean of at most this: exp(-mean) stays exact.
 LARGEST_MEAN = 32.0
@@ -111,15 +111,18 @@ def mixed(
     sizes = written(source_sizes(docs), "sizes")
     if targets is None:
         targets = tempered_targets(sizes, temperature)
-    rates = with_distribution(repetition_rates(sizes, targets))
-    drawn = with_group_values(docs, rates.drop("rate", "_mean"), ["source"])
-    count = copies(F.col("doc_id"), F.col("_draws"), F.col("_sums"))
+    rates = with_distribution(repetition_rates(sizes, targets)).select(
+        "source", F.col("_draws").alias(f"{OWN}draws"), F.col("_sums").alias(f"{OWN}sums")
+    )
+    own = [f"{OWN}{c}" for c in ("draws", "sums", "copies")]
+    count = copies(F.col("doc_id"), F.col(own[0]), F.col(own[1]))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     return (
-        drawn.withColumn("_copies", count)
-        .filter(F.col("_copies") > 0)
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .drop("_copies", "_draws", "_sums")
+        with_group_values(docs, rates, ["source"])
+        .withColumn(own[2], count)
+        .filter(F.col(own[2]) > 0)
+        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(own[2]))))
+        .drop(*own)
         .withColumn("shuffle_key", _hashed(F.lit("order"), name, F.col("copy")))
         .repartition("shuffle_key")
         .sortWithinPartitions("shuffle_key")

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adfacts.llm.common import table, words, written
+from adfacts.llm.common import OWN, decided, table, words, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -312,13 +312,11 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def one_of_each(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One document of each class of near copies."""
-    kept = classes(docs, least).filter("stays").select(
-        F.col("doc_id").alias("_id"), F.col("copy").alias("_of")
-    )
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_copy") == F.col("_of"))
+    kept = classes(docs, least).filter("stays").select("doc_id", "copy")
+    key = f"{OWN}copy"
     return (
-        docs.withColumn("_copy", copy_key()).join(kept.distinct(), match, "left_semi")
-        .dropDuplicates(["doc_id", "_copy"]).drop("_copy")
+        decided(docs.withColumn(key, copy_key()), kept, "left_semi", F.col(key))
+        .dropDuplicates(["doc_id", key]).drop(key)
     )
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adfacts.llm.common import table, text_key, with_group_values, words, written
+from adfacts.llm.common import decided, table, text_key, with_group_values, words, written
 
 SAMPLE = 20_000
 TERMS = 20_000
@@ -308,14 +308,8 @@ def scored(
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that are neither of low quality nor toxic."""
-    rejected = (
-        scored(docs, labels, F.col("source"), F.col("lang"))
-        .filter(~F.col("keep"))
-        .select(F.col("doc_id").alias("_id"), F.col("_key").alias("_of"))
-        .distinct()
-    )
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of"))
-    return docs.withColumn("_key", text_key()).join(rejected, match, "left_anti").drop("_key")
+    rejected = scored(docs, labels, F.col("source"), F.col("lang")).filter(~F.col("keep"))
+    return decided(docs, rejected.select("doc_id", "_key"), "left_anti", text_key())
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
