@@ -94,22 +94,31 @@ def signatures(terms: np.ndarray) -> dict[int, list[int]]:
     """Per rate (as a power of one half) the 16-bit hashes of the subsets; 0 for an empty one."""
     middle = max(round(float(np.log2(len(terms)))), 0)
     levels = range(middle, middle + 3)
-    held: dict[tuple[int, int], list[bytes]] = {}
+    parts = []
     for start in range(0, len(terms), PIECE):
         piece = terms[start:start + PIECE]
-        for j, seed in enumerate(SEEDS):
-            drawn = _mixed(piece ^ seed)
-            for level in levels:
-                chosen = piece[(drawn & np.uint64((1 << level) - 1)) == 0]
-                if len(chosen):
-                    held.setdefault((level, j), []).append(chosen.tobytes())
-    return {
-        level: [
-            (xxhash.xxh32_intdigest(b"".join(held[level, j])) % 65535 + 1) if (level, j) in held else 0
-            for j in range(SUBSETS)
+        drawn = _mixed(SEEDS[:, None] ^ piece)
+        # Members at the highest rate; those at the others are among them.
+        subset, at = np.nonzero((drawn & _low_bits(middle)) == 0)
+        parts.append((subset, piece[at], drawn[subset, at]))
+    subset, members, drawn = (np.concatenate(p) for p in zip(*parts))
+    if len(parts) > 1:
+        order = np.argsort(subset, kind="stable")
+        subset, members, drawn = subset[order], members[order], drawn[order]
+    found = {}
+    for level in levels:
+        chosen = (drawn & _low_bits(level)) == 0
+        data = members[chosen].tobytes()
+        ends = (8 * np.searchsorted(subset[chosen], np.arange(SUBSETS + 1))).tolist()
+        found[level] = [
+            xxhash.xxh32_intdigest(data[i:j]) % 65535 + 1 if j > i else 0
+            for i, j in zip(ends, ends[1:])
         ]
-        for level in levels
-    }
+    return found
+
+
+def _low_bits(level: int) -> np.uint64:
+    return np.uint64((1 << level) - 1)
 
 
 def fingerprint(text: str, band: np.ndarray) -> str:
