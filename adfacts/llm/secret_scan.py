@@ -160,6 +160,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     Overlapping spans are replaced as one, by the kind that starts first.
     """
+    docs = docs.withColumn("n_chars", F.col("n_chars").cast("long"))
     others = [c for c in docs.columns if c not in ("text", "n_chars")]
     schema = docs.schema
 
@@ -187,7 +188,7 @@ def redacted(docs: DataFrame) -> DataFrame:
                 [columns[f.name] for f in schema], names=[f.name for f in schema]
             )
 
-    return docs.withColumn("n_chars", F.col("n_chars").cast("long")).mapInArrow(scan, schema)
+    return docs.mapInArrow(scan, schema)
 
 
 def _listed(found: str) -> Column:
