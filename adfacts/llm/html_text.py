@@ -44,15 +44,22 @@ DROPPED = RAW | {
     "nav", "footer", "aside", "form", "button", "select", "input", "option", "menu", "dialog", "head",
     "svg", "canvas", "object", "audio", "video", "map", "applet", "fieldset", "datalist", "math",
 }
+# A name of a class, an id or a role that marks what is no article; parts of names are set apart
+# by "-", "_" or a capital.
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|popup|modal|overlay|cookies?|consent|gdpr|"
-    r"notices?|alert|newsletter|subscri\w*|signup|login|nav\w*|menus?|breadcrumbs?|sidebar|side|toolbar|"
-    r"comments?|disqus|replies|respond|reactions|footer|foot|masthead|site-?header|page-?header|topbar|"
-    r"related|recommend\w*|share|sharing|social|widget|pagination|pager|skip|search|tags|"
-    r"navigation|complementary|contentinfo|search|banner|alertdialog)(?:$|[\s_-])",
+    r"(?:^|[_-])(?:ads?|adbox|adslot|adsense|adsbygoogle|advert\w*|sponsor\w*|promo\w*|banner\w*|popup\w*|"
+    r"modal|overlay|cookie\w*|consent\w*|gdpr|privacy|notices?|notification\w*|alerts?|alertdialog|newsletter\w*|"
+    r"subscri\w*|signup|signin|login|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|aside|toolbar\w*|"
+    r"comment\w*|disqus\w*|discussion|responses|replies|respond|reactions|foot|footer\w*|masthead|topbar|"
+    r"related\w*|recommend\w*|shar(?:e|ing)\w*|social\w*|widget\w*|pagination|pager|skip|search\w*|tags|"
+    r"complementary|contentinfo)(?:$|[_-])",
     re.I,
 )
-COMMENT = re.compile(r"(?:^|[\s_-])(?:comments?|repl(?:y|ies))(?:$|[\s_-])", re.I)
+COMMENT = re.compile(r"(?:^|[_-])(?:comments?|repl(?:y|ies))(?:$|[_-])", re.I)
+# Names of what holds the article, and of a state that says nothing of the element itself.
+HOLDS = re.compile(r"^(?:(?:\w+-)?(?:content|main|body)|article|post|entry|story)$", re.I)
+STATE = re.compile(r"^(?:has|with|no|is|hide|show)[_-]", re.I)
+CAPITAL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PAGE_HEAD = re.compile(r"(?:^|[\s_-])header(?:$|[\s_-])", re.I)
 # A tag that begins closes an open one of these, up to the nearest container.
 CLOSES = {
@@ -66,6 +73,8 @@ PARAGRAPH_ENDS = {
     "menu", "nav", "ol", "p", "pre", "section", "table", "ul",
 }
 SPACE = re.compile(r"\s+")
+# Share of link text from which a block of several links is a menu.
+MENU_SHARE = 0.8
 
 
 class Node:
@@ -89,7 +98,10 @@ def _is_marked(attributes: str, tag: str) -> bool:
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
         if name in ("class", "id", "role") and tag not in ("html", "body", "main"):
-            if (COMMENT if tag == "article" else MARKED).search(value):
+            names = [n for n in CAPITAL.sub("-", value).split() if not STATE.match(n)]
+            if any(HOLDS.match(n) for n in names):
+                return False
+            if any((COMMENT if tag == "article" else MARKED).search(n) for n in names):
                 return True
     return False
 
@@ -174,6 +186,8 @@ def densities(root: Node) -> list[Node]:
         stack.extend(p for p in node.parts if isinstance(p, Node) and not p.dropped)
     order.reverse()
     for node in order:
+        node.chars = node.tags = node.link_chars = node.links = 0
+        node.density = node.total = 0.0
         for part in node.parts:
             if isinstance(part, str):
                 node.chars += _visible(part)
@@ -251,10 +265,19 @@ def blocks(node: Node) -> list[str]:
     return [t for t in texts if t]
 
 
+def _drop_menus(root: Node) -> None:
+    """Leave out blocks of several links and hardly any other text."""
+    for node in densities(root):
+        if node.tag in ("ul", "ol", "div", "section", "table") and node.links > 1:
+            node.dropped = node.link_chars > MENU_SHARE * node.chars
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    return "\n".join(blocks(article(parsed(page))))
+    root = parsed(page)
+    _drop_menus(root)
+    return "\n".join(blocks(article(root)))
 
 
 def with_text(pages: DataFrame) -> DataFrame:

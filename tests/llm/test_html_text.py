@@ -25,6 +25,12 @@ PAGES = {
     f"<header><h1>Site name</h1>{MENU}</header><div><p>{LONG}</p><p>{LONG}</p></div>": f"{WANT}\n{WANT}",
     f"<article><p>&eacute;&#233;&#xe9; &lt;b&gt; &unknown; R&D</p><p>{LONG}</p></article>":
         f"ééé <b> &unknown; R&D\n{WANT}",
+    f'<div class="page has-sidebar"><div class="postBody"><h1>Head</h1><p>{LONG}</p>{MENU}<p>{LONG}</p></div>'
+    f'<div class="siteFooter"><p>{LONG}</p></div><div id="userComments"><p>{LONG}</p></div></div>':
+        f"Head\n{WANT}\n{WANT}",
+    f'<div class="content"><p>{LONG}</p><div><a href="/1">One page</a> | <a href="/2">Another page</a></div>'
+    f'<p>see <a href="/x">this link</a></p><div class="cookie-banner">We use them</div></div>':
+        f"{WANT}\nsee this link",
     f"<article><table><tr><td>cell one<td>cell two</table><p>{LONG}</p><p hidden>secret</p></article>":
         f"cell one\ncell two\n{WANT}",
 }
