@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+FEW_SPLITS = 32
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as the session names it.
 
@@ -57,7 +60,9 @@ def spread_out(df: DataFrame) -> DataFrame:
     """A source over all cores, for much work per row on fewer splits than cores.
 
     An array of records or a CSV whose fields span lines is read by one task per file. A
-    source with enough splits, as any large one has, is returned as it is.
+    source with enough splits is returned as it is, and so is one of ``FEW_SPLITS`` or more,
+    however many cores there are: moving that much text costs more than it gains.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < min(cores, FEW_SPLITS) else df
