@@ -80,3 +80,19 @@ def test_scans_read_only_what_is_used(spark):
 
 def test_entry_is_salary_facts(spark):
     assert entry.entry(spark).columns == ["ad_id", "y_true", "y_pred"]
+
+
+@pytest.mark.parametrize(
+    "name, scans, exchanges",
+    [("ch2_speaker_audit", 1, 1), ("ch3_final_answers", 1, 1), ("ch4_rounds_used", 1, 1), ("sc1_softmax", 2, 4)],
+)
+def test_few_passes_over_the_source(spark, name, scans, exchanges):
+    plan = plan_of(spark, name)
+    assert plan.count("FileScan parquet") <= scans
+    assert len(re.findall(r"Exchange hashpartitioning", plan)) <= exchanges
+
+
+def test_encoding_tokenises_once_per_use(spark):
+    plan = plan_of(spark, "ex1_encoded")
+    assert "FileScan parquet" not in plan  # the tokens and the vocabulary are written tables
+    assert plan.count("Generate posexplode") == 0
