@@ -10,14 +10,17 @@ draw ``ORDERED_SHORT`` labels, those of fewer than ``LONG`` only those: any two
 
 The similarity of two texts is the longest common subsequence of labels over the labels of
 both, the order-sensitive Jaccard. At ``SIMILARITY`` it limits how far an alignment may leave the
-diagonal; labels that meet beyond that band are left out.
+diagonal; labels that meet beyond that band are left out. It also limits how many labels only one
+of two texts may have, and the bits in which the parity bitmaps of two texts differ are never
+more than these: pairs over the limit are left out before any text is read, and none is lost.
 
 Exact copies are one text from the start. Texts with an equal sketch are a bucket. A bucket
-elects as hub the text that shares most buckets with others and only compares its members to
-the hub; members that are not similar to it elect another hub, and so on; when the pairs that
-are left number no more than the texts, all of those are compared. So a bucket of thousands costs a
-comparison per member and round, never all pairs, and no member is left uncompared. Connected
-components of the verified links are the classes.
+elects as hub the text that shares most buckets with others and compares its members to it; those
+of another class than the hub elect the next, as long as a round links one text in a hundred.
+What is left are pairs in a bucket whose texts are not yet known to be of one class: all of those
+within the limits above are compared. So a bucket of thousands costs a comparison per member, not
+all pairs, and no pair of a bucket that could join two classes is left out. Connected components
+of the verified links are the classes.
 
 Every step is a shuffle by text, bucket or class: texts of pairs are joined and streamed, none is
 gathered. Joins of hot buckets, hubs and classes are inner or left joins that Spark splits.
@@ -144,75 +147,132 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
     return common / (both - common) if common >= need else 0.0
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """Bitmap of at least two bits per label: which bits an odd number of labels hash to.
+
+    Its size is a power of two, so that a larger one folds onto a smaller one.
+    """
+    size = 64
+    while size < 2 * len(found):
+        size *= 2
+    odd = np.bincount((found >> np.uint64(17)).astype(np.int64) & (size - 1), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def copy_key() -> Column:
     """What exact copies have in common."""
     return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, copy, n, sketches) of every document, written once."""
+    """(doc_id, copy, n, sketches, bits) of every document, written once."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    longs = pa.list_(pa.int64())
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, drawn = [], []
-            for text in batch.column("text"):
-                found = labels(text.as_py())
-                n.append(len(found))
-                drawn.append(sketches(found).view(np.int64))
+            found = [labels(text.as_py()) for text in batch.column("text")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("copy"), pa.array(n, pa.int64()),
-                 pa.array(drawn, pa.list_(pa.int64()))],
-                names=["doc_id", "copy", "n", "sketches"],
+                [batch.column("doc_id"), batch.column("copy"),
+                 pa.array([len(f) for f in found], pa.int64()),
+                 pa.array([sketches(f).view(np.int64) for f in found], longs),
+                 pa.array([parity(f) for f in found], longs)],
+                names=["doc_id", "copy", "n", "sketches", "bits"],
             )
 
     read = docs.select("doc_id", copy_key().alias("copy"), F.col("text").cast("binary").alias("text"))
-    return written(
-        read.mapInArrow(sketch, f"doc_id {kind}, copy binary, n long, sketches array<long>"), "sketches"
-    )
+    schema = f"doc_id {kind}, copy binary, n long, sketches array<long>, bits array<long>"
+    return written(read.mapInArrow(sketch, schema), "sketches")
 
 
-def _hub_pairs(members: DataFrame) -> DataFrame:
-    """(bucket, copy, n, weight, hub, hub_n): members with the heaviest text of their bucket."""
-    hubs = members.groupBy("bucket").agg(
-        F.max(F.struct("weight", "copy", "n")).alias("_hub"), F.count(F.lit(1)).alias("_size")
-    ).filter(F.col("_size") > 1).select(
-        "bucket", F.col("_hub.copy").alias("hub"), F.col("_hub.n").alias("hub_n")
+def _within(bits: str, n: str, other_bits: str, other_n: str, least: float) -> Column:
+    """Whether two texts could be as similar as ``least``, by their sizes and bitmaps."""
+    a, b = F.col(bits), F.col(other_bits)
+    both = F.col(n) + F.col(other_n)
+
+    def folded(x: Column, size: Column) -> Column:
+        halves = F.zip_with(
+            F.slice(x, 1, size), F.slice(x, size + 1, size), lambda p, q: p.bitwiseXOR(q)
+        )
+        return F.when(F.size(x) > size, halves).otherwise(x)
+
+    size = F.least(F.size(a), F.size(b))
+    apart = F.aggregate(
+        F.zip_with(folded(a, size), folded(b, size), lambda p, q: F.bit_count(p.bitwiseXOR(q))),
+        F.lit(0), lambda total, x: total + x,
     )
-    return members.join(hubs, "bucket").filter(F.col("copy") != F.col("hub"))
+    # Sizes in this ratio have bitmaps of the same size or of the double.
+    close = F.least(n, other_n) >= F.greatest(n, other_n) * least - 1e-9
+    return close & (apart <= both * (1 - 2 * least / (1 + least)) + 1e-9)
 
 
 def _weighted(reps: DataFrame) -> DataFrame:
-    """(bucket, copy, n, weight) of buckets with several texts; weight is what a text shares."""
-    rows = reps.select("copy", "n", F.explode("sketches").alias("bucket"))
+    """(bucket, copy, n, bits, weight) of buckets with several texts; weight is what a text shares."""
+    rows = reps.select("copy", F.explode("sketches").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > 1)
     members = written(rows.join(shared, "bucket"), "members")
     weights = members.groupBy("copy").agg(F.sum("_size").alias("weight"))
-    return written(members.drop("_size").join(weights, "copy"), "weighted")
+    of_text = weights.join(reps.select("copy", "n", "bits"), "copy")
+    return written(members.drop("_size").join(of_text, "copy"), "weighted")
+
+
+def _to_hubs(members: DataFrame) -> DataFrame:
+    """Members with the heaviest text of their bucket."""
+    hubs = members.groupBy("bucket").agg(
+        F.max(F.struct("weight", "copy", "n", "bits")).alias("_hub")
+    ).select(
+        "bucket", F.col("_hub.copy").alias("hub"), F.col("_hub.n").alias("hub_n"),
+        F.col("_hub.bits").alias("hub_bits"), F.col("_hub.weight").alias("hub_weight"),
+    )
+    return members.join(hubs, "bucket").filter(F.col("copy") != F.col("hub"))
+
+
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(copy, label): texts of one label are known to be of one class.
+
+    A text takes the heaviest hub it is linked to, if heavier than itself, and its label.
+    """
+    own = members.select("copy", "weight").distinct()
+    hubs = links.groupBy("copy").agg(F.max(F.struct("hub_weight", "hub")).alias("_hub"))
+    heavier = F.struct("hub_weight", "hub") > F.struct("weight", "copy")
+    first = written(
+        own.join(hubs, "copy", "left").select("copy", "weight", "_hub.*").select(
+            "copy", F.when(heavier, F.col("hub")).otherwise(F.col("copy")).alias("label")
+        ),
+        "labels",
+    )
+    of_label = first.select(F.col("copy").alias("label"), F.col("label").alias("_next"))
+    return written(first.join(of_label, "label").select("copy", F.col("_next").alias("label")), "labels")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(copy, hub) of the pairs that are similar."""
+    """(copy, hub, hub_weight) of the pairs that are similar."""
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, of_hub = None, None
         for batch in batches:
             keep = []
-            for hub, text, other in zip(
-                *(batch.column(c) for c in ("hub", "text", "hub_text"))
-            ):
+            for hub, text, other in zip(*(batch.column(c) for c in ("hub", "text", "hub_text"))):
                 if hub.as_py() != last:
                     last, of_hub = hub.as_py(), labels(other.as_py())
                 keep.append(similarity(labels(text.as_py()), of_hub, least) >= least)
-            yield batch.select(["copy", "hub"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["copy", "hub", "hub_weight"]).filter(pa.array(keep, pa.bool_()))
 
     of_hub = texts.select(F.col("copy").alias("hub"), F.col("text").alias("hub_text"))
     both = pairs.join(texts, "copy").join(of_hub, "hub")
-    return both.select("copy", "hub", "text", "hub_text").mapInArrow(align, "copy binary, hub binary")
+    return written(
+        both.select("copy", "hub", "hub_weight", "text", "hub_text").mapInArrow(
+            align, "copy binary, hub binary, hub_weight long"
+        ),
+        "links",
+    )
 
 
 def similar_links(docs: DataFrame, reps: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(copy, hub): verified links between different texts that hold the classes together."""
+    """(copy, hub): verified links between different texts that hold the classes together.
+
+    ``reps`` has copy, n, sketches and bits of every different text.
+    """
     members = _weighted(reps)
     involved = members.select("copy").distinct()
     texts = written(
@@ -222,46 +282,44 @@ def similar_links(docs: DataFrame, reps: DataFrame, least: float = SIMILARITY) -
         "texts",
     )
     n_texts = texts.count()
-    near = F.least("n", "hub_n") >= F.greatest("n", "hub_n") * least - 1e-9
-    links = None
+    within = _within("bits", "n", "hub_bits", "hub_n", least)
+    ends = ["copy", "hub", "hub_weight"]
+    open_members, links = members, None
     while True:
-        left = members.groupBy("bucket").agg(F.count(F.lit(1)).cast("double").alias("k")).agg(
-            F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("pairs")
-        ).first()["pairs"] or 0
-        if not left:
-            break
-        last = left <= n_texts
-        if last:
-            other = members.select("bucket", F.col("copy").alias("hub"), F.col("n").alias("hub_n"))
-            compared = members.join(other, "bucket").filter(F.col("copy") < F.col("hub"))
-        else:
-            compared = _hub_pairs(members)
-        compared = written(compared.filter(near), "compared") if last else written(compared, "compared")
-        pairs = compared.filter(near).select("copy", "hub").distinct()
-        if links is not None:
-            pairs = pairs.join(links, ["copy", "hub"], "left_anti")
-        found = written(_verified(pairs, texts, least), "links")
+        compared = _to_hubs(open_members)
+        found = _verified(compared.filter(within).select(*ends).distinct(), texts, least)
         links = found if links is None else links.unionByName(found)
-        if last:
+        labels_now = _labelled(members, links)
+        if found.count() * 100 <= n_texts:
             break
-        # The hub leaves its bucket, and so do those that are similar to it.
-        members = written(
-            compared.join(links, ["copy", "hub"], "left_anti").select("bucket", "copy", "n", "weight"),
-            "members",
+        hub_labels = labels_now.withColumnsRenamed({"copy": "hub", "label": "hub_label"})
+        open_members = written(
+            compared.join(labels_now, "copy").join(hub_labels, "hub")
+            .filter(F.col("label") != F.col("hub_label")).select(*members.columns),
+            "open",
         )
-    if links is None:
-        return texts.select("copy", F.col("copy").alias("hub")).limit(0)
-    return links
+    left = members.join(labels_now, "copy")
+    mixed = left.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"))
+    left = written(left.join(mixed.filter("a != b").select("bucket"), "bucket", "left_semi"), "left")
+    other = left.select(
+        "bucket", F.col("copy").alias("hub"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits"),
+        F.col("weight").alias("hub_weight"), F.col("label").alias("hub_label"),
+    )
+    rest = left.join(
+        other,
+        (left["bucket"] == other["bucket"]) & (F.col("copy") < F.col("hub"))
+        & (F.col("label") != F.col("hub_label")) & within,
+    )
+    return links.unionByName(_verified(rest.select(*ends).distinct(), texts, least))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(copy, root): the lowest text each linked text is connected to.
 
-    Large and small stars by turns: every text is linked to the lowest it knows of, until links
-    no longer change.
+    Large and small stars by turns: every text is linked to the lowest it knows of, until all
+    links are stars.
     """
     edges = written(links.select(F.col("copy").alias("a"), F.col("hub").alias("b")).distinct(), "edges")
-    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -272,16 +330,14 @@ def components(links: DataFrame) -> DataFrame:
         large = written(large, "large")
         # All links now go from a text to a lower one.
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(lowest, "a").select(
-            F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")
-        ).select("e.a", "e.b").filter(F.col("a") != F.col("b")).distinct()
-        edges = written(small, "edges")
-        now = edges.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-        ).first()
-        if tuple(now) == before:
+        ends = F.array(
+            F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))
+        )
+        small = large.join(lowest, "a").select(F.explode(ends).alias("e")).select("e.a", "e.b")
+        edges = written(small.filter(F.col("a") != F.col("b")).distinct(), "edges")
+        # Done when no text that others are linked to is linked on itself.
+        if edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             return edges.select(F.col("a").alias("copy"), F.col("b").alias("root"))
-        before = tuple(now)
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -291,10 +347,10 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """
     rows = sketched(docs)
     reps = rows.groupBy("copy").agg(
-        F.first("n").alias("n"), F.first("sketches").alias("sketches"), F.min("doc_id").alias("_low")
+        *[F.first(c).alias(c) for c in ("n", "sketches", "bits")], F.min("doc_id").alias("_low")
     )
     reps = written(reps, "reps")
-    found = components(similar_links(docs, reps.select("copy", "n", "sketches"), least))
+    found = components(similar_links(docs, reps, least))
     texts = reps.select("copy", "_low").join(found, "copy", "left").withColumn(
         "root", F.coalesce("root", "copy")
     )
