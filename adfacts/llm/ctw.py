@@ -47,6 +47,8 @@ HEAD = 2e-6
 # Bytes counted at once, and steps that lanes of a batch take together.
 PIECE = 1 << 22
 LANE = 2048
+# Nodes of the code tree that are mixed at once.
+NODES = 8
 END = b"\x00"
 # No token is a blank, so its hash stands for the end of a text.
 END_TOKEN = xxhash.xxh64_intdigest(b" ")
@@ -153,15 +155,16 @@ class ContextTree:
         """Mix the estimates of all depths, for one level of the code tree after the other."""
         total = np.zeros(counts.shape, np.float32)
         for level in range(8):
-            # Decisions of this level: which half of 256 >> level bytes the next byte is in.
-            halves = counts.reshape(len(counts), 2 << level, -1).sum(2, dtype=np.float64)
+            # Decisions of this level: which half of 256 >> level bytes the next byte is in. Some
+            # nodes of the code tree at a time, as the arrays have a row per context.
             width = 256 >> (level + 1)
-            for start in range(0, 1 << level, 16):
-                nodes = slice(2 * start, min(2 * (start + 16), 2 << level))
-                one = self._mixed(halves[:, nodes][:, 0::2], halves[:, nodes][:, 1::2])
+            step = min(1 << level, NODES) * 2 * width
+            for start in range(0, 256, step):
+                part = counts[:, start:start + step].reshape(len(counts), -1, width)
+                halves = part.sum(2, dtype=np.float64)
+                one = self._mixed(halves[:, 0::2], halves[:, 1::2])
                 both = np.stack([1 - one, one], 2).reshape(len(counts), -1)
-                spread = np.repeat(np.log2(both).astype(np.float32), width, 1)
-                total[:, 2 * start * width:2 * start * width + spread.shape[1]] += spread
+                total[:, start:start + step] += np.repeat(np.log2(both).astype(np.float32), width, 1)
         return total
 
     def _mixed(self, zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -298,19 +301,20 @@ class Head:
         order = np.argsort(hashes)
         self.hashes, self.counts = hashes[order], counts[order]
 
-    def split(self, found: list[bytes]) -> tuple[int, float, np.ndarray, np.ndarray]:
-        """Known tokens and sum of log10(count + 1) of frequent tokens; the others and how often."""
+    def split(self, found: list[bytes]) -> tuple[int, int, float, np.ndarray, np.ndarray]:
+        """Tokens with the end; those that are frequent and the sum of their log10(count + 1);
+        the others and how often."""
         n = Counter(found)
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, n), np.uint64, len(n))
         hashes = np.append(hashes, np.uint64(END_TOKEN)).view(np.int64)
         numbers = np.append(np.fromiter(n.values(), np.int64, len(n)), 1)
         if not len(self.hashes):
-            return 0, 0.0, hashes, numbers
+            return len(found) + 1, 0, 0.0, hashes, numbers
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
         hit = self.hashes[at] == hashes
         known = numbers[hit]
         return (
-            int(known.sum()), float((known * np.log10(self.counts[at[hit]] + 1.0)).sum()),
+            len(found) + 1, int(known.sum()), float((known * np.log10(self.counts[at[hit]] + 1.0)).sum()),
             hashes[~hit], numbers[~hit],
         )
 
@@ -345,14 +349,13 @@ def scores(docs: DataFrame, held_out: str, contexts: int = CONTEXTS, head: float
             bits = np.concatenate([
                 model.value.code_lengths(texts[a:b]) for a, b in _pieces(texts)
             ]) if texts else np.zeros(0)
-            found = [tokens(t) for t in texts]
-            parts = list(zip(*[frequent.value.split(f) for f in found])) or [()] * 4
+            parts = list(zip(*[frequent.value.split(tokens(t)) for t in texts])) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(number, number + len(texts))), batch.column("doc_id"),
-                 batch.column("held_out"), pa.array([len(f) + 1 for f in found], pa.int64()),
-                 pa.array(parts[0], pa.int64()), pa.array(parts[1], pa.float64()),
+                 batch.column("held_out"), pa.array(parts[0], pa.int64()),
+                 pa.array(parts[1], pa.int64()), pa.array(parts[2], pa.float64()),
                  pa.array(bits), pa.array([len(t) for t in texts], pa.int64()),
-                 pa.array(parts[2], pa.list_(pa.int64())), pa.array(parts[3], pa.list_(pa.int64()))],
+                 pa.array(parts[3], pa.list_(pa.int64())), pa.array(parts[4], pa.list_(pa.int64()))],
                 names=["key", "doc_id", "held_out", "n_tokens", "n_known", "logs", "bits", "n_bytes",
                        "tokens", "numbers"],
             )
