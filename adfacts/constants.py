@@ -154,3 +154,23 @@ ARRANGEMENT_CLASSES = ["Onsite", "Remote", "Hybrid"]
 MAX_TRIES = 5
 CALL_TRIES = 3
 BATCH_SIZE = 8
+
+# Patterns and the marker by which answers are read.
+ANSWER_SALARY = r"(\d+-\d+-[A-Z]+-[A-Z]+|0-0-None-None)"
+REPORTED_SALARY = r"\d{3,6}-\d{3,6}-[A-Z]{3,4}-[A-Z]+"
+OUTPUT_MARKER = "Output:"
+
+# Patterns of numbers in ads.
+INTEGER = r"\d[\d,]*"
+AMOUNT = r"\$?(\d{1,7}(?:,\d{3})*(?:\.\d+)?%?)"
+
+# Who speaks in a chat: marker in the first message and agent in order of the tests, mentions, and
+# what a planner says.
+AGENT_MARKERS = [
+    ("[TASK: Work Arrangement]", "Arrangement"),
+    ("[TASK: Salary]", "Salary"),
+    ("[TASK: Seniority]", "Seniority"),
+]
+MENTIONS = [("@Salary", "Salary"), ("@Seniority", "Seniority"), ("@Arrangement", "Arrangement")]
+PLANS = [("SALARY", "Salary"), ("SENIORITY", "Seniority"), ("ARRANGEMENT", "Arrangement")]
+AGENTS = ["Salary", "Seniority", "Arrangement"]

@@ -9,10 +9,6 @@ from adfacts import constants as K
 from adfacts.functions.text import strip, text_or_empty
 from adfacts.functions.values import once
 
-ANSWER_SALARY = r"(\d+-\d+-[A-Z]+-[A-Z]+|0-0-None-None)"
-REPORTED_SALARY = r"\d{3,6}-\d{3,6}-[A-Z]{3,4}-[A-Z]+"
-MARKER = "Output:"
-
 
 def answer_text(raw: Column, mode: str = "direct") -> Column:
     """The part of a raw answer to read, null if there is none.
@@ -23,12 +19,12 @@ def answer_text(raw: Column, mode: str = "direct") -> Column:
     if mode == "direct":
         return F.when(F.length(raw) > 1, strip(raw))
     if mode == "chain":
-        return F.when(F.contains(raw, F.lit(MARKER)), strip(F.get(F.split(raw, MARKER), F.lit(1))))
+        return F.when(F.contains(raw, F.lit(K.OUTPUT_MARKER)), strip(F.get(F.split(raw, K.OUTPUT_MARKER), F.lit(1))))
     raise ValueError(f"unknown mode {mode!r}, expected 'direct' or 'chain'")
 
 
 def clean_salary(raw: Column, mode: str = "direct") -> Column:
-    return _found(F.regexp_extract(answer_text(raw, mode), ANSWER_SALARY, 1))
+    return _found(F.regexp_extract(answer_text(raw, mode), K.ANSWER_SALARY, 1))
 
 
 def _found(salary: Column) -> Column:
@@ -121,7 +117,7 @@ def same(a: Column, b: Column) -> Column:
 
 def reported_salary(prediction: Column) -> Column:
     """The salary in a prediction as the report reads it: three to six digit amounts only."""
-    return _found(F.regexp_extract(text_or_empty(prediction), REPORTED_SALARY, 0))
+    return _found(F.regexp_extract(text_or_empty(prediction), K.REPORTED_SALARY, 0))
 
 
 PARTS = ("min", "max", "currency", "frequency")

@@ -11,8 +11,6 @@ from adfacts.functions.values import once
 
 # Possessive, so that long runs of blanks take no stack.
 _BLANK = r"[\s\x{a0}]*+(?:&nbsp;[\s\x{a0}]*+)*+"
-INTEGER = r"\d[\d,]*"
-AMOUNT = r"\$?(\d{1,7}(?:,\d{3})*(?:\.\d+)?%?)"
 
 
 def paragraph_after(html: Column, heading: str) -> Column:
@@ -27,7 +25,7 @@ def paragraph_after(html: Column, heading: str) -> Column:
 
 def integers(text: Column) -> Column:
     """All integers in the text, thousands commas dropped; one past 64 bits is left out."""
-    found = F.regexp_extract_all(text, F.lit(INTEGER), F.lit(0))
+    found = F.regexp_extract_all(text, F.lit(K.INTEGER), F.lit(0))
     numbers = F.transform(found, lambda n: F.replace(n, F.lit(","), F.lit("")).try_cast("bigint"))
     return F.array_compact(numbers)
 
@@ -75,7 +73,7 @@ def pay_frequency(text: Column) -> Column:
 
 def salary_range(text: Column) -> Column:
     """Struct (min2, max2) of the amounts of 10 or more in the text; percentages are skipped."""
-    found = F.regexp_extract_all(text_or_empty(text), F.lit(AMOUNT), F.lit(1))
+    found = F.regexp_extract_all(text_or_empty(text), F.lit(K.AMOUNT), F.lit(1))
     plain = F.filter(found, lambda n: ~n.endswith("%"))
     rounded = F.transform(
         plain,

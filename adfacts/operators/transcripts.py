@@ -5,18 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from adfacts import constants as K
 from adfacts.functions.text import strip, text_or_empty
 
 END = "END"
-# Order of the tests, marker in the first message, agent.
-AGENT_MARKERS = [
-    ("[TASK: Work Arrangement]", "Arrangement"),
-    ("[TASK: Salary]", "Salary"),
-    ("[TASK: Seniority]", "Seniority"),
-]
-MENTIONS = [("@Salary", "Salary"), ("@Seniority", "Seniority"), ("@Arrangement", "Arrangement")]
-PLANS = [("SALARY", "Salary"), ("SENIORITY", "Seniority"), ("ARRANGEMENT", "Arrangement")]
-AGENTS = ["Salary", "Seniority", "Arrangement"]
 
 
 def _first_held(content: Column, tests: list[tuple[str, str]], otherwise: str) -> Column:
@@ -29,9 +21,9 @@ def _first_held(content: Column, tests: list[tuple[str, str]], otherwise: str) -
 def next_speaker(name: Column, content: Column) -> Column:
     """Who speaks next where the user's marker names the agent."""
     return (
-        F.when(name == "User", _first_held(content, AGENT_MARKERS, END))
-        .when(name.isin(AGENTS), F.lit("Critic"))
-        .when(name == "Critic", _first_held(content, [("TERMINATE", END), *MENTIONS], END))
+        F.when(name == "User", _first_held(content, K.AGENT_MARKERS, END))
+        .when(name.isin(K.AGENTS), F.lit("Critic"))
+        .when(name == "Critic", _first_held(content, [("TERMINATE", END), *K.MENTIONS], END))
         .otherwise(F.lit(END))
     )
 
@@ -40,9 +32,9 @@ def next_speaker_planned(idx: Column, name: Column, content: Column) -> Column:
     """Who speaks next where a planner names the agent."""
     return (
         F.when(idx == 0, F.lit("Planner"))
-        .when(name == "Planner", _first_held(content, PLANS, "Critic"))
-        .when(name.isin(AGENTS), F.lit("Critic"))
-        .when(name == "Critic", _first_held(content, [("TERMINATE", END), *MENTIONS], "Planner"))
+        .when(name == "Planner", _first_held(content, K.PLANS, "Critic"))
+        .when(name.isin(K.AGENTS), F.lit("Critic"))
+        .when(name == "Critic", _first_held(content, [("TERMINATE", END), *K.MENTIONS], "Planner"))
         .otherwise(F.lit(END))
     )
 
@@ -73,10 +65,10 @@ def _chats(messages: DataFrame) -> DataFrame:
     content = text_or_empty(F.col("content"))
     closing = (F.col("name") == "Critic") & F.contains(content, F.lit("TERMINATE"))
     task = F
-    for number, (marker, _) in enumerate(AGENT_MARKERS):
+    for number, (marker, _) in enumerate(K.AGENT_MARKERS):
         task = task.when(F.contains(content, F.lit(marker)), F.lit(number))
-    agents = F.array(*[F.lit(agent) for _, agent in AGENT_MARKERS])
-    said = F.when(F.col("name").isin(AGENTS), F.struct("idx", "name", "content"))
+    agents = F.array(*[F.lit(agent) for _, agent in K.AGENT_MARKERS])
+    said = F.when(F.col("name").isin(K.AGENTS), F.struct("idx", "name", "content"))
     chats = (
         messages.groupBy("conv_id")
         .agg(

@@ -188,6 +188,7 @@ WHERE vec_id <> {VOTE_WORDS.index(ABSENT_LABEL)}
     "doc_words": f"""
 SELECT l_orderkey AS doc_id, {_word("l_partkey")} AS word FROM {{lineitem}}
 """,
+    # One element of each vector stands in for the score a model gives.
     "candidates": """
 SELECT label, vec_id, cast(embedding[{first}] AS double) * 10 AS score FROM {embeddings}
 """,
