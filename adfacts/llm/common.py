@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,13 +41,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Paths written since each open ``scratch`` began.
+_spent: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at the end."""
+    _spent.append([])
+    try:
+        yield
+    finally:
+        for path in _spent.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df``, written once to the shared folder and read from there."""
     path = new_folder(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    if _spent:
+        _spent[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The rows of ``build()``, written; tables it wrote on the way are deleted."""
+    with scratch(spark):
+        result = build()
+        path = new_folder(spark, name)
+        result.write.option("compression", "zstd").parquet(path)
+    if _spent:
+        _spent[-1].append(path)
+    return spark.read.schema(result.schema).parquet(path)
+
+
 def with_group_values(df: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
     """Each row with the values of its group; null keys are a group of their own.
 

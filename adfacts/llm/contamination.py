@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adfacts.llm.common import WORD_PATTERN, decided, table, text_key, words, written
+from adfacts.llm.common import WORD_PATTERN, decided, settled, table, text_key, words, written
 
 WINDOW = 10
 SLACK = 2
@@ -260,8 +260,11 @@ def hit_words(spans: str):
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Documents that hold a passage of an item: (doc_id, _key, spans)."""
-    found = search(positional_index(docs), items)
-    return found.filter(F.size("spans") > 0).select("doc_id", "_key", "spans")
+
+    def found() -> DataFrame:
+        return search(positional_index(docs), items).filter(F.size("spans") > 0)
+
+    return settled(docs.sparkSession, found, "contaminated").select("doc_id", "_key", "spans")
 
 
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

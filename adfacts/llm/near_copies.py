@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adfacts.llm.common import OWN, decided, table, words, written
+from adfacts.llm.common import OWN, decided, settled, table, words, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -209,7 +209,9 @@ def _within(bits: str, n: str, other_bits: str, other_n: str, least: float) -> C
 def _weighted(reps: DataFrame) -> DataFrame:
     """(bucket, copy, n, bits, weight) of buckets with several texts; weight is what a text shares."""
     rows = reps.select("copy", F.explode("sketches").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > 1)
+    sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("_size"))
+    # Written, so that the join deals both sides anew and Spark may split a hot bucket.
+    shared = written(sizes.filter(F.col("_size") > 1), "shared")
     members = written(rows.join(shared, "bucket"), "members")
     weights = members.groupBy("copy").agg(F.sum("_size").alias("weight"))
     of_text = weights.join(reps.select("copy", "n", "bits"), "copy")
@@ -224,7 +226,7 @@ def _to_hubs(members: DataFrame) -> DataFrame:
         "bucket", F.col("_hub.copy").alias("hub"), F.col("_hub.n").alias("hub_n"),
         F.col("_hub.bits").alias("hub_bits"), F.col("_hub.weight").alias("hub_weight"),
     )
-    return members.join(hubs, "bucket").filter(F.col("copy") != F.col("hub"))
+    return members.join(written(hubs, "hubs"), "bucket").filter(F.col("copy") != F.col("hub"))
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -299,8 +301,9 @@ def similar_links(docs: DataFrame, reps: DataFrame, least: float = SIMILARITY) -
             "open",
         )
     left = members.join(labels_now, "copy")
-    mixed = left.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"))
-    left = written(left.join(mixed.filter("a != b").select("bucket"), "bucket", "left_semi"), "left")
+    ends_of = left.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"))
+    mixed = written(ends_of.filter("a != b").select("bucket"), "mixed")
+    left = written(left.join(mixed, "bucket", "left_semi"), "left")
     other = left.select(
         "bucket", F.col("copy").alias("hub"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits"),
         F.col("weight").alias("hub_weight"), F.col("label").alias("hub_label"),
@@ -345,6 +348,10 @@ def classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     ``stays`` marks the documents of the lowest id of a class, and of these one text.
     """
+    return settled(docs.sparkSession, lambda: _classes(docs, least), "classes")
+
+
+def _classes(docs: DataFrame, least: float) -> DataFrame:
     rows = sketched(docs)
     reps = rows.groupBy("copy").agg(
         *[F.first(c).alias(c) for c in ("n", "sketches", "bits")], F.min("doc_id").alias("_low")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adfacts.llm.common import decided, table, text_key, with_group_values, words, written
+from adfacts.llm.common import decided, settled, table, text_key, with_group_values, words, written
 
 SAMPLE = 20_000
 TERMS = 20_000
@@ -270,6 +270,12 @@ def scored(
     docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample: int = SAMPLE
 ) -> DataFrame:
     """(doc_id, _key, p_quality, p_toxic, keep) of every document."""
+    return settled(docs.sparkSession, lambda: _scored(docs, labels, host, path, sample), "scored")
+
+
+def _scored(
+    docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample: int
+) -> DataFrame:
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(learned(docs, labels, sample))
 
