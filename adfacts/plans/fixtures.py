@@ -103,7 +103,7 @@ SELECT o_orderkey AS ad_id,
 FROM {orders}
 """,
     "gappy_transcripts": """
-SELECT conv_id, cast(turn * 2 + turn % 3 AS int) AS idx,
+SELECT conv_id, cast(turn * turn + turn AS int) AS idx,
   CASE WHEN turn = 0 THEN 'User' WHEN turn % 2 = 0 THEN 'Critic'
     ELSE CASE conv_id % 3 WHEN 0 THEN 'Salary' WHEN 1 THEN 'Seniority' ELSE 'Arrangement' END END AS name,
   CASE WHEN turn = 0 THEN '[TASK: Salary] ad'
