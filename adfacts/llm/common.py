@@ -41,6 +41,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Rows of whole texts that a Python worker holds at once while a table is written.
+BATCH_SIZE, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 # Paths written since each open ``scratch`` began.
 _spent: list[list[str]] = []
 
@@ -57,10 +59,22 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def _write(df: DataFrame, name: str) -> str:
+    """The folder of the written rows. Python workers get at most ``BATCH`` rows at a time."""
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    before = spark.conf.get(BATCH_SIZE)
+    spark.conf.set(BATCH_SIZE, min(int(before), BATCH) if int(before) > 0 else BATCH)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(BATCH_SIZE, before)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of ``df``, written once to the shared folder and read from there."""
-    path = new_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    path = _write(df, name)
     if _spent:
         _spent[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -70,8 +84,7 @@ def settled(spark: SparkSession, build: Callable[[], DataFrame], name: str) -> D
     """The rows of ``build()``, written; tables it wrote on the way are deleted."""
     with scratch(spark):
         result = build()
-        path = new_folder(spark, name)
-        result.write.option("compression", "zstd").parquet(path)
+        path = _write(result, name)
     if _spent:
         _spent[-1].append(path)
     return spark.read.schema(result.schema).parquet(path)

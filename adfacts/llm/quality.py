@@ -21,7 +21,7 @@ no evidence; rows alike in id and text are decided alike.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from operator import eq
 
 import numpy as np
@@ -191,11 +191,12 @@ class Evidence:
         self.weights = [fitted(scaled, labels[:, k]) for k in range(len(KINDS))]
         self.known = [bool(len(x)) and 0 < labels[:, k].sum() < len(x) for k in range(len(KINDS))]
 
-    def odds(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        x = np.array([features(t, self.telling) for t in texts]).reshape(len(texts), N_MEASURES + 2)
+    def odds(self, texts: Iterable[bytes | None]) -> list[np.ndarray]:
+        """Both log odds of each text; texts are taken one by one."""
+        x = np.array([features(t, self.telling) for t in texts]).reshape(-1, N_MEASURES + 2)
         scaled = np.clip((x - self.mean) / self.scale, -50, 50)
         return [
-            np.clip(scaled @ w[:-1] + w[-1], -30, 30) if known else np.full(len(texts), -30.0)
+            np.clip(scaled @ w[:-1] + w[-1], -30, 30) if known else np.full(len(x), -30.0)
             for w, known in zip(self.weights, self.known)
         ]
 
@@ -281,7 +282,7 @@ def _scored(
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            odds = model.value.odds([t.as_py() for t in batch.column("text")])
+            odds = model.value.odds(t.as_py() for t in batch.column("text"))
             kept = [batch.column(c) for c in ("doc_id", "_key", "host", "path")]
             yield pa.RecordBatch.from_arrays(
                 [*kept, *[pa.array(o, pa.float64()) for o in odds]],
