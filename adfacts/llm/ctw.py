@@ -28,6 +28,7 @@ no word of a text longer than a lane is cut off. Tokens are told apart by 64-bit
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,15 +39,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adfacts.llm.common import fold, table, written
+from adfacts.llm.common import fold, scratch, table, written
 
 DEPTH = 5
 # States are 16-bit numbers, so at most 65,535.
 CONTEXTS = 50_000
 HEAD = 2e-6
-# Bytes counted at once, and steps that lanes of a batch take together.
-PIECE = 1 << 22
-LANE = 2048
+# Bytes that are counted or scored at once, and steps that lanes take together.
+PIECE = 1 << 21
+LANE = 1024
+# Counts whose log gamma is taken from a table.
+LISTED = 1 << 12
+# Different tokens that a task counts at once.
+KINDS = 200_000
 # Nodes of the code tree that are mixed at once.
 NODES = 8
 END = b"\x00"
@@ -220,32 +225,34 @@ class ContextTree:
         return -(sums[starts[1:] - DEPTH] - sums[starts[:-1]])
 
 
-def _log_gamma(x: np.ndarray) -> np.ndarray:
-    """log gamma for x of at least one half, by Stirling's series from ten on."""
-    shift = np.zeros_like(x)
-    x = x.copy()
-    for _ in range(10):
-        small = x < 10
-        if not small.any():
-            break
-        shift[small] -= np.log(x[small])
-        x[small] += 1
-    inverse = 1 / x
-    series = inverse / 12 - inverse**3 / 360 + inverse**5 / 1260
-    return shift + (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + series
+def _log_gamma(counts: np.ndarray, more: float) -> np.ndarray:
+    """log gamma of counts plus a half or one: a table, then Stirling's series."""
+    table = np.array([math.lgamma(n + more) for n in range(LISTED)])
+    small = counts < LISTED
+    if small.all():
+        return table[counts.astype(np.int64)]
+    x = np.maximum(counts, LISTED) + more
+    series = (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + 1 / (12 * x)
+    return np.where(small, table[np.minimum(counts, LISTED - 1).astype(np.int64)], series)
 
 
 def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov block chance of so many zeros and ones."""
-    return (
-        _log_gamma(zeros + 0.5) + _log_gamma(ones + 0.5) - _log_gamma(zeros + ones + 1) - np.log(np.pi)
-    )
+    halves = _log_gamma(zeros, 0.5) + _log_gamma(ones, 0.5)
+    return halves - _log_gamma(zeros + ones, 1.0) - np.log(np.pi)
 
 
 def trained(texts: DataFrame, contexts: int = CONTEXTS) -> ContextTree:
     """The model of all ``texts``; counts are summed by Spark, the bounded tree mixed here."""
     if contexts > 65_535:
         raise ValueError("at most 65,535 contexts")
+    with scratch(texts.sparkSession):
+        rows = _kept_counts(texts, contexts)
+    return ContextTree(rows)
+
+
+def _kept_counts(texts: DataFrame, contexts: int) -> list[tuple[np.ndarray, ...]]:
+    """Per depth the contexts, next bytes and counts of the most frequent contexts."""
     counts = written(string_counts(texts), "strings")
     byte = F.col("string").bitwiseAND(255)
 
@@ -265,7 +272,7 @@ def trained(texts: DataFrame, contexts: int = CONTEXTS) -> ContextTree:
     )
     found = every.join(F.broadcast(kept), ["depth", "context"]).toArrow()
     depth, *columns = (found.column(c).to_numpy() for c in ("depth", "context", "byte", "n"))
-    return ContextTree([tuple(c[depth == d] for c in columns) for d in range(DEPTH + 1)])
+    return [tuple(c[depth == d] for c in columns) for d in range(DEPTH + 1)]
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -275,18 +282,26 @@ def tokens(text: bytes | None) -> list[bytes]:
 def token_counts(docs: DataFrame) -> DataFrame:
     """(token, n) of all tokens and ends of texts, by hash."""
 
+    def counted(n: Counter, texts: int) -> pa.RecordBatch:
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, n), np.uint64, len(n))
+        numbers = np.fromiter(n.values(), np.int64, len(n))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.append(hashes, np.uint64(END_TOKEN)).view(np.int64)),
+             pa.array(np.append(numbers, texts))],
+            names=["token", "n"],
+        )
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, texts = Counter(), 0
         for batch in batches:
-            n: Counter = Counter()
             for text in batch.column(0):
                 n.update(tokens(text.as_py()))
-            hashes = np.fromiter(map(xxhash.xxh64_intdigest, n), np.uint64, len(n))
-            numbers = np.fromiter(n.values(), np.int64, len(n))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(hashes, np.uint64(END_TOKEN)).view(np.int64)),
-                 pa.array(np.append(numbers, batch.num_rows))],
-                names=["token", "n"],
-            )
+                texts += 1
+                if len(n) > KINDS:
+                    yield counted(n, texts)
+                    n, texts = Counter(), 0
+        if texts:
+            yield counted(n, texts)
 
     return (
         docs.select(F.col("text").cast("binary")).mapInArrow(count, "token long, n long")
