@@ -363,8 +363,11 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     )
     texts = written(texts, "roots")
     first = F.struct(F.col("_low").isNull(), F.col("_low"), F.col("copy"))
-    lowest = texts.groupBy("root").agg(F.min(first).alias("_first")).select(
-        "root", F.col("_first._low").alias("class_id"), F.col("_first.copy").alias("_stays")
+    lowest = written(
+        texts.groupBy("root").agg(F.min(first).alias("_first")).select(
+            "root", F.col("_first._low").alias("class_id"), F.col("_first.copy").alias("_stays")
+        ),
+        "lowest",
     )
     named = texts.join(lowest, "root").select("copy", "class_id", "_stays")
     return rows.select("doc_id", "copy").join(named, "copy").select(
