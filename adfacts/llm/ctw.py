@@ -52,6 +52,8 @@ LANE = 1024
 LISTED = 1 << 12
 # Different tokens that a task counts at once.
 KINDS = 200_000
+# Contexts whose next states are looked up at once.
+STATES = 1 << 12
 # Nodes of the code tree that are mixed at once.
 NODES = 8
 END = b"\x00"
@@ -142,18 +144,20 @@ class ContextTree:
         deepest = len(self.contexts) - 1
         bytes_ = np.arange(256)
         for depth, contexts in enumerate(self.contexts):
-            own = np.arange(self.first[depth], self.first[depth + 1])
-            found = follows[self.parent[own]].copy() if depth else np.zeros((len(own), 256), np.uint16)
-            # One byte more than the parent's state knows: a context of one byte more, if kept.
+            # One byte more than the state knows: a context of one byte more, if kept.
             longer = min(depth + 1, deepest)
             mask = (1 << (8 * longer)) - 1
-            wanted = ((contexts[:, None] << 8) | bytes_) & mask
             known = self.contexts[longer]
-            if len(known) and longer:
-                at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-                hit = known[at] == wanted
-                found[hit] = (self.first[longer] + at[hit]).astype(np.uint16)
-            follows[own] = found
+            for start in range(0, len(contexts), STATES):
+                some = contexts[start:start + STATES]
+                own = self.first[depth] + np.arange(start, start + len(some))
+                if depth:
+                    follows[own] = follows[self.parent[own]]
+                if longer and len(known):
+                    wanted = ((some[:, None] << 8) | bytes_) & mask
+                    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+                    states = (self.first[longer] + at).astype(np.uint16)
+                    follows[own] = np.where(known[at] == wanted, states, follows[own])
         return follows
 
     def _chances(self, counts: np.ndarray) -> np.ndarray:
