@@ -8,13 +8,19 @@ itself gave its training decisions, against that of the longer contexts below it
 a text is the log probability of its bytes and of its end; per byte, a code length.
 
 Counts: each task counts strings of ``DEPTH`` + 1 bytes of its texts; the counts, whose number
-grows with the corpus, are summed by a shuffle and written. The model keeps the
-``CONTEXTS`` most frequent contexts (with a context all shorter ones are kept, as they are at
-least as frequent); the rest of a context's counts are one leaf below it. So the model that goes
-to all tasks has a bound: ``CONTEXTS`` times 256 numbers, twice.
-
-Scoring: the longest kept context is the state of an automaton over bytes, so a text is cut into
-lanes that all take a step at once; a lane starts ``DEPTH`` bytes early, which fixes its state.
+grows with the corpus, are summed by a shuffle and written. Every context of 0 to ``DEPTH`` bytes
+is kept. As the chance of a byte depends on the ``DEPTH`` bytes before it alone, the model is a
+table of all strings and their code lengths. Strings are dealt to tasks by the last ``SHARED`` + 1
+bytes of their contexts, so that a task holds whole subtrees: weighted chances go up to depth
+``SHARED`` there, are summed by Spark, mixed here for the contexts of up to ``SHARED`` bytes (at
+most 65,793, whatever the corpus) and go down again in the same tasks.
+
+Scoring: strings that make up at least ``HEAD_STRINGS`` of all (at most 1 / ``HEAD_STRINGS`` can)
+are sent to the tasks with their code lengths; other strings of a text go by string to theirs and
+by text to their sum. If all contexts number at most ``CONTEXTS``, the tree goes to all tasks
+instead and the result is the same: the longest context is the state of an automaton over bytes,
+so a text is cut into lanes that all take a step at once; a lane starts ``DEPTH`` bytes early,
+which fixes its state.
 
 The unigram base counts tokens exactly. Tokens that make up at least ``HEAD`` of all (at most
 1 / ``HEAD`` of them can) are sent to the tasks; other tokens of a text go by token to their
@@ -39,12 +45,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adfacts.llm.common import fold, scratch, table, written
+from adfacts.llm.common import fold, table, written
 
 DEPTH = 5
-# States are 16-bit numbers, so at most 65,535.
+# Contexts of a tree that is sent to all tasks; more are a table. States are 16-bit numbers, so
+# at most 65,535.
 CONTEXTS = 50_000
+# Bytes of the contexts that are mixed in one place.
+SHARED = 2
 HEAD = 2e-6
+HEAD_STRINGS = 5e-7
+# Strings that are mixed at once, with the rest of their subtree.
+MIXED = 1 << 19
 # Bytes that are counted or scored at once, and steps that lanes take together.
 PIECE = 1 << 21
 LANE = 1024
@@ -85,27 +97,36 @@ def _strings(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(keys[inside], return_counts=True)
 
 
-def string_counts(texts: DataFrame) -> DataFrame:
-    """(string, n) over all texts."""
+def turned(strings: np.ndarray) -> np.ndarray:
+    """Strings with the bytes of their contexts in reverse, so that subtrees are ranges."""
+    out = np.zeros_like(strings)
+    for i in range(1, DEPTH + 1):
+        out = (out << 8) | ((strings >> (8 * i)) & 255)
+    return (out << 8) | (strings & 255)
+
+
+def string_counts(docs: DataFrame, held_out: str) -> DataFrame:
+    """(string, n, m) over all texts: how often in training texts and in all, strings turned."""
+
+    def counted(texts: list[bytes], held: bool) -> pa.RecordBatch:
+        kinds, numbers = _strings(texts)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(turned(kinds)), pa.array(numbers * (not held)), pa.array(numbers)],
+            names=["string", "n", "m"],
+        )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, size = [], 0
-            for text in [*batch.column(0), None]:
-                data = b"" if text is None else text.as_py() or b""
-                if held and (text is None or size + len(data) > PIECE):
-                    kinds, numbers = _strings(held)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(kinds), pa.array(numbers)], names=["string", "n"]
-                    )
-                    held, size = [], 0
-                held.append(data)
-                size += len(data) + DEPTH + 1
+            flags = batch.column(1).to_pylist()
+            for held in (False, True):
+                texts = [t.as_py() or b"" for t, h in zip(batch.column(0), flags) if h == held]
+                for a, b in _pieces(texts):
+                    yield counted(texts[a:b], held)
 
     return (
-        texts.select(F.col("text").cast("binary"))
-        .mapInArrow(count, "string long, n long")
-        .groupBy("string").agg(F.sum("n").alias("n"))
+        docs.select(F.col("text").cast("binary"), F.col(held_out))
+        .mapInArrow(count, "string long, n long, m long")
+        .groupBy("string").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     )
 
 
@@ -246,37 +267,174 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return halves - _log_gamma(zeros + ones, 1.0) - np.log(np.pi)
 
 
-def trained(texts: DataFrame, contexts: int = CONTEXTS) -> ContextTree:
-    """The model of all ``texts``; counts are summed by Spark, the bounded tree mixed here."""
-    if contexts > 65_535:
-        raise ValueError("at most 65,535 contexts")
-    with scratch(texts.sparkSession):
-        rows = _kept_counts(texts, contexts)
+def whole_tree(strings: np.ndarray, n: np.ndarray) -> ContextTree:
+    """The tree of all contexts of turned strings and their counts."""
+    strings, n = strings[n > 0], n[n > 0]
+    plain, rows = turned(strings), []
+    for depth in range(DEPTH + 1):
+        kinds, (number,) = _sums(plain & ((1 << (8 * depth + 8)) - 1), n)[::2]
+        rows.append((kinds >> 8, kinds & 255, number))
     return ContextTree(rows)
 
 
-def _kept_counts(texts: DataFrame, contexts: int) -> list[tuple[np.ndarray, ...]]:
-    """Per depth the contexts, next bytes and counts of the most frequent contexts."""
-    counts = written(string_counts(texts), "strings")
-    byte = F.col("string").bitwiseAND(255)
+def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys, which of them each key is, and the sums of values by key."""
+    kinds, which = np.unique(keys, return_inverse=True)
+    return kinds, which, [np.bincount(which, v, len(kinds)) for v in values]
 
-    def context(depth: int):
-        return F.shiftright("string", 8).bitwiseAND((1 << (8 * depth)) - 1)
 
-    every = None
-    for depth in range(DEPTH + 1):
-        rows = counts.groupBy(context(depth).alias("context"), byte.alias("byte")).agg(
-            F.sum("n").alias("n")
-        ).withColumn("depth", F.lit(depth))
-        every = rows if every is None else every.unionByName(rows)
-    every = written(every, "contexts")
-    kept = (
-        every.groupBy("depth", "context").agg(F.sum("n").alias("all"))
-        .orderBy(F.desc("all"), "depth", "context").limit(contexts).select("depth", "context")
+def _halved(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log weighted chance of contexts with longer ones below them, and the weight of their own."""
+    own = _log_kt(zeros, ones) - np.log(2)
+    half = np.logaddexp(own, below - np.log(2))
+    return half, np.exp(own - half)
+
+
+def _estimate(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    return (ones + 0.5) / (zeros + ones + 1)
+
+
+class Subtrees:
+    """Contexts of more than ``SHARED`` bytes at one level of the code tree, from sorted strings.
+
+    ``layers`` has, deepest first, which context each longer one (or string) is in, the weight of
+    the context's own estimate and that estimate. ``keys`` are the contexts of ``SHARED`` bytes,
+    with their node, and ``zeros``, ``ones`` and ``below`` what they get from below.
+    """
+
+    def __init__(self, strings: np.ndarray, n: np.ndarray, level: int):
+        self.bit = (strings >> (7 - level)) & 1
+        keys = strings >> (8 - level)
+        first = np.concatenate([[True], keys[1:] != keys[:-1]])
+        which, keys = np.cumsum(first) - 1, keys[first]
+        zeros, ones = (np.bincount(which, n * b, len(keys)) for b in (1 - self.bit, self.bit))
+        weighted = _log_kt(zeros, ones)
+        self.layers = [(which, np.ones(len(keys)), _estimate(zeros, ones))]
+        node = (1 << level) - 1
+        for depth in range(DEPTH - 1, SHARED - 1, -1):
+            shorter = (keys >> (8 + level) << level) | (keys & node)
+            keys, which, (zeros, ones, below) = _sums(shorter, zeros, ones, weighted)
+            if depth > SHARED:
+                weighted, weight = _halved(zeros, ones, below)
+                self.layers.append((which, weight, _estimate(zeros, ones)))
+        self.keys = (keys >> level << 8) | (1 << level) | (keys & node)
+        self.zeros, self.ones, self.below, self.inside = zeros, ones, below, which
+
+    def bits(self, shared: SharedContexts) -> np.ndarray:
+        """Code length of each string's decision at this level."""
+        at = np.searchsorted(shared.keys, self.keys)[self.inside]
+        mixed, left = shared.mixed[at], shared.left[at]
+        for i in range(len(self.layers) - 1, -1, -1):
+            which, weight, estimate = self.layers[i]
+            mixed, left = mixed + left * weight * estimate, left * (1 - weight)
+            mixed, left = mixed[which], left[which]
+        one = np.clip(mixed, 1e-12, 1 - 1e-12)
+        return -np.log2(np.where(self.bit == 1, one, 1 - one))
+
+
+class SharedContexts:
+    """What contexts of up to ``SHARED`` bytes add to the chance of a one, and the weight left.
+
+    ``keys``, sorted, are a context of ``SHARED`` bytes and a node of the code tree each.
+    """
+
+    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray):
+        order = np.argsort(keys)
+        keys, zeros, ones, below = (c[order] for c in (keys, zeros, ones, below))
+        self.keys, layers = keys, []
+        for depth in range(SHARED, -1, -1):
+            weighted, weight = _halved(zeros, ones, below)
+            part = weight * _estimate(zeros, ones)
+            shorter = (keys >> 16 << 8) | (keys & 255)
+            keys, which, (zeros, ones, below) = _sums(shorter, zeros, ones, weighted)
+            layers.append((which, weight, part))
+        self.mixed, self.left = np.zeros(len(keys)), np.ones(len(keys))
+        for which, weight, part in reversed(layers):
+            mixed, left = self.mixed[which], self.left[which]
+            self.mixed, self.left = mixed + left * part, left * (1 - weight)
+
+
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Strings, counts in training texts and in all, of whole subtrees at a time."""
+    held, size, shift = [], 0, 8 * (DEPTH - SHARED)
+    for batch in batches:
+        held.append([batch.column(c).to_numpy() for c in ("string", "n", "m")])
+        size += batch.num_rows
+        if size < MIXED:
+            continue
+        strings, *counts = (np.concatenate(c) for c in zip(*held))
+        cut = np.searchsorted(strings, strings[-1] >> shift << shift)
+        if cut:
+            yield strings[:cut], *(c[:cut] for c in counts)
+        held = [[strings[cut:], *(c[cut:] for c in counts)]]
+        # A subtree larger than that is read to its end.
+        size = len(strings) - cut if cut else 0
+    if held and sum(len(h[0]) for h in held):
+        yield tuple(np.concatenate(c) for c in zip(*held))
+
+
+def string_bits(counts: DataFrame) -> DataFrame:
+    """(string, m, bits): the code length of the last byte of every string, by all contexts."""
+    spark = counts.sparkSession
+    dealt = counts.repartition(F.shiftright("string", 8 * (DEPTH - SHARED))).sortWithinPartitions("string")
+
+    def up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for strings, n, _ in _subtrees(batches):
+            for level in range(8):
+                t = Subtrees(strings, n, level)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in (t.keys, t.zeros, t.ones, t.below)],
+                    names=["key", "zeros", "ones", "below"],
+                )
+
+    sums = (
+        dealt.mapInArrow(up, "key long, zeros double, ones double, below double")
+        .groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow()
     )
-    found = every.join(F.broadcast(kept), ["depth", "context"]).toArrow()
-    depth, *columns = (found.column(c).to_numpy() for c in ("depth", "context", "byte", "n"))
-    return [tuple(c[depth == d] for c in columns) for d in range(DEPTH + 1)]
+    shared = spark.sparkContext.broadcast(SharedContexts(*(c.to_numpy() for c in sums.columns)))
+
+    def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for strings, n, m in _subtrees(batches):
+            bits = sum(Subtrees(strings, n, level).bits(shared.value) for level in range(8))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(strings), pa.array(m), pa.array(bits.astype(np.float32))],
+                names=["string", "m", "bits"],
+            )
+
+    return dealt.mapInArrow(down, "string long, m long, bits float")
+
+
+class StringTable:
+    """Code lengths of the frequent strings."""
+
+    def __init__(self, strings: np.ndarray, bits: np.ndarray):
+        order = np.argsort(strings)
+        self.strings, self.bits = strings[order], bits[order].astype(np.float64)
+
+    def code_lengths(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bits of the frequent strings of each text; the other strings, and where each text's begin."""
+        data, starts = framed(texts)
+        wide, n = data.astype(np.int64), len(data) - DEPTH
+        keys = np.zeros(n, np.int64)
+        for i in range(DEPTH, -1, -1):
+            # The context in reverse, then the byte.
+            keys |= wide[i:n + i] << (8 * (i + 1) if i < DEPTH else 0)
+        kinds, which = np.unique(keys, return_inverse=True)
+        bits, hit = np.zeros(len(kinds)), np.zeros(len(kinds), bool)
+        if len(self.strings):
+            at = np.minimum(np.searchsorted(self.strings, kinds), len(self.strings) - 1)
+            hit = self.strings[at] == kinds
+            bits = np.where(hit, self.bits[at], 0.0)
+        # keys[i] ends at data[i + DEPTH]: a text's are from its start on; what ends in the zeros
+        # before the next text is of none.
+        inside = np.ones(n, bool)
+        for i in range(DEPTH):
+            inside[starts[1:-1] - DEPTH + i] = False
+        sums = np.concatenate([[0.0], np.cumsum(np.where(inside, bits[which], 0.0))])
+        rare = inside & ~hit[which]
+        before = np.concatenate([[0], np.cumsum(rare)])
+        ends = np.append(starts[:-1], n)
+        return np.diff(sums[ends]), keys[rare], before[ends]
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -340,7 +498,7 @@ class Head:
 
 ROWS = (
     "key long, {}held_out boolean, n_tokens long, n_known long, logs double, bits double, "
-    "n_bytes long, tokens array<long>, numbers array<long>"
+    "n_bytes long, tokens array<long>, numbers array<long>, strings array<long>"
 )
 
 
@@ -351,8 +509,22 @@ def scores(docs: DataFrame, held_out: str, contexts: int = CONTEXTS, head: float
     bits_per_byte, the code length.
     """
     spark = docs.sparkSession
+    if contexts > 65_535:
+        raise ValueError("a tree has at most 65,535 contexts")
     training = docs.filter(~F.col(held_out))
-    model = spark.sparkContext.broadcast(trained(training, contexts))
+    strings = written(string_counts(docs, held_out), "strings")
+    kept = strings.filter(F.col("n") > 0).select("string", "n")
+    # A string has a context of every depth; all share that of none.
+    of_string = None
+    if kept.count() * DEPTH + 1 <= contexts:
+        found = kept.toArrow()
+        tree = whole_tree(*(found.column(c).to_numpy() for c in ("string", "n")))
+    else:
+        of_string = written(string_bits(strings), "bits")
+        every = of_string.agg(F.sum("m")).first()[0]
+        found = of_string.filter(F.col("m") >= HEAD_STRINGS * every).toArrow()
+        tree = StringTable(found.column("string").to_numpy(), found.column("bits").to_numpy())
+    model = spark.sparkContext.broadcast(tree)
     counts = written(token_counts(training), "tokens")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     found = counts.filter(F.col("n") >= head * total).toArrow()
@@ -365,18 +537,16 @@ def scores(docs: DataFrame, held_out: str, contexts: int = CONTEXTS, head: float
         number = TaskContext.get().partitionId() << 40
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column("text")]
-            bits = np.concatenate([
-                model.value.code_lengths(texts[a:b]) for a, b in _pieces(texts)
-            ]) if texts else np.zeros(0)
+            bits, others = _bits(model.value, texts)
             parts = list(zip(*[frequent.value.split(tokens(t)) for t in texts])) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(number, number + len(texts))), batch.column("doc_id"),
                  batch.column("held_out"), pa.array(parts[0], pa.int64()),
                  pa.array(parts[1], pa.int64()), pa.array(parts[2], pa.float64()),
                  pa.array(bits), pa.array([len(t) for t in texts], pa.int64()),
-                 pa.array(parts[3], pa.list_(pa.int64())), pa.array(parts[4], pa.list_(pa.int64()))],
+                 pa.array(parts[3], pa.list_(pa.int64())), pa.array(parts[4], pa.list_(pa.int64())), others],
                 names=["key", "doc_id", "held_out", "n_tokens", "n_known", "logs", "bits", "n_bytes",
-                       "tokens", "numbers"],
+                       "tokens", "numbers", "strings"],
             )
             number += len(texts)
 
@@ -391,7 +561,17 @@ def scores(docs: DataFrame, held_out: str, contexts: int = CONTEXTS, head: float
         .agg(F.sum("m").alias("_known"), F.sum(F.col("m") * F.log10(F.col("n") + 1.0)).alias("_logs"))
     )
     none = F.lit(0)
-    return rows.drop("tokens", "numbers").join(of_rare, "key", "left").select(
+    scored = rows.drop("tokens", "numbers", "strings").join(of_rare, "key", "left")
+    if of_string is not None:
+        of_others = (
+            rows.select("key", F.explode("strings").alias("string"))
+            .join(of_string.select("string", F.col("bits").alias("_bits")), "string")
+            .groupBy("key").agg(F.sum(F.col("_bits").cast("double")).alias("_bits"))
+        )
+        scored = scored.join(of_others, "key", "left").withColumn(
+            "bits", F.col("bits") + F.coalesce("_bits", F.lit(0.0))
+        )
+    return scored.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("_known", none)).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
@@ -403,6 +583,19 @@ def scores(docs: DataFrame, held_out: str, contexts: int = CONTEXTS, head: float
     )
 
 
+def _bits(model: ContextTree | StringTable, texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """Bits of texts that the model knows, and per text the strings that it does not."""
+    if isinstance(model, ContextTree):
+        bits = [model.code_lengths(texts[a:b]) for a, b in _pieces(texts)]
+        return np.concatenate([np.zeros(0), *bits]), pa.nulls(len(texts), pa.list_(pa.int64()))
+    bits, others = [np.zeros(0)], [pa.array([], pa.list_(pa.int64()))]
+    for a, b in _pieces(texts):
+        known, strings, starts = model.code_lengths(texts[a:b])
+        bits.append(known)
+        others.append(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(strings)))
+    return np.concatenate(bits), pa.concat_arrays(others)
+
+
 def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``PIECE`` bytes."""
     start = size = 0

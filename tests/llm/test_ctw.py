@@ -200,3 +200,25 @@ def test_nothing_to_learn_from(spark, folder):
     (row,) = out
     assert (row["n_tokens"], row["n_known"], row["train_tokens"], row["base_score"]) == (2, 0, 0, 0.0)
     assert row["bits_per_byte"] == pytest.approx(12.0)  # three bytes of one chance in 256
+
+
+def test_contexts_past_any_number_are_kept(spark, folder, monkeypatch):
+    docs = documents()
+    table = spark.read.parquet(folder(documents=docs) + "/documents.parquet").select("doc_id", "text")
+    held = table.withColumn("held_out", M.fold("doc_id", 7) == 2)
+    rows = [(r["held_out"], (r["text"] or "").encode(), str(r["doc_id"])) for r in held.collect()]
+    model = tree([t for h, t, _ in rows if not h], M.DEPTH, 10**6)
+    bits = model.code_lengths([t for _, t, _ in rows])
+    want = sorted((i, len(t), b) for (_, t, i), b in zip(rows, bits))
+    monkeypatch.setattr(M, "MIXED", 500)
+    # Rare strings joined, then all strings sent to the tasks.
+    for contexts, head in ((10, 1e-3), (300, 1e-12)):
+        monkeypatch.setattr(M, "HEAD_STRINGS", head)
+        out = M.scores(held, "held_out", contexts=contexts).collect()
+        got = sorted((str(r["doc_id"]), r["n_bytes"], -r["score"] / math.log10(2)) for r in out)
+        assert [r[:2] for r in got] == [r[:2] for r in want]
+        assert [r[2] for r in got] == pytest.approx([r[2] for r in want], rel=1e-4)
+    counts = M.string_counts(held, "held_out").toArrow()
+    whole = M.whole_tree(counts.column("string").to_numpy(), counts.column("n").to_numpy())
+    assert len(whole.chances) == len(model.chances) > 300
+    assert np.allclose(whole.chances, model.chances, atol=1e-4)
