@@ -4,7 +4,8 @@ For every node of a page the density of text per tag is adjusted by its links: t
 links over link text, weighted against the ratio of the whole body. A node's sum of densities is
 that of its children. The threshold is the lowest density on the path from the densest-sum node
 up to the body; of the nodes that reach it and hold the most, the one with the largest sum is
-the article. Parts of it that are no article by their element or by a word in their class, id or
+the article, widened to the container of all blocks that reach the threshold and of all
+paragraphs with as much text per tag as the path has. Parts of it that are no article by their element or by a word in their class, id or
 role (menus, notices, adverts, comments and so on) are left out, before densities are taken.
 
 A page is a row of its own: one task reads it, nothing is shuffled. Defined results: a null or
@@ -72,6 +73,7 @@ PARAGRAPH_ENDS = {
     "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main",
     "menu", "nav", "ol", "p", "pre", "section", "table", "ul",
 }
+PARAGRAPHS = {"p", "td", "li", "dd", "blockquote", "pre"}
 SPACE = re.compile(r"\s+")
 # Share of link text from which a block of several links is a menu.
 MENU_SHARE = 0.8
@@ -214,16 +216,20 @@ def densities(root: Node) -> list[Node]:
     return order
 
 
+def _text_per_tag(node: Node) -> float:
+    return (node.chars - node.link_chars) / max(node.tags, 1)
+
+
 def article(root: Node) -> Node:
     """The node of the main text: an article element that holds most, or the densest sum."""
     order = densities(root)
     best = max(order, key=lambda n: n.total)
     # The densest path: threshold is the least density between the best node and the body.
     path, node = [], best
-    while node is not None and node is not root:
+    while node is not None:
         path.append(node.density)
         node = node.parent
-    threshold = min(path, default=root.density)
+    threshold = min(path)
     reached = [n for n in order if n.density >= threshold and n.chars]
     top = max(reached, key=lambda n: n.total, default=best)
     # Headings and short paragraphs beside the densest block belong to the same container.
@@ -232,6 +238,22 @@ def article(root: Node) -> Node:
         node = node.parent
     if node.tag in ("article", "main"):
         return node
+    # Other blocks that reach the threshold are parts of the same text. Density grows with the
+    # size of a block, so paragraphs are held against the path by their text per tag.
+    above, node = {}, top
+    while node is not None:
+        above[node] = len(above)
+        node = node.parent
+    least, widest = min(_text_per_tag(n) for n in above), 0
+    for node in order:
+        reaches = node.density >= threshold and node.tag not in INLINE or (
+            node.tag in PARAGRAPHS and _text_per_tag(node) >= least
+        )
+        if reaches and node.chars and node not in above:
+            while node not in above:
+                node = node.parent
+            widest = max(widest, above[node])
+    top = list(above)[widest]
     while top.tag in INLINE | PARAGRAPH_ENDS - {"div", "section", "article", "main"} and top.parent:
         top = top.parent
     return top

@@ -76,3 +76,23 @@ def test_query_over_edges(spark, folder):
     want = PAGES[first]
     assert got == sorted([("1", want, len(want))] * 2 + [("None", want, len(want)), ("2", "", 0), ("3", "", 0)])
     assert H.QUERIES["op10_main_text"](spark, folder()).collect() == []
+
+
+FIVE = f"<p>{LONG}</p>" * 5
+
+
+@pytest.mark.parametrize("wrapped, count", [
+    (f'<div class="sec">{FIVE}</div><div class="sec">{FIVE}</div>', 10),
+    (f"<section>{FIVE}</section><section>{FIVE}</section><section><p>{LONG}</p>{FIVE}</section>", 16),
+    (f'<div>{FIVE}</div><div class="advert">Buy now</div><div><div>{FIVE}</div></div>', 10),
+    ("<table>" + f"<tr><td>{LONG}</td><td>{LONG}</td></tr>" * 3 + "</table>", 6),
+])
+def test_all_wrapped_parts_of_an_article_are_taken(wrapped, count):
+    tail = "<div>Copyright by the company</div>"
+    got = H.main_text(page(f'<div id="content"><h1>Head</h1>{wrapped}</div>{tail}'))
+    assert got.split("\n")[-count:] == [WANT] * count
+    assert "Copyright" not in got
+    if "<table" not in wrapped:
+        assert got.startswith("Head\n")
+    parts = H.main_text(page(f"{wrapped}{tail}"))
+    assert parts.count(WANT) == count
