@@ -7,6 +7,9 @@ up to the body; of the nodes that reach it and hold the most, the one with the l
 the article, widened to the container of all blocks that reach the threshold and of all
 paragraphs with as much text per tag as the path has. Parts of it that are no article by their element or by a word in their class, id or
 role (menus, notices, adverts, comments and so on) are left out, before densities are taken.
+Within an article a name that a heading or a remark may have as well leaves a block out only if it
+holds a form, mostly links, or short text without a heading; ids of headings and paragraphs are
+not read, and lists of references stay.
 
 A page is a row of its own: one task reads it, nothing is shuffled. Defined results: a null or
 empty page, or one without text, gives an empty text; null ids and urls are kept; repeated rows
@@ -39,12 +42,18 @@ INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font",
     "i", "ins", "kbd", "label", "mark", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small", "span",
     "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr",
+    # Formulas.
+    "math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "mstyle", "mpadded", "mphantom",
+    "mfrac", "msqrt", "mroot", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts",
+    "mtable", "mtr", "mtd", "merror", "menclose", "mfenced", "annotation", "annotation-xml",
 }
 # Never part of an article.
 DROPPED = RAW | {
     "nav", "footer", "aside", "form", "button", "select", "input", "option", "menu", "dialog", "head",
-    "svg", "canvas", "object", "audio", "video", "map", "applet", "fieldset", "datalist", "math",
+    "svg", "canvas", "object", "audio", "video", "map", "applet", "fieldset", "datalist",
+    "annotation", "annotation-xml",
 }
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 # A name of a class, an id or a role that marks what is no article; parts of names are set apart
 # by "-", "_" or a capital.
 MARKED = re.compile(
@@ -56,6 +65,23 @@ MARKED = re.compile(
     r"complementary|contentinfo)(?:$|[_-])",
     re.I,
 )
+# Within an article a name marks by itself only if all its parts are such words or say no more than
+# where and how, and one of them is no word that headings and remarks have as well.
+SURE = re.compile(
+    r"ads?|adbox|adslot|adsense|adsbygoogle|advert|adverts|advertisement|sponsor|sponsored|promo|promos|banner|"
+    r"banners|popup|modal|cookie|cookies|consent|gdpr|newsletter|subscribe|signup|signin|login|nav|navbar|menu|menus|"
+    r"breadcrumb|breadcrumbs|sidebar|aside|toolbar|comment|comments|disqus|replies|footer|masthead|topbar|related|"
+    r"recommended|recommendations|share|sharing|social|widget|widgets|pagination|pager|complementary|contentinfo", re.I,
+)
+FILLER = re.compile(
+    r"notices?|alerts?|notification|privacy|search|skip|tags|foot|box|bar|list|block|container|wrapper|wrap|area|"
+    r"slot|unit|links?|buttons?|icons?|inner|outer|top|bottom|left|right|posts?|articles?|stories|media|\d+", re.I,
+)
+# Visible characters below which a marked block without a heading is a notice.
+SHORT = 100
+REFERENCES = re.compile(
+    r"\b(?:references|bibliography|literature|sources|works cited|citations|footnotes|notes|further reading)\b", re.I
+)
 COMMENT = re.compile(r"(?:^|[_-])(?:comments?|repl(?:y|ies))(?:$|[_-])", re.I)
 # Names of what holds the article, and of a state that says nothing of the element itself.
 HOLDS = re.compile(r"^(?:(?:\w+-)?(?:content|main|body)|article|post|entry|story)$", re.I)
@@ -82,38 +108,53 @@ MENU_SHARE = 0.8
 class Node:
     """An element: its own texts and children in order, and what the densities need."""
 
-    __slots__ = ("tag", "parent", "parts", "dropped", "chars", "tags", "link_chars", "links", "density", "total")
+    __slots__ = (
+        "tag", "parent", "parts", "dropped", "doubtful", "within", "chars", "tags", "link_chars", "links",
+        "density", "total",
+    )
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool = False):
         self.tag, self.parent, self.parts, self.dropped = tag, parent, [], dropped
+        self.doubtful = False
+        self.within = tag in ("article", "main") or (parent is not None and parent.within)
         self.chars = self.tags = self.link_chars = self.links = 0
         self.density = self.total = 0.0
 
 
-def _is_marked(attributes: str, tag: str) -> bool:
+def _is_sure(name: str) -> bool:
+    parts = [p for p in re.split("[_-]+", name) if p]
+    sure = [SURE.fullmatch(p) for p in parts]
+    return any(sure) and all(m or FILLER.fullmatch(p) for m, p in zip(sure, parts))
+
+
+def _is_marked(attributes: str, tag: str, within: bool = False) -> bool | None:
+    """Whether an element is no article; None if that is left to what it holds."""
     if not attributes or attributes.isspace():
         return False
+    marked: bool | None = False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
+        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true" and tag != "math"):
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
         if name in ("class", "id", "role") and tag not in ("html", "body", "main"):
+            if tag == "p" or tag in HEADINGS:
+                # An id is an anchor there, mostly made of a heading.
+                if name == "id" or within and name == "class":
+                    continue
             names = [n for n in CAPITAL.sub("-", value).split() if not STATE.match(n)]
             if any(HOLDS.match(n) for n in names):
                 return False
-            if any((COMMENT if tag == "article" else MARKED).search(n) for n in names):
-                return True
-    return False
-
-
-def _within_article(node: Node | None) -> bool:
-    while node is not None:
-        if node.tag in ("article", "main"):
+            found = [n for n in names if (COMMENT if tag == "article" else MARKED).search(n)]
+            if not found:
+                continue
+            if name != "role" and (within or (tag == "section" and name == "id")):
+                if not any(map(_is_sure, found)):
+                    marked = None
+                    continue
             return True
-        node = node.parent
-    return False
+    return marked
 
 
 def parsed(page: str) -> Node:
@@ -162,10 +203,12 @@ def parsed(page: str) -> Node:
                         top = node.parent
                         break
                     node = node.parent
-        dropped = top.dropped or tag in DROPPED or _is_marked(attributes, tag)
+        marked = _is_marked(attributes, tag, top.within)
+        dropped = top.dropped or tag in DROPPED or marked is True
         if not dropped and (tag == "header" or PAGE_HEAD.search(attributes)):
-            dropped = tag not in ("html", "body", "main", "article") and not _within_article(top)
+            dropped = tag not in ("html", "body", "main", "article") and not top.within
         node = Node(tag, top, dropped)
+        node.doubtful = marked is None
         top.parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -287,11 +330,49 @@ def blocks(node: Node) -> list[str]:
     return [t for t in texts if t]
 
 
+def _holds(node: Node, tags: set[str]) -> bool:
+    stack = [node]
+    while stack:
+        node = stack.pop()
+        if node.tag in tags:
+            return True
+        stack.extend(p for p in node.parts if isinstance(p, Node))
+    return False
+
+
+def _references(root: Node) -> set[Node]:
+    """Lists below a heading of references within an article, with all that holds them."""
+    found: set[Node] = set()
+    below, stack = False, [root]
+    while stack:
+        node = stack.pop()
+        if node.tag in HEADINGS:
+            below = bool(REFERENCES.search(" ".join(blocks(node))))
+        if node.within and (node.tag == "ol" or below and node.tag in ("ul", "table")):
+            inner = [node]
+            while inner:
+                found.add(part := inner.pop())
+                inner.extend(p for p in part.parts if isinstance(p, Node) and not p.dropped)
+            while node is not None:
+                found.add(node)
+                node = node.parent
+            continue
+        stack.extend(p for p in reversed(node.parts) if isinstance(p, Node) and not p.dropped)
+    return found
+
+
 def _drop_menus(root: Node) -> None:
-    """Leave out blocks of several links and hardly any other text."""
-    for node in densities(root):
-        if node.tag in ("ul", "ol", "div", "section", "table") and node.links > 1:
+    """Leave out blocks of several links and hardly any other text, and doubtful ones like that."""
+    order, references = densities(root), _references(root)
+    for node in order:
+        if node.tag in ("ul", "ol", "div", "section", "table") and node.links > 1 and node not in references:
             node.dropped = node.link_chars > MENU_SHARE * node.chars
+        if node.doubtful and node.tag not in INLINE:
+            node.dropped = node.dropped or (
+                _holds(node, {"form", "input", "button", "select"})
+                or (node.link_chars > node.chars / 2 and node not in references)
+                or (node.chars < SHORT and not _holds(node, HEADINGS))
+            )
 
 
 def main_text(page: str | None) -> str:

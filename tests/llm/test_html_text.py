@@ -96,3 +96,37 @@ def test_all_wrapped_parts_of_an_article_are_taken(wrapped, count):
         assert got.startswith("Head\n")
     parts = H.main_text(page(f"{wrapped}{tail}"))
     assert parts.count(WANT) == count
+
+
+@pytest.mark.parametrize("name", [
+    "discussion", "related-work", "search-results", "privacy-policy", "navigation", "notice", "promotion",
+    "social-history",
+])
+def test_parts_of_an_article_keep_names_made_of_their_headings(name):
+    rest = f"<p>{LONG}</p>"
+    want = f"{WANT}\nHead\n{WANT}"
+    for part in (f'<section id="{name}"><h2>Head</h2><p>{LONG}</p></section>', f'<h2 id="{name}">Head</h2>{rest}',
+                 f'<h2>Head</h2><p class="{name}">{LONG}</p>', f'<div class="{name}"><h2>Head</h2>{rest}</div>'):
+        assert H.main_text(page(f"<article>{rest}{part}</article>")) == want
+    assert H.main_text(page(f'<div id="content">{rest}<h2 id="{name}">Head</h2>{rest}</div>')) == want
+    menu = f'<div id="{name}"><a href="/a">Home</a> <a href="/b">About us</a></div>'
+    form = f'<div class="{name}"><p>{LONG}</p><form><input></form></div>'
+    for part in (menu, form, f'<div class="{name}">Short text</div>'):
+        assert H.main_text(page(f"<article>{rest}{part}</article>")) == WANT
+
+
+@pytest.mark.parametrize("name", ["comments", "ad", "cookie-notice", "share_buttons", "relatedPosts", "sidebar"])
+def test_boilerplate_within_an_article_goes(name):
+    part = f'<div class="{name}"><h2>Head</h2><p>{LONG}</p></div>'
+    assert H.main_text(page(f"<article><p>{LONG}</p>{part}</article>")) == WANT
+
+
+def test_formulas_and_references_stay():
+    links = "".join(f'<li><a href="/{i}">Title of paper {i}</a></li>' for i in range(3))
+    titles = "\n".join(f"Title of paper {i}" for i in range(3))
+    formula = "<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math>"
+    for listed in (f"<h2>References</h2><ul>{links}</ul>", f"<section><h2>References</h2><ol>{links}</ol></section>"):
+        got = H.main_text(page(f"<article><p>{LONG}</p><p>so {formula} holds</p>{listed}</article>"))
+        assert got == f"{WANT}\nso x=1 holds\nReferences\n{titles}"
+    menu = H.main_text(page(f"<article><p>{LONG}</p><h2>More</h2><ul>{links}</ul></article>"))
+    assert menu == f"{WANT}\nMore"
