@@ -87,6 +87,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
         .groupBy("doc_id")
         .agg((1 - F.min("quality")).alias("low"), F.coalesce(F.max("toxic"), F.lit(0)).alias("toxic"))
+        # Labels of absent documents would use up the sample.
+        .join(docs.select("doc_id"), "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(sample)
     )

@@ -141,3 +141,9 @@ def test_without_labels_nothing_is_rejected(spark, folder):
     assert all(r["keep"] for r in one)
     assert Q.QUERIES[NAME](spark, folder()).collect() == []
     assert Q.QUERIES[NAME](spark, folder(labels=[(1, 0, 1)])).collect() == []
+
+
+def test_labels_of_absent_documents_do_not_use_up_the_sample(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)] + [(3, "again"), (None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(2000)], "doc_id long, quality int, toxic int")
+    assert Q.labelled_sample(docs, labels, sample=20).count() == 21
