@@ -40,7 +40,10 @@ PATTERNS = {
     "checked": re.compile(r"(?:gh[pousr]|npm)_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
     "webtoken": re.compile(r"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     "key": re.compile(
-        r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----[A-Za-z0-9+/=\s]+-----END \1-----"
+        # Lines of headers, then base 64; line ends may be escaped, as in JSON.
+        r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----"
+        r"(?:(?:\s|\\+[nr])++[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+)*+"
+        r"(?:[A-Za-z0-9+/=\s]|\\+[nrt/])++-----END \1-----"
     ),
 }
 KEYWORDS = {

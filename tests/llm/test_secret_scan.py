@@ -94,3 +94,20 @@ def test_redaction_leaves_the_rest(spark):
     assert {r["spans"] for r in out} == {"x"} and list(out[0].asDict()) == docs.columns
     again = S.with_spans(S.redacted(docs), "doc_id").filter(F.size("spans") > 0)
     assert again.count() == 0
+
+
+def test_keys_with_headers_escaped_line_ends_and_of_pgp():
+    body = "MIIEabc+/=\nZZ09=="
+    headed = f"Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A-1B\n\n{body}"
+    pgp = f"Version: GnuPG v2 (x)\nComment: a, b\n\n{body}\n=aB3d"
+    keys = [f"-----BEGIN RSA PRIVATE KEY-----\n{headed}\n-----END RSA PRIVATE KEY-----"]
+    keys.append(f"-----BEGIN PGP PRIVATE KEY BLOCK-----\n{pgp}\n-----END PGP PRIVATE KEY BLOCK-----")
+    keys += [k.replace("\n", "\r\n") for k in keys]
+    keys += [k.replace("\r", "").replace("\n", r"\n").replace("+/", r"+\/") for k in keys[:2]]
+    keys += [k.replace("\\n", "\\\\n") for k in keys[4:]]
+    for key in keys:
+        assert f"key:4:{4 + len(key)}" in listed(f'a: "{key}" b'), key
+    for text in (f"-----BEGIN PRIVATE KEY-----\n{body}, and so on\n-----END PRIVATE KEY-----",
+                 "-----BEGIN PGP PRIVATE KEY BLOCK-----\nabc\n-----END PGP PRIVATE KEY-----",
+                 "-----BEGIN PRIVATE KEY-----\n" + "a: b\n" * 20_000):
+        assert listed(text) == []
