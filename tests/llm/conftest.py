@@ -6,6 +6,7 @@ SCHEMAS = {
     "benchmark": "item_id long, text string",
     "labels": "doc_id long, quality int, toxic int",
     "pages": "page_id long, url string, html string",
+    "conversations": "conv_id long, turn long, role string, text string",
 }
 
 

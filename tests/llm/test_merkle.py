@@ -1,0 +1,134 @@
+import hashlib
+import zlib
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from adfacts.llm import merkle as M
+
+from edges import EDGES
+
+NAME = "op11_merkle"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def plain_digest(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def plain_leaf(row, n_chars):
+    doc_id, text, lang, source, _ = row
+    out = []
+    for value in (doc_id, source, lang, n_chars, text):
+        text = None if value is None else str(value)
+        out.append("-" if text is None else f"{len(text.encode())}:{text}")
+    return plain_digest(*out)
+
+
+def plain_levels(leaves):
+    levels = [leaves]
+    while len(levels[-1]) > 1:
+        last = levels[-1]
+        levels.append([plain_digest(*last[i:i + 2]) for i in range(0, len(last), 2)])
+    return levels
+
+
+def plain_way(levels, i):
+    way = []
+    for level in levels[:-1]:
+        other = i ^ 1
+        way.append((level[other] if other < len(level) else "", i % 2 == 1))
+        i //= 2
+    return way
+
+
+def plain(rows):
+    """The contract in plain loops."""
+    trees = defaultdict(list)
+    for row in rows:
+        changed = row[4]
+        if row[0] is not None and changed is not None and zlib.crc32(str(row[0]).encode()) % 7 == 0:
+            changed += 1
+        trees[row[2]].append((row[0] is not None, row[0] or 0, plain_leaf(row, row[4]), plain_leaf(row, changed)))
+    names = sorted(trees, key=lambda n: (n is not None, (n or "").encode()))
+    levels = {n: plain_levels([leaf[2] for leaf in sorted(trees[n])]) for n in names}
+    top = plain_levels([levels[n][-1][0] for n in names])
+    out = []
+    for t, name in enumerate(names):
+        for i, (known, doc_id, leaf, changed) in enumerate(sorted(trees[name])):
+            way = plain_way(levels[name], i) + plain_way(top, t)
+            found = changed
+            for other, left in way:
+                found = plain_digest(other, found) if left else plain_digest(found, other)
+            proof = plain_digest(*(other for other, _ in way))
+            root = top[-1][0]
+            out.append((doc_id if known else None, leaf, levels[name][-1][0], root, proof, found, found == root))
+    return out
+
+
+def rows_of(sizes):
+    """Languages of the given sizes, ids dealt among them."""
+    out = []
+    for lang, size in sizes.items():
+        out += [(len(out) + i, f"text {i}", lang, f"s{i % 3}", None if i % 5 == 4 else i) for i in range(size)]
+    return out
+
+
+@pytest.mark.parametrize("rows", [
+    EDGES,
+    [(1, "one", "en", "a", 3)],
+    [(7, None, None, None, None)] * 3,
+    rows_of({"en": 130, "de": 64, "fr": 65, "zz": 1, None: 5, "": 2, "é": 3}),
+], ids=["edges", "one", "equal", "sizes"])
+def test_matches_plain_loops_and_sql(folder, matches, rows):
+    got = matches(M, NAME, folder(documents=rows))
+    names = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    order = sorted(names)
+    want = [tuple(r[names.index(c)] for c in order) for r in plain(rows)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_empty_table(folder, matches, spark):
+    assert matches(M, NAME, folder()) == []
+    assert M.manifest(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 63, 64, 65, 4096, 4097])
+def test_intervals_of_the_manifest(spark, size):
+    docs = spark.range(size).select(
+        F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"),
+        F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"), F.lit("x").alias("tree"),
+    )
+    nodes = [r for r in M.manifest(docs).collect() if r["tree"] == "+en"]
+    levels = defaultdict(list)
+    for r in nodes:
+        levels[r["level"]].append((r["lo"], r["hi"]))
+    height = (size - 1).bit_length()
+    assert sorted(levels) == list(range(1, height + 1))
+    for level, intervals in levels.items():
+        width = 1 << level
+        assert sorted(intervals) == [(a, min(a + width, size) - 1) for a in range(0, size, width)]
+
+
+def test_a_large_language_spans_slices(spark):
+    docs = spark.createDataFrame(rows_of({"en": 4000, "de": 10}), SCHEMA)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    leaves = M.leaves_of(docs, F.lit(1).alias("text")).withColumn("_p", F.lit(0))
+    ranked = M.ranked(leaves, ["doc_id", "digest"]).withColumn("_p", F.spark_partition_id()).collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    by_rank = sorted((r["rank"], r["doc_id"]) for r in ranked if r["tree"] == "+en")
+    assert [rank for rank, _ in by_rank] == list(range(4000))
+    assert [doc for _, doc in by_rank] == sorted(doc for _, doc in by_rank)
+    assert {r["height"] for r in ranked if r["tree"] == "+en"} == {12}
+
+
+def test_any_change_is_found(spark):
+    rows = rows_of({"en": 20, "de": 3})
+    docs = spark.createDataFrame(rows, SCHEMA)
+    changed = F.when(F.col("doc_id") == 4, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    leaves = M.leaves_of(docs, M.leaf(text=changed).alias("other"))
+    found = M.forest(leaves).proofs().select(
+        "doc_id", (M.folded(F.col("other"), F.col("path")) == F.col("root")).alias("ok")
+    ).collect()
+    assert {r["doc_id"] for r in found if not r["ok"]} == {4}
