@@ -57,7 +57,7 @@ def corpus(n=400):
         words = [f"w{chr(97 + i % 23)}x", "Common,", "common", f"rare{chr(97 + i % 26)}{chr(97 + i // 26)}"]
         words += ["Twice twice TWICE."] if i % 21 == 1 else []
         words += [("spelt", "Spelt", "spelt.", "(spelt)")[i % 4]] if 50 <= i < 68 else []
-        words += [("near", "Near", "near.", "(near)")[i % 4]] * 3 if 100 <= i < 111 else []
+        words += [("near", "Near", "near.", "(near)")[i % 4]] * 3 if 100 <= i < 112 else []
         words += ["a-b_c'd http://x.y/z" if i % 2 else "日本語 ÉTÉ été"] if i % 3 else []
         rows.append((i, " ".join(words), "en" if i % 5 else None, "hot" if i % 2 else f"s{i % 7}", 1))
     return rows
