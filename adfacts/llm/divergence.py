@@ -1,16 +1,16 @@
 """How the words of each source differ from those of other sources and of its language.
 
 Chunk factorization: texts are cut at ASCII white space, which no term holds. Tasks count the chunks
-of each document and write, for blocks of documents, one row per language and chunk: in how
+of each document and pass on, for blocks of documents, one row per language and chunk: in how
 many documents it stands, how often in each source, and, if there are fewer than ``LEAST``, in
-which documents. Counts of a chunk are summed by Spark; each chunk of the whole corpus is tokenized
-once, and its terms are joined back to the counts.
+which documents. These rows are dealt by chunk and summed, once; so what is shuffled are distinct
+chunks of blocks, not those of documents. Each chunk of the whole corpus is tokenized once, and its
+terms are joined back to the sums.
 
 A term is kept if it stands in at least ``LEAST`` documents of a language. It does if one of its
 chunks does, and cannot if all its chunks together do not. Only for terms between, as ``Term,`` and
 ``term.`` in six documents each, the documents of their chunks are joined and distinct ones
-counted; such a chunk is in fewer than ``LEAST`` documents, so its documents are all in the rows.
-So what is shuffled are distinct chunks per block, not chunks per document.
+counted; such a chunk is in fewer than ``LEAST`` documents, so all of them are known.
 
 Chances p of kept terms are whole billionths. For pairs of sources, the chances of one term in all
 sources of a language are one row, and tasks sum the divergences of all pairs over their rows;
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ BLOCK = 1 << 22
 CELLS = 1 << 20
 # No letter: an ASCII character that is not A-Z or a-z.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-COUNTS = "lang string, chunk binary, docs long, sources array<struct<source:string,n:long>>, doc_keys array<long>"
+COUNTS = "lang string, chunk binary, docs long, sources array<string>, numbers array<long>, doc_keys array<long>"
 
 
 class _Numbers(dict):
@@ -86,23 +87,55 @@ def _block(
     kept = np.repeat(few, docs)
     own = own[by_chunk]
     names = pa.array(list(sources), pa.string())
-    per_source = pa.StructArray.from_arrays(
-        [names.take(pa.array(key[by_source] % len(sources))),
-         pa.array(np.add.reduceat(n, by_source) if len(n) else n, pa.int64())],
-        ["source", "n"],
-    )
+    numbers = np.add.reduceat(n, by_source) if len(n) else n
+    outer, inner = (pa.array(o, pa.int32()) for o in (outer, inner))
     return pa.RecordBatch.from_arrays(
         [pa.array(list(langs), pa.string()).take(pa.array(own // len(chunks))),
          pa.array(list(chunks), pa.binary()).take(pa.array(own % len(chunks))),
          pa.array(docs, pa.int64()),
-         pa.ListArray.from_arrays(pa.array(outer, pa.int32()), per_source),
-         pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(first + doc[kept], pa.int64()))],
-        names=["lang", "chunk", "docs", "sources", "doc_keys"],
+         pa.ListArray.from_arrays(outer, names.take(pa.array(key[by_source] % len(sources)))),
+         pa.ListArray.from_arrays(outer, pa.array(numbers, pa.int64())),
+         pa.ListArray.from_arrays(inner, pa.array(first + doc[kept], pa.int64()))],
+        names=["lang", "chunk", "docs", "sources", "numbers", "doc_keys"],
+    )
+
+
+def _summed(rows: pa.RecordBatch, least: int) -> pa.RecordBatch:
+    """Rows sorted by chunk and language, with equal ones summed."""
+    n = rows.num_rows
+    other = np.zeros(max(n - 1, 0), bool)
+    for name in ("chunk", "lang"):
+        column = rows.column(name)
+        other |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+    starts = np.flatnonzero(np.concatenate([[True], other]))
+    group = np.cumsum(np.concatenate([[0], other]))
+    docs = np.add.reduceat(rows.column("docs").to_numpy(), starts)
+
+    def of_entries(name: str) -> np.ndarray:
+        return np.repeat(group, rows.column(name).value_lengths().to_numpy())
+
+    # Sources of a group once each.
+    names = rows.column("sources").flatten().dictionary_encode()
+    width = max(len(names.dictionary), 1)
+    pairs, which = np.unique(of_entries("sources") * width + names.indices.to_numpy(), return_inverse=True)
+    sums = np.bincount(which, rows.column("numbers").flatten().to_numpy(), len(pairs)).astype(np.int64)
+    outer = pa.array(np.searchsorted(pairs, np.arange(len(starts) + 1) * width), pa.int32())
+    # Documents of groups that are still in few.
+    of_key = of_entries("doc_keys")
+    few = docs[of_key] < least
+    inner = pa.array(np.searchsorted(of_key[few], np.arange(len(starts) + 1)), pa.int32())
+    at = pa.array(starts)
+    return pa.RecordBatch.from_arrays(
+        [rows.column("lang").take(at), rows.column("chunk").take(at), pa.array(docs),
+         pa.ListArray.from_arrays(outer, names.dictionary.take(pa.array(pairs % width))),
+         pa.ListArray.from_arrays(outer, pa.array(sums)),
+         pa.ListArray.from_arrays(inner, rows.column("doc_keys").flatten().filter(pa.array(few)))],
+        names=["lang", "chunk", "docs", "sources", "numbers", "doc_keys"],
     )
 
 
 def chunk_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """Chunks per block of documents, written; see ``COUNTS``."""
+    """A row per language and chunk, written; see ``COUNTS``. ``doc_keys`` are all if they are few."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, held = TaskContext.get().partitionId() << 40, 0
@@ -122,9 +155,22 @@ def chunk_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
         if ids:
             yield _block(first, chunks, ids, groups, least)
 
-    return written(
-        docs.select(F.col("text").cast("binary"), "lang", "source").mapInArrow(count, COUNTS), "chunks"
-    )
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            if held is not None:
+                batch = pa.concat_batches([held, batch.cast(held.schema)])
+            if batch.num_rows:
+                summed = _summed(batch, least)
+                # The last group may go on in the next batch.
+                held = summed.slice(summed.num_rows - 1)
+                yield summed.slice(0, summed.num_rows - 1)
+        if held is not None:
+            yield held
+
+    blocks = docs.select(F.col("text").cast("binary"), "lang", "source").mapInArrow(count, COUNTS)
+    dealt = blocks.repartition("chunk").sortWithinPartitions("chunk", "lang")
+    return written(dealt.mapInArrow(add, COUNTS), "chunks")
 
 
 def terms_of(chunks: DataFrame) -> DataFrame:
@@ -138,17 +184,15 @@ def terms_of(chunks: DataFrame) -> DataFrame:
 
 def kept_terms(counts: DataFrame, least: int = LEAST) -> DataFrame:
     """(lang, chunk, term, k) of every term in at least ``least`` documents, written."""
-    chunks = counts.groupBy("lang", "chunk").agg(F.sum("docs").alias("docs"))
-    chunks = written(chunks, "summed")
-    terms = terms_of(chunks.select("chunk").distinct())
-    found = written(chunks.join(terms, "chunk"), "terms")
+    terms = terms_of(counts.select("chunk").distinct())
+    found = written(counts.select("lang", "chunk", "docs").join(terms, "chunk"), "terms")
     bounds = found.groupBy("lang", "term").agg(F.max("docs").alias("_low"), F.sum("docs").alias("_high"))
     bounds = written(bounds.filter(F.col("_high") >= least), "bounds")
-    # Each chunk of these terms is in fewer documents than that, so none of its rows left them out.
+    # Each chunk of these terms is in fewer documents than that, so all of them are listed.
     unsure = found.join(bounds.filter(F.col("_low") < least), ["lang", "term"]).select("lang", "chunk", "term")
     sure = bounds.filter(F.col("_low") >= least).select("lang", "term")
     several = (
-        counts.select("lang", "chunk", "doc_keys").join(unsure, ["lang", "chunk"])
+        counts.filter(F.col("docs") < least).select("lang", "chunk", "doc_keys").join(unsure, ["lang", "chunk"])
         .select("lang", "term", F.explode("doc_keys").alias("doc")).distinct()
         .groupBy("lang", "term").count().filter(F.col("count") >= least).select("lang", "term")
     )
@@ -159,13 +203,11 @@ def kept_terms(counts: DataFrame, least: int = LEAST) -> DataFrame:
 def term_counts(counts: DataFrame, kept: DataFrame) -> DataFrame:
     """(lang, source, term, n) of kept terms that occur, written."""
     per_source = (
-        counts.join(kept.select("lang", "chunk").distinct(), ["lang", "chunk"], "left_semi")
-        .select("lang", "chunk", F.inline("sources"))
-        .groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"))
+        counts.select("lang", "chunk", F.arrays_zip("sources", "numbers").alias("s"))
+        .join(kept, ["lang", "chunk"]).select("lang", "term", "k", F.inline("s").alias("source", "n"))
     )
     return written(
-        per_source.join(kept, ["lang", "chunk"])
-        .groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("k")).alias("n")),
+        per_source.groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("k")).alias("n")),
         "occurrences",
     )
 

@@ -104,8 +104,8 @@ def test_blocks_count_as_plain_counters(size):
             docs[key] += row["docs"]
             assert len(row["doc_keys"]) == (row["docs"] if row["docs"] < 5 else 0)
             keys[key].update(row["doc_keys"])
-            for s in row["sources"]:
-                n[(*key, s["source"])] += s["n"]
+            for source, number in zip(row["sources"], row["numbers"], strict=True):
+                n[(*key, source)] += number
     want_docs, want_n = Counter(), Counter()
     for _, text, lang, source, _ in rows:
         want_docs.update({(lang or "", w) for w in text.split()})
@@ -114,3 +114,18 @@ def test_blocks_count_as_plain_counters(size):
     for key, found in keys.items():
         if len(found) == docs[key]:
             assert found == {i for i, r in enumerate(rows) if (r[2] or "") == key[0] and key[1] in r[1].split()}
+
+
+def test_rows_of_equal_chunks_are_summed_across_batches(spark):
+    rows = corpus(200)
+    docs = spark.createDataFrame(rows, SCHEMA).fillna("").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    got = M.chunk_counts(docs.select("text", "lang", "source"), 5).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want_docs, want_n = Counter(), Counter()
+    for _, text, lang, source, _ in rows:
+        want_docs.update({(lang or "", w) for w in text.split()})
+        want_n.update((lang or "", w, source) for w in text.split())
+    assert {(r["lang"], r["chunk"].decode()): r["docs"] for r in got} == want_docs and len(got) == len(want_docs)
+    assert {(r["lang"], r["chunk"].decode(), s): n for r in got for s, n in zip(r["sources"], r["numbers"])} == want_n
+    assert all(len(set(r["doc_keys"])) == (r["docs"] if r["docs"] < 5 else 0) for r in got)
