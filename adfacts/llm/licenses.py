@@ -1,16 +1,19 @@
 """License notices in texts by an exact set-similarity join of text blocks and templates.
 
-A block is a line. A template matches a block that holds at least ``CONTAINMENT`` of its distinct
-words. Tokens are ordered by how many blocks of the whole corpus hold them, rarest first (blocks with
-fewer template words than the smallest template needs are out before). With
-``need`` words of a template required, every matching block holds one of the first
-``size - need + 1`` words of that order (prefix filter): those words alone are join keys. A block
-with fewer template words than needed cannot match (length filter), nor one whose words that
-rank from the joined word on are too few (positional filter). What is left is counted exactly.
-
-Templates are a list in the code; a hundred words at most are broadcast, with their counts. Only
-words of templates leave a block, so a block in the join is a few short words, and one row per
-document comes back. All of it is DataFrame functions.
+A block is a run of words of the whole text, whatever lines they are on. Templates are in classes by
+their number of words, up to 8, 16, 32 and so on; blocks of a class are twice as long and
+begin every so many words, so every run of a template's words lies within one. A template matches a
+block that holds at least ``CONTAINMENT`` of its distinct words. Tokens are ordered by how many blocks of
+the whole corpus hold them, rarest first (blocks with fewer template words than the smallest
+template of their class needs are out before). With ``need`` words of a template required,
+every matching block holds one of the first ``size - need + 1`` words of that order (prefix filter):
+those words alone are join keys. A block with fewer template words than needed cannot match (length
+filter), nor one whose words that rank from the joined word on are too few (positional filter).
+What is left is counted exactly.
+
+Templates are a list in the code; their words, some hundred, are broadcast, with their counts. A text is
+read once; what is written of it are places of phrases and the template words of its blocks, and
+one row per document comes back. All of it is DataFrame functions.
 
 Defined results: a null text is empty: no words, no labels, nulls for first and last word, score
 0; rows alike in doc_id and text are labelled alike; null ids are kept; other columns are not
@@ -19,6 +22,7 @@ read. The score is the highest containment of a template, 1 where a phrase stand
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,8 +94,11 @@ def phrase_places(words: Column, phrase: str) -> Column:
 
 
 def templates(spark: SparkSession, listed: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    rows = [(i, label, sorted(set(text.split()))) for i, (text, label) in enumerate(listed)]
-    return spark.createDataFrame(rows, "template int, label string, words array<string>")
+    rows = [
+        (i, label, span(len(text.split())), sorted(set(text.split())))
+        for i, (text, label) in enumerate(listed)
+    ]
+    return spark.createDataFrame(rows, "template int, label string, span int, words array<string>")
 
 
 def needed(size: Column) -> Column:
@@ -99,29 +106,40 @@ def needed(size: Column) -> Column:
     return F.ceil(size * CONTAINMENT - 1e-9).cast("int")
 
 
-def block_words(docs: DataFrame, listed: DataFrame) -> DataFrame:
-    """Per line of a text its distinct words out of templates, if enough for the smallest one."""
-    bounds = listed.agg(
-        F.array_distinct(F.flatten(F.collect_list("words"))).alias("known"),
-        F.min(needed(F.size("words"))).alias("least"),
-    ).first()
-    known = F.array(*[F.lit(w) for w in sorted(bounds["known"])])
-    found = F.transform(
-        F.split(lowered(F.col("text")), "\n"),
-        lambda line: F.array_intersect(F.split(line, BETWEEN), known),
-    )
-    return docs.select("doc_id", "_key", F.posexplode(found).alias("block", "found")).filter(
-        F.size("found") >= bounds["least"]
-    )
+def span(n_words: int) -> int:
+    """The class of a template: how many words apart its blocks begin."""
+    return 1 << max((n_words - 1).bit_length(), 3)
+
+
+def blocks_of(words: Column, n: Column, listed: list[tuple[str, str]]) -> Column:
+    """Blocks (span, block, found) of a text's ``n`` words that hold enough words of templates."""
+    classes: dict[int, list[set[str]]] = {}
+    for text, _ in listed:
+        classes.setdefault(span(len(text.split())), []).append(set(text.split()))
+    return F.concat(*[_blocks_of_class(words, n, size, sets) for size, sets in sorted(classes.items())])
+
+
+def _blocks_of_class(words: Column, n: Column, size: int, sets: list[set[str]]) -> Column:
+    known = F.array(*[F.lit(w) for w in sorted(set().union(*sets))])
+    least = min(math.ceil(len(s) * CONTAINMENT - 1e-9) for s in sets)
+
+    def block(i: Column) -> Column:
+        found = F.array_intersect(F.slice(words, i * size + 1, 2 * size), known)
+        return F.struct(F.lit(size).alias("span"), i.cast("int").alias("block"), found.alias("found"))
+
+    # A block that begins behind the last but one start holds no more than the one before.
+    last = F.greatest(F.ceil(n / size).cast("int") - 2, F.lit(0))
+    blocks = F.transform(F.sequence(F.lit(0), last), block)
+    return F.filter(blocks, lambda b: F.size(b["found"]) >= least)
 
 
 def similarity_join(blocks: DataFrame, listed: DataFrame) -> DataFrame:
-    """(doc_id, _key, block, template, label, containment) of every match.
+    """(doc_id, _key, span, block, template, label, containment) of every match.
 
     ``blocks`` is read twice: for the frequencies of tokens and for the join.
     """
     counts = blocks.select(F.explode("found").alias("word")).groupBy("word").count()
-    wanted = listed.select("template", "label", F.explode("words").alias("word"))
+    wanted = listed.select("template", "label", "span", F.explode("words").alias("word"))
     ranked = (
         wanted.select("word").distinct().join(counts, "word", "left")
         .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("count", F.lit(0)), "word"))).alias("o"))
@@ -130,15 +148,15 @@ def similarity_join(blocks: DataFrame, listed: DataFrame) -> DataFrame:
     )
     prefixes = (
         wanted.join(F.broadcast(ranked), "word")
-        .groupBy("template", "label")
+        .groupBy("template", "label", "span")
         .agg(F.sort_array(F.collect_list(F.struct("rank", "word")))["word"].alias("words"))
         .withColumns({"size": F.size("words"), "need": needed(F.size("words"))})
         .withColumn("_prefix", F.slice("words", 1, F.col("size") - F.col("need") + 1))
-        .select("template", "label", "words", "need", "size",
+        .select("template", "label", "span", "words", "need", "size",
                 F.posexplode("_prefix").alias("place", "word"))
     )
     held = blocks.select("*", F.explode("found").alias("word"))
-    candidates = held.join(F.broadcast(prefixes), "word").filter(
+    candidates = held.join(F.broadcast(prefixes), ["span", "word"]).filter(
         # Length filter, and positional filter: the words from the joined one on must do.
         (F.size("found") >= F.col("need")) & (F.col("size") - F.col("place") >= F.col("need"))
     )
@@ -148,25 +166,30 @@ def similarity_join(blocks: DataFrame, listed: DataFrame) -> DataFrame:
         candidates.filter(F.col("place") == first)
         .withColumn("_overlap", overlap)
         .filter(F.col("_overlap") >= F.col("need"))
-        .select("doc_id", "_key", "block", "template", "label",
+        .select("doc_id", "_key", "span", "block", "template", "label",
                 (F.col("_overlap") / F.col("size")).alias("containment"))
     )
 
 
 def license_labels(docs: DataFrame, listed: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """One row per document: word count, places of phrases, labels of blocks and their score."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text").withColumn("_key", text_key())
-    rows = templates(spark, listed)
-    matches = similarity_join(written(block_words(docs, rows), "blocks"), rows)
-    labelled = matches.groupBy("doc_id", "_key").agg(
-        F.collect_set("label").alias("_labels"), F.max("containment").alias("_score"),
-    ).withColumnsRenamed({"doc_id": "_id", "_key": "_of"})
+    rows = templates(docs.sparkSession, listed)
     words = normalised(F.coalesce("text", F.lit("")))
-    base = docs.select("doc_id", "_key", words.alias("_words")).select(
-        "doc_id", "_key", n_words(F.col("_words")).alias("n_words"),
-        *[phrase_places(F.col("_words"), p).alias(f"_p{i}") for i, (p, _) in enumerate(PHRASES)],
+    split = docs.select("doc_id", text_key().alias("_key"), words.alias("_words")).withColumns(
+        {"n_words": n_words(F.col("_words")), "_list": F.split(F.trim("_words"), " ")}
     )
+    base = written(
+        split.select(
+            "doc_id", "_key", "n_words",
+            *[phrase_places(F.col("_words"), p).alias(f"_p{i}") for i, (p, _) in enumerate(PHRASES)],
+            blocks_of(F.col("_list"), F.col("n_words"), listed).alias("_blocks"),
+        ),
+        "blocks",
+    )
+    blocks = base.select("doc_id", "_key", F.inline("_blocks"))
+    labelled = similarity_join(blocks, rows).groupBy("doc_id", "_key").agg(
+        F.collect_set("label").alias("_labels"), F.max("containment").alias("_score"),
+    ).withColumnsRenamed({"doc_id": "_id", "_key": "_of"})
     places = F.concat(*[F.col(f"_p{i}") for i in range(len(PHRASES))])
     base_labels = F.array_compact(F.array(
         *[F.when(F.size(f"_p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES)]
@@ -194,33 +217,43 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """Containment counted for every line and template, without filters."""
+    """Containment counted for every block and template, without filters."""
     listed = ", ".join(
-        f"({i}, '{label}', {sorted(set(t.split()))})" for i, (t, label) in enumerate(TEMPLATES)
+        f"({i}, '{label}', {span(len(t.split()))}, {sorted(set(t.split()))})"
+        for i, (t, label) in enumerate(TEMPLATES)
     )
     phrases = ", ".join(f"('{label}', {p.split()})" for p, label in PHRASES)
+    longest = max(p.count(" ") + 1 for p, _ in PHRASES)
     upper, lower = string.ascii_uppercase, string.ascii_lowercase
     split = f"regexp_extract_all(translate({{}}, '{upper}', '{lower}'), '{WORD_PATTERN}')"
     return f"""
-WITH templates(template, label, words) AS (VALUES {listed}),
+WITH templates(template, label, span, words) AS (VALUES {listed}),
 phrases(label, words) AS (VALUES {phrases}),
 docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 texts AS (SELECT r, doc_id, {split.format('text')} AS w FROM docs),
+words AS (SELECT r, len(w) AS n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p FROM texts),
+runs AS (
+  SELECT r, p, [word, {", ".join(f"lead(word, {i}) OVER o" for i in range(1, longest))}] AS run
+  FROM words WINDOW o AS (PARTITION BY r ORDER BY p)
+),
 places AS (
-  SELECT r, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(words)] = words)) AS place
-  FROM texts, (SELECT label, words FROM phrases)
+  SELECT r, label, p AS place FROM runs JOIN phrases ON run[1] = words[1] AND run[:len(words)] = words
 ),
 base AS (
   SELECT r, count(*) AS n, min(place) AS first_word, max(place) AS last_word,
     list(DISTINCT label) AS labels
   FROM places GROUP BY r
 ),
-lines AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs),
-sets AS (SELECT r, list_distinct({split.format('line')}) AS w FROM lines),
+wanted AS (SELECT template, label, span, len(words) AS size, unnest(words) AS word FROM templates),
+held AS (
+  SELECT r, n, template, label, span, size, word, unnest([p // span, p // span - 1]) AS block
+  FROM words JOIN wanted USING (word)
+),
 found AS (
-  SELECT r, label, len(list_intersect(w, words)) / len(words) AS part
-  FROM sets, templates
-  WHERE len(list_intersect(w, words)) >= ceil(len(words) * {CONTAINMENT} - 1e-9)
+  SELECT r, label, count(DISTINCT word) / any_value(size) AS part
+  FROM held WHERE block >= 0 AND block < greatest(ceil(n / span) - 1, 1)
+  GROUP BY r, template, label, block
+  HAVING count(DISTINCT word) >= ceil(any_value(size) * {CONTAINMENT} - 1e-9)
 ),
 matched AS (SELECT r, list(DISTINCT label) AS labels, max(part) AS score FROM found GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, first_word, last_word,

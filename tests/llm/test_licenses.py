@@ -1,5 +1,7 @@
 import random
+import textwrap
 
+import pytest
 from edges import EDGES
 
 from adfacts.llm import licenses as L
@@ -42,5 +44,32 @@ def test_matches_sql_without_filters(spark, folder, matches):
     assert out[1]["n_words"] == 0 and out[1]["score"] == 0.0
 
 
+@pytest.mark.parametrize("width", [40, 60, 80])
+def test_wrapped_templates_are_found_wherever_they_stand(spark, folder, matches, width):
+    rng = random.Random(width)
+    docs, want = [], {}
+    for i, (text, label) in enumerate(L.TEMPLATES):
+        for j, mark in enumerate(("", " * ", "# ", "// ")):
+            before = " ".join(f"w{rng.randrange(99)}" for _ in range(rng.randrange(90)))
+            lines = textwrap.wrap(text.capitalize(), width) + [f"z{rng.randrange(9)} after"] * rng.randrange(9)
+            want[100 * i + j] = label
+            docs.append((100 * i + j, "\n".join([before, *(mark + line for line in lines)]), "en", "s", 1))
+    path = folder(documents=docs)
+    rows = {r["doc_id"]: r for r in L.QUERIES[NAME](spark, path).collect()}
+    assert all(label in rows[i]["labels"].split(",") and rows[i]["score"] == 1.0 for i, label in want.items())
+    matches(L, NAME, path)
+
+
+def test_blocks_cover_every_run_of_a_template():
+    for n in range(1, 70):
+        size = L.span(n)
+        assert size >= max(n, 8) and (size == 8 or size < 2 * n)
+
+
+def test_the_plan_has_no_python_worker_and_no_text_is_joined(spark, folder):
+    plan = L.op9_licenses(spark, folder(documents=planted()))._jdf.queryExecution().toString()
+    assert "Arrow" not in plan and "Python" not in plan and "text#" not in plan.split("Physical Plan")[1]
+
+
 def test_empty_table(folder, matches):
     assert matches(L, NAME, folder()) == []
