@@ -5,21 +5,29 @@ a shard has one row per term with the term's places in the shard, and one row (a
 with its directory of documents. Building it is a projection: each task writes the shards of the
 documents it reads, nothing is shuffled.
 
-A search takes windows of ``WINDOW`` consecutive words of the items. Counts of their terms over
-all shards order a window's terms, rarest first. Per shard the places of the rarest term, less
-its place in the window, are where the window may begin; the list of every next term, adjusted
-alike, is intersected with them. What is in all lists is an exact occurrence. Where the rarest
-term stands and at most one term in five is not within ``SLACK`` words of its place is a proximity
-match. Only rows of searched terms leave the index, dealt by
-shard, so that a group is as large as a shard, whatever a term or a passage is shared by.
+A search takes windows of ``WINDOW`` consecutive words of the items, each distinct one once. Within a
+shard a window's terms are ordered by how often they stand there, rarest first. The places of the
+rarest, less its place in the window, are where the window may begin; the list of every next term,
+adjusted alike, is intersected with them. What is in all lists is an exact occurrence.
 
-Items are the query set and are read in blocks of about ``BLOCK_WORDS`` words, each of which is
-sent to all tasks; results of several blocks are merged per document.
+A proximity match is a start from which at most one term in five is not within ``SLACK`` words of its
+place. As many of the rarest terms as may be missing, and one more, are its anchors: one of
+them at least stands in any match, whichever terms are missing. Their places, less theirs in the window,
+are filtered by the other lists with twice the slack; around those that stay, every start is
+tested. Adjacent starts are one match, and none if an exact occurrence is among them.
+
+Lists of all windows are intersected together, as arrays of (window, start). Only rows of searched
+terms leave the index, dealt by shard, so that a group is as large as a shard, whatever a term or a
+passage is shared by.
+
+Windows are the query set and are read in blocks of about ``BLOCK_WINDOWS``, dealt by their words, each
+of which is sent to all tasks; results of several blocks are merged per document.
 
 Defined results: a null or empty text has no words and is clean; a null item has no window, an
 item with fewer words than a window is one window; repeated items count once by id, a null id is
 the empty one; repeated documents and null ids keep a row each; a text longer than a shard is a
-shard of its own; other columns are not read.
+shard of its own; ids are whole numbers, as a text that is none is null; other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -38,9 +46,11 @@ from adfacts.llm.common import WORD_PATTERN, decided, settled, table, text_key,
 WINDOW = 10
 SLACK = 2
 SHARD_WORDS = 1 << 21
-BLOCK_WORDS = 1 << 20
+BLOCK_WINDOWS = 1 << 20
+# (window, start) pairs that a task tests at once.
+PAIRS = 1 << 22
 # Words between two documents of a shard, so that no match reaches from one into the next.
-GAP = 64
+GAP = 128
 
 INDEX = (
     "shard long, term binary, n long, places binary, "
@@ -120,82 +130,155 @@ def item_windows(item: list[bytes], window: int = WINDOW) -> list[tuple[bytes, .
     return [tuple(item[i:i + window]) for i in range(len(item) - window + 1)]
 
 
-def _shard_matches(
-    lists: dict[bytes, np.ndarray], windows: list, slack: int
-) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
-    """(exact starts, anchors of near matches, window length, window number) of windows found.
+def window_rows(items: DataFrame, window: int) -> DataFrame:
+    """(run, items): every distinct window, its words joined by blanks, and whose it is."""
 
-    ``windows`` have their (term, place) pairs rarest first; the first is the anchor.
-    """
-    none = np.zeros(0, np.int64)
-    for number, pairs in enumerate(windows):
-        term, first = pairs[0]
-        if term not in lists:
-            continue
-        anchors, allowed = lists[term], len(pairs) // 5
-        exact, misses = np.ones(len(anchors), bool), np.zeros(len(anchors), np.int64)
-        for term, place in pairs[1:]:
-            other = lists.get(term, none)
-            if len(other):
-                wanted = anchors + (place - first)
-                last = len(other) - 1
-                low = np.searchsorted(other, wanted - slack)
-                near = other[np.minimum(low, last)]
-                misses = misses + ((low > last) | (near > wanted + slack))
-                at = np.minimum(np.searchsorted(other, wanted), last)
-                exact = exact & (other[at] == wanted)
-            else:
-                misses, exact = misses + 1, np.zeros(len(anchors), bool)
-            kept = misses <= allowed
-            if not kept.all():
-                anchors, exact, misses = anchors[kept], exact[kept], misses[kept]
-                if not len(anchors):
-                    break
-        if len(anchors):
-            yield anchors[exact] - first, anchors[~exact], len(pairs), number
-
-
-def _search_block(
-    index: DataFrame, items: list[tuple[str, list[bytes]]], window: int, slack: int
-) -> DataFrame:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item_id, text in zip(*batch.columns):
+                runs = [b" ".join(run) for run in item_windows(words(text.as_py()), window)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(runs, pa.binary()), pa.array([item_id.as_py()] * len(runs), pa.string())],
+                    names=["run", "item"],
+                )
+
+    read = items.select(
+        F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"),
+        F.col("text").cast("binary").alias("text"),
+    )
+    runs = read.mapInArrow(cut, "run binary, item string")
+    return written(runs.groupBy("run").agg(F.sort_array(F.collect_set("item")).alias("items")), "windows")
+
+
+class ShardWindows:
+    """Windows that may stand in a shard; their terms ordered by their counts there."""
+
+    def __init__(self, terms: np.ndarray, lengths: np.ndarray, lists: list[np.ndarray | None]):
+        counts = np.array([0 if places is None else len(places) for places in lists], np.int64)
+        self.begin = np.concatenate([[0], np.cumsum(counts)])
+        # All lists, term by term, as one sorted array.
+        self.keys = np.concatenate(
+            [np.zeros(0, np.int64)]
+            + [np.int64(t << 32) + places for t, places in enumerate(lists) if places is not None]
+        )
+        real = terms >= 0
+        there = ((counts[terms] > 0) & real).sum(1)
+        self.numbers = np.flatnonzero(there >= lengths - lengths // 5)
+        terms, real = terms[self.numbers], real[self.numbers]
+        self.lengths = lengths[self.numbers]
+        self.allowed = self.lengths // 5
+        often = np.where(real, counts[terms], np.iinfo(np.int64).max)
+        # Terms rarest first, with their places in the window.
+        self.place = np.argsort(often, axis=1, kind="stable")
+        self.term = np.take_along_axis(terms, self.place, 1)
+        self.counts = counts
+
+    def starts_of(self, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, start) for every place of the ``k``-th rarest term of windows."""
+        term, place = self.term[rows, k], self.place[rows, k]
+        n = self.counts[term]
+        row = np.repeat(rows, n)
+        first = np.repeat(self.begin[term] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        at = self.keys[first + np.arange(len(row))] & 0xFFFFFFFF
+        return row, at - np.repeat(place, n)
+
+    def has(self, row: np.ndarray, start: np.ndarray, k: int, slack: int) -> np.ndarray:
+        """Whether the ``k``-th rarest term is within ``slack`` words of its place."""
+        term = self.term[row, k]
+        wanted = start + self.place[row, k]
+        low = (term << 32) + np.maximum(wanted - slack, 0)
+        at = np.searchsorted(self.keys, low)
+        found = self.keys[np.minimum(at, len(self.keys) - 1)]
+        return (at < len(self.keys)) & (found <= (term << 32) + wanted + slack) & (wanted + slack >= 0)
+
+    def kept(
+        self, row: np.ndarray, start: np.ndarray, slack: int, allowed: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of which no more terms than ``allowed`` are absent."""
+        misses = np.zeros(len(row), np.int64)
+        for k in range(self.term.shape[1]):
+            tested = k < self.lengths[row]
+            misses += tested & ~self.has(row, start, k, slack)
+            stay = misses <= allowed[row]
+            row, start, misses = row[stay], start[stay], misses[stay]
+            if not len(row):
+                break
+        return row, start
+
+    def pieces(self) -> Iterator[np.ndarray]:
+        """Runs of windows whose anchors have about ``PAIRS`` places."""
+        width = self.term.shape[1]
+        anchors = np.arange(width)[None, :] <= self.allowed[:, None]
+        n = np.where(anchors, self.counts[self.term], 0).sum(1)
+        piece = np.cumsum(n) // PAIRS
+        cuts = np.flatnonzero(np.diff(piece)) + 1
+        yield from np.split(np.arange(len(n)), cuts)
+
+    def matches(self, slack: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Window and start of exact occurrences; window and a start of each near match."""
+        for rows in self.pieces() if len(self.numbers) and len(self.keys) else ():
+            exact = self.kept(*self.starts_of(rows, 0), 0, np.zeros_like(self.allowed))
+            parts = [
+                self.starts_of(rows[(self.allowed[rows] >= k) & (self.lengths[rows] > k)], k)
+                for k in range(int(self.allowed[rows].max()) + 1)
+            ]
+            row, start = self.distinct(np.concatenate([r for r, _ in parts]), np.concatenate([s for _, s in parts]))
+            row, start = self.kept(row, start, 2 * slack, self.allowed)
+            shifts = np.arange(-slack, slack + 1)
+            row, start = self.distinct(
+                np.repeat(row, len(shifts)), (start[:, None] + shifts[None, :]).reshape(-1)
+            )
+            row, start = self.kept(row, start, slack, self.allowed)
+            # Runs of adjacent starts, in order of window and start.
+            breaks = np.concatenate([[True], (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)])[:len(row)]
+            whole = np.isin(row << 34 | start + GAP, exact[0] << 34 | exact[1] + GAP)
+            holds = np.bincount(np.cumsum(breaks) - 1, whole, int(breaks.sum())) > 0
+            first = np.flatnonzero(breaks)[~holds]
+            yield self.numbers[exact[0]], exact[1], self.numbers[row[first]], start[first]
+
+    @staticmethod
+    def distinct(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        # A start may be a few words before the first document.
+        pairs = np.unique(row << 34 | start + GAP)
+        return pairs >> 34, (pairs & ((1 << 34) - 1)) - GAP
+
+
+def _search_block(index: DataFrame, windows: DataFrame, width: int, slack: int) -> DataFrame:
     spark = index.sparkSession
-    by_window: dict[tuple[bytes, ...], set[str]] = {}
-    for item_id, item in items:
-        for run in item_windows(item, window):
-            by_window.setdefault(run, set()).add(item_id)
-    terms = sorted({t for run in by_window for t in run})
+    rows = windows.toArrow()
+    runs = [run.split(b" ") for run in rows.column("run").to_pylist()]
+    terms = sorted({t for run in runs for t in run})
+    number = {t: i for i, t in enumerate(terms)}
+    matrix = np.full((len(runs), width), -1, np.int64)
+    for i, run in enumerate(runs):
+        matrix[i, :len(run)] = [number[t] for t in run]
+    lengths = np.array([len(run) for run in runs], np.int64)
+    plan = spark.sparkContext.broadcast((terms, matrix, lengths, rows.column("items").to_pylist()))
     listed = spark.createDataFrame([(bytearray(t),) for t in [b"", *terms]], "term binary")
-    rows = index.join(F.broadcast(listed), "term", "left_semi")
-    counts = {
-        bytes(r["term"]): r["n"]
-        for r in rows.filter(F.length("term") > 0).groupBy("term").agg(F.sum("n").alias("n")).collect()
-    }
-    runs = list(by_window)
-    plan = spark.sparkContext.broadcast((
-        [sorted(((t, i) for i, t in enumerate(run)), key=lambda p: (counts.get(p[0], 0), p)) for run in runs],
-        [sorted(by_window[run]) for run in runs],
-    ))
+    searched = index.join(F.broadcast(listed), "term", "left_semi")
 
     def find(group: pa.Table) -> pa.Table:
-        windows, of_window = plan.value
-        lists, directory = {}, None
+        terms, matrix, lengths, of_window = plan.value
+        number = {t: i for i, t in enumerate(terms)}
+        lists: list[np.ndarray | None] = [None] * len(terms)
+        directory = None
         for row in group.select(["shard", "term", "places", "doc_ids", "keys", "starts", "lengths"]).to_pylist():
             if row["term"] == b"":
                 directory = row
             else:
-                lists[row["term"]] = np.frombuffer(row["places"], "<u4").astype(np.int64)
+                lists[number[row["term"]]] = np.frombuffer(row["places"], "<u4").astype(np.int64)
         starts = np.array(directory["starts"], np.int64)
         n = len(starts)
         spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
         found: list[set[str]] = [set() for _ in range(n)]
         near = np.zeros(n, np.int64)
-        for exact, close, length, number in _shard_matches(lists, windows, slack):
-            at = np.searchsorted(starts, exact, "right") - 1
-            for doc, start in zip(at.tolist(), (exact - starts[at]).tolist()):
-                spans[doc].append((start, start + length))
-                found[doc].update(of_window[number])
-            if len(close):
-                np.add.at(near, np.searchsorted(starts, close, "right") - 1, 1)
+        for window, start, _, close in ShardWindows(matrix, lengths, lists).matches(slack):
+            at = np.searchsorted(starts, start, "right") - 1
+            for doc, begin, which in zip(at.tolist(), (start - starts[at]).tolist(), window.tolist()):
+                spans[doc].append((begin, begin + int(lengths[which])))
+                found[doc].update(of_window[which])
+            # A near match may begin before its document, by less than half of a gap.
+            np.add.at(near, np.searchsorted(starts - GAP // 2, close, "right") - 1, 1)
         return pa.table(
             [pa.array([directory["shard"]] * n, pa.int64()), pa.array(range(n), pa.int64()),
              pa.array(directory["doc_ids"], pa.int64()), pa.array(directory["keys"], pa.int64()),
@@ -207,7 +290,7 @@ def _search_block(
             names=["shard", "place", "doc_id", "_key", "n_words", "items", "spans", "n_near"],
         )
 
-    return rows.groupBy("shard").applyInArrow(find, FOUND)
+    return searched.groupBy("shard").applyInArrow(find, FOUND)
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -222,24 +305,22 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def search(
     index: DataFrame, items: DataFrame, window: int = WINDOW, slack: int = SLACK,
-    block_words: int = BLOCK_WORDS,
+    block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
     """Per indexed document its words, items found, hit spans (in words) and proximity matches.
 
     Columns: shard, place (in the shard), doc_id, _key, n_words, items, spans, n_near.
     """
-    if window + slack >= GAP:
-        raise ValueError(f"window and slack must be below {GAP} words together")
-    texts = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    # A word and the blank after it are two bytes at least.
-    n_blocks = -(-size // (2 * block_words)) or 1
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
-    results = []
-    for number in range(n_blocks):
-        rows = texts.filter(block == number).select("item_id", F.col("text").cast("binary")).collect()
-        found = [(r["item_id"], words(bytes(r["text"]))) for r in rows if r["text"] is not None]
-        results.append(_search_block(index, found, window, slack))
+    if 2 * (window + slack) >= GAP:
+        raise ValueError(f"window and slack must be below {GAP // 2} words together")
+    runs = window_rows(items, window)
+    total = runs.agg(F.sum(F.size("items"))).first()[0] or 0
+    n_blocks = max(-(-total // block_windows), 1)
+    # Dealt by window, so that each is in one block and its matches are counted once.
+    block = F.pmod(F.xxhash64("run"), F.lit(n_blocks))
+    results = [
+        _search_block(index, runs.filter(block == number), window, slack) for number in range(n_blocks)
+    ]
     if len(results) == 1:
         return results[0]
     every = results[0]
@@ -288,7 +369,7 @@ def op1_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    """All windows of all texts compared as strings; proximity word by word."""
+    """All windows of all texts compared as strings; proximity from every start, without anchors."""
     upper, lower = string.ascii_uppercase, string.ascii_lowercase
     split = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '{WORD_PATTERN}')"
     return f"""
@@ -315,27 +396,28 @@ hit AS (
   FROM (SELECT r, unnest(range(i, i + n)) AS place FROM hits) GROUP BY r
 ),
 places AS (SELECT r, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS p FROM docs),
-counts AS (SELECT term, count(*) AS n FROM places GROUP BY term),
 terms AS (
-  SELECT run, unnest(run) AS term, unnest(range(1, len(run) + 1)) AS q
+  SELECT run, len(run) AS n, unnest(run) AS term, unnest(range(1, len(run) + 1)) AS q
   FROM (SELECT DISTINCT run FROM runs)
 ),
-anchors AS (
-  SELECT run, arg_min(struct_pack(term := term, q := q), (coalesce(n, 0), term, q)) AS a
-  FROM terms LEFT JOIN counts USING (term) GROUP BY run
+possible AS (
+  SELECT r, run FROM (SELECT DISTINCT r, term FROM places) JOIN terms USING (term)
+  GROUP BY r, run HAVING count(*) >= any_value(n) - any_value(n) // 5
 ),
 starts AS (
-  SELECT r, p, run, a.q AS q FROM anchors JOIN places ON places.term = a.term
+  SELECT r, run, s FROM (
+    SELECT r, run, q, any_value(n) AS n, unnest(range(p - q - {SLACK}, p - q + {SLACK} + 1)) AS s
+    FROM possible JOIN terms USING (run) JOIN places USING (r, term) GROUP BY r, run, q, p
+  ) GROUP BY r, run, s HAVING count(DISTINCT q) >= any_value(n) - any_value(n) // 5
 ),
-near AS (
-  SELECT s.r, count(*) AS n_near
-  FROM starts s JOIN docs d USING (r)
-  WHERE (s.p < s.q OR d.w[s.p - s.q + 1:s.p - s.q + len(s.run)] <> s.run)
-    AND len(list_filter(range(1, len(s.run) + 1), lambda k: NOT list_contains(
-      d.w[greatest(s.p - s.q + k - {SLACK}, 1):greatest(s.p - s.q + k + {SLACK}, 0)], s.run[k])))
-      <= len(s.run) // 5
-  GROUP BY s.r
-)
+islands AS (
+  SELECT r, run, s, s - row_number() OVER (PARTITION BY r, run ORDER BY s) AS island FROM starts
+),
+matches AS (
+  SELECT r, run, island, bool_or(s >= 0 AND w[s + 1:s + len(run)] = run) AS exact
+  FROM islands JOIN docs USING (r) GROUP BY r, run, island
+),
+near AS (SELECT r, count(*) AS n_near FROM matches WHERE NOT exact GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
   coalesce(n_items, 0)::BIGINT AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
   n_hit IS NOT NULL AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near

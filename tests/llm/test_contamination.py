@@ -48,7 +48,7 @@ def test_small_shards_and_blocks_change_nothing(spark, folder, monkeypatch):
     one = C.search(C.positional_index(read(f"{path}/documents.parquet")), read(f"{path}/benchmark.parquet"))
     index = C.positional_index(read(f"{path}/documents.parquet"), shard_words=300)
     assert index.select("shard").distinct().count() > 20
-    many = C.search(index, read(f"{path}/benchmark.parquet"), block_words=60)
+    many = C.search(index, read(f"{path}/benchmark.parquet"), block_windows=20)
 
     def shown(df):
         return sorted(
@@ -56,25 +56,70 @@ def test_small_shards_and_blocks_change_nothing(spark, folder, monkeypatch):
             for r in df.select("doc_id", "n_words", "items", "n_near").collect()
         )
 
-    # Counts order the terms; whatever the order, exact matches stay.
-    assert [r[:3] for r in shown(one)] == [r[:3] for r in shown(many)]
+    # Counts order the terms; whatever the order and the block, matches stay.
+    assert shown(one) == shown(many)
+    assert sum(r[3] for r in shown(one)) > 10
     hits = many.select("doc_id", C.hit_words("spans").alias("n")).collect()
     assert sorted((str(a), n) for a, n in hits) == sorted(
         (str(a), n) for a, n in one.select("doc_id", C.hit_words("spans").alias("n")).collect()
     )
 
 
-def test_proximity_allows_gaps_and_one_term_in_five(spark, folder):
-    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
-    cases = {
-        1: item, 2: item.replace("delta", "delta so"), 3: item.replace("beta", "x").replace("iota", "y"),
-        4: item.replace("beta", "x").replace("iota", "y").replace("eta", "z"), 5: "kappa " + item[:20],
-        6: "beta iota " * 5,  # so that a word all matches hold is the rarest
-    }
-    path = folder(documents=[(i, t, "en", "s", 1) for i, t in cases.items()], benchmark=[(1, item)])
+ITEM = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+NEAR = {
+    1: ITEM, 2: ITEM.replace("delta", "delta so"), 3: ITEM.replace("beta", "x").replace("iota", "y"),
+    4: ITEM.replace("beta", "x").replace("iota", "y").replace("eta", "z"), 5: "kappa " + ITEM[:20],
+    6: "so on " + ITEM.replace("alpha", "x"), 7: ITEM.replace("theta iota", "iota theta"),
+    8: ITEM.replace("kappa", ""), 9: f"{ITEM} {ITEM.replace('gamma', 'x')} {ITEM}",
+    10: ITEM.replace("epsilon", "a b c"), 11: ITEM.replace("beta ", ""),
+}
+
+
+def test_proximity_allows_gaps_and_one_term_in_five(spark, folder, matches):
+    # The last item has a word that no document has; so has item 2, twice.
+    items = [(1, ITEM), (2, ITEM.replace("delta", "nowhere").replace("eta", "neither")),
+             (3, ITEM.replace("beta", "nowhere"))]
+    path = folder(documents=[(i, t, "en", "s", 1) for i, t in NEAR.items()], benchmark=items[:1])
     rows = {r["doc_id"]: (r["n_hit"], r["n_near"]) for r in C.QUERIES[NAME](spark, path).collect()}
-    assert rows[1] == (10, 0) and rows[2] == (0, 1) and rows[3] == (0, 1)
-    assert rows[4] == (0, 0) and rows[5] == (0, 0)
+    assert rows == {
+        1: (10, 0), 2: (0, 1), 3: (0, 1), 4: (0, 0), 5: (0, 0), 6: (0, 1), 7: (0, 1), 8: (0, 1),
+        9: (20, 1), 10: (0, 1), 11: (0, 1),
+    }
+    matches(C, NAME, path)
+    path = folder(documents=[(i, t, "en", "s", 1) for i, t in NEAR.items()], benchmark=items[2:])
+    rows = {r["doc_id"]: r["n_near"] for r in C.QUERIES[NAME](spark, path).collect()}
+    assert rows[1] == 1 and rows[2] == 1 and rows[3] == 1 and rows[5] == 0
+    matches(C, NAME, folder(documents=[(i, t, "en", "s", 1) for i, t in NEAR.items()], benchmark=items))
+
+
+def plain_near(doc, run, slack=C.SLACK):
+    """Near matches of one window in one text, from every start."""
+    found = []
+    for s in range(-len(run) - slack, len(doc) + slack):
+        misses = sum(
+            t not in doc[max(s + q - slack, 0):max(s + q + slack + 1, 0)] for q, t in enumerate(run)
+        )
+        if misses <= len(run) // 5:
+            found.append(s)
+    n, last, exact = 0, None, False
+    for s in [*found, None]:
+        if last is not None and (s is None or s != last + 1):
+            n += not exact
+            exact = False
+        if s is not None and s >= 0 and doc[s:s + len(run)] == run:
+            exact = True
+        last = s
+    return n
+
+
+def test_proximity_like_every_start_tried(spark, folder):
+    rng = random.Random(9)
+    docs = [(i, text_of(rng, rng.randrange(1, 60), 12), "en", "s", 1) for i in range(40)]
+    items = [(i, text_of(rng, n, 12)) for i, n in enumerate([1, 2, 4, 5, 6, 9, 10, 10, 13, 15])]
+    rows = C.QUERIES[NAME](spark, folder(documents=docs, benchmark=items)).collect()
+    runs = {run for _, t in items for run in C.item_windows(t.split())}
+    want = {i: sum(plain_near(t.split(), list(run)) for run in runs) for i, t, *_ in docs}
+    assert {r["doc_id"]: r["n_near"] for r in rows} == want and sum(want.values()) > 50
 
 
 def test_empty_tables(spark, folder, matches):
