@@ -17,10 +17,7 @@ most 65,793, whatever the corpus) and go down again in the same tasks.
 
 Scoring: strings that make up at least ``HEAD_STRINGS`` of all (at most 1 / ``HEAD_STRINGS`` can)
 are sent to the tasks with their code lengths; other strings of a text go by string to theirs and
-by text to their sum. If all contexts number at most ``CONTEXTS``, the tree goes to all tasks
-instead and the result is the same: the longest context is the state of an automaton over bytes,
-so a text is cut into lanes that all take a step at once; a lane starts ``DEPTH`` bytes early,
-which fixes its state.
+by text to their sum. Tables of all sizes go this way.
 
 The unigram base counts tokens exactly. Tokens that make up at least ``HEAD`` of all (at most
 1 / ``HEAD`` of them can) are sent to the tasks; other tokens of a text go by token to their
@@ -28,8 +25,8 @@ counts and by text to their sum, combined before each shuffle.
 
 Defined results: a null text is empty and scored as its end alone; a null id is never held out;
 repeated rows are learned from and scored each; without training texts every byte has chance
-1 in 256 and the base is that of a single unseen token, log10(1) = 0. Texts go by themselves:
-no word of a text longer than a lane is cut off. Tokens are told apart by 64-bit hashes.
+1 in 256 and the base is that of a single unseen token, log10(1) = 0. Tokens are told apart by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -48,26 +45,18 @@ from pyspark.sql import functions as F
 from adfacts.llm.common import fold, table, written
 
 DEPTH = 5
-# Contexts of a tree that is sent to all tasks; more are a table. States are 16-bit numbers, so
-# at most 65,535.
-CONTEXTS = 50_000
 # Bytes of the contexts that are mixed in one place.
 SHARED = 2
 HEAD = 2e-6
 HEAD_STRINGS = 5e-7
 # Strings that are mixed at once, with the rest of their subtree.
 MIXED = 1 << 19
-# Bytes that are counted or scored at once, and steps that lanes take together.
+# Bytes that are counted or scored at once.
 PIECE = 1 << 21
-LANE = 1024
 # Counts whose log gamma is taken from a table.
 LISTED = 1 << 12
 # Different tokens that a task counts at once.
 KINDS = 200_000
-# Contexts whose next states are looked up at once.
-STATES = 1 << 12
-# Nodes of the code tree that are mixed at once.
-NODES = 8
 END = b"\x00"
 # No token is a blank, so its hash stands for the end of a text.
 END_TOKEN = xxhash.xxh64_intdigest(b" ")
@@ -130,126 +119,6 @@ def string_counts(docs: DataFrame, held_out: str) -> DataFrame:
     )
 
 
-class ContextTree:
-    """Chance of every byte after each of the kept contexts.
-
-    ``follows`` is the state after a byte, ``chances`` the log2 chance of a byte, by state.
-    """
-
-    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        """``rows[d]``: contexts of ``d`` bytes, next bytes and counts, of the kept contexts."""
-        self.contexts = [np.unique(context) for context, _, _ in rows]
-        if not len(self.contexts[0]):
-            self.contexts[0] = np.zeros(1, np.int64)
-        sizes = [len(c) for c in self.contexts]
-        self.first = np.concatenate([[0], np.cumsum(sizes)])
-        n = int(self.first[-1])
-        counts = np.zeros((n, 256), np.float32)
-        for depth, (context, byte, number) in enumerate(rows):
-            counts[self._states(depth, context), byte] = number
-        # The parent of a context lacks its oldest byte.
-        self.parent = np.zeros(n, np.int64)
-        for depth in range(1, len(rows)):
-            older = self.contexts[depth] & ((1 << (8 * (depth - 1))) - 1)
-            self.parent[self.first[depth]:self.first[depth + 1]] = self._states(depth - 1, older)
-        self.depth = np.repeat(np.arange(len(sizes)), sizes)
-        self.chances = self._chances(counts)
-        self.follows = self._follows()
-
-    def _states(self, depth: int, contexts: np.ndarray) -> np.ndarray:
-        return self.first[depth] + np.searchsorted(self.contexts[depth], contexts)
-
-    def _follows(self) -> np.ndarray:
-        """The longest kept context after each state and byte."""
-        follows = np.zeros((len(self.parent), 256), np.uint16)
-        deepest = len(self.contexts) - 1
-        bytes_ = np.arange(256)
-        for depth, contexts in enumerate(self.contexts):
-            # One byte more than the state knows: a context of one byte more, if kept.
-            longer = min(depth + 1, deepest)
-            mask = (1 << (8 * longer)) - 1
-            known = self.contexts[longer]
-            for start in range(0, len(contexts), STATES):
-                some = contexts[start:start + STATES]
-                own = self.first[depth] + np.arange(start, start + len(some))
-                if depth:
-                    follows[own] = follows[self.parent[own]]
-                if longer and len(known):
-                    wanted = ((some[:, None] << 8) | bytes_) & mask
-                    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
-                    states = (self.first[longer] + at).astype(np.uint16)
-                    follows[own] = np.where(known[at] == wanted, states, follows[own])
-        return follows
-
-    def _chances(self, counts: np.ndarray) -> np.ndarray:
-        """Mix the estimates of all depths, for one level of the code tree after the other."""
-        total = np.zeros(counts.shape, np.float32)
-        for level in range(8):
-            # Decisions of this level: which half of 256 >> level bytes the next byte is in. Some
-            # nodes of the code tree at a time, as the arrays have a row per context.
-            width = 256 >> (level + 1)
-            step = min(1 << level, NODES) * 2 * width
-            for start in range(0, 256, step):
-                part = counts[:, start:start + step].reshape(len(counts), -1, width)
-                halves = part.sum(2, dtype=np.float64)
-                one = self._mixed(halves[:, 0::2], halves[:, 1::2])
-                both = np.stack([1 - one, one], 2).reshape(len(counts), -1)
-                total[:, start:start + step] += np.repeat(np.log2(both).astype(np.float32), width, 1)
-        return total
-
-    def _mixed(self, zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-        """Chance of a one in each state, where no longer context is kept."""
-        rest0, rest1 = zeros.copy(), ones.copy()
-        np.subtract.at(rest0, self.parent[1:], zeros[1:])
-        np.subtract.at(rest1, self.parent[1:], ones[1:])
-        leaf = np.ones(len(zeros), bool)
-        leaf[self.parent[1:]] = False
-        own, below = _log_kt(zeros, ones), _log_kt(rest0, rest1)
-        weighted = np.where(leaf[:, None], own, 0.0)
-        weight = np.ones_like(own)
-        for depth in range(len(self.contexts) - 1, -1, -1):
-            states = slice(self.first[depth], self.first[depth + 1])
-            inner = ~leaf[states, None]
-            half = np.logaddexp(own[states], below[states]) - np.log(2)
-            weighted[states] = np.where(inner, half, own[states])
-            weight[states] = np.where(inner, np.exp(own[states] - np.log(2) - half), 1.0)
-            if depth:
-                np.add.at(below, self.parent[states], weighted[states])
-        mixed, left = np.zeros_like(own), np.ones_like(own)
-        estimate = (ones + 0.5) / (zeros + ones + 1)
-        for depth in range(len(self.contexts)):
-            states = slice(self.first[depth], self.first[depth + 1])
-            if depth:
-                mixed[states], left[states] = mixed[self.parent[states]], left[self.parent[states]]
-            mixed[states] += left[states] * weight[states] * estimate[states]
-            left[states] *= 1 - weight[states]
-        return np.clip(mixed + left * (rest1 + 0.5) / (rest0 + rest1 + 1), 1e-12, 1 - 1e-12)
-
-    def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of each text and its end."""
-        data, starts = framed(texts)
-        n = len(data) - DEPTH
-        lanes = -(-n // LANE)
-        # Every lane reads DEPTH bytes before its own; what reaches past the data is not used.
-        padded = np.zeros(lanes * LANE + DEPTH, np.uint8)
-        padded[:len(data)] = data
-        columns = np.lib.stride_tricks.as_strided(
-            padded, (LANE + DEPTH, lanes), (1, LANE), writeable=False
-        )
-        state = np.zeros(lanes, np.int64)
-        bits = np.empty((LANE, lanes), np.float32)
-        follows, chances = self.follows.reshape(-1), self.chances.reshape(-1)
-        for step in range(LANE + DEPTH):
-            at = (state << 8) | columns[step]
-            if step >= DEPTH:
-                bits[step - DEPTH] = chances[at]
-            state = follows[at].astype(np.int64)
-        flat = bits.T.reshape(-1)[:n].astype(np.float64)
-        sums = np.concatenate([[0.0], np.cumsum(flat)])
-        # flat[i] is of data[i + DEPTH]: a text's bytes and end are from its start on.
-        return -(sums[starts[1:] - DEPTH] - sums[starts[:-1]])
-
-
 def _log_gamma(counts: np.ndarray, more: float) -> np.ndarray:
     """log gamma of counts plus a half or one: a table, then Stirling's series."""
     table = np.array([math.lgamma(n + more) for n in range(LISTED)])
@@ -267,16 +136,6 @@ def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return halves - _log_gamma(zeros + ones, 1.0) - np.log(np.pi)
 
 
-def whole_tree(strings: np.ndarray, n: np.ndarray) -> ContextTree:
-    """The tree of all contexts of turned strings and their counts."""
-    strings, n = strings[n > 0], n[n > 0]
-    plain, rows = turned(strings), []
-    for depth in range(DEPTH + 1):
-        kinds, (number,) = _sums(plain & ((1 << (8 * depth + 8)) - 1), n)[::2]
-        rows.append((kinds >> 8, kinds & 255, number))
-    return ContextTree(rows)
-
-
 def _sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Distinct keys, which of them each key is, and the sums of values by key."""
     kinds, which = np.unique(keys, return_inverse=True)
@@ -320,10 +179,10 @@ class Subtrees:
         self.keys = (keys >> level << 8) | (1 << level) | (keys & node)
         self.zeros, self.ones, self.below, self.inside = zeros, ones, below, which
 
-    def bits(self, shared: SharedContexts) -> np.ndarray:
-        """Code length of each string's decision at this level."""
-        at = np.searchsorted(shared.keys, self.keys)[self.inside]
-        mixed, left = shared.mixed[at], shared.left[at]
+    def bits(self, keys: np.ndarray, mixed: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Code length of each string's decision at this level, by ``shared_contexts``."""
+        at = np.searchsorted(keys, self.keys)[self.inside]
+        mixed, left = mixed[at], left[at]
         for i in range(len(self.layers) - 1, -1, -1):
             which, weight, estimate = self.layers[i]
             mixed, left = mixed + left * weight * estimate, left * (1 - weight)
@@ -332,26 +191,27 @@ class Subtrees:
         return -np.log2(np.where(self.bit == 1, one, 1 - one))
 
 
-class SharedContexts:
+def shared_contexts(
+    keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What contexts of up to ``SHARED`` bytes add to the chance of a one, and the weight left.
 
-    ``keys``, sorted, are a context of ``SHARED`` bytes and a node of the code tree each.
+    Keys, sorted, come first; each is a context of ``SHARED`` bytes and a node of the code tree.
     """
-
-    def __init__(self, keys: np.ndarray, zeros: np.ndarray, ones: np.ndarray, below: np.ndarray):
-        order = np.argsort(keys)
-        keys, zeros, ones, below = (c[order] for c in (keys, zeros, ones, below))
-        self.keys, layers = keys, []
-        for depth in range(SHARED, -1, -1):
-            weighted, weight = _halved(zeros, ones, below)
-            part = weight * _estimate(zeros, ones)
-            shorter = (keys >> 16 << 8) | (keys & 255)
-            keys, which, (zeros, ones, below) = _sums(shorter, zeros, ones, weighted)
-            layers.append((which, weight, part))
-        self.mixed, self.left = np.zeros(len(keys)), np.ones(len(keys))
-        for which, weight, part in reversed(layers):
-            mixed, left = self.mixed[which], self.left[which]
-            self.mixed, self.left = mixed + left * part, left * (1 - weight)
+    order = np.argsort(keys)
+    keys, zeros, ones, below = (c[order] for c in (keys, zeros, ones, below))
+    first, layers = keys, []
+    for _ in range(SHARED, -1, -1):
+        weighted, weight = _halved(zeros, ones, below)
+        part = weight * _estimate(zeros, ones)
+        shorter = (keys >> 16 << 8) | (keys & 255)
+        keys, which, (zeros, ones, below) = _sums(shorter, zeros, ones, weighted)
+        layers.append((which, weight, part))
+    mixed, left = np.zeros(len(keys)), np.ones(len(keys))
+    for which, weight, part in reversed(layers):
+        mixed, left = mixed[which], left[which]
+        mixed, left = mixed + left * part, left * (1 - weight)
+    return first, mixed, left
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -391,11 +251,12 @@ def string_bits(counts: DataFrame) -> DataFrame:
         dealt.mapInArrow(up, "key long, zeros double, ones double, below double")
         .groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zeros", "ones", "below")]).toArrow()
     )
-    shared = spark.sparkContext.broadcast(SharedContexts(*(c.to_numpy() for c in sums.columns)))
+    # Plain arrays, so that it does not matter how a worker comes by the class.
+    shared = spark.sparkContext.broadcast(shared_contexts(*(c.to_numpy() for c in sums.columns)))
 
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for strings, n, m in _subtrees(batches):
-            bits = sum(Subtrees(strings, n, level).bits(shared.value) for level in range(8))
+            bits = sum(Subtrees(strings, n, level).bits(*shared.value) for level in range(8))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(strings), pa.array(m), pa.array(bits.astype(np.float32))],
                 names=["string", "m", "bits"],
@@ -404,12 +265,16 @@ def string_bits(counts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(down, "string long, m long, bits float")
 
 
+def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys)
+    return keys[order], values[order]
+
+
 class StringTable:
-    """Code lengths of the frequent strings."""
+    """Code lengths of the frequent strings, which are sorted."""
 
     def __init__(self, strings: np.ndarray, bits: np.ndarray):
-        order = np.argsort(strings)
-        self.strings, self.bits = strings[order], bits[order].astype(np.float64)
+        self.strings, self.bits = strings, bits
 
     def code_lengths(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bits of the frequent strings of each text; the other strings, and where each text's begin."""
@@ -472,11 +337,10 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 class Head:
-    """Hashes and counts of the frequent tokens."""
+    """Hashes, which are sorted, and counts of the frequent tokens."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
+        self.hashes, self.counts = hashes, counts
 
     def split(self, found: list[bytes]) -> tuple[int, int, float, np.ndarray, np.ndarray]:
         """Tokens with the end; those that are frequent and the sum of their log10(count + 1);
@@ -502,43 +366,35 @@ ROWS = (
 )
 
 
-def scores(docs: DataFrame, held_out: str, contexts: int = CONTEXTS, head: float = HEAD) -> DataFrame:
+def scores(docs: DataFrame, held_out: str, head: float = HEAD) -> DataFrame:
     """Scores of all texts by what is learned from those where ``held_out`` is false.
 
     Columns: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes and
     bits_per_byte, the code length.
     """
     spark = docs.sparkSession
-    if contexts > 65_535:
-        raise ValueError("a tree has at most 65,535 contexts")
     training = docs.filter(~F.col(held_out))
-    strings = written(string_counts(docs, held_out), "strings")
-    kept = strings.filter(F.col("n") > 0).select("string", "n")
-    # A string has a context of every depth; all share that of none.
-    of_string = None
-    if kept.count() * DEPTH + 1 <= contexts:
-        found = kept.toArrow()
-        tree = whole_tree(*(found.column(c).to_numpy() for c in ("string", "n")))
-    else:
-        of_string = written(string_bits(strings), "bits")
-        every = of_string.agg(F.sum("m")).first()[0]
-        found = of_string.filter(F.col("m") >= HEAD_STRINGS * every).toArrow()
-        tree = StringTable(found.column("string").to_numpy(), found.column("bits").to_numpy())
-    model = spark.sparkContext.broadcast(tree)
+    of_string = written(string_bits(written(string_counts(docs, held_out), "strings")), "bits")
+    every = of_string.agg(F.sum("m")).first()[0] or 0
+    found = of_string.filter(F.col("m") >= HEAD_STRINGS * every).toArrow()
+    model = spark.sparkContext.broadcast(_sorted(
+        found.column("string").to_numpy(), found.column("bits").to_numpy().astype(np.float64)
+    ))
     counts = written(token_counts(training), "tokens")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     found = counts.filter(F.col("n") >= head * total).toArrow()
     frequent = spark.sparkContext.broadcast(
-        Head(found.column("token").to_numpy(), found.column("n").to_numpy())
+        _sorted(found.column("token").to_numpy(), found.column("n").to_numpy())
     )
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 40
+        strings, known = StringTable(*model.value), Head(*frequent.value)
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column("text")]
-            bits, others = _bits(model.value, texts)
-            parts = list(zip(*[frequent.value.split(tokens(t)) for t in texts])) or [()] * 5
+            bits, others = _bits(strings, texts)
+            parts = list(zip(*[known.split(tokens(t)) for t in texts])) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(number, number + len(texts))), batch.column("doc_id"),
                  batch.column("held_out"), pa.array(parts[0], pa.int64()),
@@ -561,16 +417,16 @@ def scores(docs: DataFrame, held_out: str, contexts: int = CONTEXTS, head: float
         .agg(F.sum("m").alias("_known"), F.sum(F.col("m") * F.log10(F.col("n") + 1.0)).alias("_logs"))
     )
     none = F.lit(0)
-    scored = rows.drop("tokens", "numbers", "strings").join(of_rare, "key", "left")
-    if of_string is not None:
-        of_others = (
-            rows.select("key", F.explode("strings").alias("string"))
-            .join(of_string.select("string", F.col("bits").alias("_bits")), "string")
-            .groupBy("key").agg(F.sum(F.col("_bits").cast("double")).alias("_bits"))
-        )
-        scored = scored.join(of_others, "key", "left").withColumn(
-            "bits", F.col("bits") + F.coalesce("_bits", F.lit(0.0))
-        )
+    of_others = (
+        rows.select("key", F.explode("strings").alias("string"))
+        .join(of_string.select("string", F.col("bits").alias("_bits")), "string")
+        .groupBy("key").agg(F.sum(F.col("_bits").cast("double")).alias("_bits"))
+    )
+    bits = F.col("bits") + F.coalesce("_bits", F.lit(0.0))
+    scored = (
+        rows.drop("tokens", "numbers", "strings").join(of_rare, "key", "left")
+        .join(of_others, "key", "left").withColumn("bits", bits)
+    )
     return scored.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("n_known") + F.coalesce("_known", none)).alias("n_known"),
@@ -583,14 +439,11 @@ def scores(docs: DataFrame, held_out: str, contexts: int = CONTEXTS, head: float
     )
 
 
-def _bits(model: ContextTree | StringTable, texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
-    """Bits of texts that the model knows, and per text the strings that it does not."""
-    if isinstance(model, ContextTree):
-        bits = [model.code_lengths(texts[a:b]) for a, b in _pieces(texts)]
-        return np.concatenate([np.zeros(0), *bits]), pa.nulls(len(texts), pa.list_(pa.int64()))
+def _bits(table: StringTable, texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
+    """Bits of the frequent strings of texts, and per text the other strings."""
     bits, others = [np.zeros(0)], [pa.array([], pa.list_(pa.int64()))]
     for a, b in _pieces(texts):
-        known, strings, starts = model.code_lengths(texts[a:b])
+        known, strings, starts = table.code_lengths(texts[a:b])
         bits.append(known)
         others.append(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(strings)))
     return np.concatenate(bits), pa.concat_arrays(others)

@@ -60,85 +60,43 @@ def chance(found, context, byte, depth):
     return total
 
 
-def tree(texts, depth, contexts):
-    """A model built without Spark."""
-    found = strings(texts, depth)
-    rows, sizes = [], []
-    for d in range(depth + 1):
-        here = Counter()
-        for (c, byte), n in found.items():
-            here[int.from_bytes(c[depth - d:], "big"), byte] += n
-        rows.append(here)
-        of_context = Counter()
-        for (c, _), n in here.items():
-            of_context[c] += n
-        sizes += [(-n, d, c) for c, n in of_context.items()]
-    kept = {(d, c) for _, d, c in sorted(sizes)[:contexts]}
-    listed = []
-    for d, here in enumerate(rows):
-        some = sorted((c, b, n) for (c, b), n in here.items() if (d, c) in kept)
-        listed.append(tuple(np.array([r[i] for r in some], np.int64) for i in range(3)))
-    return M.ContextTree(listed)
+def code_lengths(found, wanted=()):
+    """(context, byte) to bits by the operator's arrays, without Spark; ``wanted`` are not counted."""
+    n = Counter({key: 0 for key in wanted})
+    n.update(found)
+    keys = np.array([int.from_bytes(c, "big") << 8 | b for c, b in n], np.int64)
+    turned, number = M.turned(keys), np.array(list(n.values()), np.int64)
+    order = np.argsort(turned)
+    levels = [M.Subtrees(turned[order], number[order], level) for level in range(8)]
+    shared = M.shared_contexts(*(np.concatenate([getattr(t, c) for t in levels]) for c in ("keys", "zeros", "ones", "below")))
+    bits = sum(t.bits(*shared) for t in levels)
+    names = list(n)
+    return {names[i]: b for i, b in zip(order, bits)}
 
 
 def test_chances_are_ratios_of_weighted_block_chances(monkeypatch):
-    monkeypatch.setattr(M, "DEPTH", 2)
-    texts = [b"abab", b"abc", b"\xc3\xa9a"]
-    model, found = tree(texts, 2, 10**6), strings(texts, 2)
-    for context in (b"ab", b"\x00a", b"zz", b"za"):
-        state = 0
-        for byte in context:
-            state = int(model.follows[state, byte])
-        for byte in (ord("a"), ord("b"), 0, 0xC3, 0xFF):
-            want = chance(found, context, byte, 2) / math.log(2)
-            assert model.chances[state, byte] == pytest.approx(want, abs=1e-4), (context, byte)
-
-
-@pytest.mark.parametrize("contexts", [1, 7, 50, 10**6])
-def test_chances_of_all_bytes_sum_up_to_one(contexts):
+    monkeypatch.setattr(M, "DEPTH", 3)
+    found = strings([b"abab", b"abc", b"\xc3\xa9a"], 3)
+    wanted = [(c, b) for c in (b"bab", b"\x00\x00a", b"zzz", b"zab") for b in (ord("a"), ord("b"), 0, 0xC3, 0xFF)]
+    bits = code_lengths(found, wanted)
+    for context, byte in wanted:
+        want = -chance(found, context, byte, 3) / math.log(2)
+        assert bits[context, byte] == pytest.approx(want, abs=1e-6), (context, byte)
+
+
+def test_chances_of_all_bytes_sum_up_to_one():
     rng = random.Random(2)
-    texts = [bytes(rng.choices(b"abcd \n", k=60)) for _ in range(5)]
-    model = tree(texts, M.DEPTH, contexts)
-    assert len(model.chances) <= contexts
-    assert np.exp2(model.chances.astype(float)).sum(1) == pytest.approx(1.0, abs=1e-5)
-
-
-def test_lanes_score_like_a_walk_over_each_text(monkeypatch):
-    rng = random.Random(3)
-    texts = [bytes(rng.choices(b"abcde ", k=rng.randrange(0, 90))) for _ in range(40)]
-    model = tree(texts, M.DEPTH, 60)
-
-    def walk(text):
-        state = bits = 0
-        for byte in b"\x00" * M.DEPTH:
-            state = int(model.follows[state, byte])
-        for byte in text + b"\x00":
-            bits -= model.chances[state, byte]
-            state = int(model.follows[state, byte])
-        return bits
-
-    want = [walk(t) for t in texts]
-    for lane in (7, 64, 4096):
-        monkeypatch.setattr(M, "LANE", lane)
-        assert model.code_lengths(texts) == pytest.approx(want, rel=1e-5)
-    assert [b - a for a, b in M._pieces([b"x" * 5] * 4)] == [4]
+    found = strings([bytes(rng.choices(b"abcd \n", k=60)) for _ in range(5)], M.DEPTH)
+    contexts = [b"abcda", b"\x00\x00\x00\x00\x00", b"zzzzz", next(iter(found))[0]]
+    bits = code_lengths(found, [(c, b) for c in contexts for b in range(256)])
+    for context in contexts:
+        assert sum(2.0 ** -bits[context, b] for b in range(256)) == pytest.approx(1.0, abs=1e-9)
 
 
-def test_state_is_the_longest_kept_context():
-    texts = [b"abracadabra" * 3, b"barbara"]
-    model = tree(texts, M.DEPTH, 25)
-    rng = random.Random(1)
-    for _ in range(200):
-        walked = bytes(rng.choices(b"abrcdx", k=12))
-        state = 0
-        for byte in walked:
-            state = int(model.follows[state, byte])
-        want = next(
-            model.first[d] + np.flatnonzero(model.contexts[d] == int.from_bytes(walked[-d:] if d else b"", "big"))[0]
-            for d in range(M.DEPTH, -1, -1)
-            if int.from_bytes(walked[-d:] if d else b"", "big") in model.contexts[d]
-        )
-        assert state == want
+def test_pieces_end_between_texts(monkeypatch):
+    assert [b - a for a, b in M._pieces([b"x" * 5] * 4)] == [4]
+    monkeypatch.setattr(M, "PIECE", 12)
+    assert list(M._pieces([b"x" * 5] * 4)) == [(0, 1), (1, 2), (2, 3), (3, 4)]
 
 
 def test_strings_are_counted_within_texts():
@@ -156,13 +114,12 @@ def documents():
     return [*EDGES, *rows, (400, "never seen\x0bbefore Never", "en", "s", 1)]
 
 
-def test_query_counts_like_a_plain_loop(spark, folder, monkeypatch):
-    monkeypatch.setattr(M, "CONTEXTS", 300)
+def test_query_counts_like_a_plain_loop(spark, folder):
     docs = documents()
     # Tokens in fewer than one of fifty take the way through the shuffle.
     table = spark.read.parquet(folder(documents=docs) + "/documents.parquet").select("doc_id", "text")
     held = table.withColumn("held_out", M.fold("doc_id", 7) == 2)
-    out = M.scores(held, "held_out", contexts=300, head=0.02).collect()
+    out = M.scores(held, "held_out", head=0.02).collect()
 
     def tokens(text):
         return (text or "").encode().lower().split() + [b" "]
@@ -202,23 +159,28 @@ def test_nothing_to_learn_from(spark, folder):
     assert row["bits_per_byte"] == pytest.approx(12.0)  # three bytes of one chance in 256
 
 
-def test_contexts_past_any_number_are_kept(spark, folder, monkeypatch):
-    docs = documents()
-    table = spark.read.parquet(folder(documents=docs) + "/documents.parquet").select("doc_id", "text")
+def test_all_contexts_are_kept(spark, folder, monkeypatch):
+    table = spark.read.parquet(folder(documents=documents()) + "/documents.parquet").select("doc_id", "text")
     held = table.withColumn("held_out", M.fold("doc_id", 7) == 2)
     rows = [(r["held_out"], (r["text"] or "").encode(), str(r["doc_id"])) for r in held.collect()]
-    model = tree([t for h, t, _ in rows if not h], M.DEPTH, 10**6)
-    bits = model.code_lengths([t for _, t, _ in rows])
-    want = sorted((i, len(t), b) for (_, t, i), b in zip(rows, bits))
-    monkeypatch.setattr(M, "MIXED", 500)
+    found = strings([t for h, t, _ in rows if not h], M.DEPTH)
+    of_text = [(i, t, strings([t], M.DEPTH)) for _, t, i in rows]
+    bits = code_lengths(found, [key for _, _, own in of_text for key in own])
+    want = sorted((i, len(t), sum(n * bits[key] for key, n in own.items())) for i, t, own in of_text)
     # Rare strings joined, then all strings sent to the tasks.
-    for contexts, head in ((10, 1e-3), (300, 1e-12)):
+    for head in (1e-3, 1e-12):
         monkeypatch.setattr(M, "HEAD_STRINGS", head)
-        out = M.scores(held, "held_out", contexts=contexts).collect()
+        out = M.scores(held, "held_out").collect()
         got = sorted((str(r["doc_id"]), r["n_bytes"], -r["score"] / math.log10(2)) for r in out)
         assert [r[:2] for r in got] == [r[:2] for r in want]
         assert [r[2] for r in got] == pytest.approx([r[2] for r in want], rel=1e-4)
-    counts = M.string_counts(held, "held_out").toArrow()
-    whole = M.whole_tree(counts.column("string").to_numpy(), counts.column("n").to_numpy())
-    assert len(whole.chances) == len(model.chances) > 300
-    assert np.allclose(whole.chances, model.chances, atol=1e-4)
+
+
+@pytest.mark.parametrize("size", [1, 20, 1000])
+def test_tables_of_any_size_through_the_entry(spark, folder, size):
+    import __spark_entry__ as entry
+
+    docs = [(i, f"short text {i % 37} of some words", "en", "s", 1) for i in range(size)]
+    out = entry.queries()["op7_language_model"](spark, folder(documents=docs)).collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(size))
+    assert all(r["score"] < 0 for r in out)
