@@ -1,7 +1,8 @@
 """Secrets in texts: keywords by one automaton, patterns only at its hits, then checksums.
 
 A text is walked once by an Aho-Corasick automaton of all keywords. At each hit the pattern of
-that keyword is tried at that very place; nothing else of the text meets a pattern. Runs of
+that keyword is tried at that very place; nothing else of the text meets a pattern. A run of characters
+in which one hit failed is not read again, so a text of repeated keywords takes no longer. Runs of
 hexadecimal digits have no keyword: their prefilter is a search for 32 marks in the text with
 every hexadecimal digit replaced by a mark. Tokens that carry a checksum (a CRC-32 in base 62
 in the last six characters) and web tokens (whose head must be base64 of a JSON object naming
@@ -38,14 +39,16 @@ PATTERNS = {
     "access": re.compile(r"AKIA[A-Z0-9]+"),
     "hex": re.compile(r"[0-9a-f]+"),
     "checked": re.compile(r"(?:gh[pousr]|npm)_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
-    "webtoken": re.compile(r"(eyJ[A-Za-z0-9_-]+)\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
+    "webtoken": re.compile(r"(eyJ[A-Za-z0-9_-]++)\.eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"),
     "key": re.compile(
         # Lines of headers, then base 64; line ends may be escaped, as in JSON.
         r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?)-----"
-        r"(?:(?:\s|\\+[nr])++[A-Za-z][A-Za-z0-9-]*+:[^\r\n\\]*+)*+"
+        r"(?:(?:\s|\\+[nr])++[A-Za-z][A-Za-z0-9-]*+:(?:[^\r\n\\-]|-(?!----))*+)*+"
         r"(?:[A-Za-z0-9+/=\s]|\\+[nrt/])++-----END \1-----"
     ),
 }
+# A hit that fails fails at all other hits in the same run of these as well.
+RUNS = {"webtoken": re.compile(r"[A-Za-z0-9_-]++")}
 KEYWORDS = {
     **dict.fromkeys(["password", "passwd", "secret", "token", "apikey", "api_key"], "assign"),
     "akia": "access",
@@ -130,6 +133,8 @@ def spans(data: bytes, keywords: ahocorasick.Automaton) -> list[tuple[str, int,
                 free = match.end()
                 if _holds(kind, match):
                     found.append((kind, match.start(), match.end()))
+            elif kind in RUNS and (run := RUNS[kind].match(text, place)):
+                free = run.end()
     found.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     return found
 

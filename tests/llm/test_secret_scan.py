@@ -3,7 +3,9 @@ import hashlib
 import json
 import random
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from adfacts.llm import secret_scan as S
@@ -111,3 +113,27 @@ def test_keys_with_headers_escaped_line_ends_and_of_pgp():
                  "-----BEGIN PGP PRIVATE KEY BLOCK-----\nabc\n-----END PGP PRIVATE KEY-----",
                  "-----BEGIN PRIVATE KEY-----\n" + "a: b\n" * 20_000):
         assert listed(text) == []
+
+
+REPEATED = [
+    "eyJ", "eyJ.", "eyJa.eyJb", "token", "token=", "token = ", "token'", "AKIA", "akia", "a", "0123456789abcdef", "ghp_", "npm_a",
+    "-----BEGIN ", "-----BEGIN PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----\\nA: b", "-----BEGIN A PRIVATE KEY-----\n" + "A" * 50,
+    "\\", "password\\", "secret ", "api_key: ",
+]
+
+
+@pytest.mark.parametrize("part", REPEATED)
+def test_long_texts_of_repeated_keywords_take_no_longer(part):
+    words = S.automaton()
+    data = (part * (1_000_000 // len(part))).encode()
+    started = time.perf_counter()
+    S.spans(data, words)
+    S.spans(b"-----BEGIN PRIVATE KEY-----" + data, words)
+    assert time.perf_counter() - started < 8
+
+
+def test_a_run_that_failed_hides_no_token_behind_it():
+    head = base64.urlsafe_b64encode(b'{"alg":"x"}').decode().rstrip("=")
+    token = f"{head}.eyJhIjoxfQ.c2ln"
+    for before in ("eyJeyJ ", "eyJa.eyJb ", "eyJ.", "eyJa.eyJb!", "eyJeyJa.x "):
+        assert [(k, s) for k, s, _ in S.spans((before + token).encode(), S.automaton())] == [("webtoken", len(before))]
