@@ -16,18 +16,19 @@ how much nearer the chosen language is than the next: 0 for none, towards 1.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from adfacts.llm.common import fold, table
 
 PROFILE = 300
-LETTERS = re.compile(r"[^\W\d_]+")
+# Letters, with the marks on them; numerals of any kind are none.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNKNOWN = "und"
 BITS = 21
 PIECE = 1 << 20

@@ -97,3 +97,10 @@ def test_nothing_to_learn_from(spark, folder):
     out = L.QUERIES["op8_languages"](spark, folder(documents=unlabelled)).collect()
     assert len(out) == len(EDGES) and {(r["lang_pred"], r["score"]) for r in out} == {("und", 0.0)}
     assert L.QUERIES["op8_languages"](spark, folder()).collect() == []
+
+
+def test_numerals_are_no_letters_and_marks_belong_to_words(spark, folder):
+    docs = planted() + [(1, "½ ² ③ Ⅳ ٣ 12 _", "xx", "s", 1), (2, "a½b", "xx", "s", 1)]
+    out = {r["doc_id"]: r for r in L.QUERIES["op8_languages"](spark, folder(documents=docs)).collect()}
+    assert (out[1]["lang_pred"], out[1]["score"]) == ("und", 0.0) and out[2]["lang_pred"] != "und"
+    assert L.LETTERS.findall("हिन्दी में a½b e\u0301 \u0301") == ["हिन्दी", "में", "a", "b", "e\u0301"]
