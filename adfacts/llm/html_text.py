@@ -9,7 +9,10 @@ paragraphs with as much text per tag as the path has. Parts of it that are no ar
 role (menus, notices, adverts, comments and so on) are left out, before densities are taken.
 Within an article a name that a heading or a remark may have as well leaves a block out only if it
 holds a form, mostly links, or short text without a heading; ids of headings and paragraphs are
-not read, and lists of references stay.
+not read. A list of links there goes only from the edges of an article, as menus and further
+stories have them: one with paragraphs before and behind it stays, and so do lists of references.
+Blocks outside of an article element, from which the text is widened, have no more links among
+their text than the article has, or a fifth: else they are teasers.
 
 A page is a row of its own: one task reads it, nothing is shuffled. Defined results: a null or
 empty page, or one without text, gives an empty text; null ids and urls are kept; repeated rows
@@ -103,6 +106,8 @@ PARAGRAPHS = {"p", "td", "li", "dd", "blockquote", "pre"}
 SPACE = re.compile(r"\s+")
 # Share of link text from which a block of several links is a menu.
 MENU_SHARE = 0.8
+# Share of link text up to which a block beside an article may belong to it.
+LINKED_SHARE = 0.2
 
 
 class Node:
@@ -288,14 +293,17 @@ def article(root: Node) -> Node:
         above[node] = len(above)
         node = node.parent
     least, widest = min(_text_per_tag(n) for n in above), 0
+    share = max(top.link_chars / top.chars if top.chars else 0.0, LINKED_SHARE)
     for node in order:
         reaches = node.density >= threshold and node.tag not in INLINE or (
             node.tag in PARAGRAPHS and _text_per_tag(node) >= least
         )
         if reaches and node.chars and node not in above:
-            while node not in above:
-                node = node.parent
-            widest = max(widest, above[node])
+            branch = node
+            while branch.parent not in above:
+                branch = branch.parent
+            if branch.link_chars <= share * branch.chars:
+                widest = max(widest, above[branch.parent])
     top = list(above)[widest]
     while top.tag in INLINE | PARAGRAPH_ENDS - {"div", "section", "article", "main"} and top.parent:
         top = top.parent
@@ -361,16 +369,40 @@ def _references(root: Node) -> set[Node]:
     return found
 
 
+def _inner(root: Node) -> set[Node]:
+    """Blocks of an article element with paragraphs of it both before and behind them."""
+    found: set[Node] = set()
+    # Blocks that began after a paragraph, and those that ended then, by article.
+    stack: list[tuple[Node, bool, list | None]] = [(root, False, None)]
+    while stack:
+        node, ends, own = stack.pop()
+        if ends:
+            if own is not None and own[0]:
+                own[1].append(node)
+            continue
+        if node.tag in ("article", "main"):
+            own = [False, []]
+        elif own is not None and node.tag == "p" and node.chars and node.link_chars <= node.chars / 2:
+            own[0] = True
+            found.update(own[1])
+            own[1].clear()
+        if own is not None and own[0]:
+            stack.append((node, True, own))
+        stack.extend((p, False, own) for p in reversed(node.parts) if isinstance(p, Node) and not p.dropped)
+    return found
+
+
 def _drop_menus(root: Node) -> None:
     """Leave out blocks of several links and hardly any other text, and doubtful ones like that."""
-    order, references = densities(root), _references(root)
+    order = densities(root)
+    kept = _references(root) | _inner(root)
     for node in order:
-        if node.tag in ("ul", "ol", "div", "section", "table") and node.links > 1 and node not in references:
+        if node.tag in ("ul", "ol", "div", "section", "table") and node.links > 1 and node not in kept:
             node.dropped = node.link_chars > MENU_SHARE * node.chars
         if node.doubtful and node.tag not in INLINE:
             node.dropped = node.dropped or (
                 _holds(node, {"form", "input", "button", "select"})
-                or (node.link_chars > node.chars / 2 and node not in references)
+                or (node.link_chars > node.chars / 2 and node not in kept)
                 or (node.chars < SHORT and not _holds(node, HEADINGS))
             )
 

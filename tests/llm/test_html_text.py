@@ -1,3 +1,7 @@
+import html.parser
+import math
+import random
+
 import pytest
 
 from adfacts.llm import html_text as H
@@ -130,3 +134,111 @@ def test_formulas_and_references_stay():
         assert got == f"{WANT}\nso x=1 holds\nReferences\n{titles}"
     menu = H.main_text(page(f"<article><p>{LONG}</p><h2>More</h2><ul>{links}</ul></article>"))
     assert menu == f"{WANT}\nMore"
+
+
+def test_lists_and_tables_of_links_between_paragraphs_stay():
+    names = ["First name", "Second name", "Third name"]
+    links = [f'<a href="/{i}">{n}</a>' for i, n in enumerate(names)]
+    for listed in ("<ul>" + "".join(f"<li>{a}</li>" for a in links) + "</ul>",
+                   "<table>" + "".join(f"<tr><td>{a}</td></tr>" for a in links) + "</table>",
+                   "<div><ol>" + "".join(f"<li>{a}</li>" for a in links) + "</ol></div>",
+                   "<section><h2>People</h2><ul>" + "".join(f"<li>{a}</li>" for a in links) + "</ul></section>"):
+        got = H.main_text(page(f"<article><h1>Head</h1><p>{LONG}</p>{listed}<p>{LONG}</p></article>"))
+        assert [t for t in got.split("\n") if t != "People"] == ["Head", WANT, *names, WANT]
+        # At the edges they are menus and further stories.
+        for body in (f"<p>{LONG}</p><p>{LONG}</p>{listed}", f"{listed}<p>{LONG}</p><p>{LONG}</p>"):
+            got = H.main_text(page(f"<article>{body}</article>"))
+            assert [t for t in got.split("\n") if t != "People"] == [WANT, WANT]
+        marked = listed.replace("<", '<div class="menu"><', 1) + "</div>"
+        assert H.main_text(page(f"<article><p>{LONG}</p>{marked}<p>{LONG}</p></article>")) == f"{WANT}\n{WANT}"
+
+
+def test_teasers_beside_an_article_are_not_taken_in():
+    teaser = f'<div><h3><a href="/x">A long title of another story that is linked</a></h3><p>{LONG[:90]}</p></div>'
+    body = f'<div class="left">{FIVE}</div><div class="right">{teaser * 4}</div>'
+    assert H.main_text(page(body)) == "\n".join([WANT] * 5)
+
+
+def test_a_very_long_page():
+    big = f"<article><h1>Head</h1>{f'<p>{LONG}<b>bold</b></p>' * 20_000}</article><nav>{MENU * 5_000}</nav>"
+    got = H.main_text(page(big)).split("\n")
+    assert len(got) == 20_001 and got[0] == "Head" and set(got[1:]) == {f"{LONG}bold"}
+
+
+class Naive(html.parser.HTMLParser):
+    """Counts per element by walking up from every character and tag."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.nodes = [], []
+
+    def handle_starttag(self, tag, attrs):
+        node = {"tag": tag, "chars": 0, "tags": 0, "link_chars": 0, "links": 0, "inner": []}
+        for above in self.open:
+            above["tags"] += 1
+        if tag == "a":
+            for above in [*self.open, node]:
+                above["links"] += 1
+        if self.open:
+            self.open[-1]["inner"].append(node)
+        self.open.append(node)
+        self.nodes.append(node)
+
+    def handle_endtag(self, tag):
+        assert self.open.pop()["tag"] == tag
+
+    def handle_data(self, data):
+        n = len("".join(data.split()))
+        linked = any(node["tag"] == "a" for node in self.open)
+        for i, node in enumerate(self.open):
+            node["chars"] += n
+            node["link_chars"] += n * linked
+
+
+def naive_density(node, body):
+    """The formula of composite text density, every count at least one."""
+    c, t, lc, l = node["chars"], max(node["tags"], 1), node["link_chars"], max(node["links"], 1)
+    if not c:
+        return 0.0
+    ratio = body["link_chars"] / body["chars"] if body["chars"] else 0.0
+    base = math.log(c * lc / max(c - lc, 1) + ratio * c + math.e)
+    if not lc:
+        return c / t * math.log(max(c * t, math.e)) / base
+    return c / t * math.log(max(c / max(lc, 1) * t / l, 1.0)) / base
+
+
+def generated(rng, depth=0):
+    parts = []
+    for _ in range(rng.randrange(1, 5)):
+        kind = rng.random()
+        text = " ".join(rng.choices(["some", "text", "&amp;", "of a", "page"], k=rng.randrange(0, 12)))
+        if kind < 0.4:
+            parts.append(f"<p>{text}</p>")
+        elif kind < 0.6:
+            parts.append(f'<p>{text} <a href="x">link {rng.randrange(9)}</a> <b>{text}</b></p>')
+        elif depth < 4:
+            parts.append(f"<div>{generated(rng, depth + 1)}</div>")
+    return "".join(parts)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_densities_are_those_of_a_naive_count(seed):
+    body = generated(random.Random(seed))
+    root, naive = H.parsed(f"<html><body>{body}</body></html>"), Naive()
+    H.densities(root)
+    naive.feed(f"<body>{body}</body>")
+    stack = [(root, naive.nodes[0])]
+    compared = 0
+    while stack:
+        node, other = stack.pop()
+        inner = [p for p in node.parts if isinstance(p, H.Node)]
+        assert [n.tag for n in inner] == [n["tag"] for n in other["inner"]]
+        assert (node.chars, node.tags, node.links) == (other["chars"], other["tags"], other["links"])
+        assert node.link_chars == other["link_chars"]
+        assert node.density == pytest.approx(naive_density(other, naive.nodes[0]))
+        sums = sum(naive_density(n, naive.nodes[0]) for n in other["inner"])
+        own = naive_density(other, naive.nodes[0]) if node.tag == "p" or not sums else 0.0
+        assert node.total == pytest.approx(max(sums, own))
+        stack += zip(inner, other["inner"])
+        compared += 1
+    assert compared == len(naive.nodes)
