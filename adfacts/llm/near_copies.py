@@ -17,8 +17,11 @@ more than these: pairs over the limit are left out before any text is read, and
 Exact copies are one text from the start. Texts with an equal sketch are a bucket. A bucket
 elects as hub the text that shares most buckets with others and compares its members to it; those
 of another class than the hub elect the next, as long as a round links one text in a hundred.
-What is left are pairs in a bucket whose texts are not yet known to be of one class: all of those
-within the limits above are compared. So a bucket of thousands costs a comparison per member, not
+What is left are pairs in a bucket whose texts are not yet known to be of one class. In buckets of up to
+``PAIRED`` texts all of those within the limits above are compared. Texts of larger ones, as share a
+long passage and little else, are paired by an exact prefix filter: of two texts as similar as
+asked for, one of the rarest labels of each, as many as may be missing and one more, is in the other, and
+labels that one text alone has pair nothing. So a bucket of thousands costs a comparison per member, not
 all pairs, and no pair of a bucket that could join two classes is left out. Connected components
 of the verified links are the classes.
 
@@ -50,6 +53,8 @@ SKETCHES, ORDERED = 20, 5
 SKETCHES_SHORT, ORDERED_SHORT = 16, 3
 SHORT, LONG = 20, 16
 PIECE = 1 << 15
+# Texts of a bucket all of whose pairs may be compared.
+PAIRED = 64
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SEEDS = np.array(
@@ -301,19 +306,59 @@ def similar_links(docs: DataFrame, reps: DataFrame, least: float = SIMILARITY) -
             "open",
         )
     left = members.join(labels_now, "copy")
-    ends_of = left.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"))
-    mixed = written(ends_of.filter("a != b").select("bucket"), "mixed")
-    left = written(left.join(mixed, "bucket", "left_semi"), "left")
-    other = left.select(
-        "bucket", F.col("copy").alias("hub"), F.col("n").alias("hub_n"), F.col("bits").alias("hub_bits"),
-        F.col("weight").alias("hub_weight"), F.col("label").alias("hub_label"),
+    ends_of = left.groupBy("bucket").agg(
+        F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("_size")
     )
-    rest = left.join(
+    mixed = written(ends_of.filter("a != b").select("bucket", "_size"), "mixed")
+    left = written(left.join(mixed, "bucket"), "left")
+    small = _paired(left.filter(F.col("_size") <= PAIRED), "bucket", within)
+    large = left.filter(F.col("_size") > PAIRED).select("copy", "n", "bits", "weight", "label").distinct()
+    sharing = _rare_labels(written(large, "large"), texts, least)
+    rest = small.unionByName(_paired(sharing, "shingle", within))
+    return links.unionByName(_verified(rest.distinct(), texts, least))
+
+
+def _paired(rows: DataFrame, key: str, within: Column) -> DataFrame:
+    """(copy, hub, hub_weight) of rows with equal ``key`` and other labels that are ``within``."""
+    other = rows.select(
+        F.col(key).alias("_key"), F.col("copy").alias("hub"), F.col("n").alias("hub_n"),
+        F.col("bits").alias("hub_bits"), F.col("weight").alias("hub_weight"),
+        F.col("label").alias("hub_label"),
+    )
+    both = rows.join(
         other,
-        (left["bucket"] == other["bucket"]) & (F.col("copy") < F.col("hub"))
+        (F.col(key) == F.col("_key")) & (F.col("copy") < F.col("hub"))
         & (F.col("label") != F.col("hub_label")) & within,
     )
-    return links.unionByName(_verified(rest.select(*ends).distinct(), texts, least))
+    return both.select("copy", "hub", "hub_weight")
+
+
+def _rare_labels(large: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """``large`` (copy, n, bits, weight, label) with each ``shingle`` of the prefix of each text."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [labels(text.as_py()).view(np.int64) for text in batch.column("text")]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("copy"), pa.array(found, pa.list_(pa.int64()))], names=["copy", "shingles"]
+            )
+
+    read = texts.join(large.select("copy"), "copy", "left_semi").select("copy", "text")
+    every = written(read.mapInArrow(cut, "copy binary, shingles array<long>"), "shingles")
+    rows = every.select("copy", F.explode("shingles").alias("shingle"))
+    counts = rows.groupBy("shingle").count().filter(F.col("count") > 1)
+    several = rows.join(written(counts, "counts"), "shingle")
+    # The partner with the fewest shingles asks for the least in common: n times ``least``.
+    prefix = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
+    # Those that one text alone has are the rarest.
+    kept = (prefix - (F.col("n") - F.size("_several"))).cast("int")
+    return (
+        several.groupBy("copy").agg(F.sort_array(F.collect_list(F.struct("count", "shingle"))).alias("_several"))
+        .join(large, "copy")
+        .filter(kept > 0)
+        .withColumn("shingle", F.explode(F.slice("_several", F.lit(1), kept)["shingle"]))
+        .drop("_several")
+    )
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -325,14 +370,15 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.select(F.col("copy").alias("a"), F.col("hub").alias("b")).distinct(), "edges")
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # Written, so that the join deals both sides anew and Spark may split a hub.
+        lowest = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "lowest")
         large = (
             both.filter(F.col("b") > F.col("a")).join(lowest, "a")
             .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         )
         large = written(large, "large")
         # All links now go from a text to a lower one.
-        lowest = large.groupBy("a").agg(F.min("b").alias("m"))
+        lowest = written(large.groupBy("a").agg(F.min("b").alias("m")), "lowest")
         ends = F.array(
             F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))
         )

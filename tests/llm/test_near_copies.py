@@ -114,6 +114,27 @@ def test_classes_are_those_of_all_pairs(spark, folder):
         assert c is None or c == min(g)
 
 
+def test_a_large_bucket_of_unlike_texts_is_paired_by_rare_labels(spark, folder, monkeypatch):
+    """Texts that share a long passage, hence sketches; among them some near copies of each other."""
+    rng = random.Random(21)
+    passage = text_of(rng, 60)
+    bases = [passage + text_of(rng, 40) for _ in range(60)]
+    texts = bases + [edited(rng, b, 1) for b in bases[:12]] + [b + text_of(rng, 3) for b in bases[10:20]]
+    rng.shuffle(texts)
+    docs = [(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)]
+    compared = []
+    plain = N._verified
+    monkeypatch.setattr(N, "PAIRED", 3)
+    monkeypatch.setattr(N, "_verified", lambda pairs, *more: (compared.append(pairs.count()), plain(pairs, *more))[1])
+    out = N.QUERIES["op4_near_copies"](spark, folder(documents=docs)).collect()
+    groups = {}
+    for r in out:
+        groups.setdefault(r["class_id"], []).append(r["doc_id"])
+    assert Counter(tuple(sorted(g, key=str)) for g in groups.values()) == brute(docs)
+    # Far fewer pairs are left than a bucket of all texts would have.
+    assert compared[-1] < 3 * len(docs)
+
+
 def test_one_of_each_class_stays(spark, folder):
     docs = [*EDGES, *planted()]
     table = spark.createDataFrame(
