@@ -45,7 +45,9 @@ BLOCK = 1 << 22
 CELLS = 1 << 20
 # No letter: an ASCII character that is not A-Z or a-z.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-COUNTS = "lang string, chunk binary, docs long, sources array<string>, numbers array<long>, doc_keys array<long>"
+# Per block: sources by their hashes and how often, then documents, packed as whole numbers.
+PACKED = "lang string, chunk binary, docs long, packed binary"
+COUNTS = "lang string, chunk binary, docs long, sources array<long>, numbers array<long>, doc_keys array<long>"
 
 
 class _Numbers(dict):
@@ -61,8 +63,37 @@ def _starts(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
+def _packed(outer: np.ndarray, sources: np.ndarray, numbers: np.ndarray, inner: np.ndarray, keys: np.ndarray) -> pa.Array:
+    """One binary value per row: how many sources, these, their numbers, and the document keys."""
+    n, m = np.diff(outer), np.diff(inner)
+    ends = np.cumsum(1 + 2 * n + m)
+    begins = ends - (1 + 2 * n + m)
+    data = np.empty(int(ends[-1]) if len(ends) else 0, np.int64)
+    data[begins] = n
+    at = np.repeat(begins + 1 - outer[:-1], n) + np.arange(len(sources))
+    data[at], data[at + np.repeat(n, n)] = sources, numbers
+    data[np.repeat(begins + 1 + 2 * n - inner[:-1], m) + np.arange(len(keys))] = keys
+    offsets = (np.concatenate([[0], ends]) * 8).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _unpacked(packed: pa.Array) -> tuple[np.ndarray, ...]:
+    """Row, source and number of all entries; row and key of all documents."""
+    _, offsets, data = packed.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[packed.offset:packed.offset + len(packed) + 1] // 8
+    data = np.frombuffer(data, np.int64) if data else np.zeros(0, np.int64)
+    begins = offsets[:-1].astype(np.int64)
+    n = data[begins]
+    m = np.diff(offsets) - 1 - 2 * n
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.repeat(begins + 1 - (np.cumsum(n) - n), n) + np.arange(len(row))
+    of_key = np.repeat(np.arange(len(m)), m)
+    keys = np.repeat(begins + 1 + 2 * n - (np.cumsum(m) - m), m) + np.arange(len(of_key))
+    return row, data[at], data[at + np.repeat(n, n)], of_key, data[keys]
+
+
 def _block(
-    first: int, chunks: _Numbers, ids: list[np.ndarray], groups: list[tuple[str, str]], least: int
+    first: int, chunks: _Numbers, ids: list[np.ndarray], groups: list[tuple[str, int]], least: int
 ) -> pa.RecordBatch:
     """Counts of a block of documents, whose chunks are ``ids`` and whose keys begin at ``first``."""
     langs, sources = _Numbers(), _Numbers()
@@ -86,62 +117,88 @@ def _block(
     inner = np.concatenate([[0], np.cumsum(np.where(few, docs, 0))])
     kept = np.repeat(few, docs)
     own = own[by_chunk]
-    names = pa.array(list(sources), pa.string())
+    hashes = np.array(list(sources), np.int64)[key[by_source] % len(sources)]
     numbers = np.add.reduceat(n, by_source) if len(n) else n
-    outer, inner = (pa.array(o, pa.int32()) for o in (outer, inner))
     return pa.RecordBatch.from_arrays(
         [pa.array(list(langs), pa.string()).take(pa.array(own // len(chunks))),
          pa.array(list(chunks), pa.binary()).take(pa.array(own % len(chunks))),
-         pa.array(docs, pa.int64()),
-         pa.ListArray.from_arrays(outer, names.take(pa.array(key[by_source] % len(sources)))),
-         pa.ListArray.from_arrays(outer, pa.array(numbers, pa.int64())),
-         pa.ListArray.from_arrays(inner, pa.array(first + doc[kept], pa.int64()))],
-        names=["lang", "chunk", "docs", "sources", "numbers", "doc_keys"],
+         pa.array(docs, pa.int64()), _packed(outer, hashes, numbers, inner, first + doc[kept])],
+        names=["lang", "chunk", "docs", "packed"],
     )
 
 
-def _summed(rows: pa.RecordBatch, least: int) -> pa.RecordBatch:
-    """Rows sorted by chunk and language, with equal ones summed."""
-    n = rows.num_rows
-    other = np.zeros(max(n - 1, 0), bool)
-    for name in ("chunk", "lang"):
-        column = rows.column(name)
-        other |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-    starts = np.flatnonzero(np.concatenate([[True], other]))
-    group = np.cumsum(np.concatenate([[0], other]))
-    docs = np.add.reduceat(rows.column("docs").to_numpy(), starts)
-
-    def of_entries(name: str) -> np.ndarray:
-        return np.repeat(group, rows.column(name).value_lengths().to_numpy())
-
-    # Sources of a group once each.
-    names = rows.column("sources").flatten().dictionary_encode()
-    width = max(len(names.dictionary), 1)
-    pairs, which = np.unique(of_entries("sources") * width + names.indices.to_numpy(), return_inverse=True)
-    sums = np.bincount(which, rows.column("numbers").flatten().to_numpy(), len(pairs)).astype(np.int64)
-    outer = pa.array(np.searchsorted(pairs, np.arange(len(starts) + 1) * width), pa.int32())
-    # Documents of groups that are still in few.
-    of_key = of_entries("doc_keys")
-    few = docs[of_key] < least
-    inner = pa.array(np.searchsorted(of_key[few], np.arange(len(starts) + 1)), pa.int32())
-    at = pa.array(starts)
-    return pa.RecordBatch.from_arrays(
-        [rows.column("lang").take(at), rows.column("chunk").take(at), pa.array(docs),
-         pa.ListArray.from_arrays(outer, names.dictionary.take(pa.array(pairs % width))),
-         pa.ListArray.from_arrays(outer, pa.array(sums)),
-         pa.ListArray.from_arrays(inner, rows.column("doc_keys").flatten().filter(pa.array(few)))],
-        names=["lang", "chunk", "docs", "sources", "numbers", "doc_keys"],
-    )
+class Sums:
+    """Sums of rows that come sorted by chunk and language; the last group may go on."""
+
+    def __init__(self, least: int):
+        self.least, self.held = least, None
+
+    def add(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """The groups that are complete, with those of earlier batches."""
+        lang, chunk = batch.column("lang"), batch.column("chunk")
+        docs = batch.column("docs").to_numpy()
+        row, source, number, of_key, key = _unpacked(batch.column("packed"))
+        if self.held is not None:
+            before = self.held
+            lang, chunk = (pa.concat_arrays([a.cast(b.type), b]) for a, b in zip(before[:2], (lang, chunk)))
+            docs = np.concatenate([before[2], docs])
+            row = np.concatenate([np.zeros(len(before[3]), np.int64), row + 1])
+            source, number = (np.concatenate(p) for p in zip(before[3:5], (source, number)))
+            of_key = np.concatenate([np.zeros(len(before[5]), np.int64), of_key + 1])
+            key = np.concatenate([before[5], key])
+        n = len(docs)
+        other = np.zeros(n - 1, bool)
+        for column in (chunk, lang):
+            other |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        group = np.cumsum(np.concatenate([[0], other]))
+        starts = np.flatnonzero(np.concatenate([[True], other]))
+        docs = np.add.reduceat(docs, starts)
+        # Sources of a group once each.
+        hashes, code = np.unique(source, return_inverse=True)
+        width = max(len(hashes), 1)
+        pairs, which = np.unique(group[row] * width + code, return_inverse=True)
+        sums = np.bincount(which, number, len(pairs)).astype(np.int64)
+        source = hashes[pairs % width] if len(hashes) else pairs
+        outer = np.searchsorted(pairs, np.arange(len(starts) + 1) * width)
+        # Documents of groups that are still in few.
+        of_key = group[of_key]
+        few = docs[of_key] < self.least
+        key, inner = key[few], np.searchsorted(of_key[few], np.arange(len(starts) + 1))
+        at = pa.array(starts)
+        last = len(starts) - 1
+        lang, chunk = lang.take(at), chunk.take(at)
+        self.held = (
+            lang.slice(last), chunk.slice(last), docs[last:], source[outer[last]:], sums[outer[last]:], key[inner[last]:],
+        )
+        outer, inner = (pa.array(o[:last + 1], pa.int32()) for o in (outer, inner))
+        return self._rows(lang.slice(0, last), chunk.slice(0, last), docs[:last], outer, source, sums, inner, key)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held is not None:
+            lang, chunk, docs, source, sums, key = self.held
+            outer, inner = (pa.array([0, len(v)], pa.int32()) for v in (source, key))
+            yield self._rows(lang, chunk, docs, outer, source, sums, inner, key)
+
+    @staticmethod
+    def _rows(lang, chunk, docs, outer, source, sums, inner, key) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [lang, chunk, pa.array(docs), pa.ListArray.from_arrays(outer, pa.array(source)),
+             pa.ListArray.from_arrays(outer, pa.array(sums)), pa.ListArray.from_arrays(inner, pa.array(key))],
+            names=["lang", "chunk", "docs", "sources", "numbers", "doc_keys"],
+        )
 
 
 def chunk_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """A row per language and chunk, written; see ``COUNTS``. ``doc_keys`` are all if they are few."""
+    """A row per language and chunk, written; see ``COUNTS``. ``doc_keys`` are all if they are few.
+
+    ``docs`` has text, lang and ``source_key``, a number for each source.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first, held = TaskContext.get().partitionId() << 40, 0
         chunks, ids, groups = _Numbers(), [], []
         for batch in batches:
-            for text, lang, source in zip(*(c for c in batch.columns)):
+            for text, lang, source in zip(*batch.columns):
                 found = text.as_py().split()
                 if not found:
                     continue
@@ -156,19 +213,13 @@ def chunk_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
             yield _block(first, chunks, ids, groups, least)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        sums = Sums(least)
         for batch in batches:
-            if held is not None:
-                batch = pa.concat_batches([held, batch.cast(held.schema)])
             if batch.num_rows:
-                summed = _summed(batch, least)
-                # The last group may go on in the next batch.
-                held = summed.slice(summed.num_rows - 1)
-                yield summed.slice(0, summed.num_rows - 1)
-        if held is not None:
-            yield held
-
-    blocks = docs.select(F.col("text").cast("binary"), "lang", "source").mapInArrow(count, COUNTS)
+                yield sums.add(batch)
+        yield from sums.rest()
+
+    blocks = docs.select(F.col("text").cast("binary"), "lang", "source_key").mapInArrow(count, PACKED)
     dealt = blocks.repartition("chunk").sortWithinPartitions("chunk", "lang")
     return written(dealt.mapInArrow(add, COUNTS), "chunks")
 
@@ -201,13 +252,13 @@ def kept_terms(counts: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def term_counts(counts: DataFrame, kept: DataFrame) -> DataFrame:
-    """(lang, source, term, n) of kept terms that occur, written."""
+    """(lang, source_key, term, n) of kept terms that occur, written."""
     per_source = (
         counts.select("lang", "chunk", F.arrays_zip("sources", "numbers").alias("s"))
-        .join(kept, ["lang", "chunk"]).select("lang", "term", "k", F.inline("s").alias("source", "n"))
+        .join(kept, ["lang", "chunk"]).select("lang", "term", "k", F.inline("s").alias("source_key", "n"))
     )
     return written(
-        per_source.groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("k")).alias("n")),
+        per_source.groupBy("lang", "source_key", "term").agg(F.sum(F.col("n") * F.col("k")).alias("n")),
         "occurrences",
     )
 
@@ -275,14 +326,16 @@ def source_divergence(docs: DataFrame, least: int = LEAST, listed: int = LISTED)
     """(lang, source, part, item, value, rank): all pairs of sources, and top terms of each source."""
     empty = F.lit("")
     docs = docs.select(*[F.coalesce(F.col(c).cast("string"), empty).alias(c) for c in ("text", "lang", "source")])
-    counts = chunk_counts(docs, least)
+    sources = docs.select("lang", "source").distinct().withColumn("source_key", F.xxhash64("source"))
+    if sources.select("source", "source_key").distinct().groupBy("source_key").count().filter("count > 1").count():
+        raise ValueError("two sources have the same hash")
+    counts = chunk_counts(docs.withColumn("source_key", F.xxhash64("source")), least)
     kept = kept_terms(counts, least)
     found = term_counts(counts, kept)
     kinds = kept.select("lang", "term").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"))
-    totals = found.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    totals = found.groupBy("lang", "source_key").agg(F.sum("n").alias("total"))
     groups = written(
-        docs.select("lang", "source").distinct()
-        .join(totals, ["lang", "source"], "left").join(kinds, "lang", "left").fillna(0, ["total", "kinds"])
+        sources.join(totals, ["lang", "source_key"], "left").join(kinds, "lang", "left").fillna(0, ["total", "kinds"])
         .withColumn("number", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1),
         "groups",
     )
@@ -291,7 +344,7 @@ def source_divergence(docs: DataFrame, least: int = LEAST, listed: int = LISTED)
         F.sum("total").alias("lang_total"), F.first("kinds").alias("lang_kinds"),
         F.sort_array(F.collect_list(F.struct(F.col("number"), zero.alias("p"))))["p"].alias("zeros"),
     )
-    of_group = with_group_values(found, groups, ["lang", "source"])
+    of_group = with_group_values(found, groups, ["lang", "source_key"])
     own = F.struct("number", chance(F.col("n"), F.col("total"), F.col("kinds")).alias("p"))
     by_term = of_group.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.collect_list(own).alias("own"))
     chances = written(
