@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from adfacts.sources.records import csv_records, parsed
+
+# Bytes of a file that holds one array.
+LARGEST_ARRAY = 1 << 30
+
 
 def _texts(*names: str) -> StructType:
     return StructType([StructField(n, StringType()) for n in names])
@@ -46,15 +51,18 @@ def read_csv(
     """The columns of ``schema`` from a CSV with a header; an empty field is null.
 
     Columns are taken by their name in the header; others are left out, an absent one is an
-    error, and so is a file of a folder whose header differs. Fields that span lines keep a file
-    from being split; say ``spans_lines=False`` where no field does.
+    error, and so is a file of a folder whose header differs. Files are read by split, also where
+    fields span lines (see ``sources.records``); say ``spans_lines=False`` where no field does.
     """
-    reader = spark.read.options(**CSV, multiLine=spans_lines)
-    header = reader.csv(path).schema
+    header = spark.read.options(**CSV, multiLine=spans_lines).csv(path).schema
     absent = [name for name in schema.names if name not in header.names]
     if absent:
         raise ValueError(f"{path} has no column {', '.join(absent)}")
-    rows = reader.schema(header).option("enforceSchema", False).csv(path)
+    if spans_lines:
+        rows = parsed(csv_records(spark, path), header, schema.names, CSV)
+    else:
+        reader = spark.read.options(**CSV).schema(header).option("enforceSchema", False)
+        rows = reader.csv(path)
     return rows.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
 
 
@@ -63,9 +71,18 @@ def write_csv(df: DataFrame, path: str, *columns: str) -> None:
 
 
 def read_records(
-    spark: SparkSession, path: str, schema: StructType, one_array: bool = False
+    spark: SparkSession, path: str, schema: StructType, one_array: bool = False,
+    largest: int = LARGEST_ARRAY,
 ) -> DataFrame:
-    """JSON records, one per line, or (``one_array``) one array per file."""
+    """JSON records, one per line, or (``one_array``) one array per file.
+
+    A file that is one array is read by one task, so one of more than ``largest`` bytes is an error;
+    such data had better be written as lines.
+    """
+    if one_array:
+        files = spark.read.format("binaryFile").load(path).filter(F.col("length") > largest)
+        for file in files.select("path", "length").limit(1).collect():
+            raise ValueError(f"{file['path']} is an array of {file['length']} bytes, more than {largest}")
     return spark.read.schema(schema).json(path, multiLine=one_array)
 
 
