@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +20,9 @@ from adfacts.session import pinned
 # Tokens frequent enough to overload one join task; past this rank no token can hold more
 # than one in HOT_TOKENS of all occurrences.
 HOT_TOKENS = 10_000
-# Frequent tokens of more letters in all are joined by a shuffle, where Spark splits hot keys.
-HOT_LETTERS = 10_000_000
+# Frequent tokens of more letters are joined by a shuffle, where Spark splits hot keys; so what
+# is sent to all tasks is at most HOT_TOKENS times this.
+HOT_LETTERS = 1_000
 # Rows with the same leading digits that are put in order at once.
 ORDERED_ROWS = 100_000
 
@@ -36,31 +42,62 @@ def vocabulary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
 
 
 def encoded(df: DataFrame, vocab: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
-    """``input_ids`` per key, in token order; unknown tokens are left out.
+    """``input_ids`` per row, in token order; unknown tokens are left out.
 
     ``vocab`` is read several times, so it had better be a written table. The most frequent
-    tokens, whatever their length, are looked up in place; only the others are shuffled.
+    tokens are looked up within the array, a batch of rows at a time. Of the others, each is
+    joined once per row, by its place among the row's own, and the array is filled up.
     """
     vocab = vocab.select(F.col("token").alias("_token"), F.col("id").alias("_id"))
-    frequent = vocab.filter(F.col("_id") < X.FIRST_ID + HOT_TOKENS)
-    if (frequent.agg(F.sum(F.length("_token"))).first()[0] or 0) <= HOT_LETTERS:
-        frequent = F.broadcast(frequent)
-    # A row without tokens has one null token; it stays with the found ones, so that all such
-    # rows do not meet in one join task.
-    looked_up = pinned(
-        df.select(key, F.posexplode_outer(tokens).alias("_place", "_token"))
-        .join(frequent, "_token", "left")
-        .select(key, "_place", "_id", F.when(F.col("_id").isNull(), F.col("_token")).alias("_token"))
+    is_frequent = (F.col("_id") < X.FIRST_ID + HOT_TOKENS) & (F.length("_token") <= HOT_LETTERS)
+    rows = vocab.filter(is_frequent).toArrow()
+    frequent = df.sparkSession.sparkContext.broadcast(
+        (rows.column("_token").combine_chunks(), rows.column("_id").to_numpy())
     )
-    here = looked_up.filter(F.col("_token").isNull()).select(key, "_place", "_id")
-    rare = vocab.filter(F.col("_id") >= X.FIRST_ID + HOT_TOKENS)
-    there = looked_up.filter(F.col("_token").isNotNull()).drop("_id").join(rare, "_token")
-    slot = F.when(F.col("_id").isNotNull(), F.struct("_place", "_id"))
+    kind = df.schema[key].dataType.simpleString()
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        known, ids_of = frequent.value
+        for batch in batches:
+            n, lists = batch.num_rows, batch.column(1)
+            values = lists.flatten()
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            at = pc.fill_null(pc.index_in(values, value_set=known.cast(values.type)), -1).to_numpy()
+            rare = at < 0
+            ids = np.full(len(at), -1, np.int64)
+            ids[~rare] = ids_of[at[~rare]]
+            # Rare tokens of a row once each, by spelling; a token's place among them, negative.
+            names = values.filter(pa.array(rare)).dictionary_encode()
+            of_row = np.repeat(np.arange(n), sizes)[rare]
+            codes = names.indices.fill_null(len(names.dictionary)).to_numpy()
+            width = len(names.dictionary) + 1
+            pairs, which = np.unique(of_row * width + codes, return_inverse=True)
+            starts = np.searchsorted(pairs // width, np.arange(n + 1))
+            ids[rare] = starts[of_row] - which - 1
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            spelled = pa.chunked_array([names.dictionary, pa.nulls(1, values.type)]).combine_chunks()
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(np.arange(row, row + n)),
+                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids)),
+                 pa.ListArray.from_arrays(pa.array(starts, pa.int32()), spelled.take(pa.array(pairs % width)))],
+                names=[key, "_row", "_ids", "_rare"],
+            )
+            row += n
+
+    schema = f"`{key}` {kind}, _row bigint, _ids array<bigint>, _rare array<string>"
+    looked_up = pinned(df.select(key, tokens).mapInArrow(look_up, schema))
+    others = vocab.filter(~is_frequent)
+    filled = (
+        looked_up.select("_row", F.posexplode("_rare").alias("_place", "_token"))
+        .join(others, "_token", "left")
+        .groupBy("_row")
+        .agg(F.sort_array(F.collect_list(F.struct("_place", "_id")))["_id"].alias("_found"))
+    )
+    ids = F.transform("_ids", lambda i: F.when(i >= 0, i).otherwise(F.get("_found", (-1 - i).cast("int"))))
     return (
-        here.unionByName(there.select(key, "_place", "_id"))
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list(slot)).alias("_slots"))
-        .select(key, F.col("_slots._id").alias("input_ids"))
+        looked_up.select(key, "_row", "_ids").join(filled, "_row", "left")
+        .select(key, F.array_compact(ids).alias("input_ids"))
     )
 
 
@@ -208,23 +245,29 @@ def _drawn(key: Column, seed: int) -> Column:
 
 
 def hash_split(df: DataFrame, key: str, fraction: float = 0.1, seed: int = 55) -> DataFrame:
-    """``split`` per row by a hash of its key; about ``fraction`` of the rows validate."""
+    """``split`` per row by a hash of its key; about ``fraction`` of the rows validate.
+
+    Rows without a key train.
+    """
     bound = int(fraction * 16**15)
     held_out = _drawn(F.col(key), seed) < bound
     return df.withColumn("split", F.when(held_out, "validation").otherwise("train"))
 
 
 def exact_split(df: DataFrame, key: str, fraction: float = 0.1, seed: int = 55) -> DataFrame:
-    """As ``hash_split`` with exactly the rounded-up share of rows in validation.
+    """As ``hash_split`` with exactly the rounded-up share of all rows in validation.
 
-    The last held-out row is found on the keys alone: counts per leading digits of the drawn
-    number say which digits it has, and only their rows are put in order. The table itself is
-    only projected.
+    Rows without a key count for the share and train; if fewer have a key than the share asks for,
+    all of those validate. The last held-out row is found on the keys alone: counts per leading
+    digits of the drawn number say which digits it has, and only their rows are put in order. The
+    table itself is only projected.
     """
     place = F.struct(_drawn(F.col(key), seed).alias("_drawn"), F.col(key).alias("_key"))
-    rows = df.select(place.alias("_place")).select("_place.*")
-    left = math.ceil(rows.count() * fraction)
-    for digits in (4, 8, 12, 15):
+    every = df.select(place.alias("_place")).select("_place.*")
+    rows = every.filter(F.col("_key").isNotNull())
+    known, size = every.agg(F.count("_key"), F.count(F.lit(1))).first()
+    left = min(math.ceil(size * fraction), known)
+    for digits in (4, 8, 12, 15) if left else ():
         lead = F.floor(F.col("_drawn") / F.lit(16 ** (15 - digits))).cast("bigint")
         counts = rows.groupBy(lead.alias("_lead")).agg(F.count(F.lit(1)).alias("_rows"))
         upto = F.sum("_rows").over(Window.orderBy("_lead"))
@@ -232,15 +275,14 @@ def exact_split(df: DataFrame, key: str, fraction: float = 0.1, seed: int = 55)
             counts.withColumn("_upto", upto).filter(F.col("_upto") >= left)
             .orderBy("_lead").limit(1).first()
         )
-        if cut is None:
-            break
         left -= cut["_upto"] - cut["_rows"]
         rows = rows.filter(lead == cut["_lead"])
         if cut["_rows"] <= ORDERED_ROWS:
             break
     last = rows.orderBy("_drawn", "_key").limit(left)
     bound = last.agg(F.max(F.struct("_drawn", "_key"))).scalar()
-    return df.withColumn("split", F.when(place <= bound, "validation").otherwise("train"))
+    held_out = F.col(key).isNotNull() & (place <= bound)
+    return df.withColumn("split", F.when(held_out, "validation").otherwise("train"))
 
 
 # --- annotated tokens ----------------------------------------------------------------

@@ -47,21 +47,22 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """The rows of ``df``, written once to the checkpoint folder.
+    """The rows of ``df``, written once to the shared folder and read from there.
 
     Used where a value differs between two runs of the same plan (the slice a row
     falls into, the answer a model gives) and both readers must see the same one.
     """
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = new_folder(df.sparkSession, "pinned")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def spread_out(df: DataFrame) -> DataFrame:
     """A source over all cores, for much work per row on fewer splits than cores.
 
-    An array of records or a CSV whose fields span lines is read by one task per file. A
-    source with enough splits is returned as it is, and so is one of ``FEW_SPLITS`` or more,
-    however many cores there are: moving that much text costs more than it gains.
+    An array of records is read by one task per file. A source with enough splits is returned
+    as it is, and so is one of ``FEW_SPLITS`` or more, however many cores there are: moving that
+    much text costs more than it gains.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     splits = df.rdd.getNumPartitions()

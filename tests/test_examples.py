@@ -101,6 +101,29 @@ def test_encoding_past_the_frequent_tokens(spark, monkeypatch):
     assert out == {i: [ids[t] for t in ts] for i, ts in docs}
 
 
+def test_encoding_of_long_unknown_and_repeated_tokens(spark, monkeypatch):
+    monkeypatch.setattr(E, "HOT_TOKENS", 3)
+    monkeypatch.setattr(E, "HOT_LETTERS", 4)
+    docs = [(1, ["a", "letters", None, "z", "a", "z", "new"]), (1, ["letters"] * 5), (None, ["b", "z", "b"]), (2, None)]
+    df = spark.createDataFrame(docs, "id int, tokens array<string>")
+    vocab = E.vocabulary(df).filter("token <> 'new'")
+    ids = {r["token"]: r["id"] for r in vocab.collect()}
+    out = sorted((str(r["id"]), r["input_ids"]) for r in E.encoded(df, vocab, "id").collect())
+    want = [(str(i), [ids[t] for t in ts or [] if t in ids]) for i, ts in docs]
+    assert out == sorted(want)
+
+
+def test_splits_with_null_keys(spark):
+    df = spark.range(100).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("k"))
+    for fraction, held in ((0.1, 10), (0.45, 45), (0.9, 50), (0.0, 0)):
+        out = E.exact_split(df, "k", fraction).filter("split = 'validation'").collect()
+        assert len(out) == held and all(r["k"] is not None for r in out)
+    assert E.hash_split(df, "k").filter("split = 'validation' AND k IS NULL").count() == 0
+    none = spark.createDataFrame([(None,)] * 3, "k long")
+    assert [r["split"] for r in E.exact_split(none, "k").collect()] == ["train"] * 3
+    assert E.exact_split(none.limit(0), "k").collect() == []
+
+
 def test_padded_batches(spark):
     rows = [(1, 1, [5, 6], [1, 1], [5, 6], None), (2, 1, [7], [1], None, 3), (3, 2, [8], [1], [8], 4)]
     schema = "id int, b int, input_ids array<int>, attention_mask array<int>, labels array<int>, cls_labels int"
