@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from adfacts.functions import text as T
 from adfacts.functions.values import once
 from adfacts.operators.grouping import group_join
+from adfacts.session import pinned
 
 VARIANTS = ["de", "fr"]
+# Words, and what stands between them.
+PIECES = r"[\p{L}]+|[^\p{L}]+"
+# Words of a synonym table that is sent to all tasks.
+SENT_SYNONYMS = 100_000
 
 
 def _unchanged(c: Column, variant: Column) -> Column:
@@ -86,9 +91,7 @@ def top_up(
 def one_synonym(text: Column, synonyms: dict[str, str]) -> Column:
     """The text with its first word that has a synonym replaced, at most one."""
     known = F.create_map(*[F.lit(x) for pair in synonyms.items() for x in pair])
-    pieces = F.regexp_extract_all(
-        T.text_or_empty(text), F.lit(r"[\p{L}]+|[^\p{L}]+"), F.lit(0)
-    )
+    pieces = F.regexp_extract_all(T.text_or_empty(text), F.lit(PIECES), F.lit(0))
 
     def swapped(words: Column) -> Column:
         hits = F.transform(words, lambda w: F.lower(w).isin(list(synonyms)))
@@ -97,6 +100,39 @@ def one_synonym(text: Column, synonyms: dict[str, str]) -> Column:
     return F.array_join(once(pieces, swapped), "")
 
 
+def first_synonyms(
+    df: DataFrame, synonyms: DataFrame, key: str, text: str = "prompt"
+) -> DataFrame:
+    """``one_synonym`` by a table (word, synonym) of any size; ``key`` is unique.
+
+    Only words with a synonym leave a row of the texts: the table is counted and sent to all tasks
+    if it has up to ``SENT_SYNONYMS`` words, and joined by word if it has more. The first of a
+    text's hits comes back by its key. Of several synonyms of a word the first by spelling is taken.
+    """
+    listed = pinned(
+        synonyms.groupBy(F.lower("word").alias("_word")).agg(F.min("synonym").alias("_synonym"))
+    )
+    if listed.count() <= SENT_SYNONYMS:
+        listed = F.broadcast(listed)
+    pieces = F.regexp_extract_all(T.text_or_empty(F.col(text)), F.lit(PIECES), F.lit(0))
+    first = (
+        df.select(F.col(key).alias("_key"), F.posexplode(pieces).alias("_place", "_piece"))
+        .withColumn("_word", F.lower("_piece"))
+        .join(listed, "_word")
+        .groupBy("_key").agg(F.min(F.struct("_place", "_synonym")).alias("_first"))
+    )
+    swapped = F.transform(
+        pieces,
+        lambda w, i: F.when(i == F.col("_first._place"), F.col("_first._synonym")).otherwise(w),
+    )
+    whole = T.text_or_empty(F.col(text))
+    return (
+        df.join(first, F.col(key) == F.col("_key"), "left")
+        .withColumn(text, F.when(F.col("_first").isNull(), whole).otherwise(F.array_join(swapped, "")))
+        .drop("_key", "_first")
+    )
+
+
 def _replaced(words: Column, place: Column, known: Column) -> Column:
     return F.transform(
         words,

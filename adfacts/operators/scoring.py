@@ -1,13 +1,15 @@
-"""Asking a model the caller brings, its latency, and filtering scored candidates."""
+"""Asking a model the caller brings, its latency, and filtering scored candidates.
+
+What goes to Python workers here are functions inside of functions, which are shipped whole, so
+that the package need not be installed there. A caller's own function may use what workers have.
+"""
 
 from __future__ import annotations
 
-import sys
 import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +17,6 @@ from adfacts import constants as K
 from adfacts.operators.grouping import group_join, running_totals, spread_join
 from adfacts.session import pinned
 
-# Python workers get these functions by value, so the package need not be installed there.
-cloudpickle.register_pickle_by_value(sys.modules["adfacts"])
-
 Answerer = Callable[[list[str]], list[str]]
 
 
@@ -72,10 +71,19 @@ def score_calls(
 ) -> DataFrame:
     """As ``score`` for a remote call per prompt: tried a few times, then the sentinel."""
 
+    def called(call: Callable[[str], str], text: str) -> tuple[str, float]:
+        for _ in range(tries):
+            started = time.perf_counter()
+            try:
+                return call(text).strip(), time.perf_counter() - started
+            except Exception:
+                time.sleep(delay)
+        return sentinel, 0.0
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = make_caller()
         for frame in frames:
-            results = [_called(call, p, tries, delay, sentinel) for p in frame[prompt]]
+            results = [called(call, p) for p in frame[prompt]]
             yield frame.assign(
                 y_pred=[a for a, _ in results], inference_time=[s for _, s in results]
             )
@@ -83,18 +91,6 @@ def score_calls(
     return df.mapInPandas(run, _answered(df))
 
 
-def _called(
-    call: Callable[[str], str], prompt: str, tries: int, delay: float, sentinel: str
-) -> tuple[str, float]:
-    for _ in range(tries):
-        started = time.perf_counter()
-        try:
-            return call(prompt).strip(), time.perf_counter() - started
-        except Exception:
-            time.sleep(delay)
-    return sentinel, 0.0
-
-
 def _answered(df: DataFrame) -> str:
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields]
     return ", ".join([*fields, "y_pred string", "inference_time double"])

@@ -60,7 +60,11 @@ def speaker_audit(messages: DataFrame, planned: bool = False) -> DataFrame:
 
 
 def _chats(messages: DataFrame) -> DataFrame:
-    """Per chat its rounds, the place of the closing message and the final answer, in one pass."""
+    """Per chat its rounds, whether it was closed, and the final answer, by one shuffle.
+
+    Each message learns the closing place and the task of its chat; the last message of the agent
+    before that place is a maximum then, so no chat's texts are gathered.
+    """
     idx = F.col("idx")
     content = text_or_empty(F.col("content"))
     closing = (F.col("name") == "Critic") & F.contains(content, F.lit("TERMINATE"))
@@ -68,25 +72,18 @@ def _chats(messages: DataFrame) -> DataFrame:
     for number, (marker, _) in enumerate(K.AGENT_MARKERS):
         task = task.when(F.contains(content, F.lit(marker)), F.lit(number))
     agents = F.array(*[F.lit(agent) for _, agent in K.AGENT_MARKERS])
-    said = F.when(F.col("name").isin(K.AGENTS), F.struct("idx", "name", "content"))
-    chats = (
-        messages.groupBy("conv_id")
-        .agg(
-            (F.max(idx) + 1).alias("rounds"),
-            F.max(F.when(closing, idx)).alias("_closed"),
-            F.max(F.when(idx == 0, task)).alias("_task"),
-            F.collect_list(said).alias("_said"),
-        )
-        .withColumn("_agent", F.get(agents, F.col("_task")))
-    )
-    before = F.filter(
-        "_said", lambda m: (m["name"] == F.col("_agent")) & (m["idx"] < F.col("_closed"))
+    chat = Window.partitionBy("conv_id")
+    known = messages.select(
+        "conv_id", "idx", "name", "content",
+        F.max(F.when(closing, idx)).over(chat).alias("_closed"),
+        F.get(agents, F.max(F.when(idx == 0, task)).over(chat)).alias("_agent"),
     )
-    return chats.select(
-        "conv_id",
-        "rounds",
-        F.coalesce(strip(F.array_max(before)["content"]), F.lit("Unknown")).alias("answer"),
-        F.col("_closed").isNotNull().alias("closed"),
+    before = (F.col("name") == F.col("_agent")) & (idx < F.col("_closed"))
+    last = F.max(F.when(before, F.struct("idx", "content")))["content"]
+    return known.groupBy("conv_id").agg(
+        (F.max(idx) + 1).alias("rounds"),
+        F.coalesce(strip(last), F.lit("Unknown")).alias("answer"),
+        F.max("_closed").isNotNull().alias("closed"),
     )
 
 

@@ -10,6 +10,7 @@ from adfacts.functions.text import joined_text, strip_tags
 from adfacts.functions.tokens import tokens
 from adfacts.functions.values import once
 from adfacts.operators.grouping import group_join
+from adfacts.session import pinned
 
 
 def label_vectors(word_vectors: DataFrame, labels: list[str] = K.VOTE_LABELS) -> DataFrame:
@@ -86,23 +87,36 @@ def ad_words(ads: DataFrame, key: str, *parts: str) -> DataFrame:
     return ads.select(key, F.explode_outer(tokens(text)).alias("word"))
 
 
+# Voting words that are sent to all tasks; a row is a word and a vote per label.
+SENT_WORDS = 100_000
+
+
 def label_scores(
     words: DataFrame, key: str, votes: DataFrame, labels: DataFrame, n_labels: int
 ) -> DataFrame:
     """Per ad the sum of its words' votes, one place of ``scores`` per label in list order.
 
-    The place of a label without a vector is null.
+    The place of a label without a vector is null. Only words that vote leave a row; an ad without
+    any is there by its key. Voting words are counted and then sent to all tasks if there are up to
+    ``SENT_WORDS``; more of them are joined by word.
     """
-    voted = group_join(words, votes, ["word"], "left")
+    votes = pinned(votes)
+    if votes.count() <= SENT_WORDS:
+        votes = F.broadcast(votes)
     known = _known(labels)
-    sums = [F.sum(F.get("votes", F.lit(i))).alias(f"_{i}") for i in range(n_labels)]
+    names = [f"_{i}" for i in range(n_labels)]
+    voted = group_join(words, votes, ["word"]).select(
+        key, *[F.get("votes", F.lit(i)).alias(name) for i, name in enumerate(names)]
+    )
+    every = voted.unionByName(words.select(key).distinct(), allowMissingColumns=True)
     scores = F.array(
         *[
             F.when(F.array_contains(known, F.lit(i)), F.coalesce(F.col(f"_{i}"), F.lit(0.0)))
             for i in range(n_labels)
         ]
     )
-    return voted.groupBy(key).agg(*sums).select(key, scores.alias("scores"))
+    sums = every.groupBy(key).agg(*[F.sum(name).alias(name) for name in names])
+    return sums.select(key, scores.alias("scores"))
 
 
 def shares(scores: Column) -> Column:

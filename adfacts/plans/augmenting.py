@@ -67,6 +67,21 @@ def au3(ads: DataFrame) -> DataFrame:
     return ads.select("ad_id", A.one_synonym(F.col("prompt"), SYNONYMS).alias("prompt"))
 
 
+@register(
+    "au3_synonym_table", "header_ads synonyms",
+    f"""WITH pieces AS (SELECT ad_id, words, unnest(words) AS piece, generate_subscripts(words, 1) AS place
+  FROM (SELECT ad_id, {_WORDS} AS words FROM header_ads)),
+hits AS (SELECT ad_id, arg_min(synonym, place) AS synonym, min(place) AS hit
+  FROM pieces JOIN synonyms ON word = lower(piece) GROUP BY 1)
+SELECT h.ad_id, CASE WHEN hit IS NULL THEN prompt ELSE array_to_string(words[1:hit - 1], '') || synonym
+  || array_to_string(words[hit + 1:], '') END AS prompt
+FROM (SELECT *, {_WORDS} AS words FROM header_ads) h LEFT JOIN hits USING (ad_id)""",
+    heavy=True,
+)
+def au3_table(ads: DataFrame, synonyms: DataFrame) -> DataFrame:
+    return A.first_synonyms(ads.select("ad_id", "prompt"), synonyms, "ad_id")
+
+
 _CHANGED = """CASE WHEN hit > 0 THEN array_to_string(words[1:hit - 1], '') || ({known})[lower(words[hit])]
   || array_to_string(words[hit + 1:], '') ELSE array_to_string(words, '') END"""
 

@@ -56,6 +56,27 @@ def test_label_drift(spark):
 # --- word vectors ------------------------------------------------------------------------
 
 
+def test_synonyms_of_a_large_table(spark, monkeypatch):
+    rows = [(1, "A big CAT, w7 sat"), (2, "none here"), (3, None), (4, "w99999 first"), (5, ""), (6, "Große katze")]
+    df = spark.createDataFrame(rows, "id int, prompt string")
+    words = spark.range(100_000).select(F.concat(F.lit("w"), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("word"), F.lit("x").alias("synonym"))
+    more = spark.createDataFrame([("CAT", "lion"), ("cat", "puma"), ("große", "weite"), ("first", "last")], "word string, synonym string")
+    want = {1: "A big lion, w7 sat", 2: "none here", 3: "", 4: "w99999 last", 5: "", 6: "weite katze"}
+    for limit in (100, 1_000_000):
+        monkeypatch.setattr(A, "SENT_SYNONYMS", limit)
+        out = A.first_synonyms(df, words.unionByName(more), "id")
+        assert out.columns == df.columns
+        assert {r["id"]: r["prompt"] for r in out.collect()} == want
+
+
+def test_votes_leave_a_row_for_voting_words_only(spark):
+    words = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, None), (1, "a"), (None, "a")], "id int, word string")
+    votes = spark.createDataFrame([("a", [0.5, 0.0]), ("z", [1.0, 1.0])], "word string, votes array<double>")
+    labels = spark.createDataFrame([(0, "x", [1.0])], "label_order int, label string, vector array<double>")
+    out = {r["id"]: r["scores"] for r in V.label_scores(words, "id", votes, labels, 2).collect()}
+    assert out == {1: [1.0, None], 2: [0.0, None], 3: [0.0, None], None: [0.5, None]}
+
+
 def test_seniority_vote_matches_a_plain_loop(spark):
     random.seed(2)
     names = sorted({w for label in VOTE_LABELS[:13] for w in label.split()}) + [f"w{i}" for i in range(30)]
