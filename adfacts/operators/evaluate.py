@@ -138,3 +138,40 @@ def report(results: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     # Both hold one row per group; under each other they need no join, and a group may be null.
     both = counted.unionByName(macro_scores(results, keys), allowMissingColumns=True)
     return both.groupBy(*keys).agg(*[F.max(c).alias(c) for c in both.columns if c not in keys])
+
+
+def grouped_scores(results: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
+    """Rows, accuracy, macro recall and F1 for several groupings by one pass over the results.
+
+    ``sets`` are lists of columns out of ``model`` and ``task_type``; a column that a set lacks is null
+    and ``level`` names the set's columns, joined by commas. Averages over labels do not add up over
+    groups, so the counts of every label are kept for each set, and averaged then.
+    """
+    t, p = F.col("complete"), F.col("y_pred")
+    one, none = F.lit(1), F.lit(0)
+    sides = F.array(
+        F.struct(t.alias("label"), one.alias("s"), none.alias("p"), F.coalesce(F.col("val").cast("int"), none).alias("h")),
+        F.struct(p.alias("label"), none.alias("s"), one.alias("p"), none.alias("h")),
+    )
+
+    def member(columns: Sequence[str]) -> Column:
+        return F.struct(
+            F.lit(",".join(columns)).alias("level"),
+            *[(F.col(f"_{c}") if c in columns else F.lit(None).cast("string")).alias(c) for c in ("model", "task_type")],
+        )
+
+    rows = marked(results).withColumnsRenamed({"model": "_model", "task_type": "_task_type"})
+    counted = (
+        rows.select("_model", "_task_type", F.inline(sides))
+        # Counted once for the finest set before it is copied for the others.
+        .groupBy("_model", "_task_type", "label").agg(*[F.sum(c).alias(c) for c in "sph"])
+        .select(F.inline(F.array(*[member(columns) for columns in sets])), "label", "s", "p", "h")
+        .groupBy("level", "model", "task_type", "label").agg(*[F.sum(c).alias(c) for c in "sph"])
+    )
+    known, s, hits = F.col("label").isNotNull(), F.col("s"), F.col("h")
+    recall = F.when(s > 0, hits / s).otherwise(F.lit(0.0))
+    return counted.groupBy("level", "model", "task_type").agg(
+        F.sum(s).alias("rows"), (F.sum(hits) / F.sum(s)).alias("accuracy"),
+        F.avg(F.when(known, recall)).alias("macro_recall"),
+        F.avg(F.when(known, 2 * hits / (s + F.col("p")))).alias("macro_f1"),
+    )

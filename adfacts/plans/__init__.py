@@ -7,6 +7,7 @@ from adfacts.plans import (  # noqa: F401
     evaluating,
     examples,
     files,
+    ordered,
     rules,
     scoring,
     verifying,

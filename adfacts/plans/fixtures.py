@@ -191,6 +191,63 @@ SELECT l_orderkey AS doc_id, {_word("l_partkey")} AS word FROM {{lineitem}}
     # One element of each vector stands in for the score a model gives.
     "candidates": """
 SELECT label, vec_id, cast(embedding[{first}] AS double) * 10 AS score FROM {embeddings}
+""",
+    "synonyms": """
+SELECT DISTINCT lower(word) AS word, concat('like ', lower(word)) AS synonym FROM (
+  SELECT regexp_extract(p_name, '([A-Za-z]+)$', 1) AS word FROM {part}
+  UNION ALL SELECT p_type AS word FROM {part} WHERE p_partkey % 3 <> 0) w
+WHERE word <> ''
+""",
+    "timed_events": """
+SELECT event_id, CASE WHEN event_id % 50 = 1 THEN NULL WHEN event_id % 3 = 0 THEN 1 ELSE user_id END AS user_id,
+  event_type, value, {micros} AS at_us
+FROM {events}
+""",
+    "label_history": """
+SELECT user_id AS ad_id, at_us AS valid_from, event_type AS label, event_id AS version
+FROM {timed_events} WHERE event_id % 4 = 1
+""",
+    "timed_answers": """
+SELECT event_id AS answer_id, user_id AS ad_id, at_us AS answered_at FROM {timed_events} WHERE event_id % 4 <> 1
+""",
+    "hourly_values": """
+SELECT user_id, cast(floor(at_us / 3600000000) AS bigint) AS hour, count(*) AS n,
+  max(CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END) AS value
+FROM {timed_events} GROUP BY 1, 2
+""",
+    "salary_ranges": """
+SELECT o_orderkey AS ad_id, cast(floor(o_totalprice / 10) AS bigint) AS low,
+  CASE WHEN o_orderkey % 60 = 7 THEN NULL
+    ELSE cast(floor(o_totalprice / 10) AS bigint) + o_custkey % 40 - 2 END AS high
+FROM {orders}
+""",
+    "pay_bands": """
+SELECT p_partkey AS band, (p_partkey * 37) % 50000 AS band_low,
+  (p_partkey * 37) % 50000 + CASE WHEN p_partkey % 100 = 3 THEN 5000 ELSE p_size END AS band_high
+FROM {part}
+""",
+    "visits": """
+SELECT event_id, user_id, event_type, at_us AS begins,
+  at_us + cast(floor(value * 60000000) AS bigint) AS ends FROM {timed_events} WHERE event_id % 4 < 2
+""",
+    "ads_before": """
+SELECT o_orderkey AS ad_id, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_orderstatus END AS status, o_totalprice AS pay
+FROM {orders}
+UNION ALL SELECT o_orderkey, 'twice', 1.5 FROM {orders} WHERE o_orderkey % 301 = 0
+UNION ALL SELECT o_orderkey, 'twice', 1.5 FROM {orders} WHERE o_orderkey % 301 = 0
+""",
+    "ads_after": """
+SELECT o_orderkey + CASE WHEN o_orderkey % 397 = 5 THEN 100000000 ELSE 0 END AS ad_id,
+  CASE WHEN o_orderkey % 11 = 0 AND o_orderkey % 407 <> 0 THEN NULL ELSE o_orderstatus END AS status,
+  o_totalprice + CASE WHEN o_orderkey % 503 = 9 THEN 1 ELSE 0 END AS pay
+FROM {orders} WHERE o_orderkey % 601 <> 3
+UNION ALL SELECT o_orderkey, 'twice', 1.5 FROM {orders} WHERE o_orderkey % 301 = 0
+""",
+    "timed_predictions": """
+SELECT *, cast(row_id * 31 % 977 AS double) / 8 AS inference_time FROM {predictions}
+""",
+    "kept_predictions": """
+SELECT * FROM {timed_predictions} WHERE row_id % 4 IN (0, 2) OR row_id % 8 = 1
 """,
     "quality": """
 SELECT doc_id, cast(quality AS string) AS complete, cast(toxic AS string) AS y_pred FROM {labels}
@@ -202,8 +259,12 @@ TABLES = (
     "benchmark labels conversations"
 ).split()
 
-SPARK_WORDS = {"one_to_six": "explode(sequence(1L, 6L))", "first": "0"}
-DUCK_WORDS = {"one_to_six": "unnest(generate_series(1, 6))", "first": "1"}
+SPARK_WORDS = {
+    "one_to_six": "explode(sequence(1L, 6L))", "first": "0",
+    # Times have no zone in the files.
+    "micros": "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)",
+}
+DUCK_WORDS = {"one_to_six": "unnest(generate_series(1, 6))", "first": "1", "micros": "epoch_us(ts)"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from adfacts.constants import VOTE_LABELS
 from adfacts.operators import vectors as V
 from adfacts.operators.evaluate import accuracy
+from adfacts.operators.similar import cosine_pairs
 from adfacts.plans import checksql as C
 from adfacts.plans.registry import register
 from adfacts.session import pinned
@@ -158,3 +159,21 @@ def rx12_accuracy(vectors: DataFrame, ads: DataFrame) -> DataFrame:
     voted = rx12_ads(vectors, ads).join(ads.select("ad_id", "y_true"), "ad_id")
     scored = accuracy(voted, truth="y_true", pred="seniority")
     return scored.withColumn("accuracy", F.round("accuracy", 6))
+
+
+# --- many labels ----------------------------------------------------------------------------
+
+@register(
+    "rx10_many_labels", "embeddings",
+    """SELECT a.vec_id, b.vec_id AS label_id,
+  round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine
+FROM embeddings a, embeddings b
+WHERE b.vec_id < 10000 AND list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) > 0.4""",
+)
+def rx10_many(embeddings: DataFrame) -> DataFrame:
+    """Every vector against 10,000 labels."""
+    labels = embeddings.filter("vec_id < 10000").select(
+        F.col("vec_id").alias("label_id"), F.col("embedding").alias("label_vector")
+    )
+    found = cosine_pairs(embeddings, "vec_id", "embedding", labels, "label_id", "label_vector", 0.4)
+    return found.withColumn("cosine", F.round("cosine", 6))
