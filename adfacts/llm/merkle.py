@@ -26,6 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from adfacts.functions.values import once
 from adfacts.llm.common import table, with_group_values, written
 
 # Levels that are hashed at once.
@@ -110,18 +111,21 @@ def _steps(levels: Column, lo: Column, hi: Column, base: int) -> Column:
     ))
     first = F.element_at(F.element_at(levels, 1), 1)["lo"]
 
-    def step(k: Column) -> Column:
-        child, parent = F.element_at(chain, k), F.element_at(chain, k + 1)
-        left = child["lo"] > parent["lo"]
-        # The parent's interval without the child's; nothing is left of an only child's parent.
-        start = F.when(left, parent["lo"]).when(child["hi"] < parent["hi"], child["hi"] + 1)
-        place = F.floor((start - first) / F.pow(F.lit(2.0), k + (base - 1))).cast("int")
-        return F.struct(F.get(F.element_at(levels, k), place)["digest"].alias("digest"), left.alias("left"))
+    def steps(nodes: Column) -> Column:
+        def step(child: Column, k: Column) -> Column:
+            parent = F.get(nodes, k + 1)
+            left = child["lo"] > parent["lo"]
+            # The parent's interval without the child's; nothing is left of an only child's parent.
+            start = F.when(left, parent["lo"]).when(child["hi"] < parent["hi"], child["hi"] + 1)
+            place = F.floor((start - first) / F.pow(F.lit(2.0), k + base)).cast("int")
+            sibling = F.get(F.element_at(levels, k + 1), place)["digest"]
+            return F.struct(sibling.alias("digest"), left.alias("left"))
 
-    # Of one level alone, and of no bucket, there are no steps.
-    numbers = F.when(F.size(levels) > 1, F.sequence(F.lit(1), F.size(levels) - 1))
+        return F.transform(F.slice(nodes, F.lit(1), F.size(nodes) - 1), step)
+
+    # Bound once, as each step reads the chain several times. Of no bucket there are no steps.
     none = F.array().cast(f"array<{STEP}>")
-    return F.coalesce(F.transform(numbers, step), none)
+    return F.coalesce(once(chain, steps), none)
 
 
 @dataclass
