@@ -53,8 +53,9 @@ SKETCHES, ORDERED = 20, 5
 SKETCHES_SHORT, ORDERED_SHORT = 16, 3
 SHORT, LONG = 20, 16
 PIECE = 1 << 15
-# Texts of a bucket all of whose pairs may be compared.
-PAIRED = 64
+# Texts of a bucket all of whose pairs may be compared: a text is in few buckets, so what this costs a
+# text has a bound, whatever the corpus.
+PAIRED = 4096
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SEEDS = np.array(
