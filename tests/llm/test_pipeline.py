@@ -97,6 +97,6 @@ def test_one_query_per_operator():
     import __spark_entry__
 
     numbers = [int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
     assert set(CHECKS) <= set(__spark_entry__.oracle_sql())
