@@ -14,7 +14,7 @@ from adfacts.operators.gaps import without_gaps
 from adfacts.operators.intervals import cover, overlaps
 from adfacts.operators.sessions import session_summary, with_sessions
 from adfacts.operators.slices import sliced
-from adfacts.operators import similar
+from adfacts.operators import intervals, similar
 from adfacts.operators.states import States, quartiles_of, report_of
 from adfacts.operators.versions import difference
 
@@ -130,6 +130,19 @@ def test_overlaps_like_a_theta_join(spark):
     assert overlaps(left.limit(0), right, ("f", "t"), ("f", "t")).collect() == []
 
 
+def test_nodes_of_many_intervals_are_not_broadcast(spark, monkeypatch):
+    # Small for a table of intervals; each is several nodes, which Spark's estimate leaves out.
+    many = spark.range(400_000).select("id", F.col("id").alias("f"), (F.col("id") + 99).alias("t"))
+
+    def plan_of(left, right):
+        return overlaps(left, right, ("f", "t"), ("f", "t"))._jdf.queryExecution().executedPlan().toString()
+
+    assert "Broadcast" not in plan_of(many, many)
+    assert plan_of(many, many.limit(10)).count("BroadcastHashJoin") == 2
+    monkeypatch.setattr(intervals, "SENT_NODES", 0)
+    test_overlaps_like_a_theta_join(spark)
+
+
 @pytest.mark.parametrize("levels", [1, 2, 4])
 def test_covers_are_exact_and_disjoint(spark, levels):
     most = 8**levels - 1
