@@ -18,9 +18,10 @@ from pyspark.sql import functions as F
 
 from adfacts.session import pinned
 
-# Labels of a block, and pairs that a task looks at together.
+# Labels of a block, pairs that a task looks at together, and those whose vectors it copies at once.
 BLOCK = 4096
-CELLS = 1 << 22
+CELLS = 1 << 20
+COPIED = 1 << 14
 
 
 def _units(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +42,14 @@ def _close(vectors: np.ndarray, labels: np.ndarray, head: int, least: float) ->
     near = vectors[:, :head] @ labels[:, :head].T
     # A margin for what rounding may do.
     row, label = np.nonzero(near + tails[0][:, None] * tails[1][None, :] > least - 1e-9)
-    cosine = near[row, label] + np.einsum("ij,ij->i", vectors[row, head:], labels[label, head:])
+    cosine = near[row, label]
+    if len(row) > near.size // 16:
+        # Most of the work is left: all of it at once needs no copies of vectors.
+        cosine += (vectors[:, head:] @ labels[:, head:].T)[row, label]
+    else:
+        for a in range(0, len(row), COPIED):
+            of = slice(a, a + COPIED)
+            cosine[of] += np.einsum("ij,ij->i", vectors[row[of], head:], labels[label[of], head:])
     kept = cosine > least
     return row[kept], label[kept], cosine[kept]
 

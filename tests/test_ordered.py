@@ -3,8 +3,10 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -266,3 +268,20 @@ def test_cosines_above_a_threshold_like_all_pairs(spark, monkeypatch, least):
         got = {(r["id"], r["label"]): r["cosine"] for r in out.collect()}
         assert got.keys() == want.keys()
         assert all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+@pytest.mark.parametrize("least", [0.4, 0.95])
+def test_a_block_of_cosines_takes_little_memory(least):
+    rng = np.random.default_rng(3)
+    vectors, labels = (rng.normal(size=(n, 64)) for n in (1024, 4096))
+    vectors, labels = (m / np.linalg.norm(m, axis=1)[:, None] for m in (vectors, labels))
+    labels[:5] = vectors[:5]
+    step = max(similar.CELLS // len(labels), 1)
+    tracemalloc.start()
+    row, label, cosine = similar._close(vectors[:step], labels, 16, least)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    every = vectors[:step] @ labels.T
+    assert list(zip(row, label)) == list(zip(*np.nonzero(every > least)))
+    assert cosine == pytest.approx(every[row, label])
+    assert peak < 100 * 1024**2
