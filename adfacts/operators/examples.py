@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from adfacts import constants as K
 from adfacts.functions import tokens as X
 from adfacts.operators.grouping import running_totals
-from adfacts.session import pinned
+from adfacts.session import pinned, small_batches
 
 # Tokens frequent enough to overload one join task; past this rank no token can hold more
 # than one in HOT_TOKENS of all occurrences.
@@ -23,6 +23,8 @@ HOT_TOKENS = 10_000
 # Frequent tokens of more letters are joined by a shuffle, where Spark splits hot keys; so what
 # is sent to all tasks is at most HOT_TOKENS times this.
 HOT_LETTERS = 1_000
+# Tokens that a task looks up at once; a row is not split.
+LOOKED_UP = 1 << 18
 # Rows with the same leading digits that are put in order at once.
 ORDERED_ROWS = 100_000
 
@@ -41,6 +43,16 @@ def vocabulary(df: DataFrame, tokens: str = "tokens") -> DataFrame:
     )
 
 
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Begin and length of runs of rows with up to ``most`` tokens; more only of one row."""
+    ends, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        before = ends[start] - sizes[start]
+        stop = max(int(np.searchsorted(ends, before + most, "right")), start + 1)
+        yield start, stop - start
+        start = stop
+
+
 def encoded(df: DataFrame, vocab: DataFrame, key: str, tokens: str = "tokens") -> DataFrame:
     """``input_ids`` per row, in token order; unknown tokens are left out.
 
@@ -56,10 +68,16 @@ def encoded(df: DataFrame, vocab: DataFrame, key: str, tokens: str = "tokens") -
     )
     kind = df.schema[key].dataType.simpleString()
 
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            for start, n in _runs(sizes, LOOKED_UP):
+                yield batch.slice(start, n)
+
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         known, ids_of = frequent.value
-        for batch in batches:
+        for batch in pieces(batches):
             n, lists = batch.num_rows, batch.column(1)
             values = lists.flatten()
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
@@ -86,7 +104,8 @@ def encoded(df: DataFrame, vocab: DataFrame, key: str, tokens: str = "tokens") -
             row += n
 
     schema = f"`{key}` {kind}, _row bigint, _ids array<bigint>, _rare array<string>"
-    looked_up = pinned(df.select(key, tokens).mapInArrow(look_up, schema))
+    with small_batches(df.sparkSession):
+        looked_up = pinned(df.select(key, tokens).mapInArrow(look_up, schema))
     others = vocab.filter(~is_frequent)
     filled = (
         looked_up.select("_row", F.posexplode("_rare").alias("_place", "_token"))

@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from adfacts import constants as K
+from adfacts import session
 from adfacts.functions import tokens as X
 from adfacts.operators import examples as E
 
@@ -113,6 +115,23 @@ def test_encoding_of_long_unknown_and_repeated_tokens(spark, monkeypatch):
     assert out == sorted(want)
 
 
+def test_encoding_looks_up_few_tokens_at_once(spark, monkeypatch):
+    sizes = np.array([0, 2, 0, 3, 9, 1, 1, 4, 0])
+    runs = list(E._runs(sizes, 5))
+    assert runs == [(0, 4), (4, 1), (5, 2), (7, 2)]
+    assert list(E._runs(sizes[:0], 5)) == []
+    rows = [(i, [f"t{(i * j) % 40}" for j in range(n)] if n != 1 else None) for i, n in enumerate(sizes.tolist() * 30)]
+    df = spark.createDataFrame(rows, "id long, tokens array<string>").coalesce(1)
+    vocab = E.vocabulary(df).localCheckpoint()
+    ids = {r["token"]: r["id"] for r in vocab.collect()}
+    monkeypatch.setattr(E, "LOOKED_UP", 5)
+    monkeypatch.setattr(E, "HOT_TOKENS", 7)
+    before = spark.conf.get(session.BATCH_SIZE)
+    out = {r["id"]: r["input_ids"] for r in E.encoded(df, vocab, "id").collect()}
+    assert spark.conf.get(session.BATCH_SIZE) == before
+    assert {i: out[i] or [] for i, _ in rows} == {i: [ids[t] for t in tokens or []] for i, tokens in rows}
+
+
 def test_splits_with_null_keys(spark):
     df = spark.range(100).select(F.when(F.col("id") % 2 == 0, F.col("id")).alias("k"))
     for fraction, held in ((0.1, 10), (0.45, 45), (0.9, 50), (0.0, 0)):
