@@ -32,11 +32,11 @@ repeated rows are learned from and scored each; without training texts every byt
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -51,8 +51,14 @@ HEAD = 2e-6
 HEAD_STRINGS = 5e-7
 # Strings that are mixed at once, with the rest of their subtree.
 MIXED = 1 << 19
-# Bytes that are counted or scored at once.
+# Bytes whose strings are counted or scored at once, and whose tokens are.
 PIECE = 1 << 21
+SCORED = 1 << 18
+SPLIT = 1 << 20
+# A string times this, modulo 2^64, has its slot in the leading bits.
+SPREAD = np.uint64(0x9E3779B97F4A7C15)
+# Strings whose counts a task sums before it gives them away.
+SUMMED = 1 << 21
 # Counts whose log gamma is taken from a table.
 LISTED = 1 << 12
 # Different tokens that a task counts at once.
@@ -97,20 +103,29 @@ def turned(strings: np.ndarray) -> np.ndarray:
 def string_counts(docs: DataFrame, held_out: str) -> DataFrame:
     """(string, n, m) over all texts: how often in training texts and in all, strings turned."""
 
-    def counted(texts: list[bytes], held: bool) -> pa.RecordBatch:
-        kinds, numbers = _strings(texts)
+    def counted(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        strings, *numbers = (np.concatenate(c) for c in zip(*held))
+        kinds, _, sums = _sums(strings, *numbers)
         return pa.RecordBatch.from_arrays(
-            [pa.array(turned(kinds)), pa.array(numbers * (not held)), pa.array(numbers)],
+            [pa.array(turned(kinds)), *[pa.array(n.astype(np.int64)) for n in sums]],
             names=["string", "n", "m"],
         )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, size = [], 0
         for batch in batches:
             flags = batch.column(1).to_pylist()
             for held in (False, True):
                 texts = [t.as_py() or b"" for t, h in zip(batch.column(0), flags) if h == held]
                 for a, b in _pieces(texts):
-                    yield counted(texts[a:b], held)
+                    kinds, numbers = _strings(texts[a:b])
+                    found.append((kinds, numbers * (not held), numbers))
+                    size += len(kinds)
+                    if size > SUMMED:
+                        yield counted(found)
+                        found, size = [], 0
+        if found:
+            yield counted(found)
 
     return (
         docs.select(F.col("text").cast("binary"), F.col(held_out))
@@ -271,64 +286,116 @@ def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class StringTable:
-    """Code lengths of the frequent strings, which are sorted."""
+    """Code lengths of the frequent strings, in a table of slots by a hash of the string.
+
+    A string is in the first slot from its own on that was free; half of all slots are empty or more.
+    """
 
     def __init__(self, strings: np.ndarray, bits: np.ndarray):
-        self.strings, self.bits = strings, bits
+        self.shift = np.uint64(64 - max(len(strings) * 2, 2).bit_length())
+        # No string is negative. Slots past the last are for runs that begin near it.
+        n = (1 << (64 - int(self.shift))) + len(strings) + 1
+        self.strings, self.bits = np.full(n, -1, np.int64), np.zeros(n)
+        left, at = np.arange(len(strings)), self._slots(strings)
+        while len(left):
+            free = self.strings[at] < 0
+            self.strings[at[free]] = strings[left[free]]
+            put = self.strings[at] == strings[left]
+            self.bits[at[put]] = bits[left[put]]
+            left, at = left[~put], at[~put] + 1
+
+    def _slots(self, strings: np.ndarray) -> np.ndarray:
+        return ((strings.view(np.uint64) * SPREAD) >> self.shift).view(np.int64)
+
+    def _found(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Code length of each string and whether it is frequent."""
+        at = self._slots(strings)
+        there = self.strings[at]
+        hit = there == strings
+        bits = np.where(hit, self.bits[at], 0.0)
+        left = np.flatnonzero(~hit & (there >= 0))
+        at = at[left]
+        while len(left):
+            at += 1
+            there = self.strings[at]
+            same = there == strings[left]
+            bits[left[same]], hit[left[same]] = self.bits[at[same]], True
+            on = ~same & (there >= 0)
+            left, at = left[on], at[on]
+        return bits, hit
 
     def code_lengths(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bits of the frequent strings of each text; the other strings, and where each text's begin."""
         data, starts = framed(texts)
         wide, n = data.astype(np.int64), len(data) - DEPTH
-        keys = np.zeros(n, np.int64)
-        for i in range(DEPTH, -1, -1):
+        keys = wide[:n] << 8
+        for i in range(1, DEPTH):
             # The context in reverse, then the byte.
-            keys |= wide[i:n + i] << (8 * (i + 1) if i < DEPTH else 0)
-        kinds, which = np.unique(keys, return_inverse=True)
-        bits, hit = np.zeros(len(kinds)), np.zeros(len(kinds), bool)
-        if len(self.strings):
-            at = np.minimum(np.searchsorted(self.strings, kinds), len(self.strings) - 1)
-            hit = self.strings[at] == kinds
-            bits = np.where(hit, self.bits[at], 0.0)
+            keys |= wide[i:n + i] << (8 * (i + 1))
+        keys |= wide[DEPTH:]
+        bits, hit = self._found(keys)
         # keys[i] ends at data[i + DEPTH]: a text's are from its start on; what ends in the zeros
         # before the next text is of none.
         inside = np.ones(n, bool)
         for i in range(DEPTH):
             inside[starts[1:-1] - DEPTH + i] = False
-        sums = np.concatenate([[0.0], np.cumsum(np.where(inside, bits[which], 0.0))])
-        rare = inside & ~hit[which]
+        sums = np.concatenate([[0.0], np.cumsum(np.where(inside, bits, 0.0))])
+        rare = inside & ~hit
         before = np.concatenate([[0], np.cumsum(rare)])
         ends = np.append(starts[:-1], n)
         return np.diff(sums[ends]), keys[rare], before[ends]
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token which text it is in and which of the kinds it is; hashes of the kinds.
+
+    The end of a text is a token, the last of the kinds.
+    """
+    lower = pa.array([t.lower() for t in texts], pa.binary()).view(pa.string())
+    lists = pc.ascii_split_whitespace(lower)
+    of = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())
+    found = lists.flatten().dictionary_encode()
+    kinds, which = found.dictionary.view(pa.binary()).to_pylist(), found.indices.to_numpy()
+    if b"" in kinds:
+        # Before the first blank or behind the last.
+        word = which != kinds.index(b"")
+        of, which = of[word], which[word]
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, kinds), np.uint64, len(kinds))
+    return (
+        np.concatenate([of, np.arange(len(texts))]),
+        np.concatenate([which, np.full(len(texts), len(kinds))]),
+        np.append(hashes, np.uint64(END_TOKEN)).view(np.int64),
+    )
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """(token, n) of all tokens and ends of texts, by hash."""
 
-    def counted(n: Counter, texts: int) -> pa.RecordBatch:
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, n), np.uint64, len(n))
-        numbers = np.fromiter(n.values(), np.int64, len(n))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.append(hashes, np.uint64(END_TOKEN)).view(np.int64)),
-             pa.array(np.append(numbers, texts))],
-            names=["token", "n"],
-        )
+    def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        kinds, which = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+        return kinds, np.bincount(which, np.concatenate([n for _, n in held])).astype(np.int64)
+
+    def counted(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in summed(held)], names=["token", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, texts = Counter(), 0
+        held, size = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                n.update(tokens(text.as_py()))
-                texts += 1
-                if len(n) > KINDS:
-                    yield counted(n, texts)
-                    n, texts = Counter(), 0
-        if texts:
-            yield counted(n, texts)
+            texts = [t.as_py() or b"" for t in batch.column(0)]
+            for a, b in _pieces(texts, SPLIT):
+                _, which, hashes = tokens(texts[a:b])
+                n = np.bincount(which, minlength=len(hashes))
+                held.append((hashes[n > 0], n[n > 0]))
+                size += len(held[-1][0])
+                if size <= 2 * KINDS:
+                    continue
+                held = [summed(held)]
+                size = len(held[0][0])
+                if size > KINDS:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
 
     return (
         docs.select(F.col("text").cast("binary")).mapInArrow(count, "token long, n long")
@@ -340,23 +407,26 @@ class Head:
     """Hashes, which are sorted, and counts of the frequent tokens."""
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        self.hashes, self.counts = hashes, counts
-
-    def split(self, found: list[bytes]) -> tuple[int, int, float, np.ndarray, np.ndarray]:
-        """Tokens with the end; those that are frequent and the sum of their log10(count + 1);
-        the others and how often."""
-        n = Counter(found)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, n), np.uint64, len(n))
-        hashes = np.append(hashes, np.uint64(END_TOKEN)).view(np.int64)
-        numbers = np.append(np.fromiter(n.values(), np.int64, len(n)), 1)
-        if not len(self.hashes):
-            return len(found) + 1, 0, 0.0, hashes, numbers
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        hit = self.hashes[at] == hashes
-        known = numbers[hit]
+        self.hashes, self.logs = hashes, np.log10(counts + 1.0)
+
+    def split(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
+        """Of each text its tokens with the end; those that are frequent and the sum of their
+        log10(count + 1); the others and how often."""
+        n = len(texts)
+        of, which, hashes = tokens(texts)
+        hit, logs = np.zeros(len(hashes), bool), np.zeros(len(hashes))
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            hit = self.hashes[at] == hashes
+            logs = np.where(hit, self.logs[at], 0.0)
+        known = hit[which]
+        others, numbers = np.unique(of[~known] * len(hashes) + which[~known], return_counts=True)
+        starts = pa.array(np.searchsorted(others, np.arange(n + 1) * len(hashes)), pa.int32())
         return (
-            len(found) + 1, int(known.sum()), float((known * np.log10(self.counts[at[hit]] + 1.0)).sum()),
-            hashes[~hit], numbers[~hit],
+            np.bincount(of, minlength=n), np.bincount(of[known], minlength=n),
+            np.bincount(of, logs[which], n),
+            pa.ListArray.from_arrays(starts, pa.array(hashes[others % len(hashes)])),
+            pa.ListArray.from_arrays(starts, pa.array(numbers)),
         )
 
 
@@ -394,13 +464,15 @@ def scores(docs: DataFrame, held_out: str, head: float = HEAD) -> DataFrame:
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column("text")]
             bits, others = _bits(strings, texts)
-            parts = list(zip(*[known.split(tokens(t)) for t in texts])) or [()] * 5
+            # A batch without rows is one piece.
+            parts = [known.split(texts[a:b]) for a, b in _pieces(texts, SPLIT)] or [known.split([])]
+            *numbers, rare, times = zip(*parts)
+            n_tokens, n_known, logs = map(np.concatenate, numbers)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(number, number + len(texts))), batch.column("doc_id"),
-                 batch.column("held_out"), pa.array(parts[0], pa.int64()),
-                 pa.array(parts[1], pa.int64()), pa.array(parts[2], pa.float64()),
+                 batch.column("held_out"), pa.array(n_tokens), pa.array(n_known), pa.array(logs),
                  pa.array(bits), pa.array([len(t) for t in texts], pa.int64()),
-                 pa.array(parts[3], pa.list_(pa.int64())), pa.array(parts[4], pa.list_(pa.int64())), others],
+                 pa.concat_arrays(rare), pa.concat_arrays(times), others],
                 names=["key", "doc_id", "held_out", "n_tokens", "n_known", "logs", "bits", "n_bytes",
                        "tokens", "numbers", "strings"],
             )
@@ -442,18 +514,19 @@ def scores(docs: DataFrame, held_out: str, head: float = HEAD) -> DataFrame:
 def _bits(table: StringTable, texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
     """Bits of the frequent strings of texts, and per text the other strings."""
     bits, others = [np.zeros(0)], [pa.array([], pa.list_(pa.int64()))]
-    for a, b in _pieces(texts):
+    for a, b in _pieces(texts, SCORED):
         known, strings, starts = table.code_lengths(texts[a:b])
         bits.append(known)
         others.append(pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(strings)))
     return np.concatenate(bits), pa.concat_arrays(others)
 
 
-def _pieces(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about ``PIECE`` bytes."""
+def _pieces(texts: list[bytes], most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``most`` bytes, by default ``PIECE``."""
+    most = most or PIECE
     start = size = 0
     for i, text in enumerate(texts):
-        if size and size + len(text) > PIECE:
+        if size and size + len(text) > most:
             yield start, i
             start, size = i, 0
         size += len(text) + DEPTH + 1

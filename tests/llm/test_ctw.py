@@ -184,3 +184,23 @@ def test_tables_of_any_size_through_the_entry(spark, folder, size):
     out = entry.queries()["op7_language_model"](spark, folder(documents=docs)).collect()
     assert sorted(r["doc_id"] for r in out) == list(range(size))
     assert all(r["score"] < 0 for r in out)
+
+
+def test_slots_hold_every_string_and_no_other():
+    rng = np.random.default_rng(5)
+    for strings in (np.zeros(0, np.int64), np.array([7]), np.arange(5000) * 3, rng.integers(0, 1 << 48, 5000)):
+        strings = np.unique(strings)
+        table = M.StringTable(strings, strings * 0.5)
+        asked = np.concatenate([strings, strings + 1, rng.integers(0, 1 << 48, 100)])
+        bits, hit = table._found(asked)
+        assert (hit == np.isin(asked, strings)).all()
+        assert (bits == np.where(hit, asked * 0.5, 0)).all()
+
+
+def test_tokens_of_several_texts_like_split():
+    texts = [b"", b" ", b"a B a", " é\x1c\t\x0b\x0c\r\nÉ x\u00a0y ".encode(), b"\xff b", b"b"]
+    of, which, hashes = M.tokens(texts)
+    got = sorted(zip(of.tolist(), hashes[which].view(np.uint64).tolist()))
+    want = [(i, M.xxhash.xxh64_intdigest(t)) for i, text in enumerate(texts) for t in [*text.lower().split(), b" "]]
+    assert got == sorted(want)
+    assert [len(c) for c in M.tokens([])] == [0, 0, 1]
