@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from adfacts.operators.transcripts import final_answers
 from adfacts.operators.verify import checked, first_valid
+from adfacts.plans.ordered import streamed_first_valid
+from adfacts.operators.verify import checked, first_valid
 from adfacts.streaming.groups import Groups
 
 CHAT = "conv_id long, idx long, name string, content string, at timestamp"
@@ -100,3 +102,14 @@ def test_attempts_like_a_closed_table(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in/*"))
     groups.start(stream).awaitTermination()
     assert shown(groups.results(spark).unionByName(groups.flush(spark))) == shown(finish(df))
+
+
+def test_streamed_queries_are_whole_over_many_files_and_a_long_time(spark):
+    # More files than one batch once took, and more time than the delay that was fixed.
+    attempts = spark.range(240).repartition(6).select(
+        (F.floor(F.col("id") / 4) * 20_000).alias("prompt_id"), (F.col("id") % 4 + 1).alias("attempt"),
+        F.lit("Seniority").alias("task_type"),
+        F.when(F.col("id") % 4 > F.floor(F.col("id") / 4) % 5, "Output: Senior").otherwise("x").alias("raw"),
+    )
+    want = first_valid(checked(attempts)).select("prompt_id", "answer", "accepted", "re_attempts")
+    assert sorted(map(str, streamed_first_valid(attempts).collect())) == sorted(map(str, want.collect()))
