@@ -58,7 +58,7 @@ SPLIT = 1 << 20
 # A string times this, modulo 2^64, has its slot in the leading bits.
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
 # Strings whose counts a task sums before it gives them away.
-SUMMED = 1 << 21
+SUMMED = 1 << 20
 # Counts whose log gamma is taken from a table.
 LISTED = 1 << 12
 # Different tokens that a task counts at once.
