@@ -4,13 +4,16 @@ Chunk factorization: texts are cut at ASCII white space, which no term holds. Ta
 of each document and pass on, for blocks of documents, one row per language and chunk: in how
 many documents it stands, how often in each source, and, if there are fewer than ``LEAST``, in
 which documents. These rows are dealt by chunk and summed, once; so what is shuffled are distinct
-chunks of blocks, not those of documents. Each chunk of the whole corpus is tokenized once, and its
-terms are joined back to the sums.
+chunks of blocks, not those of documents. The task that has the sums of a chunk tokenizes it, once
+per language, and joins its terms to them; runs of chunks pass on one row per language and term, of the
+same form, which are dealt by term and summed, once. Nothing is joined back or shuffled a third time.
 
 A term is kept if it stands in at least ``LEAST`` documents of a language. It does if one of its
-chunks does, and cannot if all its chunks together do not. Only for terms between, as ``Term,`` and
-``term.`` in six documents each, the documents of their chunks are joined and distinct ones
-counted; such a chunk is in fewer than ``LEAST`` documents, so all of them are known.
+chunks does. Otherwise, as for ``Term,`` and ``term.`` in six documents each, all documents of its
+chunks are listed, and distinct ones are counted while rows are summed; from ``LEAST`` on the list ends.
+
+Rows come sorted by a hash of language and chunk or term, as Spark sorts whole numbers without
+comparing; rows of one hash are told apart by language and chunk or term.
 
 Chances p of kept terms are whole billionths. For pairs of sources, the chances of one term in all
 sources of a language are one row, and tasks sum the divergences of all pairs over their rows;
@@ -23,7 +26,9 @@ documents each; nothing else is read, and a table without rows gives none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +48,22 @@ BILLION = 1_000_000_000
 BLOCK = 1 << 22
 # Chances that a task compares at once.
 CELLS = 1 << 20
+# Bytes of texts that a task counts and cuts at once, if they are several.
+BLOCK_BYTES, PIECE_BYTES = 1 << 27, 1 << 22
+# Numbers of sources and documents of terms that a task sums at once, before the chunks they come of are merged.
+ENTRIES = 1 << 20
 # No letter: an ASCII character that is not A-Z or a-z.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+# The same for bytes: A-Z to a-z, no letters to blanks; bytes of longer UTF-8 sequences stay.
+TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
 # Per block: sources by their hashes and how often, then documents, packed as whole numbers.
 PACKED = "lang string, chunk binary, docs long, packed binary"
 COUNTS = "lang string, chunk binary, docs long, sources array<long>, numbers array<long>, doc_keys array<long>"
+# Per run of chunks: as above.
+PACKED_TERMS = "lang string, term string, docs long, packed binary"
+KEPT = "lang string, term string, sources array<long>, numbers array<long>"
+# Up to this, a whole number times a billion is a long.
+LONG = 9_000_000_000
 
 
 class _Numbers(dict):
@@ -93,9 +109,11 @@ def _unpacked(packed: pa.Array) -> tuple[np.ndarray, ...]:
 
 
 def _block(
-    first: int, chunks: _Numbers, ids: list[np.ndarray], groups: list[tuple[str, int]], least: int
+    first: int, chunks: pa.Array | _Numbers, ids: list[np.ndarray], groups: list[tuple[str, int]], least: int
 ) -> pa.RecordBatch:
     """Counts of a block of documents, whose chunks are ``ids`` and whose keys begin at ``first``."""
+    if not isinstance(chunks, pa.Array):
+        chunks = pa.array(list(chunks), pa.binary())
     langs, sources = _Numbers(), _Numbers()
     lang = np.array([langs[g[0]] for g in groups], np.int64)
     source = np.array([sources[g[1]] for g in groups], np.int64)
@@ -120,153 +138,310 @@ def _block(
     hashes = np.array(list(sources), np.int64)[key[by_source] % len(sources)]
     numbers = np.add.reduceat(n, by_source) if len(n) else n
     return pa.RecordBatch.from_arrays(
-        [pa.array(list(langs), pa.string()).take(pa.array(own // len(chunks))),
-         pa.array(list(chunks), pa.binary()).take(pa.array(own % len(chunks))),
+        [pa.array(list(langs), pa.string()).take(pa.array(own // max(len(chunks), 1))),
+         chunks.take(pa.array(own % max(len(chunks), 1))),
          pa.array(docs, pa.int64()), _packed(outer, hashes, numbers, inner, first + doc[kept])],
         names=["lang", "chunk", "docs", "packed"],
     )
 
 
+def _pieces(offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the entries of the given rows stand, and which of these rows each belongs to."""
+    n = np.diff(offsets)[rows]
+    of = np.repeat(np.arange(len(rows)), n)
+    return np.repeat(offsets[rows] - (np.cumsum(n) - n), n) + np.arange(len(of)), of
+
+
+@dataclass
+class Rows:
+    """Chunks or terms of languages: documents, sources and how often, and the document keys if these are few."""
+
+    key: np.ndarray
+    lang: pa.Array
+    word: pa.Array
+    docs: np.ndarray
+    outer: np.ndarray
+    source: np.ndarray
+    number: np.ndarray
+    inner: np.ndarray
+    doc: np.ndarray
+
+    @classmethod
+    def read(cls, batch: pa.RecordBatch) -> Rows:
+        key, lang, word, docs, packed = batch.columns
+        row, source, number, of_key, doc = _unpacked(packed)
+        outer, inner = (np.searchsorted(r, np.arange(len(docs) + 1)) for r in (row, of_key))
+        return cls(key.to_numpy(), lang, word, docs.to_numpy(), outer, source, number, inner, doc)
+
+    @classmethod
+    def concat(cls, parts: list[Rows]) -> Rows:
+        if len(parts) == 1:
+            return parts[0]
+        langs, words = (pa.concat_arrays([getattr(p, name) for p in parts]) for name in ("lang", "word"))
+        plain = {n: np.concatenate([getattr(p, n) for p in parts]) for n in ("key", "docs", "source", "number", "doc")}
+        outer, inner = (
+            np.concatenate([[0], np.cumsum(np.concatenate([np.diff(getattr(p, n)) for p in parts]))])
+            for n in ("outer", "inner")
+        )
+        return cls(lang=langs, word=words, outer=outer, inner=inner, **plain)
+
+    def slice(self, start: int, end: int) -> Rows:
+        outer, inner = self.outer[start:end + 1], self.inner[start:end + 1]
+        return Rows(
+            self.key[start:end], self.lang.slice(start, end - start), self.word.slice(start, end - start),
+            self.docs[start:end], outer - outer[0], self.source[outer[0]:outer[-1]], self.number[outer[0]:outer[-1]],
+            inner - inner[0], self.doc[inner[0]:inner[-1]],
+        )
+
+    def arrays(self) -> list[pa.Array]:
+        outer, inner = (pa.array(o, pa.int32()) for o in (self.outer, self.inner))
+        return [
+            pa.ListArray.from_arrays(outer, pa.array(self.source)), pa.ListArray.from_arrays(outer, pa.array(self.number)),
+            pa.ListArray.from_arrays(inner, pa.array(self.doc)),
+        ]
+
+    def packed(self) -> pa.Array:
+        return _packed(self.outer, self.source, self.number, self.inner, self.doc)
+
+
+def _sources_of(group: np.ndarray, source: np.ndarray, number: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """Sources of ``n`` groups once each, with sums: where a group's begin, sources, sums."""
+    hashes, code = np.unique(source, return_inverse=True)
+    width = max(len(hashes), 1)
+    pairs, which = np.unique(group * width + code, return_inverse=True)
+    sums = np.zeros(len(pairs), np.int64)
+    np.add.at(sums, which, number)
+    source = hashes[pairs % width] if len(hashes) else pairs
+    return np.searchsorted(pairs, np.arange(n + 1) * width), source, sums
+
+
+def _documents_of(group: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents of ``n`` groups once each: where a group's begin, documents."""
+    order = np.lexsort((doc, group))
+    group, doc = group[order], doc[order]
+    first = np.ones(len(doc), bool)
+    first[1:] = (group[1:] != group[:-1]) | (doc[1:] != doc[:-1])
+    return np.searchsorted(group[first], np.arange(n + 1)), doc[first]
+
+
+def _merged(
+    rows: Rows, at: np.ndarray, times: np.ndarray, group: np.ndarray, n: int, least: int, again: bool
+) -> tuple[np.ndarray, ...]:
+    """Documents, sources and document keys of ``n`` groups of the rows ``at``, whose numbers count ``times``.
+
+    With ``again``, rows of a group may have the same documents.
+    """
+    entry, of = _pieces(rows.outer, at)
+    outer, source, number = _sources_of(group[of], rows.source[entry], rows.number[entry] * times[of], n)
+    entry, of = _pieces(rows.inner, at)
+    inner, doc = _documents_of(group[of], rows.doc[entry], n)
+    docs = np.zeros(n, np.int64)
+    (np.maximum if again else np.add).at(docs, group, rows.docs[at])
+    if again:
+        docs = np.where(docs < least, np.diff(inner), docs)
+    few = docs < least
+    kept, _ = _pieces(inner, np.flatnonzero(few))
+    inner = np.concatenate([[0], np.cumsum(np.where(few, np.diff(inner), 0))])
+    return docs, outer, source, number, inner, doc[kept]
+
+
 class Sums:
-    """Sums of rows that come sorted by chunk and language; the last group may go on."""
+    """Sums of rows that come sorted by the hash of language and chunk or term; the last hash may go on.
+
+    Documents are different ones in all rows of a chunk. Those of a term may be the same (``again``), so they are
+    counted while they are listed; from ``least`` on, the number is a bound that they reach.
+    """
 
-    def __init__(self, least: int):
-        self.least, self.held = least, None
+    def __init__(self, least: int, again: bool = False):
+        self.least, self.again, self.held = least, again, None
 
-    def add(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+    def add(self, batch: pa.RecordBatch) -> Rows:
         """The groups that are complete, with those of earlier batches."""
-        lang, chunk = batch.column("lang"), batch.column("chunk")
-        docs = batch.column("docs").to_numpy()
-        row, source, number, of_key, key = _unpacked(batch.column("packed"))
+        rows = Rows.read(batch)
         if self.held is not None:
-            before = self.held
-            lang, chunk = (pa.concat_arrays([a.cast(b.type), b]) for a, b in zip(before[:2], (lang, chunk)))
-            docs = np.concatenate([before[2], docs])
-            row = np.concatenate([np.zeros(len(before[3]), np.int64), row + 1])
-            source, number = (np.concatenate(p) for p in zip(before[3:5], (source, number)))
-            of_key = np.concatenate([np.zeros(len(before[5]), np.int64), of_key + 1])
-            key = np.concatenate([before[5], key])
-        n = len(docs)
-        other = np.zeros(n - 1, bool)
-        for column in (chunk, lang):
-            other |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
-        group = np.cumsum(np.concatenate([[0], other]))
-        starts = np.flatnonzero(np.concatenate([[True], other]))
-        docs = np.add.reduceat(docs, starts)
-        # Sources of a group once each.
-        hashes, code = np.unique(source, return_inverse=True)
-        width = max(len(hashes), 1)
-        pairs, which = np.unique(group[row] * width + code, return_inverse=True)
-        sums = np.bincount(which, number, len(pairs)).astype(np.int64)
-        source = hashes[pairs % width] if len(hashes) else pairs
-        outer = np.searchsorted(pairs, np.arange(len(starts) + 1) * width)
-        # Documents of groups that are still in few.
-        of_key = group[of_key]
-        few = docs[of_key] < self.least
-        key, inner = key[few], np.searchsorted(of_key[few], np.arange(len(starts) + 1))
-        at = pa.array(starts)
-        last = len(starts) - 1
-        lang, chunk = lang.take(at), chunk.take(at)
-        self.held = (
-            lang.slice(last), chunk.slice(last), docs[last:], source[outer[last]:], sums[outer[last]:], key[inner[last]:],
-        )
-        outer, inner = (pa.array(o[:last + 1], pa.int32()) for o in (outer, inner))
-        return self._rows(lang.slice(0, last), chunk.slice(0, last), docs[:last], outer, source, sums, inner, key)
+            rows = Rows.concat([self.held, rows])
+        rows = self._summed(rows)
+        last = int(np.searchsorted(rows.key, rows.key[-1]))
+        self.held = rows.slice(last, len(rows.key))
+        return rows.slice(0, last)
 
-    def rest(self) -> Iterator[pa.RecordBatch]:
+    def rest(self) -> Iterator[Rows]:
         if self.held is not None:
-            lang, chunk, docs, source, sums, key = self.held
-            outer, inner = (pa.array([0, len(v)], pa.int32()) for v in (source, key))
-            yield self._rows(lang, chunk, docs, outer, source, sums, inner, key)
+            yield self.held
 
     @staticmethod
-    def _rows(lang, chunk, docs, outer, source, sums, inner, key) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [lang, chunk, pa.array(docs), pa.ListArray.from_arrays(outer, pa.array(source)),
-             pa.ListArray.from_arrays(outer, pa.array(sums)), pa.ListArray.from_arrays(inner, pa.array(key))],
-            names=["lang", "chunk", "docs", "sources", "numbers", "doc_keys"],
-        )
+    def _groups(rows: Rows) -> tuple[np.ndarray, np.ndarray]:
+        """The group of each row, and where each group begins."""
+        n = len(rows.key)
+        begins, tied = np.ones(n, bool), rows.key[1:] == rows.key[:-1]
+        unequal = np.zeros(n - 1, bool)
+        for column in (rows.word, rows.lang):
+            unequal |= pc.not_equal(column.slice(1), column.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+        begins[1:] = unequal | ~tied
+        if not (unequal & tied).any():
+            return np.cumsum(begins) - 1, np.flatnonzero(begins)
+        # Rows of different words with the same hash may take turns.
+        numbers = _Numbers()
+        every = zip(rows.key.tolist(), rows.lang.to_pylist(), rows.word.to_pylist())
+        group = np.array([numbers[k] for k in every], np.int64)
+        return group, np.unique(group, return_index=True)[1]
+
+    def _summed(self, rows: Rows) -> Rows:
+        group, starts = self._groups(rows)
+        every, at = np.arange(len(group)), pa.array(starts)
+        sums = _merged(rows, every, np.ones_like(every), group, len(starts), self.least, self.again)
+        return Rows(rows.key[starts], rows.lang.take(at), rows.word.take(at), *sums)
+
+
+def _listed(chunks: Rows, least: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [chunks.lang, chunks.word, pa.array(chunks.docs), *chunks.arrays()],
+        names=["lang", "chunk", "docs", "sources", "numbers", "doc_keys"],
+    )
 
 
-def chunk_counts(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """A row per language and chunk, written; see ``COUNTS``. ``doc_keys`` are all if they are few.
+def _terms(chunks: Rows, least: int) -> pa.RecordBatch:
+    """Counts of the terms of chunks, which are tokenized once each."""
+    found = [c.translate(TERM_BYTES).split() for c in chunks.word.to_pylist()]
+    terms = _Numbers()
+    each = np.fromiter(map(len, found), np.int64, len(found))
+    term = np.fromiter(map(terms.__getitem__, chain.from_iterable(found)), np.int64, int(each.sum()))
+    width = max(len(terms), 1)
+    # Terms of each chunk and how often.
+    pairs, times = np.unique(np.repeat(np.arange(len(found)), each) * width + term, return_counts=True)
+    chunk, term = pairs // width, pairs % width
+    langs = chunks.lang.dictionary_encode()
+    groups, group = np.unique(langs.indices.to_numpy()[chunk] * width + term, return_inverse=True)
+    docs, *sums = _merged(chunks, chunk, times, group, len(groups), least, True)
+    names = pa.array([t.decode(errors="replace") for t in terms], pa.string())
+    return pa.RecordBatch.from_arrays(
+        [langs.dictionary.take(pa.array(groups // width)), names.take(pa.array(groups % width)),
+         pa.array(docs), _packed(*sums)],
+        names=["lang", "term", "docs", "packed"],
+    )
+
 
-    ``docs`` has text, lang and ``source_key``, a number for each source.
+def _split_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in pieces of one text, or several with ``PIECE_BYTES`` at most."""
+    for batch in batches:
+        ends, start = np.cumsum(pc.binary_length(batch.column("text")).to_numpy().astype(np.int64)), 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            end = max(int(np.searchsorted(ends, before + PIECE_BYTES, "right")), start + 1)
+            yield batch.slice(start, end - start)
+            start = end
+
+
+def _chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The chunks of all texts, and how many each has. Bytes are cut at ASCII white space, whatever they encode."""
+    found = pc.ascii_split_whitespace(texts.view(pa.string()))
+    every = found.flatten()
+    # What stands before leading and after trailing white space is empty.
+    filled = pc.binary_length(every).to_numpy() > 0
+    of = np.repeat(np.arange(len(texts)), found.value_lengths().to_numpy())
+    return every.filter(pa.array(filled)).view(pa.binary()), np.bincount(of[filled], minlength=len(texts))
+
+
+def _summed(batches: Iterator[pa.RecordBatch], sums: Sums) -> Iterator[Rows]:
+    for batch in batches:
+        if batch.num_rows:
+            yield sums.add(batch)
+    yield from sums.rest()
+
+
+def _runs(chunks: Iterator[Rows]) -> Iterator[Rows]:
+    """The same rows, one or several with about ``ENTRIES`` numbers at most once their terms are told apart."""
+    held, size = [], 0
+    for part in chunks:
+        terms = pc.binary_length(part.word).to_numpy().astype(np.int64) // 4 + 1
+        ends, start = np.cumsum((1 + np.diff(part.outer) + np.diff(part.inner)) * terms), 0
+        while start < len(ends):
+            before = int(ends[start - 1]) if start else 0
+            end = max(int(np.searchsorted(ends, before + ENTRIES - size, "right")), start + (not held))
+            if end > start:
+                held.append(part.slice(start, end))
+                size, start = size + int(ends[end - 1]) - before, end
+            if start < len(ends):
+                yield Rows.concat(held)
+                held, size = [], 0
+    if held:
+        yield Rows.concat(held)
+
+
+def _dealt(rows: DataFrame, word: str) -> DataFrame:
+    """Rows of the same language and chunk or term one after the other, after their hash."""
+    dealt = rows.repartition("lang", word).select(F.xxhash64("lang", word).alias("key"), "lang", word, "docs", "packed")
+    return dealt.sortWithinPartitions("key")
+
+
+def chunk_counts(
+    docs: DataFrame, least: int = LEAST, passed: Callable[[Rows, int], pa.RecordBatch] = _listed, schema: str = COUNTS
+) -> DataFrame:
+    """A row per language and chunk; see ``COUNTS``. ``doc_keys`` are all if they are few.
+
+    ``docs`` has text, lang and ``source_key``, a number for each source. What is returned of runs of
+    chunks is what ``passed`` makes of them.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, held = TaskContext.get().partitionId() << 40, 0
-        chunks, ids, groups = _Numbers(), [], []
-        for batch in batches:
-            for text, lang, source in zip(*batch.columns):
-                found = text.as_py().split()
-                if not found:
-                    continue
-                if ids and held + len(found) > BLOCK:
-                    yield _block(first, chunks, ids, groups, least)
-                    first, held = first + len(ids), 0
-                    chunks, ids, groups = _Numbers(), [], []
-                ids.append(np.fromiter(map(chunks.__getitem__, found), np.uint32, len(found)))
-                groups.append((lang.as_py(), source.as_py()))
-                held += len(found)
-        if ids:
-            yield _block(first, chunks, ids, groups, least)
+        first, held, size = TaskContext.get().partitionId() << 40, 0, 0
+        chunks, lengths, groups = [], [], []
+
+        def block() -> pa.RecordBatch:
+            coded = pa.chunked_array(chunks).dictionary_encode().unify_dictionaries()
+            every = np.concatenate([c.indices.to_numpy() for c in coded.chunks])
+            ids = np.split(every, np.cumsum(np.concatenate(lengths))[:-1])
+            names = coded.chunk(0).dictionary
+            # Freed before the block is counted, also for other processes beside this worker.
+            del coded
+            chunks.clear()
+            pa.default_memory_pool().release_unused()
+            return _block(first, names, ids, groups, least)
+
+        for piece in _split_up(batches):
+            found, n = _chunks(piece.column("text"))
+            if not len(found):
+                continue
+            if chunks and (held + len(found) > BLOCK or size + piece.nbytes > BLOCK_BYTES):
+                yield block()
+                first, held, size = first + len(groups), 0, 0
+                chunks, lengths, groups = [], [], []
+            chunks.append(found)
+            lengths.append(n)
+            groups += zip(piece.column("lang").to_pylist(), piece.column("source_key").to_pylist())
+            held, size = held + len(found), size + piece.nbytes
+        if chunks:
+            yield block()
+        pa.default_memory_pool().release_unused()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums(least)
-        for batch in batches:
-            if batch.num_rows:
-                yield sums.add(batch)
-        yield from sums.rest()
+        for run in _runs(_summed(batches, Sums(least))):
+            yield passed(run, least)
 
     blocks = docs.select(F.col("text").cast("binary"), "lang", "source_key").mapInArrow(count, PACKED)
-    dealt = blocks.repartition("chunk").sortWithinPartitions("chunk", "lang")
-    return written(dealt.mapInArrow(add, COUNTS), "chunks")
+    return _dealt(blocks, "chunk").mapInArrow(add, schema)
 
 
-def terms_of(chunks: DataFrame) -> DataFrame:
-    """(chunk, term, k) of every given chunk: its terms in lower case and how often."""
-    text = F.translate(F.col("chunk").cast("string"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return (
-        chunks.select("chunk", F.explode(F.regexp_extract_all(text, F.lit(TERM), F.lit(0))).alias("term"))
-        .groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("k"))
-    )
-
-
-def kept_terms(counts: DataFrame, least: int = LEAST) -> DataFrame:
-    """(lang, chunk, term, k) of every term in at least ``least`` documents, written."""
-    terms = terms_of(counts.select("chunk").distinct())
-    found = written(counts.select("lang", "chunk", "docs").join(terms, "chunk"), "terms")
-    bounds = found.groupBy("lang", "term").agg(F.max("docs").alias("_low"), F.sum("docs").alias("_high"))
-    bounds = written(bounds.filter(F.col("_high") >= least), "bounds")
-    # Each chunk of these terms is in fewer documents than that, so all of them are listed.
-    unsure = found.join(bounds.filter(F.col("_low") < least), ["lang", "term"]).select("lang", "chunk", "term")
-    sure = bounds.filter(F.col("_low") >= least).select("lang", "term")
-    several = (
-        counts.filter(F.col("docs") < least).select("lang", "chunk", "doc_keys").join(unsure, ["lang", "chunk"])
-        .select("lang", "term", F.explode("doc_keys").alias("doc")).distinct()
-        .groupBy("lang", "term").count().filter(F.col("count") >= least).select("lang", "term")
-    )
-    kept = sure.unionByName(several)
-    return written(found.join(kept, ["lang", "term"]).select("lang", "chunk", "term", "k"), "kept")
+def kept_terms(docs: DataFrame, least: int = LEAST) -> DataFrame:
+    """A row per language and term in at least ``least`` documents, written; see ``KEPT``."""
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _summed(batches, Sums(least, again=True)):
+            sources, numbers, _ = rows.arrays()
+            found = pa.RecordBatch.from_arrays(
+                [rows.lang, rows.word, sources, numbers], names=["lang", "term", "sources", "numbers"]
+            )
+            yield found.filter(pa.array(rows.docs >= least))
 
-def term_counts(counts: DataFrame, kept: DataFrame) -> DataFrame:
-    """(lang, source_key, term, n) of kept terms that occur, written."""
-    per_source = (
-        counts.select("lang", "chunk", F.arrays_zip("sources", "numbers").alias("s"))
-        .join(kept, ["lang", "chunk"]).select("lang", "term", "k", F.inline("s").alias("source_key", "n"))
-    )
-    return written(
-        per_source.groupBy("lang", "source_key", "term").agg(F.sum(F.col("n") * F.col("k")).alias("n")),
-        "occurrences",
-    )
+    terms = chunk_counts(docs, least, _terms, PACKED_TERMS)
+    return written(_dealt(terms, "term").mapInArrow(add, KEPT), "terms")
 
 
 def chance(n: Column, total: Column, kinds: Column) -> Column:
-    """1 + floor(10^9 (n + 2) / (total + 2 kinds)), exactly."""
-    above = F.lit(BILLION).cast("decimal(10,0)") * (n + 2).cast("decimal(19,0)")
-    return F.call_function("div", above, (total + 2 * kinds).cast("decimal(20,0)")) + 1
+    """1 + floor(10^9 (n + 2) / (total + 2 kinds)), exactly. Longs are used where they suffice."""
+    n, below = (n + 2).cast("long"), (total + 2 * kinds).cast("long")
+    wide = F.call_function("div", F.lit(BILLION).cast("decimal(10,0)") * n.cast("decimal(19,0)"), below.cast("decimal(20,0)"))
+    return F.when(n <= LONG, F.call_function("div", n * BILLION, below)).otherwise(wide) + 1
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -329,10 +504,9 @@ def source_divergence(docs: DataFrame, least: int = LEAST, listed: int = LISTED)
     sources = docs.select("lang", "source").distinct().withColumn("source_key", F.xxhash64("source"))
     if sources.select("source", "source_key").distinct().groupBy("source_key").count().filter("count > 1").count():
         raise ValueError("two sources have the same hash")
-    counts = chunk_counts(docs.withColumn("source_key", F.xxhash64("source")), least)
-    kept = kept_terms(counts, least)
-    found = term_counts(counts, kept)
-    kinds = kept.select("lang", "term").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"))
+    kept = kept_terms(docs.withColumn("source_key", F.xxhash64("source")), least)
+    found = kept.select("lang", "term", F.inline(F.arrays_zip("sources", "numbers")).alias("source_key", "n"))
+    kinds = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("kinds"))
     totals = found.groupBy("lang", "source_key").agg(F.sum("n").alias("total"))
     groups = written(
         sources.join(totals, ["lang", "source_key"], "left").join(kinds, "lang", "left").fillna(0, ["total", "kinds"])

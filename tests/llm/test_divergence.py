@@ -133,3 +133,89 @@ def test_rows_of_equal_chunks_are_summed_across_batches(spark):
     assert {(r["lang"], r["chunk"].decode()): r["docs"] for r in got} == want_docs and len(got) == len(want_docs)
     assert {(r["lang"], r["chunk"].decode(), names[s]): n for r in got for s, n in zip(r["sources"], r["numbers"])} == want_n
     assert all(len(set(r["doc_keys"])) == (r["docs"] if r["docs"] < 5 else 0) for r in got)
+
+
+def test_only_kept_terms_are_written(spark, monkeypatch):
+    rows = corpus(200)
+    seen, real = [], M.written
+
+    def counted(df, name):
+        out = real(df, name)
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(M, "written", counted)
+    got = M.source_divergence(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert sorted((r["item"], r["lang"], r["part"], r["rank"], r["source"], r["value"]) for r in got) == sorted(plain(rows))
+    standing = Counter((r[2] or "", t) for r in rows for t in set(plain_terms(r[1])))
+    kept = sum(n >= M.LEAST for n in standing.values())
+    groups = len({(r[2], r[3]) for r in rows})
+    # Each document has a chunk of its own; none of these goes to disk.
+    assert max(seen) == max(kept, groups) < len(standing)
+
+
+def packed(words, docs, entries, keys, hashes):
+    outer, inner = ([0, *M.np.cumsum([len(v) for v in part])] for part in (entries, keys))
+    flat = [M.np.array([e[i] for row in entries for e in row], M.np.int64) for i in (0, 1)]
+    keys = M.np.array([k for row in keys for k in row], M.np.int64)
+    column = M._packed(M.np.array(outer), *flat, M.np.array(inner), keys)
+    return M.pa.RecordBatch.from_arrays(
+        [M.pa.array(hashes), M.pa.array(["en"] * len(words)), M.pa.array(words), M.pa.array(docs), column],
+        names=["key", "lang", "word", "docs", "packed"],
+    )
+
+
+@pytest.mark.parametrize("again", [False, True])
+@pytest.mark.parametrize("cuts", [[5], [1, 2, 3, 4, 5], [2, 5], [4, 5]])
+def test_words_of_one_hash_are_told_apart(again, cuts):
+    # Of "b", the documents are listed until they are four; with ``again``, 7 is one document.
+    words, hashes = ["z", "a", "b", "a", "b"], [1, 2, 2, 2, 2]
+    docs, keys = [1, 2, 2, 9, 2], [[1], [5, 6], [7, 8], [], [7, 9]]
+    entries = [[(3, 1)], [(3, 2), (4, 2)], [(4, 2)], [(3, 9)], [(4, 3)]]
+    sums, found = M.Sums(4, again), {}
+    for start, end in zip([0, *cuts], cuts):
+        part = slice(start, end)
+        found[start] = sums.add(packed(words[part], docs[part], entries[part], keys[part], hashes[part]))
+    got = {}
+    for rows in [*found.values(), *sums.rest()]:
+        for i, word in enumerate(rows.word.to_pylist()):
+            assert word not in got
+            o, n = slice(*rows.outer[i:i + 2]), slice(*rows.inner[i:i + 2])
+            of = dict(zip(rows.source[o].tolist(), rows.number[o].tolist(), strict=True))
+            got[word] = int(rows.docs[i]) >= 4, of, rows.doc[n].tolist()
+    b = (False, {4: 5}, [7, 8, 9]) if again else (True, {4: 5}, [])
+    assert got == {"z": (False, {3: 1}, [1]), "a": (True, {3: 11, 4: 2}, []), "b": b}
+
+
+def test_chunks_are_cut_as_bytes_are():
+    texts = [b"", b" ", b"  a b\x1cc \n\x0b d\t\xc3\xa9 ", "x y z\u0085".encode(), b"q\r\fq", b"\x00 \x7f"]
+    found, n = M._chunks(M.pa.array([b"no", *texts]).slice(1))
+    assert found.to_pylist() == [c for t in texts for c in t.split()]
+    assert n.tolist() == [len(t.split()) for t in texts]
+
+
+def test_pieces_hold_all_texts(monkeypatch):
+    monkeypatch.setattr(M, "PIECE_BYTES", 6)
+    texts = [b"a" * 50, b"", b"bbb", b"ccc", b"d", b"e" * 9, b""]
+    batch = M.pa.RecordBatch.from_arrays([M.pa.array(texts)], names=["text"])
+    pieces = [p.column("text").to_pylist() for p in M._split_up([batch.slice(0, 0), batch, batch.slice(4)])]
+    assert sum(pieces, []) == texts + texts[4:]
+    assert all(len(p) == 1 or sum(map(len, p)) <= 6 for p in pieces)
+
+
+def test_runs_hold_all_chunks_in_order(monkeypatch):
+    words = [b"a" * n for n in (3, 400, 1, 1, 2, 3, 90, 90, 1, 5)]
+    entries = [[(s, 1) for s in range(1 + i % 3)] for i in range(len(words))]
+    batch = packed(words, [1] * 10, entries, [[i] for i in range(10)], list(range(10)))
+    rows, got = M.Rows.read(batch), []
+    for bound in (1, 12, 50, 200, 10**6):
+        monkeypatch.setattr(M, "ENTRIES", bound)
+        runs = list(M._runs(iter([rows.slice(0, 0), rows.slice(0, 4), rows.slice(4, 10)])))
+        assert sum((r.word.to_pylist() for r in runs), []) == words
+        assert M.np.concatenate([r.doc for r in runs]).tolist() == list(range(10))
+        assert sum(len(r.source) for r in runs) == len(rows.source)
+        for r in runs:
+            weights = [(2 + n) * (len(w) // 4 + 1) for n, w in zip(M.np.diff(r.outer), r.word.to_pylist(), strict=True)]
+            assert len(weights) == 1 or sum(weights) <= bound
+        got.append(len(runs))
+    assert got[0] == 10 and got[-1] == 1 and got == sorted(got, reverse=True)
