@@ -145,6 +145,104 @@ def test_nodes_of_many_intervals_are_not_broadcast(spark, monkeypatch):
     test_overlaps_like_a_theta_join(spark)
 
 
+def test_rows_of_two_large_tables_are_shuffled_a_few_times(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "SENT_NODES", 0)
+    many = spark.range(6000).select("id", (F.col("id") * 37 % 50000).alias("f"))
+    left = many.withColumn("t", F.col("f") + F.col("id") % 40)
+    right = many.withColumn("t", F.col("f") + F.when(F.col("id") % 100 == 3, 5000).otherwise(F.col("id") % 50))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = overlaps(left, right, ("f", "t"), ("f", "t"))
+        plan = found._jdf.queryExecution().executedPlan()
+        got = sorted((r["left"]["id"], r["right"]["id"]) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    a, b = ([tuple(r) for r in df.select("f", "t").collect()] for df in (left, right))
+    assert got == [(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x[0] <= y[1] and y[0] <= x[1]]
+
+    def shuffled(node):
+        own = node.metrics().get("shuffleRecordsWritten").get().value() if "ShuffleExchange" in node.getClass().getName() else 0
+        return own + sum(shuffled(node.children().apply(i)) for i in range(node.children().size()))
+
+    # Nodes of a tree are 12.6 times the rows.
+    assert 12_000 < shuffled(plan) <= 3 * 12_000
+
+
+def test_overlaps_of_very_unlike_widths(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "SENT_NODES", 0)
+    used = []
+    monkeypatch.setattr(intervals, "grids", lambda *a, grids=intervals.grids: used.append(grids(*a)) or used[-1])
+    rng = random.Random(8)
+
+    def some(n, widths):
+        lows = [rng.choice([rng.randrange(-3000, 3000), rng.randrange(-(2**20), 2**20)]) for _ in range(n)]
+        out = [(i, rng.choice("ab"), low, low + rng.choice(widths)) for i, low in enumerate(lows)]
+        # Of an unknown end, or all there is; and far away.
+        return out + [(n, "a", 5, 2**62), (n + 1, "a", -(2**62), 2**61), (n + 2, "b", 2**60, 2**60 + 7), (n + 3, "b", 5, None)]
+
+    a, b = some(300, [0, 1, 3, 40, 5000]), some(260, [0, 9, 60, 60, 2**14, 2**19])
+    left, right = (spark.createDataFrame(x, "id long, k string, f long, t long") for x in (a, b))
+    for one, two, x, y in ((left, right, a, b), (right, left, b, a)):
+        for keys in (None, ["k"]):
+            want = sorted(
+                (p[0], q[0]) for p in x for q in y
+                if p[3] is not None and q[3] is not None and p[2] <= q[3] and q[2] <= p[3] and (not keys or p[1] == q[1])
+            )
+            found = overlaps(one, two, ("f", "t"), ("f", "t"), keys)
+            assert found.columns == ["left", "right"] and found.select("left.*").columns == ["id", "k", "f", "t"]
+            assert sorted((r["left"]["id"], r["right"]["id"]) for r in found.collect()) == want and want
+    assert all(len(g) > 1 for g in used)
+
+
+def test_grids_fit_most_rows():
+    def of(size, n, lowest=0, highest=10**6):
+        return {"size": size, "n": n, "total": n * 2.0**size, "lowest": lowest, "highest": highest}
+
+    narrow = [of(3, 1000), of(5, 9000)]
+    assert intervals.grids([narrow, narrow], 1) == [5]
+    # One row without an end is on a grid of its own.
+    fine, coarse = intervals.grids([narrow, narrow + [of(62, 1)]], 1)
+    assert fine == 5 and 2 ** (62 - coarse) <= intervals.MOST_COPIES
+    # Wide rows that are few, or not much wider, stay where the others are.
+    assert intervals.grids([narrow, narrow + [of(13, 20)]], 1) == [6]
+    # Many wide rows do not make the cells of narrow ones wide.
+    mixed = [of(0, 9000), of(20, 1000)]
+    assert intervals.grids([mixed, mixed], 1) == [3, 20]
+    # Smaller cells give more tasks, but not at the price of many copies.
+    wide = [of(17, 500)]
+    assert intervals.grids([wide, wide], 1) == [18]
+    assert intervals.grids([wide, wide], 4) == [17]
+    assert intervals.grids([wide, wide], 10**4) == [16]
+    for sides in ([narrow, mixed], [[of(i, 100) for i in range(16)], narrow], [wide, mixed + narrow]):
+        assert intervals._copies(sides, intervals.grids(sides, 10**5)) <= (False, 4 * sum(r["n"] for s in sides for r in s))
+
+
+def test_narrow_rows_beside_wide_ones_are_not_all_tried(spark, monkeypatch):
+    monkeypatch.setattr(intervals, "SENT_NODES", 0)
+    cells = []
+    monkeypatch.setattr(intervals, "_in_cells", lambda *a, f=intervals._in_cells: cells.append(f(*a)) or cells[-1])
+
+    def tried():
+        left, right = (df.groupBy(f"_{s}_grid", f"_{s}_cell").agg(F.count("*").alias(f"_{s}")) for s, df in zip("lr", cells[-2:]))
+        both = left.join(right, (left["_l_grid"] == right["_r_grid"]) & (left["_l_cell"] == right["_r_cell"]))
+        return both.agg(F.sum(F.col("_l") * F.col("_r"))).first()[0]
+
+    # Of each side one row has no end, so all rows of the other are in its cell.
+    rows = spark.range(20_000).select("id", (F.col("id") * 10).alias("f"))
+    rows = rows.withColumn("t", F.when(F.col("id") == 19_990, 2**62).otherwise(F.col("f") + 2))
+    found = overlaps(rows, rows.withColumn("f", F.col("f") + 1), ("f", "t"), ("f", "t"))
+    assert found.count() == 20_000 + 2 * 9
+    assert tried() < 10 * 20_000
+    # Wide intervals apart, narrow ones close together.
+    rows = spark.range(20_000).select(
+        "id", F.when(F.col("id") % 9 == 0, F.col("id") * 3 + 10**7).otherwise(F.col("id") * 3).alias("f"))
+    rows = rows.withColumn("t", F.col("f") + F.when(F.col("id") % 9 == 0, 30_000).otherwise(1))
+    right = rows.filter("id % 9 <> 0")
+    assert overlaps(rows, right, ("f", "t"), ("f", "t")).count() == right.count()
+    assert tried() < 10 * 20_000
+
+
 @pytest.mark.parametrize("levels", [1, 2, 4])
 def test_covers_are_exact_and_disjoint(spark, levels):
     most = 8**levels - 1
